@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import neardup, packing, rules, token_counts
+from siftline.llm import neardup, packing, rules, substring, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,5 +29,9 @@ def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op4_quality_rules, op5_minhash_neardup)}
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": rules.oracle(), "op5_minhash_neardup": neardup.oracle()}
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removed(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op4_quality_rules, op5_minhash_neardup, op7_substring_dedup)}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": rules.oracle(), "op5_minhash_neardup": neardup.oracle(), "op7_substring_dedup": substring.oracle()}
