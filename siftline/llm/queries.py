@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import neardup, packing, rules, substring, token_counts
+from siftline.llm import chat, mixing, neardup, packing, rules, sharding, substring, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +29,40 @@ def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op4_quality_rules, op5_minhash_neardup, op7_substring_dedup)}
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": rules.oracle(), "op5_minhash_neardup": neardup.oracle(), "op7_substring_dedup": substring.oracle()}
+def op8_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.maximal_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.takes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_best_fit_packing,
+        op4_quality_rules,
+        op5_minhash_neardup,
+        op6_extendible_sharding,
+        op7_substring_dedup,
+        op8_chat_collapse,
+        op10_source_mixing,
+    )
+}
+#: None for tokenisers, trained models, random draws and approximate search; tests hold those against brute force.
+ORACLE_SQL = {
+    "op4_quality_rules": rules.oracle(),
+    "op5_minhash_neardup": neardup.oracle(),
+    "op6_extendible_sharding": sharding.oracle(),
+    "op7_substring_dedup": substring.oracle(),
+    "op8_chat_collapse": chat.oracle(),
+}
