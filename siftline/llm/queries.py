@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import chat, mixing, neardup, packing, rules, sharding, substring, token_counts
+from siftline.llm import ann, chat, mixing, neardup, packing, quality, rules, sharding, substring, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,6 +45,10 @@ def op8_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.maximal_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op9_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.takes(table(spark, sf_dir, "documents"))
 
@@ -50,11 +58,13 @@ QUERIES = {
     for f in (
         op1_token_counts,
         op2_best_fit_packing,
+        op3_quality_classifier,
         op4_quality_rules,
         op5_minhash_neardup,
         op6_extendible_sharding,
         op7_substring_dedup,
         op8_chat_collapse,
+        op9_learned_partitions,
         op10_source_mixing,
     )
 }
