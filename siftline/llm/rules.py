@@ -145,6 +145,8 @@ def binomial_cdf(n: Column, k: Column, p: float) -> Column:
 def learn(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, grid=None) -> DataFrame:
     """(stratum, cut_<rule>...) from measured rows with doc_id, stratum and `_m`; infinity where a rule is off.
 
+    `measured` should be a written table, as its counts are used many times over.
+
     Two aggregations with partial sums: (stratum, rule, cutoff) counts, then a row for each stratum.
     """
     grid = grid or GRID
@@ -191,9 +193,10 @@ def judge(measured: DataFrame, cuts: DataFrame) -> DataFrame:
     """Add `_kept` to measured rows with a stratum. One row of `cuts` for each stratum; Spark broadcasts it if small."""
     right = cuts.withColumnRenamed("stratum", "_stratum")
     judged = measured.join(right, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
-    kept = ~base_failed()
-    for rule, rate in rates().items():
-        kept = kept & (rate <= F.coalesce(F.col(f"cut_{rule}"), F.lit(float("inf"))))
+    off = F.lit(float("inf"))
+    rules = [rate <= F.coalesce(F.col(f"cut_{rule}"), off) for rule, rate in rates().items()]
+    # One expression, as parts of a conjunction would be pushed below the join and measure the text again there.
+    kept = F.forall(F.array(~base_failed(), *rules), lambda x: x)
     return judged.withColumn("_kept", kept).drop(*right.columns)
 
 
@@ -214,7 +217,7 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that the rules keep, all columns as they are; texts don't move between executors."""
     measured = measure(docs.withColumn("_lang", F.col("lang")), "doc_id", "_lang").withColumnRenamed("_lang", "stratum")
-    cuts = materialise(learn(measured, labels))
+    cuts = materialise(learn(materialise(measured), labels))
     whole = docs.withColumn("_row", F.struct("*"))
     rows = measure(whole.withColumn("_lang", F.col("lang")), "_row", "_lang").withColumnRenamed("_lang", "stratum")
     return judge(rows, cuts).filter("_kept").select("_row.*")
