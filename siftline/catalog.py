@@ -4,6 +4,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftline.plans import extraction, provenance, retrieval
+
+_PLANS = (extraction, provenance, retrieval)
+
 FLAGSHIP = "select_best_extraction"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: q for p in _PLANS for n, q in p.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {n: s for p in _PLANS for n, s in p.ORACLE_SQL.items()}
