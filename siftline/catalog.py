@@ -4,9 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.plans import changes, extraction, listings, operations, pricing, provenance, retrieval
+from siftline.plans import changes, extraction, listings, operations, pricing, provenance, retrieval, structured
 
-_PLANS = (extraction, provenance, retrieval, pricing, operations, changes, listings)
+_PLANS = (extraction, provenance, retrieval, pricing, operations, changes, listings, structured)
 
 FLAGSHIP = "select_best_extraction"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: q for p in _PLANS for n, q in p.QUERIES.items()}

@@ -150,7 +150,8 @@ class Mix:
         lo = F.greatest(F.col("index") * block - F.col("off"), F.lit(0))
         hi = F.least((F.col("index") + 1) * block - F.col("off"), F.col("size"))
         parts = parts.select("s", "index", "off", "doc_id", "tie", lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
-        slots = _slots(spark, plan, seed)
+        # Planned from a small table, but as long as the output: it mustn't be taken for one to broadcast.
+        slots = _slots(spark, plan, seed).hint("merge")
         self.placements = parts.join(slots, ["s", "index"]).select(
             "shard", "slot", "epoch", "s", "off", "doc_id", "tie", "lo", "hi"
         )

@@ -4,12 +4,13 @@
    of its MinHash samples and an odd sketch: each sample flips one bit of a bitmap, so the bits in which two sketches
    differ tell how many samples do, most precisely where few do.
 2. Texts with equal sets are one class, named by its smallest doc_id; from here on only classes count.
-3. In each band bucket every class is paired with the bucket's smallest class only. Pairs whose sketches can't belong
-   to a similarity of 0.75 go, the rest is decided on the full sets, and the links give components (star
-   contraction).
-4. What that may have missed, pairs of one bucket that are still in different components and of which neither was its
-   smallest class, is then compared by sketch and decided on the full sets as well. So a large group costs as many
-   pairs as it has members, and no candidate of any bucket goes untested.
+3. In each band bucket one class, another one each round, is paired with those that aren't in its component yet.
+   Pairs whose sketches can't belong to a similarity of 0.75 go, the rest is decided on the full sets, and the links
+   give components (star contraction). Rounds go on while the pairs of a bucket in different components outnumber the
+   bucket memberships, and while they find links.
+4. What is then left, every pair of a bucket in different components that wasn't tested, is compared by sketch and
+   decided on the full sets as well. So a large group costs a few pairs for each member, and no candidate of any bucket
+   that could join two components goes untested.
 
 Two texts of similarity 0.75 share no band with probability (1 - 0.75^4)^32 = 5e-6, and less above.
 
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from siftline.llm.common import materialise
 
@@ -35,7 +36,7 @@ BANDS, ROWS = 32, 4
 #: 64-bit words of an odd sketch.
 SKETCH_WORDS = 8
 #: Sketches of a pair at the similarity 0.75 differ in 57 of 512 bits, with a deviation of 9.
-MAX_SKETCH_DISTANCE = 104
+MAX_SKETCH_DISTANCE = 96
 SIMILAR_PERCENT = 75
 
 _MASK = (1 << 64) - 1
@@ -147,10 +148,8 @@ def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are similar enough."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialise(_full_sets(docs, classes.select("node", "set_key").join(ends, "node")).dropDuplicates(["node"]))
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
     both = pairs.join(right, "b").join(left, "a")
@@ -159,31 +158,35 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
     return both.filter(100 * shared >= percent * all_).select("a", "b")
 
 
+def _written(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """The table written, with aggregates of it that the write takes along."""
+    seen = Observation()
+    named = [m.alias(k) for k, m in measures.items()]
+    table = materialise(df.observe(seen, F.count(F.lit(1)).alias("n"), *named))
+    return table, seen.get
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that links reach from each node that has links.
+    """(node, component): the smallest node that links reach from each node that has links, itself left out.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): each hangs neighbours on the smallest one they
     know; rounds grow with the logarithm of the path length. Every step is an aggregation and a join on narrow rows.
     """
 
-    def star(e: DataFrame, both_ways: bool) -> DataFrame:
+    def hang(e: DataFrame, both_ways: bool) -> DataFrame:
         if both_ways:
             e = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = e.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
-        to = e.join(low.withColumnRenamed("a", "_a"), F.col("a") == F.col("_a"))
+        low = e.groupBy(F.col("a").alias("_a")).agg(F.least(F.col("_a"), F.min("b")).alias("low"))
+        to = e.join(low, F.col("a") == F.col("_a"))
         if both_ways:
-            return to.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+            return to.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))
         hung = to.select(F.explode(F.array("a", "b")).alias("a"), F.col("low").alias("b"))
         return hung.filter(F.col("a") > F.col("b")).distinct()
 
-    def mark(e: DataFrame):
-        return e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-
-    e = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = mark(e)
-    while seen[0]:
-        e = materialise(star(star(e, True), False))
-        now = mark(e)
+    mark = F.bit_xor(F.xxhash64("a", "b"))
+    e, seen = _written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), x=mark)
+    while seen.get("n"):
+        e, now = _written(hang(hang(e, True), False), x=mark)
         if now == seen:
             break
         seen = now
@@ -194,6 +197,66 @@ def _close(a: str, b: str) -> Column:
     return _distance(a, b) <= MAX_SKETCH_DISTANCE
 
 
+def _merged(found: DataFrame, new: DataFrame) -> DataFrame:
+    """Components after further links: only those between components count."""
+
+    def at(side: str) -> DataFrame:
+        return found.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
+
+    ends = new.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    ends = ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).filter("a <> b")
+    moved = components(ends)
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    kept = found.join(to, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    return materialise(kept.union(moved))  # what moved was a component's smallest node or had no links so far
+
+
+def _closure(members: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the nodes that have links, from the nodes of each bucket."""
+    spark = members.sparkSession
+    found = spark.createDataFrame([], "node long, component long")
+    tested = spark.createDataFrame([], "a long, b long")
+    a, b = (sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    n_members, turn, last = members.count(), 0, False
+    while True:
+        now = members.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("of"))
+        # One member of each component of a bucket; the largest component's is the centre. Rounds after the first take
+        # other members in other buckets, so what is left meets many members of a large group at once.
+        order = F.xxhash64("node", F.lit(turn)) if turn == 0 else F.xxhash64("node", "band", F.lit(turn))
+        parts = now.groupBy("band", "of").agg(F.count("*").alias("n"), F.min_by("node", order).alias("node"))
+        weight = F.struct("n", F.xxhash64("of", F.lit(turn)))
+        centres = parts.groupBy("band").agg(
+            ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("left"),
+            F.max_by(F.struct("node", "of"), weight).alias("c"),
+        )
+        centres = centres.filter("left > 0").select("band", "left", F.col("c.node").alias("centre"), F.col("c.of").alias("of_c"))
+        centres, seen = _written(centres, left=F.sum("left"))
+        if not seen.get("n"):
+            break
+        last = last or (turn > 0 and seen["left"] <= n_members)
+        open_ = now.join(centres, "band")
+        if last:
+            x = open_.join(sketches, "node").select("band", F.col("node").alias("a"), F.col("of").alias("of_a"), F.col("sketch").alias("sketch_a"))
+            y = x.withColumnsRenamed({"a": "b", "of_a": "of_b", "sketch_a": "sketch_b"})
+            pairs = x.join(y, "band").filter((F.col("of_a") < F.col("of_b")) & _close("sketch_a", "sketch_b"))
+        else:
+            pairs = open_.filter("of <> of_c").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        if not last:
+            pairs = pairs.join(b, "b").join(a, "a").filter(_close("sketch_a", "sketch_b")).select("a", "b")
+        pairs = materialise(pairs)
+        new, got = _written(_links(pairs, sets, percent))
+        if got.get("n"):
+            found = _merged(found, new)
+        if last:
+            break
+        last = turn > 0 and not got.get("n")
+        tested = tested.union(pairs)
+        turn += 1
+    return found
+
+
 def near_duplicates(docs: DataFrame, percent: int = SIMILAR_PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of `docs`."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -204,35 +267,15 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILAR_PERCENT) -> DataFram
     classes = named.join(one, (F.col("set_key") == F.col("_key")) & (F.col("doc_id") == F.col("node")))
     classes = materialise(classes.select("node", "set_key", F.struct(*_SKETCH).alias("sketch"), "bands"))
 
-    members = classes.select(F.explode("bands").alias("band"), "node")
-    buckets = members.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("_max"))
-    buckets = buckets.filter(F.col("a") < F.col("_max")).drop("_max")
-    members = materialise(members.join(buckets, "band"))  # of buckets with two classes at least
-    sketches = classes.select("node", "sketch").dropDuplicates(["node"])
-
-    def named_as(name: str) -> DataFrame:
-        return sketches.select(F.col("node").alias(name), F.col("sketch").alias(f"sketch_{name}"))
+    members = classes.select(F.explode("bands").alias("band"), "node").distinct()
+    shared = members.groupBy("band").agg(F.count("*").alias("_n")).filter("_n > 1").select("band")
+    members = materialise(members.join(shared, "band"))
+    sketches = classes.select("node", "set_key", "sketch").dropDuplicates(["node"])
+    sketches = materialise(sketches.join(members.select("node").distinct(), "node"))
+    sets = materialise(_full_sets(docs, sketches.select("node", "set_key")).dropDuplicates(["node"]))
+    found = _closure(members, sketches, sets, percent)
 
-    stars = members.filter(F.col("node") > F.col("a")).select("a", F.col("node").alias("b")).distinct()
-    stars = stars.join(named_as("b"), "b").join(named_as("a"), "a").filter(_close("sketch_a", "sketch_b"))
-    links = materialise(_links(materialise(stars.select("a", "b")), classes, docs, percent))
-    found = components(links)
-
-    # Buckets that still hold several components, without their smallest class, which has met everyone.
     of = F.coalesce("component", "node")
-    rest = members.filter(F.col("node") > F.col("a")).join(found, "node", "left").select("band", "node", of.alias("of"))
-    mixed = rest.groupBy("band").agg(F.min("of").alias("_lo"), F.max("of").alias("_hi"))
-    mixed = mixed.filter(F.col("_lo") < F.col("_hi")).select("band")
-    rest = materialise(rest.join(mixed, "band").join(sketches, "node"))
-    left = rest.select("band", F.col("node").alias("a"), F.col("of").alias("of_a"), F.col("sketch").alias("sketch_a"))
-    right = rest.select("band", F.col("node").alias("b"), F.col("of").alias("of_b"), F.col("sketch").alias("sketch_b"))
-    more = left.join(right, "band").filter((F.col("of_a") < F.col("of_b")) & _close("sketch_a", "sketch_b"))
-    more = materialise(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if not more.isEmpty():
-        late = materialise(_links(more, classes, docs, percent))
-        if not late.isEmpty():
-            found = components(links.union(late))
-
     ends = first.join(found, "node", "left").select(F.col("set_key").alias("_key"), of.alias("component_id"))
     out = rows.join(ends, (F.col("set_key") == F.col("_key")) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("component_id", "doc_id")
