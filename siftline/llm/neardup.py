@@ -1,13 +1,15 @@
 """Near-duplicate documents: banded MinHash candidates, odd sketches as their filter, full sets as the proof.
 
-1. One Arrow pass gives each text its set of 5-word shingles as a size, a 128-bit key of the whole set, the band keys
-   of its MinHash samples and an odd sketch: each sample flips one bit of a bitmap, so the bits in which two sketches
-   differ tell how many samples do, most precisely where few do.
+1. One Arrow pass gives each text its set of 5-word shingles as a size, a 128-bit key of the whole set and the band
+   keys of its MinHash samples. Texts that share a bucket with another one get an odd sketch: each of up to 4096
+   MinHash samples flips one bit of a bitmap, so the bits in which two sketches differ tell how many samples do, most
+   precisely where few do.
 2. Texts with equal sets are one class, named by its smallest doc_id; from here on only classes count.
-3. In each band bucket one class, another one each round, is paired with those that aren't in its component yet.
-   Pairs whose sketches can't belong to a similarity of 0.75 go, the rest is decided on the full sets, and the links
-   give components (star contraction). Rounds go on while the pairs of a bucket in different components outnumber the
-   bucket memberships, and while they find links.
+3. Each band bucket has one class as its centre, another one each round; each class is paired with one of its centres,
+   in later rounds with some, that aren't in its component yet. Pairs whose sketches can't belong to a similarity of
+   0.75 go, the rest is decided on the full sets, and the links give components (star contraction). Buckets that are
+   one component leave. Rounds go on while the pairs of a bucket in different components are many for each class, and
+   while they find links.
 4. What is then left, every pair of a bucket in different components that wasn't tested, is compared by sketch and
    decided on the full sets as well. So a large group costs a few pairs for each member, and no candidate of any bucket
    that could join two components goes untested.
@@ -33,11 +35,20 @@ from siftline.llm.common import materialise
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
-#: 64-bit words of an odd sketch.
-SKETCH_WORDS = 8
-#: Sketches of a pair at the similarity 0.75 differ in 57 of 512 bits, with a deviation of 9.
-MAX_SKETCH_DISTANCE = 96
+#: 64-bit words of an odd sketch, which has as many bits as a text has samples at most.
+SKETCH_WORDS = 64
+SKETCH_BITS = 64 * SKETCH_WORDS
+#: Deviations from the expected distance of sketches at the similarity sought that a candidate may have.
+DEVIATIONS = 4.5
 SIMILAR_PERCENT = 75
+#: Centres that a node is compared with in one round after the first; what they don't settle, later rounds and step 4 do.
+CENTRES_PER_NODE = 4
+#: Rounds end once no more pairs are left for each node than these.
+PAIRS_PER_NODE = 2
+#: Rounds also end once one leaves more than this share of the pairs that were left before it.
+WORTH = 0.8
+#: Pairs whose ids may be broadcast: at most 16 MB.
+BROADCAST_PAIRS = 500_000
 
 _MASK = (1 << 64) - 1
 _SEED = np.random.default_rng(20240229)
@@ -80,10 +91,15 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return mix(keys + np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)
 
 
-def odd_sketch(low: np.ndarray) -> np.ndarray:
-    bits = SKETCH_WORDS * 64
-    at = mix(low + np.arange(1, len(low) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(bits)
-    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+def odd_sketch(s: np.ndarray) -> tuple[int, np.ndarray]:
+    """The number of samples of a set and the parity bitmap they leave. The samples are those of one-permutation
+    MinHash: the smallest hash in each of SKETCH_BITS equal ranges, so the set, sorted as it is, has them side by side.
+    """
+    part = s >> np.uint64(65 - SKETCH_BITS.bit_length())
+    low = s[np.concatenate([[True], part[1:] != part[:-1]])]
+    at = mix(low * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) % np.uint64(SKETCH_BITS)
+    odd = (np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
+    return len(low), np.packbits(odd).view(np.int64)
 
 
 def set_key(s: np.ndarray) -> bytes:
@@ -92,32 +108,28 @@ def set_key(s: np.ndarray) -> bytes:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        size, key, bands, sketch = [], [], [], []
+        size, key, bands = [], [], []
         for x in b.column("text"):
             s = shingles(x.as_py())
             size.append(len(s))
             key.append(set_key(s) if len(s) else None)
             if len(s):
-                low = samples(s)
-                bands.append(band_keys(low))
-                sketch.append(odd_sketch(low))
+                bands.append(band_keys(samples(s)))
         full = np.array(size) > 0
         ends = np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)
         flat = np.concatenate([np.zeros(0, np.int64), *bands])
-        words = np.zeros((len(size), SKETCH_WORDS), np.int64)
-        if sketch:
-            words[full] = np.stack(sketch)
         yield pa.RecordBatch.from_arrays(
             [
                 b.column("doc_id"), pa.array(size, pa.int64()), pa.array(key, pa.binary()),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), *(pa.array(w) for w in words.T.copy()),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
             ],
-            ["doc_id", "n_shingles", "set_key", "bands", *_SKETCH],
+            ["doc_id", "n_shingles", "set_key", "bands"],
         )
 
 
+_SCHEMA = "doc_id long, n_shingles long, set_key binary, bands array<long>"
 _SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
-_SCHEMA = "doc_id long, n_shingles long, set_key binary, bands array<long>, " + ", ".join(f"{s} long" for s in _SKETCH)
+_SET_SCHEMA = "node long, n_shingles long, n_samples int, " + "".join(f"{s} long, " for s in _SKETCH) + "set array<long>"
 
 
 def _distance(a: str, b: str) -> Column:
@@ -127,24 +139,30 @@ def _distance(a: str, b: str) -> Column:
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, set): the sorted shingle hashes of the classes asked for, from the text of each class's first document."""
+    """Odd sketch and full set (sorted hashes) of the classes asked for, from the text of each class's first document."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, out = [], []
+            node, filled, sketch, out = [], [], [np.zeros((0, SKETCH_WORDS), np.int64)], []
             for d, x, want in zip(b.column("doc_id"), b.column("text"), b.column("set_key")):
                 s = shingles(x.as_py())
                 if len(s) and set_key(s) == want.as_py():
-                    node.append(d.as_py()), out.append(s.view(np.int64))
+                    n, bits = odd_sketch(s)
+                    node.append(d.as_py()), filled.append(n), sketch.append(bits[None]), out.append(s.view(np.int64))
             ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.int64), *out])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "set"]
-            )
+                [
+                    pa.array(node, pa.int64()), pa.array(list(map(len, out)), pa.int64()), pa.array(filled, pa.int32()),
+                    *(pa.array(w) for w in np.concatenate(sketch).T.copy()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                ],
+                ["node", "n_shingles", "n_samples", *_SKETCH, "set"],
+            )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return texts.join(nodes, F.col("doc_id") == F.col("node")).select("doc_id", "text", "set_key").mapInArrow(
-        sets, "node long, set array<long>"
+        sets, _SET_SCHEMA
     )
 
 
@@ -158,6 +176,12 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * all_).select("a", "b")
 
 
+def _of_pairs(sets: DataFrame, pairs: DataFrame, n_pairs: int) -> DataFrame:
+    """The sets that these pairs ask for. The ids go to all tasks if they are few, so the rest isn't shuffled for them."""
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    return sets.join(F.broadcast(asked) if n_pairs <= BROADCAST_PAIRS else asked, "node", "left_semi")
+
+
 def _written(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
     """The table written, with aggregates of it that the write takes along."""
     seen = Observation()
@@ -193,8 +217,21 @@ def components(links: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def _close(a: str, b: str) -> Column:
-    return _distance(a, b) <= MAX_SKETCH_DISTANCE
+def _close(a: str, b: str, percent: int) -> Column:
+    """Whether two sketches may belong to sets of that similarity.
+
+    At similarity J two sets of n elements in all have a union of n / (1 + J), which fills M of the K ranges; the
+    samples of J * M of those agree, the rest flips bits, and a bitmap of K bits with f flips differs in
+    K / 2 * (1 - exp(-2 f / K)) places. The deviation was simulated: at most 34, and 0.3 + 8 % of that for few.
+    """
+    j, k = percent / 100, float(SKETCH_BITS)
+    n_a, n_b = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    ranges = k * (1 - F.exp(-(n_a + n_b) / (k * (1 + j))))
+    flips = F.greatest(F.col(f"{a}.n_samples") + F.col(f"{b}.n_samples") - 2 * j * ranges, F.lit(0.0))
+    distance = k / 2 * (1 - F.exp(-2 / k * flips))
+    slack = 1 + DEVIATIONS * F.least(F.lit(34.0), 0.3 + 0.08 * distance)
+    sizes = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
+    return sizes & (_distance(a, b) <= distance + slack)
 
 
 def _merged(found: DataFrame, new: DataFrame) -> DataFrame:
@@ -217,9 +254,9 @@ def _closure(members: DataFrame, sketches: DataFrame, sets: DataFrame, percent:
     found = spark.createDataFrame([], "node long, component long")
     tested = spark.createDataFrame([], "a long, b long")
     a, b = (sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-    n_members, turn, last = members.count(), 0, False
+    n_nodes, turn, before, last = sketches.count(), 0, 0.0, False
+    now = members.select("band", "node", F.col("node").alias("of"))
     while True:
-        now = members.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("of"))
         # One member of each component of a bucket; the largest component's is the centre. Rounds after the first take
         # other members in other buckets, so what is left meets many members of a large group at once.
         order = F.xxhash64("node", F.lit(turn)) if turn == 0 else F.xxhash64("node", "band", F.lit(turn))
@@ -233,26 +270,40 @@ def _closure(members: DataFrame, sketches: DataFrame, sets: DataFrame, percent:
         centres, seen = _written(centres, left=F.sum("left"))
         if not seen.get("n"):
             break
-        last = last or (turn > 0 and seen["left"] <= n_members)
-        open_ = now.join(centres, "band")
+        left = seen["left"]
+        last = last or (turn > 0 and left <= PAIRS_PER_NODE * n_nodes) or (turn > 1 and left > WORTH * before)
+        before = left
+        # Buckets whose nodes are all in one component have no say any more.
+        open_ = materialise(now.join(centres, "band").select("band", "node", "of", "centre", "of_c"))
         if last:
-            x = open_.join(sketches, "node").select("band", F.col("node").alias("a"), F.col("of").alias("of_a"), F.col("sketch").alias("sketch_a"))
-            y = x.withColumnsRenamed({"a": "b", "of_a": "of_b", "sketch_a": "sketch_b"})
-            pairs = x.join(y, "band").filter((F.col("of_a") < F.col("of_b")) & _close("sketch_a", "sketch_b"))
+            of_node = open_.groupBy("node").agg(F.collect_list("band").alias("bands")).join(sketches, "node")
+            y = open_.join(of_node, "node").select("band", "of", "of_c", F.struct("node", "of", "bands", "sketch").alias("b"))
+            x = y.filter("of <> of_c").select("band", F.col("b").alias("a"))
+            # Sketches come first; of the buckets that two nodes share only one reports them.
+            once = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("x.band")
+            near = F.col("a.of") != F.col("b.of")
+            near &= _close("a.sketch", "b.sketch", percent)
+            pairs = x.alias("x").join(y.drop("of", "of_c").alias("y"), (F.col("x.band") == F.col("y.band")) & near & once)
+            pairs = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
-            pairs = open_.filter("of <> of_c").select(F.col("centre").alias("a"), F.col("node").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            to = F.array_sort(F.collect_set(F.struct(F.xxhash64("centre", F.lit(turn)).alias("h"), "centre")))
+            some = open_.filter("of <> of_c").groupBy("node").agg(to.alias("to"))
+            some = some.select(F.col("node").alias("b"), F.explode(F.slice("to", 1, 1 if turn == 0 else CENTRES_PER_NODE)).alias("c"))
+            pairs = some.select(F.least("b", "c.centre").alias("a"), F.greatest("b", "c.centre").alias("b")).distinct()
+        if turn:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
         if not last:
-            pairs = pairs.join(b, "b").join(a, "a").filter(_close("sketch_a", "sketch_b")).select("a", "b")
-        pairs = materialise(pairs)
-        new, got = _written(_links(pairs, sets, percent))
+            pairs = pairs.join(b, "b").join(a, "a").filter(_close("sketch_a", "sketch_b", percent)).select("a", "b")
+        pairs, tries = _written(pairs)
+        new, got = _written(_links(pairs, _of_pairs(sets, pairs, tries.get("n", 0)), percent))
         if got.get("n"):
             found = _merged(found, new)
         if last:
             break
         last = turn > 0 and not got.get("n")
         tested = tested.union(pairs)
+        now = open_.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("of"))
         turn += 1
     return found
 
@@ -265,14 +316,16 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILAR_PERCENT) -> DataFram
     first = named.groupBy("set_key").agg(F.min("doc_id").alias("node"))
     one = first.select(F.col("set_key").alias("_key"), "node")
     classes = named.join(one, (F.col("set_key") == F.col("_key")) & (F.col("doc_id") == F.col("node")))
-    classes = materialise(classes.select("node", "set_key", F.struct(*_SKETCH).alias("sketch"), "bands"))
+    classes = materialise(classes.select("node", "set_key", "bands"))
 
     members = classes.select(F.explode("bands").alias("band"), "node").distinct()
     shared = members.groupBy("band").agg(F.count("*").alias("_n")).filter("_n > 1").select("band")
     members = materialise(members.join(shared, "band"))
-    sketches = classes.select("node", "set_key", "sketch").dropDuplicates(["node"])
-    sketches = materialise(sketches.join(members.select("node").distinct(), "node"))
-    sets = materialise(_full_sets(docs, sketches.select("node", "set_key")).dropDuplicates(["node"]))
+    paired = members.select("node").distinct()
+    keys = classes.select("node", "set_key").dropDuplicates(["node"]).join(paired, "node")
+    sets = materialise(_full_sets(docs, keys).dropDuplicates(["node"]))
+    sketches = sets.select("node", F.struct("n_shingles", "n_samples", *_SKETCH).alias("sketch"))
+    sets = sets.select("node", "set")
     found = _closure(members, sketches, sets, percent)
 
     of = F.coalesce("component", "node")

@@ -64,20 +64,25 @@ def test_large_groups_lose_no_link(spark, edits):
     assert near(df) == brute_components(rows)
 
 
-def test_odd_sketches_estimate_similarity():
-    r = np.random.default_rng(0)
-    for share in (0.75, 0.9):
-        gaps = []
-        for _ in range(50):
-            x = r.integers(1, 1 << 62, 1000, dtype=np.uint64)
-            k = int(1000 * 2 * share / (1 + share)) // 2 * 2
-            a, b = np.unique(x), np.unique(np.concatenate([x[:k], r.integers(1, 1 << 62, 1000 - k, dtype=np.uint64)]))
-            sa, sb = (neardup.odd_sketch(neardup.samples(s)) for s in (a, b))
-            z = sum(int(v).bit_count() for v in (sa ^ sb).view(np.uint64))
-            bits, n = neardup.SKETCH_WORDS * 64, neardup.BANDS * neardup.ROWS
-            gaps.append(1 + bits / (4 * n) * np.log(1 - 2 * z / bits))
-            assert z <= neardup.MAX_SKETCH_DISTANCE
-        assert abs(np.mean(gaps) - share) < 0.03
+def test_odd_sketches_estimate_similarity(spark):
+    r, rows = np.random.default_rng(0), []
+    for size in (8, 60, 200, 1000, 5000, 40000):
+        for share in (0.5, 0.75, 0.9):
+            for _ in range(20):
+                k = int(np.ceil(size * share))
+                e = r.integers(0, 1 << 64, size, dtype=np.uint64)
+                cut = k + (size - k) // 2
+                for a, b in ((e[:cut], np.concatenate([e[:k], e[cut:]])), (e, e[:k])):
+                    sides = []
+                    for s in (np.unique(a), np.unique(b)):
+                        n, bits = neardup.odd_sketch(s)
+                        sides.append((len(s), n, *map(int, bits)))
+                    rows.append((size, share, *sides))
+    sketch = "struct<n_shingles:long,n_samples:int," + ",".join(f"{s}:long" for s in neardup._SKETCH) + ">"
+    df = spark.createDataFrame(rows, f"size long, share double, a {sketch}, b {sketch}")
+    df = df.withColumn("close", neardup._close("a", "b", 75))
+    assert df.filter("share >= 0.75 and not close").count() == 0
+    assert df.filter("share = 0.5 and size >= 200 and close").count() == 0
 
 
 def test_components_of_paths_and_stars(spark):
