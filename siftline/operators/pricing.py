@@ -79,7 +79,8 @@ def confidence(rows: DataFrame, price: str, dated: Column, known: Column, *by: s
 def upper_median(rows: DataFrame, price: str, *by: str) -> DataFrame:
     """Low, upper median, high and mean: the upper median is the value at place floor(n / 2) counted from 0.
 
-    Values are counted and summed up in order, so no group is gathered in one array.
+    Values are counted and summed up in order, so no group is gathered in one array. The mean's sum is decimal (six
+    places): it doesn't depend on the order of rows.
     """
     counted = rows.groupBy(*by, F.col(price).alias("_x")).agg(F.count("*").alias("_n"))
     order = W.partitionBy(*by).orderBy("_x")
@@ -91,5 +92,5 @@ def upper_median(rows: DataFrame, price: str, *by: str) -> DataFrame:
         F.min("_x").alias("low"),
         F.min(F.when(F.col("_upto") > F.floor(F.col("_total") / 2), F.col("_x"))).alias("median"),
         F.max("_x").alias("high"),
-        (F.sum(F.col("_x") * F.col("_n")) / F.sum("_n")).alias("average"),
+        (F.sum(F.col("_x").cast("decimal(18,6)") * F.col("_n")).cast("double") / F.sum("_n")).alias("average"),
     )
