@@ -1,9 +1,14 @@
 """Embeddings, vector search, summaries, session memory, prompt safety and retrieval answers."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from siftline.functions.safety import MAX_LENGTH, OVERFLOW, THREATS
 
+#: Rows and queries that one task of a block search holds, about, and queries that it scores at once.
+ROW_BLOCK, QUERY_BLOCK, PAGE = 8_192, 4_096, 128
+
 
 def hash_embedding(rows: DataFrame, key: str, text: str, dims: int) -> DataFrame:
     """(key, dim, n): token counts in `dims` buckets; a token's bucket is its polynomial hash (base 31) modulo `dims`.
@@ -43,6 +48,62 @@ def similarity_search(rows: DataFrame, queries: DataFrame, k: int, min_score: fl
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _padded(col: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as rows; shorter ones end in zeros, which change no inner product."""
+    col = col.combine_chunks()
+    size = np.diff(col.offsets.to_numpy())
+    out = np.zeros((len(size), max(1, int(size.max(initial=0)))))
+    out[np.arange(out.shape[1]) < size[:, None]] = col.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def block_search(rows: DataFrame, queries: DataFrame, k: int, min_score: float | None = None) -> DataFrame:
+    """(query_id, rank, id, score) as `similarity_search`, for queries that grow with the rows.
+
+    Blocks of queries meet blocks of rows in one task each, which keeps its own k best of each query; those are merged.
+    Vectors that are null or hold null or non-finite components take no part.
+    """
+
+    def usable(df: DataFrame, key: str) -> DataFrame:
+        v = F.transform("vector", lambda x: x.cast("double"))
+        df = df.select(F.col(key).cast("long").alias("id"), v.alias("v"))
+        return df.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
+
+    held, asked = usable(rows, "id"), usable(queries, "query_id")
+    n_rows, n_asked = (max(1, -(-df.count() // size)) for df, size in ((held, ROW_BLOCK), (asked, QUERY_BLOCK)))
+
+    def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int, asks: bool) -> DataFrame:
+        at = F.pmod(F.xxhash64("id", "v"), F.lit(n_own)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
+        return df.select("id", "v", F.lit(asks).alias("asks"), at.alias(own), every.alias(other))
+
+    def best(block: pa.Table) -> pa.Table:
+        asks = block.column("asks").to_numpy()
+        out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        if asks.any() and not asks.all():
+            ids, v = block.column("id").to_numpy(), _padded(block.column("v"))
+            norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+            q_ids, q, ids, c = ids[asks], v[asks], ids[~asks], v[~asks].T
+            for lo in range(0, len(q), PAGE):
+                for q_id, score in zip(q_ids[lo : lo + PAGE], q[lo : lo + PAGE] @ c):
+                    near, at = np.round(score, 9), np.arange(len(score))
+                    if min_score is not None:
+                        at = at[score >= min_score]
+                    if len(at) > k:
+                        at = at[near[at] >= np.partition(near[at], len(at) - k)[len(at) - k]]
+                    at = at[np.lexsort((ids[at], -near[at]))[:k]]
+                    out[0].append(np.full(len(at), q_id)), out[1].append(ids[at]), out[2].append(score[at])
+        query_id, found, score = map(np.concatenate, out)
+        return pa.table({"query_id": query_id, "id": found, "score": score, "_near": np.round(score, 9)})
+
+    both = dealt(held, "_r", n_rows, "_q", n_asked, False).unionByName(dealt(asked, "_q", n_asked, "_r", n_rows, True))
+    found = both.groupBy("_r", "_q").applyInArrow(best, "query_id long, id long, score double, _near double")
+    order = W.partitionBy("query_id").orderBy(F.desc("_near"), "id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "id", "score")
+
+
 def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?])\s+")
 

@@ -42,6 +42,28 @@ def retrieval_answers(spark, sf_dir):
     return retrieval.answers(_hits(spark, sf_dir, 3), docs)
 
 
+def _every_hit(spark, sf_dir, k, min_score=None, label=None):
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    asked = vectors.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    rows = vectors if label is None else vectors.filter(F.col("label") == label)
+    return retrieval.block_search(rows, asked, k, min_score)
+
+
+def similarity_search_every(spark, sf_dir):
+    """As similarity_search, for each row whose id is divisible by 20."""
+    return _every_hit(spark, sf_dir, 5).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+def similarity_search_filtered_every(spark, sf_dir):
+    return _every_hit(spark, sf_dir, 5, min_score=0.1, label=3).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+def retrieval_answers_every(spark, sf_dir):
+    """As retrieval_answers, for each row whose id is divisible by 20 and over whole texts."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return retrieval.answers(_every_hit(spark, sf_dir, 3), docs)
+
+
 def prompt_safety_turns(spark, sf_dir):
     return retrieval.threats(table(spark, sf_dir, "conversations"), "text", "conv_id", "turn")
 
@@ -84,16 +106,17 @@ QUERIES = {
     f.__name__: f
     for f in (
         summaries, hash_embeddings, hash_embedding_norms, similarity_search, similarity_search_filtered, retrieval_answers, prompt_safety_turns,
-        prompt_safety_pages, session_memory, information_kept, text_similarity,
+        prompt_safety_pages, session_memory, information_kept, text_similarity, similarity_search_every, similarity_search_filtered_every,
+        retrieval_answers_every,
     )
 }
 
 
-def _hits_sql(k: int, where: str = "TRUE", least: str = "TRUE") -> str:
+def _hits_sql(k: int, where: str = "TRUE", least: str = "TRUE", asked: str = "q.vec_id < 5") -> str:
     return f"""h AS (
   SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank
   FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
-    FROM embeddings e, embeddings q WHERE q.vec_id < 5 AND {where}) WHERE {least}
+    FROM embeddings e, embeddings q WHERE {asked} AND {where}) WHERE {least}
 ), hits AS (SELECT query_id, rank::INTEGER AS rank, id, score FROM h WHERE rank <= {k})"""
 
 
@@ -120,6 +143,7 @@ FROM y LEFT JOIN n USING ({keep})"""
 
 from siftline.plans.extraction import STRIP_SQL  # noqa: E402
 
+_EVERY = "q.vec_id % 20 = 0"
 _EMBED = f"""t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
 u AS (SELECT w, list_reduce(list_prepend(0, list_transform(string_split(w, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % {DIMS}) AS dim FROM (SELECT DISTINCT w FROM t)),
 e AS (SELECT doc_id, dim::INTEGER AS dim, count(*) AS n FROM t JOIN u USING (w) GROUP BY 1, 2)"""
@@ -132,6 +156,11 @@ SELECT doc_id, left(s[1], 120) AS headline, array_to_string(s[1:3], ' ') AS para
     "similarity_search": f"WITH {_hits_sql(5)} SELECT query_id, rank, id, round(score, 6) AS score FROM hits",
     "similarity_search_filtered": f"WITH {_hits_sql(5, 'e.label = 3', 'score >= 0.1')} SELECT query_id, rank, id, round(score, 6) AS score FROM hits",
     "retrieval_answers": f"""WITH {_hits_sql(3)}, r AS (SELECT h.*, left(text, 500) AS text FROM hits h JOIN documents d ON d.doc_id = h.id)
+SELECT query_id, count(*) AS n_sources, string_agg('Source ' || rank || ': ' || text, chr(10) || chr(10) ORDER BY rank) AS context,
+  string_agg(id || '|' || left(text, 200), chr(10) ORDER BY rank) AS citations FROM r GROUP BY 1""",
+    "similarity_search_every": f"WITH {_hits_sql(5, asked=_EVERY)} SELECT query_id, rank, id, round(score, 6) AS score FROM hits",
+    "similarity_search_filtered_every": f"WITH {_hits_sql(5, 'e.label = 3', 'score >= 0.1', _EVERY)} SELECT query_id, rank, id, round(score, 6) AS score FROM hits",
+    "retrieval_answers_every": f"""WITH {_hits_sql(3, asked=_EVERY)}, r AS (SELECT h.*, text FROM hits h JOIN documents d ON d.doc_id = h.id)
 SELECT query_id, count(*) AS n_sources, string_agg('Source ' || rank || ': ' || text, chr(10) || chr(10) ORDER BY rank) AS context,
   string_agg(id || '|' || left(text, 200), chr(10) ORDER BY rank) AS citations FROM r GROUP BY 1""",
     "prompt_safety_turns": _threat_sql("conversations", "text", "conv_id, turn"),

@@ -1,6 +1,8 @@
 """Operators that SQL can't express, and readers, on small inputs worked out by hand."""
 
 import datetime as dt
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +160,38 @@ def test_robots(spark):
     pages = spark.createDataFrame([("o", "/p/x"), ("o", "/p/ok/1"), ("o", "/b"), ("q", "/p")], ["origin", "path"])
     assert [r["allowed"] for r in exports.allowed(pages, rules, "other").orderBy("origin", "path").collect()] == [True, True, False, True]
     assert [r["allowed"] for r in exports.allowed(pages, rules, "bot").orderBy("origin", "path").collect()] == [False, True, True, True]
+
+
+def test_block_search_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", 40)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 5)
+    r = random.Random(4)
+    rows = [(k, [r.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(3 + k % 2)]) for k in range(300)]
+    rows += [(400, None), (401, [1.0, None]), (402, [float("nan")] * 3), (403, [0.0] * 3)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    asked = df.filter("id % 20 = 0").withColumnRenamed("id", "query_id")
+    ok = [(k, v) for k, v in rows if v and None not in v and v[0] == v[0]]
+
+    def cosine(a, b):
+        norms = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b)) / norms if norms else 0.0
+
+    for least in (None, 0.1):
+        got = {(x["query_id"], x["rank"]): x["id"] for x in retrieval.block_search(df, asked, 5, least).collect()}
+        want = {}
+        for q, v in ok:
+            near = sorted((-round(cosine(w, v), 9), k) for k, w in ok if least is None or cosine(w, v) >= least)[:5]
+            want |= {(q, j + 1): k for j, (_, k) in enumerate(near) if q % 20 == 0}
+        assert got == want
+
+
+def test_every_twentieth_row_is_asked_for_whole_texts(spark, tmp_path):
+    from siftline.plans import retrieval as plans
+
+    rows = [(k, [math.cos(k), math.sin(k)], 3) for k in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(k, "word " * 150 + f"end{k}") for k in range(60)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for query in (plans.similarity_search_every, plans.similarity_search_filtered_every):
+        assert {r["query_id"] for r in query(spark, str(tmp_path)).collect()} == {0, 20, 40}
+    answers = {r["query_id"]: r["context"] for r in plans.retrieval_answers_every(spark, str(tmp_path)).collect()}
+    assert set(answers) == {0, 20, 40} and all(f"end{q}" in text for q, text in answers.items())
