@@ -4,7 +4,8 @@
    keys of its MinHash samples. Texts that share a bucket with another one get an odd sketch: each of up to 4096
    MinHash samples flips one bit of a bitmap, so the bits in which two sketches differ tell how many samples do, most
    precisely where few do.
-2. Texts with equal sets are one class, named by its smallest doc_id; from here on only classes count.
+2. Texts with equal sets are one class; from here on only classes count. They are numbered in the order of their
+   smallest doc_id, then their set's key, so classes whose smallest doc_id is the same stay apart.
 3. Each band bucket has one class as its centre, another one each round; each class is paired with one of its centres,
    in later rounds with some, that aren't in its component yet. Pairs whose sketches can't belong to a similarity of
    0.75 go, the rest is decided on the full sets, and the links give components (star contraction). Buckets that are
@@ -18,8 +19,9 @@ Two texts of similarity 0.75 share no band with probability (1 - 0.75^4)^32 = 5e
 
 Defined results: null and empty texts, and those of white space, have no shingles and are linked with nothing; a row
 without doc_id has no component and is kept; rows that repeat an id and a text are in the same class, each with its
-row; classes with the same smallest doc_id (ids that repeat with other texts) count as one; an empty table gives no
-rows.
+row; an id that repeats with other texts has a class for each of them, and is `kept` where it is the smallest id of that
+text's component; an empty table gives no rows. `keep_one` goes by texts, not ids: of each component one row stays, a
+row of the first text (by text hash) in the component's first class.
 """
 
 import functools
@@ -120,14 +122,14 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate([np.zeros(0, np.int64), *bands])
         yield pa.RecordBatch.from_arrays(
             [
-                b.column("doc_id"), pa.array(size, pa.int64()), pa.array(key, pa.binary()),
+                b.column("doc_id"), b.column("text_hash"), pa.array(size, pa.int64()), pa.array(key, pa.binary()),
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
             ],
-            ["doc_id", "n_shingles", "set_key", "bands"],
+            ["doc_id", "text_hash", "n_shingles", "set_key", "bands"],
         )
 
 
-_SCHEMA = "doc_id long, n_shingles long, set_key binary, bands array<long>"
+_SCHEMA = "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>"
 _SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
 _SET_SCHEMA = "node long, n_shingles long, n_samples int, " + "".join(f"{s} long, " for s in _SKETCH) + "set array<long>"
 
@@ -138,13 +140,17 @@ def _distance(a: str, b: str) -> Column:
     )
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+
+
 def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Odd sketch and full set (sorted hashes) of the classes asked for, from the text of each class's first document."""
+    """Odd sketch and full set (sorted hashes) of the classes asked for, from each class's first text."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             node, filled, sketch, out = [], [], [np.zeros((0, SKETCH_WORDS), np.int64)], []
-            for d, x, want in zip(b.column("doc_id"), b.column("text"), b.column("set_key")):
+            for d, x, want in zip(b.column("node"), b.column("text"), b.column("set_key")):
                 s = shingles(x.as_py())
                 if len(s) and set_key(s) == want.as_py():
                     n, bits = odd_sketch(s)
@@ -160,10 +166,7 @@ def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 ["node", "n_shingles", "n_samples", *_SKETCH, "set"],
             )
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(nodes, F.col("doc_id") == F.col("node")).select("doc_id", "text", "set_key").mapInArrow(
-        sets, _SET_SCHEMA
-    )
+    return _texts(docs).join(nodes, ["doc_id", "text_hash"]).select("node", "text", "set_key").mapInArrow(sets, _SET_SCHEMA)
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -308,42 +311,64 @@ def _closure(members: DataFrame, sketches: DataFrame, sets: DataFrame, percent:
     return found
 
 
-def near_duplicates(docs: DataFrame, percent: int = SIMILAR_PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row of `docs`."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = materialise(texts.mapInArrow(_signatures, _SCHEMA))
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, first) of each row of `docs`; `first` tells whether its text is the
+    one that stands for its component, and is null for rows that have none."""
+    rows = materialise(_texts(docs).mapInArrow(_signatures, _SCHEMA))
     named = rows.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    first = named.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    one = first.select(F.col("set_key").alias("_key"), "node")
-    classes = named.join(one, (F.col("set_key") == F.col("_key")) & (F.col("doc_id") == F.col("node")))
-    classes = materialise(classes.select("node", "set_key", "bands"))
+    low = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("low")).select("set_key", "low.*")
+    # Numbers that follow the order of the ids, so the smallest node of a component has its smallest id.
+    first = materialise(low.orderBy("doc_id", "set_key").withColumn("node", F.monotonically_increasing_id()))
+    classes = materialise(named.join(first, ["set_key", "doc_id", "text_hash"]).select("node", "bands"))
 
     members = classes.select(F.explode("bands").alias("band"), "node").distinct()
     shared = members.groupBy("band").agg(F.count("*").alias("_n")).filter("_n > 1").select("band")
     members = materialise(members.join(shared, "band"))
     paired = members.select("node").distinct()
-    keys = classes.select("node", "set_key").dropDuplicates(["node"]).join(paired, "node")
-    sets = materialise(_full_sets(docs, keys).dropDuplicates(["node"]))
+    sets = materialise(_full_sets(docs, first.join(paired, "node")).dropDuplicates(["node"]))
     sketches = sets.select("node", F.struct("n_shingles", "n_samples", *_SKETCH).alias("sketch"))
     sets = sets.select("node", "set")
     found = _closure(members, sketches, sets, percent)
 
-    of = F.coalesce("component", "node")
-    ends = first.join(found, "node", "left").select(F.col("set_key").alias("_key"), of.alias("component_id"))
+    ids = first.select(F.col("node").alias("component"), F.col("doc_id").alias("component_id"))
+    moved = found.join(ids, "component").select("node", "component_id")
+    ends = first.join(moved, "node", "left").select(
+        F.col("set_key").alias("_key"),
+        F.col("text_hash").alias("_hash"),
+        F.col("doc_id").alias("_low"),
+        "component_id",
+    )
     out = rows.join(ends, (F.col("set_key") == F.col("_key")) & F.col("doc_id").isNotNull(), "left")
-    component = F.coalesce("component_id", "doc_id")
+    stands = F.col("component_id").isNull() & (F.col("doc_id") == F.col("_low")) & (F.col("text_hash") == F.col("_hash"))
     return out.select(
         "doc_id",
+        "text_hash",
         "n_shingles",
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        F.coalesce("component_id", "_low", "doc_id").alias("component_id"),
+        F.when(F.col("_key").isNotNull(), stands).alias("first"),
     )
 
 
+def near_duplicates(docs: DataFrame, percent: int = SIMILAR_PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row of `docs`."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return _grouped(docs, percent).select("doc_id", "n_shingles", "component_id", kept)
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stand for their group, all columns as they are."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    texts = _grouped(docs, SIMILAR_PERCENT).filter(F.col("first").isNotNull())
+    # One line for each text that goes, or that stays but has several rows.
+    odd = texts.groupBy(F.col("doc_id").alias("_odd_id"), F.col("text_hash").alias("_odd_hash"))
+    odd = odd.agg(F.bool_or("first").alias("_odd_first"), F.count("*").alias("_odd_n"))
+    odd = materialise(odd.filter("NOT _odd_first OR _odd_n > 1").drop("_odd_n"))
+    same = (F.col("doc_id").cast("long") == F.col("_odd_id")) & (F.xxhash64("text") == F.col("_odd_hash"))
+    out = docs.join(odd, same, "left_anti")
+    repeated = odd.filter("_odd_first")
+    if not repeated.isEmpty():
+        rows = docs.join(repeated, same).groupBy("_odd_id", "_odd_hash")
+        out = out.unionByName(rows.agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_odd_row")).select("_odd_row.*"))
+    return out
 
 
 def oracle() -> str:

@@ -98,6 +98,24 @@ def test_one_of_each_group_stays(clashing):
     assert {r["doc_id"] for r in kept.collect()} == want
 
 
+def test_texts_under_one_id_are_told_apart(spark):
+    """Copies under smaller ids take only their own text along, and the links of each text of an id are tested."""
+    a, b, c, near_c = prose(21, 80), prose(22, 80), prose(23, 80), prose(23, 80) + " end"
+    rows = [(2, b), (9, a), (9, b), (9, c), (12, near_c), (9, a)] + [(9, prose(200 + k, 60)) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near(df) == brute_components(rows)
+    want = Counter([(2, b), (9, a), (9, c)] + rows[6:])
+    assert Counter(tuple(r) for r in neardup.keep_one(df).collect()) == want
+
+
+def test_links_of_texts_under_one_id(spark):
+    """Each of 20 texts that share their smallest id has a near copy of its own."""
+    rows = [(1, prose(300 + k, 80)) for k in range(20)] + [(10 + k, prose(300 + k, 80) + " end") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near(df) == brute_components(rows)
+    assert Counter(tuple(r) for r in neardup.keep_one(df).collect()) == Counter(rows[:20])
+
+
 def brute_removed(rows):
     """(doc_id, words, removed, hash) window by window; equal rows are one document."""
     docs = sorted({(d is not None, d or 0, t or "") for d, t in rows}, key=lambda x: (x[0], x[1], __import__("zlib").crc32(x[2].encode())))
