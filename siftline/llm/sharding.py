@@ -31,8 +31,8 @@ def _prefix(h: Column, depth: Column) -> Column:
     return F.floor(h / F.pow(F.lit(2.0), BITS - depth)).cast("long")
 
 
-def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, n_bytes, shard_id, depth, chain, shard_bytes) of each row of `docs`.
+def shards(docs: DataFrame, limit: int = LIMIT, *carry: str) -> DataFrame:
+    """(doc_id, carry..., n_bytes, shard_id, depth, chain, shard_bytes) of each row of `docs`.
 
     shard_id: the prefix with a 1 before it, so prefixes of all depths differ; with `chain` it names a shard. The
     directory is a table that grows with the number of shards; documents meet it by an equal-key join on its prefix.
@@ -40,6 +40,7 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     keys = materialise(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
+            *carry,
             F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
             _hash(docs).alias("h"),
         )
@@ -66,12 +67,12 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         depth = last + 1
 
     shard_id = F.expr("shiftleft(1L, cast(depth AS int)) + p").alias("shard_id")
-    found = found.select("doc_id", "n_bytes", "h", shard_id, "depth", "bytes")
+    found = found.select("doc_id", *carry, "n_bytes", "h", shard_id, "depth", "bytes")
     # More than a shard's bytes under one hash: rows alike, dealt in chains of as many as fit.
     fits = F.greatest(F.floor(F.lit(limit) / F.greatest("n_bytes", F.lit(1))), F.lit(1))
     chained = found.filter((F.col("bytes") > limit) & (F.col("bytes") > F.col("n_bytes")))
     single = found.filter(~((F.col("bytes") > limit) & (F.col("bytes") > F.col("n_bytes"))))
-    out = single.select("doc_id", "n_bytes", "shard_id", "depth", F.lit(0).cast("long").alias("chain"), F.col("bytes").alias("shard_bytes"))
+    out = single.select("doc_id", *carry, "n_bytes", "shard_id", "depth", F.lit(0).cast("long").alias("chain"), F.col("bytes").alias("shard_bytes"))
     if not chained.limit(1).isEmpty():
         rows = materialise(chained.withColumn("_row", F.monotonically_increasing_id()))
         rows = running_offsets(rows, ["h"], F.lit(1), [F.col("_row")], salts_for(n), "_k")
@@ -79,16 +80,16 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         count = F.floor(F.col("bytes") / F.greatest("n_bytes", F.lit(1)))
         held = F.least(fits, count - chain * fits) * F.col("n_bytes")
         out = out.unionByName(
-            rows.select("doc_id", "n_bytes", "shard_id", "depth", chain.alias("chain"), held.cast("long").alias("shard_bytes"))
+            rows.select("doc_id", *carry, "n_bytes", "shard_id", "depth", chain.alias("chain"), held.cast("long").alias("shard_bytes"))
         )
     return out.withColumn("depth", F.col("depth").cast("int"))
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """Write the rows of `docs` below `path`, a folder for each shard. Rows that repeat an id follow its first shard."""
-    at = shards(docs, limit).groupBy("doc_id").agg(F.min(F.struct("shard_id", "chain")).alias("_at"))
-    at = at.select(F.col("doc_id").alias("_id"), "_at.*")
-    whole = docs.join(at, F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))).drop("_id")
+    """Write the rows of `docs` below `path`, a folder for each shard; each row goes to the shard that `shards` gives it."""
+    rows = materialise(docs.withColumn("_shard_row", F.monotonically_increasing_id()))
+    at = shards(rows, limit, "_shard_row").select("_shard_row", "shard_id", "chain")
+    whole = rows.join(at, "_shard_row").drop("_shard_row")
     whole.repartition("shard_id", "chain").write.partitionBy("shard_id", "chain").parquet(path)
 
 

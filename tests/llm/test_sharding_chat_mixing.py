@@ -49,6 +49,18 @@ def test_written_shards_hold_the_table(clashing, tmp_path):
     assert clashing.sparkSession.read.parquet(str(tmp_path / "out")).count() == clashing.count()
 
 
+def test_written_shards_are_those_computed(spark, tmp_path):
+    rows = [(None, prose(k, 20)) for k in range(150)] + [(7, prose(1000 + k, 20)) for k in range(150)] + [(8, "x" * 100)] * 95
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sharding.write_shards(docs, str(tmp_path / "out"), 2_000)
+    written = spark.read.parquet(str(tmp_path / "out"))
+    held = written.groupBy("shard_id", "chain").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()
+    assert all(r["b"] <= 2_000 for r in held)
+    want = sharding.shards(docs, 2_000).groupBy("shard_id", "chain").count().collect()
+    assert Counter((r["shard_id"], r["chain"], r["n"]) for r in held) == Counter(tuple(r) for r in want)
+    assert Counter(map(tuple, written.select("doc_id", "text").collect())) == Counter(rows)
+
+
 TURNS = "conv_id long, turn long, role string, text string"
 
 
