@@ -6,8 +6,8 @@ share of bad labels then becomes the threshold: it is mapped to 0.3, the spread
 document is predicted good where its mapped score is 0.3 at least.
 
 Features come from the text alone: frequencies of its bytes, and rates of words and lines. Fitted on a bounded sample
-of labelled rows (`PER_LABEL` of each label, the first by a hash of doc_id); scores, labels' shares and the threshold's
-weights cover all rows.
+of labelled rows (`PER_LABEL` of each label, the first by a hash of doc_id); scores cover all rows, the threshold and
+the spread all labelled rows that aren't held out, by exact places in the order of their scores.
 
 Defined results: null and empty texts score like a text without words; rows with null ids are scored and never learnt
 from; labels that disagree count by the smallest, null labels for nothing; repeated rows are scored each; with no pair
@@ -21,11 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from siftline.llm.common import materialise
+
 #: Labelled rows of either label that the model is fitted on, at most, and pairs drawn from them.
 PER_LABEL = 4_000
 PAIRS = 40_000
 THRESHOLD = 0.3
 FOLDS = 5
+#: Ranges that one pass over the scores counts, and scores that the driver sorts at most.
+BINS, FEW = 1_024, 20_000
 SEED = 3
 _RATES = 9
 
@@ -67,15 +71,32 @@ def fit(good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS, steps: int = 300,
     return w
 
 
-def threshold(good: np.ndarray, bad: np.ndarray, n_good: int, n_bad: int) -> tuple[float, float]:
-    """The quantile of all scores at the share of bad labels, and half the spread between the labels' medians."""
-    scores = np.concatenate([good, bad])
-    weight = np.concatenate([np.full(len(good), n_good / len(good)), np.full(len(bad), n_bad / len(bad))])
-    order = np.argsort(scores, kind="stable")
-    scores, below = scores[order], np.cumsum(weight[order])
-    at = min(int(np.searchsorted(below, n_bad)), len(scores) - 2)
-    cut = float((scores[at] + scores[at + 1]) / 2)
-    return cut, max(1e-6, float(np.median(good) - np.median(bad)) / 2)
+def at_place(scores: DataFrame, k: int) -> float:
+    """The value at place `k` (from 0) of the ascending column `s`, exactly: each pass keeps the range that holds it."""
+    while True:
+        n, lo, hi = scores.agg(F.count("s"), F.min("s"), F.max("s")).first()
+        if lo == hi:
+            return lo
+        if n <= FEW:
+            return sorted(r["s"] for r in scores.collect())[k]
+        at = F.least(F.floor((F.col("s") - lo) / (hi - lo) * BINS), F.lit(BINS - 1))
+        for r in scores.groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi")).orderBy("at").collect():
+            if k < r["n"]:
+                scores = scores.filter(F.col("s").between(r["lo"], r["hi"]))
+                break
+            k -= r["n"]
+
+
+def threshold(scores: DataFrame) -> tuple[float, float]:
+    """From (q, s) of all labelled rows: the quantile of their scores at the share of bad labels, and half the spread
+    between the labels' medians."""
+    n = {r["q"]: r["n"] for r in scores.groupBy("q").agg(F.count("*").alias("n")).collect()}
+    at = min(max(n[0] - 1, 0), n[0] + n[1] - 2)
+    cut = (at_place(scores, at) + at_place(scores, at + 1)) / 2
+    bad, good = (
+        sum(at_place(scores.filter(F.col("q") == q), k) for k in ((n[q] - 1) // 2, n[q] // 2)) / 2 for q in (0, 1)
+    )
+    return cut, max(1e-6, (good - bad) / 2)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -84,7 +105,6 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "text")
     label = labels.filter("quality IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_q"))
     label = label.filter(F.crc32(F.col("_id").cast("string").cast("binary")) % FOLDS != 0)
-    totals = {r["_q"]: r["n"] for r in label.groupBy("_q").agg(F.count("*").alias("n")).collect()}
     first = [label.filter(F.col("_q") == q).orderBy(F.xxhash64("_id"), "_id").limit(PER_LABEL) for q in (0, 1)]
     chosen = F.broadcast(first[0].union(first[1]))  # 2 * PER_LABEL rows at most
 
@@ -97,24 +117,20 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     learnt = learnt.mapInArrow(featured, "q int, x binary").toArrow()
     x = np.array([np.frombuffer(v, np.float32) for v in learnt.column("x").to_pylist()], np.float64)
     q = np.array(learnt.column("q").to_pylist())
-    model = None
-    if (q == 0).any() and (q == 1).any():
-        good, bad = x[q == 1], x[q == 0]
-        w = fit(good, bad)
-        cut, spread = threshold(good @ w, bad @ w, totals[1], totals[0])
-        model = (w, cut, spread)
+    if not ((q == 0).any() and (q == 1).any()):
+        done = rows.select("doc_id", "held_out", F.lit(0.5).alias("score"))
+        return done.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    w = fit(x[q == 1], x[q == 0])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [0.5] * b.num_rows
-            if model:
-                w, cut, spread = model
-                raw = np.array([features(t.as_py()) @ w for t in b.column("text")])
-                z = 4 * (raw - cut) / spread + np.log(THRESHOLD / (1 - THRESHOLD))
-                out = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), pa.array(out, pa.float64())], ["doc_id", "held_out", "score"]
-            )
-
-    done = rows.mapInArrow(scored, "doc_id long, held_out boolean, score double")
+            raw = np.array([features(t.as_py()) @ w for t in b.column("text")], np.float64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(raw)], ["doc_id", "held_out", "raw"])
+
+    done = materialise(rows.mapInArrow(scored, "doc_id long, held_out boolean, raw double"))
+    labelled = done.join(label.filter("_q IN (0, 1)"), F.col("doc_id") == F.col("_id"))
+    cut, spread = threshold(materialise(labelled.select(F.col("_q").alias("q"), F.col("raw").alias("s"))))
+    z = 4 * (F.col("raw") - cut) / spread + float(np.log(THRESHOLD / (1 - THRESHOLD)))
+    squashed = 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), z))))
+    done = done.select("doc_id", "held_out", squashed.alias("score"))
     return done.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -91,6 +91,24 @@ def test_held_out_labels_are_not_learnt_from(corpus):
     assert a == pytest.approx(b)
 
 
+def test_threshold_covers_all_labels(spark, corpus, monkeypatch):
+    """Fitted on ten rows of each label, the cut still parts all labelled rows at the share of bad ones."""
+    docs, labels = corpus
+    monkeypatch.setattr(quality, "PER_LABEL", 10)
+    noisy = labels.withColumn("quality", F.when(F.col("doc_id") % 3 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    known = {r["doc_id"]: r["quality"] for r in noisy.collect()}
+    rows = [r for r in quality.score(docs, noisy).collect() if r["doc_id"] in known and not r["held_out"]]
+    n_bad = sum(known[r["doc_id"]] == 0 for r in rows)
+    assert n_bad > 10 and sum(r["predicted"] == 0 for r in rows) == n_bad
+
+
+def test_places_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FEW", 5)
+    values = sorted([1.0] * 40 + [k / 7 for k in range(-50, 50)] + [1e9, 1.0 + 2**-52])
+    scores = spark.createDataFrame([(v,) for v in values], "s double")
+    assert [quality.at_place(scores, k) for k in (0, 70, 100, len(values) - 2, len(values) - 1)] == [values[k] for k in (0, 70, 100, len(values) - 2, len(values) - 1)]
+
+
 def test_scores_of_odd_documents(clashing, labels, no_labels, no_docs):
     rows = quality.score(clashing, labels).collect()
     assert len(rows) == clashing.count() and all(0 <= r["score"] <= 1 for r in rows)
