@@ -11,7 +11,7 @@ The sample of `SAMPLE` rows bounds what the driver learns from; everything else
 force is measured in the tests (0.9 at least).
 
 Defined results: vectors that are null, empty, zero, of another length than most, or hold null or non-finite
-components take no part; ties go to the smaller vec_id; repeated rows are candidates each; rows without vec_id take no
+components take no part; ties go to the smaller vec_id; repeated rows are candidates each, and ask once; an id with several vectors asks with each, and has ranks from 1 for each; rows without vec_id take no
 part; with fewer candidates than asked for, all that were found are returned; an empty table gives no rows.
 """
 
@@ -184,27 +184,29 @@ def nearest(
     blocks = F.create_map(*[F.lit(y) for p, n in counts.items() for y in (p, -(-n // block))])
     cand = routed.select(part, "vec_id", "v", F.lit(False).alias("asks"))
     cand = cand.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.element_at(blocks, F.col("part"))).cast("int"))
-    asks = routed.filter(F.col("vec_id") % every == 0).select(F.explode("to").alias("part"), "vec_id", "v", F.lit(True).alias("asks"))
+    asks = routed.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
+    asks = asks.select(F.explode("to").alias("part"), "vec_id", "v", F.lit(True).alias("asks"))
     asks = asks.filter(F.map_contains_key(blocks, F.col("part")))
     asks = asks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("part")).cast("int") - 1)))
+    both = cand.unionByName(asks).withColumn("ask", F.when(F.col("asks"), F.xxhash64("v")).otherwise(0))
 
     def rank(block: pa.Table) -> pa.Table:
         asking = block.filter(block.column("asks"))
         held = block.filter(pc.invert(block.column("asks")))
-        out = [[], [], []]
+        out = [[], [], [], []]
         if held.num_rows and asking.num_rows:
             ids, c = held.column("vec_id").to_numpy(), _matrix(held.column("v").combine_chunks(), dim)
-            q_ids, q = asking.column("vec_id").to_numpy(), _matrix(asking.column("v").combine_chunks(), dim)
+            q_ids, keys, q = asking.column("vec_id").to_numpy(), asking.column("ask").to_numpy(), _matrix(asking.column("v").combine_chunks(), dim)
             for lo in range(0, len(q), _PAGE):
                 near = q[lo : lo + _PAGE] @ c.T
                 for k, line in enumerate(near):
                     found, score = best(q_ids[lo + k], q[lo + k], line, ids, c, top)
                     out[0].append(np.full(len(found), q_ids[lo + k])), out[1].append(found), out[2].append(score)
-        flat = [np.concatenate([np.zeros(0, t), *o]) for o, t in zip(out, (np.int64, np.int64, np.float64))]
-        return pa.table({"query_id": flat[0], "vec_id": flat[1], "score": flat[2]})
+                    out[3].append(np.full(len(found), keys[lo + k]))
+        flat = [np.concatenate([np.zeros(0, t), *o]) for o, t in zip(out, (np.int64, np.int64, np.float64, np.int64))]
+        return pa.table({"query_id": flat[0], "vec_id": flat[1], "score": flat[2], "ask": flat[3]})
 
-    both = cand.unionByName(asks).groupBy("part", "salt")
-    found = both.applyInArrow(rank, "query_id long, vec_id long, score double")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = both.groupBy("part", "salt").applyInArrow(rank, "query_id long, vec_id long, score double, ask long")
+    order = W.partitionBy("query_id", "ask").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -33,6 +33,19 @@ def test_odd_vectors_ties_and_copies(spark):
     assert found(rows[:5] + [(20, rows[7][1], 0)], spark) == brute(rows[:5] + [(20, rows[7][1], 0)])
 
 
+def test_repeated_queries_keep_their_neighbours(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=8).astype(np.float32).tolist(), 0) for k in range(1, 60)]
+    once = rows + [(60, [1.0] * 8, 0), (80, [1.0, -1.0] * 4, 0)]
+    many = once + [(60, [1.0] * 8, 0)] * 2
+    near = [x for x in brute(once)[60] if x[0] != 60]
+    assert found(many, spark)[60] == near and len(near) == 20
+    other = [-1.0] * 7 + [2.0]
+    got = ann.nearest(spark.createDataFrame(many + [(60, other, 0)], SCHEMA)).filter("query_id = 60").collect()
+    want = [(k + 1, i, s) for x in ([1.0] * 8, other) for k, (i, s) in enumerate(brute(once[:-2] + [once[-1], (60, x, 0)])[60])]
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
+
+
 def test_recall_and_blocks(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(20, 8))
