@@ -98,6 +98,31 @@ def test_pipeline_on_an_empty_table(spark, no_docs, labels, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
+def test_pipeline_writes_each_stage_and_equals_brute_force(spark, no_labels, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from tests.llm.conftest import prose
+    from tests.llm.test_dedup import brute_components, brute_removed, passages
+    from tests.llm.test_rules_and_quality import brute_counts
+
+    rows = passages(7) + [(100 + k, prose(400 + k, 80)) for k in range(8)] + [(200 + k, prose(400 + k, 80) + " end") for k in range(8)] + [(300, "a " * 90), (100, prose(408, 70))]
+    docs = spark.createDataFrame([(d, t, "en", f"s{d % 2}", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    no_labels.write.parquet(str(tmp_path / "labels.parquet"))
+    good = [(d, t) for d, t in rows for n, _, _, _, repeats in [brute_counts(t)] if n >= 50 and 2 * repeats <= n]
+    one = [(d, t) for d, t in good if brute_components([x for x in good if x[0] != d] + [(d, t)])[(d, len(set(zip(*[t.split()[k:] for k in range(5)]))), d, True)]]
+    want = sorted((d, t if cut is None else cut) for (d, t), (*_, cut) in zip(one, brute_removed(one)))
+    seen, stages = [], corpus_pipeline.STAGES
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages[:3] + [("look", lambda spark, df, sf_dir: seen.append(df) or df)])
+    assert sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+    assert len(want) < len(good) < len(rows)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" not in plan
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, f) for n, f in stages[:4]])
+    mixed = {r["doc_id"]: r["text"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert mixed and set(mixed) <= {d for d, _ in want}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     import duckdb
