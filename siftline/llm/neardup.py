@@ -11,9 +11,10 @@
    0.75 go, the rest is decided on the full sets, and the links give components (star contraction). Buckets that are
    one component leave. Rounds go on while the pairs of a bucket in different components are many for each class, and
    while they find links.
-4. What is then left, every pair of a bucket in different components that wasn't tested, is compared by sketch and
-   decided on the full sets as well. So a large group costs a few pairs for each member, and no candidate of any bucket
-   that could join two components goes untested.
+4. The nodes of buckets that are still open are indexed by their rarest shingles, as few as prove that a pair of
+   different components that shares none of them isn't similar enough. Pairs that do share one are compared by sketch
+   and decided on the full sets. So a large group costs a few pairs for each member, a passage that many texts share
+   pairs none of them, and no candidate of any bucket that could join two components goes untested.
 
 Two texts of similarity 0.75 share no band with probability (1 - 0.75^4)^32 = 5e-6, and less above.
 
@@ -25,6 +26,7 @@ row of the first text (by text hash) in the component's first class.
 """
 
 import functools
+import math
 import operator
 from collections.abc import Iterator
 
@@ -49,6 +51,8 @@ CENTRES_PER_NODE = 4
 PAIRS_PER_NODE = 2
 #: Rounds also end once one leaves more than this share of the pairs that were left before it.
 WORTH = 0.8
+#: Sizes within this ratio are one class in the index by rare elements.
+SIZE_STEP = 1.1
 #: Pairs whose ids may be broadcast: at most 16 MB.
 BROADCAST_PAIRS = 500_000
 
@@ -251,6 +255,46 @@ def _merged(found: DataFrame, new: DataFrame) -> DataFrame:
     return materialise(kept.union(moved))  # what moved was a component's smallest node or had no links so far
 
 
+def _rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every pair of `nodes` (node, of) of different components whose sets may be similar enough.
+
+    Sets of n and m elements that similar share at least o(n, m) = p (n + m) / (100 + p) of them. With the elements of
+    each set ordered from the rarest to the most frequent, ties by hash, the first one that both hold is at a place
+    where either set has that many left. So a set is indexed by the few elements before that place only: fewest for the
+    smaller of two sets, and for the larger one by class of the smaller one's size. Elements that all sets of a group
+    share come last in their order and index none of them, unless the sets are that similar.
+    """
+
+    def needed(n: Column, m: Column) -> Column:
+        return F.ceil((n + m) * percent / F.lit(float(100 + percent)) - 1e-9)
+
+    def size_class(n: Column) -> Column:
+        return F.floor(F.log(n) / math.log(SIZE_STEP))
+
+    rows = sets.join(nodes, "node").select("node", "of", F.size("set").alias("n"), F.explode("set").alias("h"))
+    often = rows.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
+    lists = rows.join(often, "h").groupBy("node", "of", "n").agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("x"))
+    # Elements of no other set come before all others; they have a place, but index nothing.
+    alone = F.col("n") - F.size("x")
+    lists = materialise(lists.withColumn("alone", alone).withColumn("class", size_class(F.col("n"))))
+
+    def indexed(df: DataFrame, least: Column) -> DataFrame:
+        some = F.greatest(F.col("n") - needed(F.col("n"), least) + 1 - F.col("alone"), F.lit(0)).cast("int")
+        return df.select("node", "of", "n", "class", "alone", F.posexplode(F.slice("x", F.lit(1), some)).alias("i", "e")).select(
+            "node", "of", "n", "class", F.col("e.h").alias("h"), (F.col("n") - F.col("alone") - F.col("i")).alias("rest")
+        )
+
+    low = F.ceil(F.col("n") * percent / 100.0 - 1e-9)
+    smaller = indexed(lists, F.col("n")).alias("x")
+    larger = lists.withColumn("class", F.explode(F.sequence(size_class(low), F.col("class"))))
+    larger = indexed(larger, F.greatest(low, F.floor(F.pow(F.lit(SIZE_STEP), "class")) - 1)).alias("y")
+    same = (F.col("x.h") == F.col("y.h")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.of") != F.col("y.of"))
+    order = (F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node"))
+    enough = F.least("x.rest", "y.rest") >= needed(F.col("x.n"), F.col("y.n"))
+    pairs = smaller.join(larger, same & order & enough)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def _closure(members: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the nodes that have links, from the nodes of each bucket."""
     spark = members.sparkSession
@@ -279,16 +323,7 @@ def _closure(members: DataFrame, sketches: DataFrame, sets: DataFrame, percent:
         # Buckets whose nodes are all in one component have no say any more.
         open_ = materialise(now.join(centres, "band").select("band", "node", "of", "centre", "of_c"))
         if last:
-            of_node = open_.groupBy("node").agg(F.collect_list("band").alias("bands")).join(sketches, "node")
-            y = open_.join(of_node, "node").select("band", "of", "of_c", F.struct("node", "of", "bands", "sketch").alias("b"))
-            x = y.filter("of <> of_c").select("band", F.col("b").alias("a"))
-            # Sketches come first; of the buckets that two nodes share only one reports them.
-            once = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("x.band")
-            near = F.col("a.of") != F.col("b.of")
-            near &= _close("a.sketch", "b.sketch", percent)
-            pairs = x.alias("x").join(y.drop("of", "of_c").alias("y"), (F.col("x.band") == F.col("y.band")) & near & once)
-            pairs = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = _rare_pairs(open_.select("node", "of").distinct(), sets, percent)
         else:
             to = F.array_sort(F.collect_set(F.struct(F.xxhash64("centre", F.lit(turn)).alias("h"), "centre")))
             some = open_.filter("of <> of_c").groupBy("node").agg(to.alias("to"))
@@ -296,8 +331,7 @@ def _closure(members: DataFrame, sketches: DataFrame, sets: DataFrame, percent:
             pairs = some.select(F.least("b", "c.centre").alias("a"), F.greatest("b", "c.centre").alias("b")).distinct()
         if turn:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        if not last:
-            pairs = pairs.join(b, "b").join(a, "a").filter(_close("sketch_a", "sketch_b", percent)).select("a", "b")
+        pairs = pairs.join(b, "b").join(a, "a").filter(_close("sketch_a", "sketch_b", percent)).select("a", "b")
         pairs, tries = _written(pairs)
         new, got = _written(_links(pairs, _of_pairs(sets, pairs, tries.get("n", 0)), percent))
         if got.get("n"):
