@@ -4,9 +4,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.plans import changes, extraction, listings, operations, pricing, provenance, retrieval, structured
+from siftline.plans import (
+    admission, changes, events, exports, extraction, listings, marketplace, operations, policies, pricing, provenance, relational, requests,
+    retrieval, structured,
+)
 
-_PLANS = (extraction, provenance, retrieval, pricing, operations, changes, listings, structured)
+_PLANS = (
+    extraction, events, provenance, retrieval, pricing, operations, admission, changes, listings, marketplace, structured, policies, requests,
+    relational, exports,
+)
 
 FLAGSHIP = "select_best_extraction"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: q for p in _PLANS for n, q in p.QUERIES.items()}

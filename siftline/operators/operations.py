@@ -1,8 +1,9 @@
 """Quotas, job queues, telemetry, health, metrics and failure runs over event tables."""
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from siftline.operators.admission import circuit_breaker, token_bucket  # noqa: F401
+
 #: Upper bounds of the latency histogram.
 BUCKETS = (25, 50, 100, 150, 200, 300, 500)
 
@@ -76,45 +77,3 @@ def failure_runs(events: DataFrame, key: str, ts: str, order: str, failed: Colum
     island = F.row_number().over(by) - F.sum(F.col("_f").cast("int")).over(by)
     runs = rows.withColumn("_run", island).filter("_f").groupBy(key, "_run")
     return runs.agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count("*").alias("length")).drop("_run")
-
-
-def token_bucket(events: DataFrame, key: str, ts: str, order: str, capacity: float, per_second: float) -> DataFrame:
-    """(key, order, allowed, remaining): a bucket of tokens for each key that refills with time.
-
-    Whether a call is let through depends on all before it, so each key is a sequential fold; keys are independent.
-    """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([ts, order])
-        tokens, last, out = capacity, None, []
-        for at in rows[ts].map(lambda x: x.timestamp()):
-            tokens = capacity if last is None else min(capacity, tokens + (at - last) * per_second)
-            last, ok = at, tokens >= 1
-            tokens -= ok
-            out.append((ok, int(tokens)))
-        return pd.DataFrame({key: rows[key].to_numpy(), order: rows[order].to_numpy(), "allowed": [a for a, _ in out], "remaining": [b for _, b in out]})
-
-    return events.select(key, ts, order).groupBy(key).applyInPandas(fold, f"{key} long, {order} long, allowed boolean, remaining long")
-
-
-def circuit_breaker(events: DataFrame, key: str, ts: str, order: str, failed: Column, limit: int, timeout: float) -> DataFrame:
-    """(key, order, state, rejected): closed, open after `limit` failures in a row, half open after `timeout` seconds."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([ts, order])
-        state, run, opened, out = "closed", 0, 0.0, []
-        for at, bad in zip(rows[ts].map(lambda x: x.timestamp()), rows["_failed"]):
-            if state == "open" and at - opened >= timeout:
-                state = "half_open"
-            rejected = state == "open"
-            if not rejected:
-                run = run + 1 if bad else 0
-                if bad and (state == "half_open" or run >= limit):
-                    state, opened = "open", at
-                elif not bad:
-                    state = "closed"
-            out.append((state, rejected))
-        return pd.DataFrame({key: rows[key].to_numpy(), order: rows[order].to_numpy(), "state": [a for a, _ in out], "rejected": [b for _, b in out]})
-
-    rows = events.select(key, ts, order, failed.alias("_failed"))
-    return rows.groupBy(key).applyInPandas(fold, f"{key} long, {order} long, state string, rejected boolean")

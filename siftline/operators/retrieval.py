@@ -142,6 +142,35 @@ def threats(rows: DataFrame, text: str, *keep: str) -> DataFrame:
     )
 
 
+def sanitise(text: Column) -> Column:
+    """The text with what `threats` finds made harmless: severities of 0.7 and above become [REMOVED], those of 0.5 and
+    above stand in backticks. Patterns go in order; each match in the text as it came replaces its first occurrence in
+    the text as it is by then."""
+
+    def replaced(severity: float):
+        def step(acc: Column, m: Column) -> Column:
+            at = F.instr(acc, m)
+            by = F.lit("[REMOVED]") if severity >= 0.7 else F.concat(F.lit("`"), m, F.lit("`"))
+            cut = F.concat(F.substring(acc, F.lit(1), at - 1), by, F.substring(acc, at + F.length(m), F.length(acc)))
+            return F.when(at > 0, cut).otherwise(acc)
+
+        return step
+
+    out = text
+    for _, severity, pattern in THREATS:
+        if severity >= 0.5:
+            out = F.aggregate(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), out, replaced(severity))
+    return out
+
+
+def safety_summary(found: DataFrame) -> dict[str, Column]:
+    """The confidence that a text is safe, and a line that says so or what was found (rows of `threats`)."""
+    sure = 1 - F.col("max_severity")
+    safe = F.concat(F.lit("Content appears safe ("), F.floor(sure * 100 + 0.5).cast("string"), F.lit("% confidence)"))
+    bad = F.concat(F.col("n_threats").cast("string"), F.lit(" threat(s) detected: "), F.col("threat_types"), F.lit(" (Risk: "), F.col("risk_level"), F.lit(")"))
+    return {"confidence": sure, "summary": F.when(F.col("safe"), safe).otherwise(bad)}
+
+
 def session_memory(turns: DataFrame) -> DataFrame:
     """(conv_id, n_entries, transcript): the entries of each session in order."""
     entries = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))

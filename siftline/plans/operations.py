@@ -81,20 +81,11 @@ def event_properties(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy((k % 10).alias("k")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("avg_value"))
 
 
-def token_bucket(spark, sf_dir):
-    return ops.token_bucket(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3.0, 1 / 86400)
-
-
-def circuit_breaker(spark, sf_dir):
-    return ops.circuit_breaker(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", F.col("event_type") == "error", 2, 86400.0)
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         monthly_quota, recent_calls, job_queue, job_eviction, job_listing, telemetry_rollup, health_report, event_counts,
-        latency_histogram, failure_runs, usage_by_period, user_sessions, event_windows, event_properties, token_bucket,
-        circuit_breaker,
+        latency_histogram, failure_runs, usage_by_period, user_sessions, event_windows, event_properties,
     )
 }
 

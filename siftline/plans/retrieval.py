@@ -72,6 +72,17 @@ def prompt_safety_pages(spark, sf_dir):
     return retrieval.threats(table(spark, sf_dir, "pages"), "html", "page_id")
 
 
+def sanitised_turns(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
+    return rows.select("conv_id", "turn", retrieval.sanitise(F.col("text")).alias("sanitised"))
+
+
+def safety_summaries(spark, sf_dir):
+    found = retrieval.threats(table(spark, sf_dir, "conversations"), "text", "conv_id", "turn")
+    out = retrieval.safety_summary(found)
+    return found.select("conv_id", "turn", F.round(out["confidence"], 6).alias("confidence"), out["summary"].alias("summary"))
+
+
 def session_memory(spark, sf_dir):
     return retrieval.session_memory(table(spark, sf_dir, "conversations"))
 
@@ -107,7 +118,7 @@ QUERIES = {
     for f in (
         summaries, hash_embeddings, hash_embedding_norms, similarity_search, similarity_search_filtered, retrieval_answers, prompt_safety_turns,
         prompt_safety_pages, session_memory, information_kept, text_similarity, similarity_search_every, similarity_search_filtered_every,
-        retrieval_answers_every,
+        retrieval_answers_every, sanitised_turns, safety_summaries,
     )
 }
 
@@ -141,6 +152,18 @@ SELECT {keep}, n_threats, coalesce(threat_types, '') AS threat_types, max_severi
 FROM y LEFT JOIN n USING ({keep})"""
 
 
+def _sanitise_sql() -> str:
+    sql = "SELECT conv_id, turn, text, text AS s FROM conversations WHERE text IS NOT NULL"
+    for _, severity, p in THREATS:
+        if severity >= 0.5:
+            flags = ", 'i'" if p.startswith("(?i)") else ""
+            p = p.removeprefix("(?i)").replace("'", "''")
+            by = "'[REMOVED]'" if severity >= 0.7 else "'`' || m || '`'"
+            step = f"CASE WHEN instr(a, m) > 0 THEN left(a, instr(a, m) - 1) || {by} || substr(a, instr(a, m) + length(m)) ELSE a END"
+            sql = f"SELECT conv_id, turn, text, list_reduce(list_prepend(s, regexp_extract_all(text, '{p}', 0{flags})), lambda a, m: {step}) AS s FROM ({sql})"
+    return f"SELECT conv_id, turn, s AS sanitised FROM ({sql})"
+
+
 from siftline.plans.extraction import STRIP_SQL  # noqa: E402
 
 _EVERY = "q.vec_id % 20 = 0"
@@ -165,6 +188,10 @@ SELECT query_id, count(*) AS n_sources, string_agg('Source ' || rank || ': ' ||
   string_agg(id || '|' || left(text, 200), chr(10) ORDER BY rank) AS citations FROM r GROUP BY 1""",
     "prompt_safety_turns": _threat_sql("conversations", "text", "conv_id, turn"),
     "prompt_safety_pages": _threat_sql("pages", "html", "page_id"),
+    "sanitised_turns": _sanitise_sql(),
+    "safety_summaries": f"""WITH t AS ({_threat_sql("conversations", "text", "conv_id, turn")})
+SELECT conv_id, turn, round(1 - max_severity, 6) AS confidence, CASE WHEN safe THEN 'Content appears safe (' || floor((1 - max_severity) * 100 + 0.5)::BIGINT || '% confidence)'
+  ELSE n_threats || ' threat(s) detected: ' || threat_types || ' (Risk: ' || risk_level || ')' END AS summary FROM t""",
     "session_memory": "SELECT conv_id, count(*) AS n_entries, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY 1",
     "information_kept": rf"""WITH x AS (
   SELECT page_id, list_distinct(regexp_extract_all(lower({STRIP_SQL}), '\b[a-z]{{4,}}\b')) AS a,

@@ -84,6 +84,38 @@ def sitemap_urls(rows: DataFrame, xml: str) -> DataFrame:
     return rows.select(F.explode(found).alias("url"))
 
 
+def sitemap(files: DataFrame, at: str, xml: str, start: str) -> DataFrame:
+    """(url): pages of the files whose address ends in `start`, and of the maps those name if they are an index (one
+    level, as an index doesn't name others)."""
+    named = F.regexp_extract_all(xml, F.lit(r"(?is)<sitemap>\s*<loc>\s*(.*?)\s*</loc>"), F.lit(1))
+    first = files.filter(F.col(at).endswith(start))
+    listed = first.select(F.explode(named).alias("_at")).distinct()
+    further = files.join(listed, F.col(at) == F.col("_at"), "left_semi")
+    return sitemap_urls(first, xml).union(sitemap_urls(further, xml))
+
+
+def crawl_delays(rows: DataFrame, origin: str, text: str, agent: str) -> DataFrame:
+    """(origin, delay): seconds between requests that a robots file asks of an agent, or else of all; null if none."""
+    lines = rows.select(origin, F.posexplode(F.split(text, r"\r?\n")).alias("line_no", "_l"))
+    key, value = F.lower(F.trim(F.split_part("_l", F.lit(":"), F.lit(1)))), F.trim(F.regexp_replace("_l", "^[^:]*:|#.*$", ""))
+    lines = lines.withColumns({"_k": key, "_v": value})
+    by = W.partitionBy(origin).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    lines = lines.withColumn("_a", F.last(F.when(F.col("_k") == "user-agent", F.lower("_v")), ignorenulls=True).over(by))
+    delay = F.when(F.col("_k") == "crawl-delay", F.col("_v").try_cast("double"))
+    mine, every = (F.max(F.when(F.col("_a") == a, delay)) for a in (agent.lower(), "*"))
+    return lines.groupBy(origin).agg(F.coalesce(mine, every).alias("delay"))
+
+
+def merge_fetches(new: DataFrame, cached: DataFrame) -> DataFrame:
+    """`new` (url, status, body, ...) with the bodies of `cached` (url, body) where a page hasn't changed (304), and
+    `from_cache`. `cached` has a URL once."""
+    held = cached.select(F.col("url").alias("_url"), F.col("body").alias("_body"))
+    rows = new.join(held, F.col("url") == F.col("_url"), "left")
+    same = (F.col("status") == 304) & F.col("_url").isNotNull()
+    body = F.when(same, F.col("_body")).otherwise(F.col("body"))
+    return rows.withColumns({"body": body, "from_cache": same}).drop("_url", "_body")
+
+
 def robots_rules(rows: DataFrame, origin: str, text: str) -> DataFrame:
     """(origin, agent, line_no, allow, prefix): the rules of each user agent, comments dropped."""
     lines = rows.select(origin, F.posexplode(F.split(text, r"\r?\n")).alias("line_no", "_l"))
