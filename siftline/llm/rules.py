@@ -10,7 +10,8 @@ without a certified cutoff that pays turns nothing away in that stratum, and nei
 
 Defined results: null and empty texts have no words and fail the base rule; a null language is a stratum of its own; a
 document with several labels counts as good if its smallest label is 1, null labels count for nothing; repeated rows
-are judged (and counted) each; an empty table gives no rows, and without labels only the base rule decides.
+are judged (and counted) each; rates that tie with a cutoff pass; very long texts are measured whole; other columns pass
+through whatever their names; an empty table gives no rows, and without labels only the base rule decides.
 """
 
 import math
@@ -215,12 +216,14 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that the rules keep, all columns as they are; texts don't move between executors."""
-    measured = measure(docs.withColumn("_lang", F.col("lang")), "doc_id", "_lang").withColumnRenamed("_lang", "stratum")
-    cuts = materialise(learn(materialise(measured), labels))
-    whole = docs.withColumn("_row", F.struct("*"))
-    rows = measure(whole.withColumn("_lang", F.col("lang")), "_row", "_lang").withColumnRenamed("_lang", "stratum")
-    return judge(rows, cuts).filter("_kept").select("_row.*")
+    """The rows of `docs` that the rules keep, all columns as they are; texts don't move between executors.
+
+    Rows are written with their counts, as measuring a text again costs far more than reading it again."""
+    whole = docs.select(F.struct("*").alias("_row"), "doc_id", "text", F.col("lang").alias("_lang"))
+    rows = measure(whole, "_row", "doc_id", "_lang").withColumnRenamed("_lang", "stratum")
+    rows = materialise(rows)
+    cuts = materialise(learn(rows.select("doc_id", "stratum", "_m"), labels))
+    return judge(rows.drop("doc_id"), cuts).filter("_kept").select("_row.*")
 
 
 def oracle() -> str:
