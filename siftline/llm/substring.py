@@ -15,7 +15,8 @@ Copies and passages are thus settled by whole factors, and window rows exist onl
 
 Defined results: null, empty and short texts (under 20 words) lose nothing; within equal ids, rows are one document if
 their texts are equal (each row reports it) and are ordered by the CRC of the text if not; a null id comes first; an
-empty table gives no rows. `text` of the result keeps the words that are left, joined by single spaces, if a word was
+empty table gives no rows; very long texts are parsed whole, one at a time; other columns pass through whatever their
+names. `text` of the result keeps the words that are left, joined by single spaces, if a word was
 removed, and is the text as it was if not.
 """
 
@@ -29,11 +30,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siftline.llm.common import materialise
+from siftline.llm.common import discard, lookup, materialise, slices
 from siftline.llm.neardup import mix
 
 WINDOW = 20
 GRAM = 5
+#: A factor's place is one number: the first of its windows times this, and how many they are (WINDOW - GRAM + 1 at most).
+_SPAN = 32
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -83,7 +86,8 @@ class Words:
 
     def windows(self, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(hash, start) of the windows of some factors."""
-        at = np.concatenate([np.arange(a, a + c) for a, c in zip(first, count)]) if len(first) else np.zeros(0, int)
+        ends = np.cumsum(count)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - count), count)
         return self.runs(at, at + WINDOW), at
 
 
@@ -96,34 +100,31 @@ def _join(parts: list, dtype) -> pa.Array:
 
 
 def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out: list[list] = [[], [], [], [], []]
+    for b in slices(batches):
+        out: list[list] = [[], [], [], []]
         for k, x in enumerate(b.column("text")):
             w = Words(_bytes(x))
             if w.n >= WINDOW:
                 owner, whole, first, count = w.factors()
-                for to, part in zip(out, (np.full(len(first), k), owner.view(np.int64), whole.view(np.int64), first, count)):
+                for to, part in zip(out, (np.full(len(first), k), owner.view(np.int64), whole.view(np.int64), first * _SPAN + count)):
                     to.append(part)
         row = _join(out[0], np.int64)
         yield pa.RecordBatch.from_arrays(
-            [
-                b.column("d").take(row), b.column("t").take(row), _join(out[1], np.int64), _join(out[2], np.int64),
-                _join(out[3], np.int32), _join(out[4], np.int32),
-            ],
-            ["d", "t", "owner", "whole", "at", "n"],
-        )
+            [b.column("d").take(row), b.column("t").take(row), *(_join(x, np.int64) for x in out[1:])],
+            ["d", "t", "owner", "whole", "place"],
+        )
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         row, hashes, starts = [], [], []
         for k, (x, ask) in enumerate(zip(b.column("text"), b.column("asked"))):
-            asked = ask.as_py()
-            h, at = Words(_bytes(x)).windows([a["at"] for a in asked], [a["n"] for a in asked])
+            place = np.sort(ask.values.to_numpy())
+            h, at = Words(_bytes(x)).windows(place // _SPAN, place % _SPAN)
             row.append(np.full(len(at), k)), hashes.append(h.view(np.int64)), starts.append(at)
         row = _join(row, np.int64)
         yield pa.RecordBatch.from_arrays(
-            [b.column("d").take(row), b.column("t").take(row), _join(hashes, np.int64), _join(starts, np.int32)],
+            [b.column("d").take(row), b.column("t").take(row), _join(hashes, np.int64), _join(starts, np.int64)],
             ["d", "t", "window", "at"],
         )
 
@@ -138,7 +139,7 @@ def strip(words: list[bytes], spans: list[dict]) -> list[bytes]:
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         n, gone, sha = [], [], []
         for x, spans in zip(b.column("text"), b.column("spans")):
             words = _bytes(x).split()
@@ -152,44 +153,50 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _key(docs: DataFrame, *keep: str | Column) -> DataFrame:
-    """d and t name a document: its id (null first), and the CRC of its text for ids that repeat."""
-    return docs.select(
-        *keep,
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("t"),
-    )
+    """d and t name a document: its id (null first), and the CRC of its text for ids that repeat, then 30 bits of another
+    hash, as many rows may have no id."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    tie = F.crc32(text.cast("binary")) * (1 << 30) + F.xxhash64(text).bitwiseAND((1 << 30) - 1)
+    return docs.select(*keep, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), tie.alias("t"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(d, t, spans): the word ranges [lo, hi) that repeats cover, one row for each document that has any."""
-    texts = _key(docs, "text")
-    rows = materialise(texts.mapInArrow(_factors, "d long, t long, owner long, whole long, at int, n int"))
-    twice = rows.groupBy("owner").agg(F.count("*").alias("_k")).filter("_k > 1").select("owner")
-    shared = materialise(rows.join(twice, "owner"))
+    """(d, t, spans): the word ranges [lo, hi) that repeats cover, one row for each document that has any.
 
-    here = F.struct("d", "t", "at")
-    references = shared.groupBy("owner", "whole").agg(F.min(F.struct("d", "t", "at", "n")).alias("ref"))
+    Every join on hashes is a `lookup`, so an owner, factor or window that very many texts share is dealt over many tasks.
+    """
+    texts = _key(docs, "text")
+    rows = materialise(texts.mapInArrow(_factors, "d long, t long, owner long, whole long, place long"))
+    owners = materialise(rows.groupBy("owner").agg(F.count("*").alias("k")).filter("k > 1"))
+    shared = materialise(lookup(rows, owners, ["owner"], "k", rows.count()).drop("k"))
+    discard(rows, owners)
+    n_shared = shared.count()
+
+    here = F.struct("d", "t", "place")
+    references = shared.groupBy("owner", "whole").agg(F.min(here).alias("ref"), F.count("*").alias("k"))
     references = materialise(references)
-    several = references.groupBy("owner").agg(F.count("*").alias("_k")).filter("_k > 1").select("owner")
-    first = F.struct("ref.d", "ref.t", "ref.at")
-    whole = shared.join(references, ["owner", "whole"]).filter(here != first)
-    end = F.col("at") + F.col("n") + (WINDOW - 1)
-    factors = whole.select("d", "t", F.struct(F.col("at").alias("lo"), end.alias("hi")).alias("span"))
-
-    asked = references.join(several, "owner").groupBy("ref.d", "ref.t")
-    asked = asked.agg(F.collect_list(F.struct("ref.at", "ref.n")).alias("asked"))
-    windows = texts.join(asked, ["d", "t"]).select("d", "t", "text", "asked")
-    windows = materialise(windows.mapInArrow(_windows, "d long, t long, window long, at int"))
-    firsts = windows.groupBy("window").agg(F.min(here).alias("first"), F.max(here).alias("last"))
-    firsts = firsts.filter(F.col("first") != F.col("last")).select("window", "first")
-    late = windows.join(firsts, "window").filter(here != F.col("first"))
+    whole = lookup(shared, references.filter("k > 1"), ["owner", "whole"], "k", n_shared).filter(here != F.col("ref"))
+    at, n = F.floor(F.col("place") / _SPAN), F.col("place") % _SPAN
+    span = F.struct(at.alias("lo"), (at + n + (WINDOW - 1)).alias("hi"))
+    factors = whole.select("d", "t", span.alias("span"))
+
+    several = references.groupBy("owner").agg(F.count("*").alias("k")).filter("k > 1")
+    asked = lookup(references.drop("k"), several, ["owner"], "k", n_shared).groupBy("ref.d", "ref.t")
+    asked = asked.agg(F.collect_list("ref.place").alias("asked"))
+    windows = texts.join(asked, ["d", "t"]).select("d", "t", "text", "asked").mapInArrow(_windows, "d long, t long, window long, at long")
+    windows = materialise(windows)
+    here = F.struct("d", "t", "at")
+    firsts = windows.groupBy("window").agg(F.min(here).alias("first"), F.max(here).alias("last"), F.count("*").alias("k"))
+    firsts = firsts.filter(F.col("first") != F.col("last")).select("window", "first", "k")
+    late = lookup(windows, firsts, ["window"], "k", windows.count()).filter(here != F.col("first"))
     edges = late.select("d", "t", F.struct(F.col("at").alias("lo"), (F.col("at") + WINDOW).alias("hi")).alias("span"))
-    return factors.union(edges).groupBy("d", "t").agg(F.collect_list("span").alias("spans"))
+    spans = materialise(factors.union(edges).groupBy("d", "t").agg(F.collect_list("span").alias("spans")))
+    discard(shared, references, windows)
+    return spans
 
 
 def _with_spans(docs: DataFrame, *keep: str | Column) -> DataFrame:
-    spans = materialise(repeats(docs))
-    return _key(docs, *keep).join(spans, ["d", "t"], "left")
+    return _key(docs, *keep).join(repeats(docs), ["d", "t"], "left")
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -202,7 +209,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """`docs` with repeated passages taken out of `text` (and n_chars counted anew where it exists)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for x, spans in zip(b.column("_text"), b.column("_spans")):
                 ranges = spans.as_py()
