@@ -10,7 +10,8 @@ a conversation anyway; copies and shared first turns are aggregated before they
 
 Defined results: turns are ordered by (turn, role, text), nulls first, and count by position, whatever their numbers;
 rows that repeat a turn whole count once; null roles and texts are values of their own and render as empty; a null
-conv_id is a conversation; an empty table gives no rows. Other columns are not read.
+conv_id is a conversation; very long turns are hashed and rendered whole; an empty table gives no rows. Other columns,
+whatever their names, are not read.
 """
 
 from pyspark.sql import DataFrame, Window as W, functions as F

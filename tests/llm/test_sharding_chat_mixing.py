@@ -61,6 +61,35 @@ def test_written_shards_are_those_computed(spark, tmp_path):
     assert Counter(map(tuple, written.select("doc_id", "text").collect())) == Counter(rows)
 
 
+def test_limit_holds_under_collisions(spark, monkeypatch):
+    """Few hash bits, so different documents share a hash value; some repeat, one is above the limit."""
+    monkeypatch.setattr(sharding, "BITS", 4)
+    rows = [(k, prose(k, 5 + k % 30)) for k in range(600)] + [(7, prose(7, 12))] * 60 + [(9, "z" * 5_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shards(docs, 2_000).collect()
+    assert Counter((r["doc_id"], r["n_bytes"]) for r in got) == Counter((d, len(t)) for d, t in rows)
+    held = defaultdict(list)
+    for r in got:
+        held[(r["shard_id"], r["chain"])].append(r)
+    for group in held.values():
+        assert {r["shard_bytes"] for r in group} == {sum(r["n_bytes"] for r in group)}
+        assert sum(r["n_bytes"] for r in group) <= 2_000 or len(group) == 1
+
+
+def test_directory_grows_from_one_bucket(spark):
+    docs = spark.createDataFrame([(k, "x" * 10) for k in range(50)], "doc_id long, text string")
+    assert {(r["shard_id"], r["depth"]) for r in sharding.shards(docs, 500).collect()} == {(1, 0)}
+    got = sharding.shards(docs, 499).collect()
+    assert {r["depth"] for r in got} == {1} and {r["shard_id"] for r in got} == {2, 3}
+
+
+def test_written_shards_keep_columns_of_the_folders_names(spark, tmp_path):
+    docs = spark.createDataFrame([(k, prose(k, 20), "a", k, "c") for k in range(60)], "doc_id long, text string, shard_id string, chain int, _id string")
+    sharding.write_shards(docs, str(tmp_path / "out"), 2_000)
+    got = spark.read.parquet(str(tmp_path / "out")).select(*docs.columns)
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, docs.collect()))
+
+
 TURNS = "conv_id long, turn long, role string, text string"
 
 
@@ -92,6 +121,12 @@ def test_prefixes_collapse(spark):
     assert chat.maximal_conversations(spark.createDataFrame([], TURNS)).collect() == []
 
 
+def test_very_long_turns_and_many_copies(spark):
+    rows = [(c, k, "user", "x" * 200_000 + str(k)) for c in range(3) for k in range(c + 1)] + [(9, k, "user", f"t{k}") for k in range(300)] + [(10, k, "user", f"t{k}") for k in range(299)]
+    got = Counter(tuple(r) for r in chat.maximal_conversations(spark.createDataFrame(rows, TURNS)).select("conv_id", "n_turns", "n_copies", "text").collect())
+    assert got == brute_chats(rows)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 1000])
 def test_permutation(n):
     assert sorted(mixing.permute(np.arange(n), n, 7)) == list(range(n))
@@ -149,3 +184,35 @@ def test_mixed_texts_are_the_words_taken(sources, clashing, no_docs):
 def test_mix_of_odd_documents(clashing):
     rows = mixing.takes(clashing).collect()
     assert Counter((r["doc_id"], r["size"]) for r in rows) == Counter((r["doc_id"], len((r["text"] or "").encode().split())) for r in clashing.collect())
+
+
+def test_takes_follow_from_the_slots(spark, sources):
+    """Words taken of each document, counted one by one from the plan: every source's slots are numbered through its
+    shards, slot j takes block permutation(j mod blocks) of its epoch, and blocks are cut from its documents in order."""
+    block, seed = 16, 7
+    mix = mixing.Mix(sources, block=block, seed=seed)
+    rows = mix.rows.collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r["s"]].append(r)
+    sizes = [sum(r["size"] for r in by[s]) for s in sorted(by)]
+    goals = [by[s][0]["target"] for s in sorted(by)]
+    counts = mixing.slot_counts(sizes, goals, block)
+    want = Counter()
+    for s, (blocks, slots) in enumerate(counts):
+        words = [r["off"] for r in sorted(by[s], key=lambda r: r["off"]) for _ in range(r["size"])]
+        assert sorted(r["off"] for r in by[s] if r["size"]) == sorted(set(words))
+        used = Counter()
+        for j in range(slots):
+            epoch = j // blocks
+            k = int(mixing.permute(np.array([j % blocks]), blocks, seed + 1000 * s + epoch)[0])
+            used[k] += 1
+            want.update((s, off) for off in words[k * block : (k + 1) * block])
+        assert max(used.values()) - min(used.get(k, 0) for k in range(blocks)) <= 1
+    got = Counter()
+    for p in mix.placements.collect():
+        got[(p["s"], p["off"])] += p["hi"] - p["lo"]
+    assert got == want
+    drawn = mix.placements.select("shard", "slot", "s").distinct().groupBy("shard").count().collect()
+    n = [r["count"] for r in drawn]
+    assert max(n) - min(n) <= 1 and sum(n) == sum(k for _, k in counts)
