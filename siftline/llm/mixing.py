@@ -7,26 +7,29 @@ block permutation(j mod blocks) of its epoch j div blocks, a keyed Feistel permu
 so a source is used up before any block comes again. Slots and blocks are joined by (source, block).
 
 Defined results: null and empty texts have size 0 and give nothing; a null source is a source, ordered last; each row
-is a document of its own, so repeated ids or rows are mixed as often as they occur; null ids pass through; an empty
-table gives no rows. The driver holds one row for each source, and one for each source and shard.
+is a document of its own, so repeated ids or rows are mixed as often as they occur; null ids pass through; rows that tie
+in id and text are alike, so which comes first changes nothing; very long texts are cut into blocks like all others, one
+text at a time; other columns pass through whatever their names; an empty table gives no rows. The driver holds one row
+for each source, and one for each source and shard.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from siftline.llm.common import materialise, running_offsets, salts_for, word_count
+from siftline.llm.common import materialise, running_offsets, salts_for, slices, word_count
 from siftline.llm.neardup import mix as spread
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 #: Words of a block.
 BLOCK = 64
-SHARDS = 64
+#: Output shards at least; as the output grows, a shard has this many slots at most.
+SHARDS, SHARD_SLOTS = 64, 1 << 24
 SEED = 7
-#: Slots that one row of the slot plan stands for, at most, before it is unfolded.
+#: Slots that one row of the slot plan stands for, at most, before it is unfolded; tasks unfold about eight rows each.
 _CHUNK = 1 << 16
 
 
@@ -107,18 +110,20 @@ def _slots(spark, plan: list[tuple], seed: int) -> DataFrame:
         "shard", "s", "blocks", (F.col("first") + F.col("at")).alias("first"),
         F.least(F.col("n") - F.col("at"), F.lit(_CHUNK)).cast("long").alias("n"),
     )
-    by = chunks.repartition("shard", "s", "first")
+    # A number of its own, as the plan's rows are too small to show how many slots come of them.
+    tasks = max(8, sum(r[4] for r in plan) // (8 * _CHUNK))
+    by = chunks.repartition(tasks, "shard", "s", "first")
     return by.mapInArrow(unfold, "shard int, slot long, s int, index long, epoch int")
 
 
 class Mix:
     """`rows` (doc_id, tie, source, size, source_size, target, s, off) and `placements` of one mix of `docs`.
 
-    placements: (shard, slot, epoch, s, off, doc_id, tie, lo, hi): words [lo, hi) of a document, once for each time that
-    the mix takes them.
+    placements: (shard, slot, epoch, s, off, row, lo, hi): words [lo, hi) of a document, once for each time that the mix
+    takes them. `row`: the column of `docs` that numbers its rows, if there is one.
     """
 
-    def __init__(self, docs: DataFrame, weights=WEIGHTS, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED):
+    def __init__(self, docs: DataFrame, weights=WEIGHTS, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED, row: str | None = None):
         spark = docs.sparkSession
         base = materialise(
             docs.select(
@@ -126,6 +131,7 @@ class Mix:
                 F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("tie"),
                 F.col("source").cast("string").alias("source"),
                 word_count(F.col("text")).alias("size"),
+                (F.col(row) if row else F.lit(None).cast("long")).alias("row"),
             )
         )
         of = base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
@@ -133,6 +139,7 @@ class Mix:
         sizes = [r["size"] for r in of]
         goals = targets(sizes, [weights[i % len(weights)] for i in range(len(of))])
         counts = slot_counts(sizes, goals, block)
+        shards = max(shards, -(-sum(k for _, k in counts) // SHARD_SLOTS))
         plan, given = [], [0] * len(of)
         for shard, drawn in enumerate(draw([k for _, k in counts], shards, seed)):
             for s, n in enumerate(drawn):
@@ -142,18 +149,18 @@ class Mix:
         about = [(r["source"], s, sizes[s], goals[s]) for s, r in enumerate(of)]
         about = spark.createDataFrame(about, "_source string, s int, source_size long, target double")
         order = [F.col("doc_id"), F.col("tie")]
-        rows = running_offsets(base, ["source"], F.col("size"), order, salts_for(sum(r["n"] for r in of)), "off")
+        rows = running_offsets(base, ["source"], F.col("size"), order, salts_for(sum(r["n"] for r in of)), "off", ("row",))
         rows = rows.join(about, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
         self.rows = materialise(rows)
         first, last = F.floor(F.col("off") / block), F.floor((F.col("off") + F.col("size") - 1) / block)
         parts = self.rows.filter("size > 0").withColumn("index", F.explode(F.sequence(first, last)))
         lo = F.greatest(F.col("index") * block - F.col("off"), F.lit(0))
         hi = F.least((F.col("index") + 1) * block - F.col("off"), F.col("size"))
-        parts = parts.select("s", "index", "off", "doc_id", "tie", lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
+        parts = parts.select("s", "index", "off", "row", lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
         # Planned from a small table, but as long as the output: it mustn't be taken for one to broadcast.
         slots = _slots(spark, plan, seed).hint("merge")
         self.placements = parts.join(slots, ["s", "index"]).select(
-            "shard", "slot", "epoch", "s", "off", "doc_id", "tie", "lo", "hi"
+            "shard", "slot", "epoch", "s", "off", "row", "lo", "hi"
         )
 
 
@@ -174,7 +181,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for x, taken, whole in zip(b.column("_text"), b.column("_taken"), b.column("_whole")):
                 text = x.as_py()
@@ -185,25 +192,16 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
                 out.append(text)
             yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(out, pa.string())], ["_row", "_text"])
 
-    mixed = Mix(docs, **options)
-    ranges = F.array_sort(F.collect_list(F.struct("lo", "hi")))
-    taken = mixed.placements.groupBy("s", "off", "epoch", "doc_id", "tie").agg(
-        ranges.alias("_taken"), F.sum(F.col("hi") - F.col("lo")).alias("_n")
-    )
-    # Rows alike in id and text have a number, so that each meets what was taken of it and not of the others.
-    number = F.row_number().over(W.partitionBy("doc_id", "tie", "epoch").orderBy("s", "off"))
-    taken = taken.withColumn("_k", number).withColumnsRenamed({"doc_id": "_id", "tie": "_tie"})
+    # Rows are numbered once and for all, so each meets what was taken of it whatever ids and texts repeat.
     rest = [c for c in docs.columns if c != "text"]
-    rows = docs.select(
-        F.struct(*rest).alias("_row"),
-        F.col("text").alias("_text"),
-        F.col("doc_id").cast("long").alias("_d"),
-        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_t"),
-        word_count(F.col("text")).alias("_size"),
-    )
-    rows = rows.withColumn("_no", F.row_number().over(W.partitionBy("_d", "_t").orderBy("_size")))
-    same = F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_tie")) & (F.col("_no") == F.col("_k"))
-    both = rows.join(taken, same).select("_row", "_text", "_taken", (F.col("_n") == F.col("_size")).alias("_whole"))
+    rows = docs.select(F.struct(*rest).alias("_row"), "doc_id", "source", "text", F.monotonically_increasing_id().alias("_mix_row"))
+    rows = materialise(rows)
+    mixed = Mix(rows, row="_mix_row", **options)
+    ranges = F.array_sort(F.collect_list(F.struct("lo", "hi")))
+    taken = mixed.placements.groupBy("row", "epoch").agg(ranges.alias("_taken"), F.sum(F.col("hi") - F.col("lo")).alias("_n"))
+    size = mixed.rows.select(F.col("row").alias("_of"), F.col("size").alias("_size"))
+    taken = taken.join(size, F.col("row") == F.col("_of")).select("row", "_taken", (F.col("_n") == F.col("_size")).alias("_whole"))
+    both = rows.join(taken, F.col("_mix_row") == F.col("row")).select("_row", F.col("text").alias("_text"), "_taken", "_whole")
     done = both.mapInArrow(cut, both.select("_row", "_text").schema)
     out = {c: F.col("_row")[c] for c in rest} | {"text": F.col("_text")}
     if "n_chars" in out:
