@@ -5,13 +5,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siftline.plans import (
-    admission, changes, events, exports, extraction, listings, marketplace, operations, policies, pricing, provenance, relational, requests,
-    retrieval, structured,
+    admission, changes, events, exports, extraction, listings, marketplace, operations, policies, pricing, provenance, records, relational,
+    requests, retrieval, structured,
 )
 
 _PLANS = (
     extraction, events, provenance, retrieval, pricing, operations, admission, changes, listings, marketplace, structured, policies, requests,
-    relational, exports,
+    relational, exports, records,
 )
 
 FLAGSHIP = "select_best_extraction"

@@ -56,14 +56,16 @@ def passes(url: Column, host: Column, prefix: str, include: list[str], exclude:
 
 
 def rolling_hash(text: Column) -> Column:
-    """The 32-bit hash h = h * 31 + character, as a signed integer."""
+    """The 32-bit hash h = h * 31 + unit over UTF-16 units, as a signed integer: a character beyond the basic plane counts
+    as its two surrogates."""
 
-    def step(h: Column, c: Column) -> Column:
-        wide = F.pmod(h * 31 + F.ascii(c), F.lit(1 << 32))
-        return wide
+    def units(c: Column) -> Column:
+        wide = F.ascii(c).cast("long") - 0x10000
+        pair = F.array(F.lit(0xD800) + F.floor(wide / 1024), F.lit(0xDC00) + wide % 1024)
+        return F.when(wide >= 0, pair).otherwise(F.array(F.ascii(c).cast("long")))
 
     chars = F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != "")
-    h = F.aggregate(chars, F.lit(0).cast("long"), step)
+    h = F.aggregate(F.flatten(F.transform(chars, units)), F.lit(0).cast("long"), lambda h, u: F.pmod(h * 31 + u, F.lit(1 << 32)))
     return F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h)
 
 

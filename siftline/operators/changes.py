@@ -6,14 +6,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from siftline.functions.running import checkpointing, totals
+
 
 def history(versions: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """(key, order, content_hash, previous_hash, kind): first, same or changed against the version before."""
-    by = W.partitionBy(key).orderBy(order)
+    """(key, order, content_hash, previous_hash, kind): first, same or changed against the version before.
+
+    Versions are numbered as narrow rows, and each meets the one before by its number, so a key with very many of them
+    is spread as others are.
+    """
     rows = versions.select(key, order, F.sha2(F.coalesce(text, F.lit("")), 256).alias("content_hash"))
-    rows = rows.withColumn("previous_hash", F.lag("content_hash").over(by))
+    rows = totals(rows, [key], [order], _no=F.lit(1))
+    before = rows.select(F.col(key).alias("_key"), (F.col("_no") + 1).alias("_next"), F.col("content_hash").alias("previous_hash"))
+    rows = rows.join(before, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_no") == F.col("_next")), "left")
     kind = F.when(F.col("previous_hash").isNull(), "first").when(F.col("previous_hash") == F.col("content_hash"), "same")
-    return rows.withColumn("kind", kind.otherwise("changed"))
+    return rows.select(key, order, "content_hash", "previous_hash", kind.otherwise("changed").alias("kind"))
 
 
 def prune(versions: DataFrame, key: str, order: str, keep: int) -> DataFrame:
@@ -32,16 +39,33 @@ def line_diff(old: list[str], new: list[str]) -> list[tuple[str, int]]:
     codes: dict[str, int] = {}
     a, b = ([codes.setdefault(x, len(codes)) for x in side] for side in (old, new))
     right = np.array(b, np.int64)
-    table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+
+    def below(row: np.ndarray, x: int) -> np.ndarray:
+        """The next row of the table of common lengths."""
+        out = np.zeros_like(row)
+        out[1:] = np.maximum.accumulate(np.maximum(row[:-1] + (right == x), row[1:]))
+        return out
+
+    # Only every step-th row is kept; those between are computed again when the way back comes to them, so two texts of
+    # n lines take memory for n * sqrt(n) numbers, not n * n.
+    step = max(1, int(np.sqrt(len(a))))
+    row = np.zeros(len(b) + 1, np.int32)
+    kept = [row]
     for i, x in enumerate(a):
-        match = table[i, :-1] + (right == x)
-        table[i + 1, 1:] = np.maximum.accumulate(np.maximum(match, table[i, 1:]))
-    out, i, j = [], len(a), len(b)
+        row = below(row, x)
+        if (i + 1) % step == 0:
+            kept.append(row)
+    out, i, j, low, table = [], len(a), len(b), len(a) + 1, []
     while i or j:
+        if i and i - 1 < low:
+            low = (i - 1) // step * step
+            table = [kept[low // step]]
+            for x in a[low : min(low + step, len(a))]:
+                table.append(below(table[-1], x))
         if i and j and a[i - 1] == b[j - 1]:
             i, j = i - 1, j - 1
             out.append(("unchanged", j + 1))
-        elif j and (not i or table[i, j - 1] >= table[i - 1, j]):
+        elif j and (not i or table[i - low][j - 1] >= table[i - 1 - low][j]):
             j -= 1
             out.append(("added", j + 1))
         else:
@@ -68,7 +92,8 @@ def summary(kinds: list[str]) -> str:
 def diffs(versions: DataFrame, key: str, order: str, text: str) -> DataFrame:
     """(key, order, added, removed, unchanged, change_percent, summary) of each version against the one before.
 
-    Pairs of consecutive versions stand side by side after one window; the alignment is a per-row Arrow map.
+    Versions are numbered as narrow rows; a pair meets its two texts by equal keys, so no task sorts the texts of a key.
+    The alignment is a per-row Arrow map. `order` is unique within a key.
     """
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,11 +108,19 @@ def diffs(versions: DataFrame, key: str, order: str, text: str) -> DataFrame:
             cols = [b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in (added, removed, same)), pa.array(percent, pa.float64()), pa.array(says, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, [key, order, "added", "removed", "unchanged", "change_percent", "summary"])
 
-    by = W.partitionBy(key).orderBy(order)
-    rows = versions.select(key, order, F.lag(text).over(by).alias("_old"), F.col(text).alias("_new"), F.row_number().over(by).alias("_k"))
+    numbered = totals(versions.select(key, order), [key], [order], _no=F.lit(1))
+    later = numbered.select(F.col(key).alias("_key"), (F.col("_no") - 1).alias("_no"), F.col(order).alias("_later"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (numbered["_no"] == later["_no"])
+    pairs = numbered.join(later, same).select("_key", F.col(order).alias("_earlier"), "_later")
+    old, new = (
+        versions.select(F.col(key).alias(f"_k_{n}"), F.col(order).alias(f"_o_{n}"), F.col(text).alias(f"_{n}")) for n in ("old", "new")
+    )
+    for side, at, name in ((old, "_earlier", "old"), (new, "_later", "new")):
+        pairs = pairs.join(side, F.col("_key").eqNullSafe(F.col(f"_k_{name}")) & (F.col(at) == F.col(f"_o_{name}")))
+    rows = pairs.select(F.col("_key").alias(key), F.col("_later").alias(order), "_old", "_new")
     kinds = {f.name: f.dataType.simpleString() for f in versions.schema}
     schema = f"{key} {kinds[key]}, {order} {kinds[order]}, added long, removed long, unchanged long, change_percent double, summary string"
-    return rows.filter("_k > 1").drop("_k").mapInArrow(align, schema)
+    return rows.mapInArrow(align, schema)
 
 
 def crawl(edges: DataFrame, start: list, max_depth: int) -> DataFrame:
@@ -97,10 +130,7 @@ def crawl(edges: DataFrame, start: list, max_depth: int) -> DataFrame:
     short and a lost executor costs one level.
     """
     spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    checkpointing(spark)
     frontier = spark.createDataFrame([(s,) for s in start], f"node {edges.schema['src'].dataType.simpleString()}").distinct()
     seen = frontier.withColumn("depth", F.lit(0))
     for depth in range(1, max_depth + 1):

@@ -80,32 +80,60 @@ def select_best(scored: DataFrame) -> DataFrame:
     return ranked.withColumn("explanation", text).drop("_rank", "_next", "_gap")
 
 
-def consensus(scored: DataFrame) -> DataFrame:
-    """(page_id, consensus): agreement of a page's candidates in titles, lengths and scores.
+def gathered(scored: DataFrame) -> DataFrame:
+    """(page_id, c): the candidates of each page in one array, as many as there are extractors."""
+    fields = ["method_no", "method", "url", "title", "content", "paragraph_count", "extractor_score", "composite_score"]
+    return scored.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("c"))
+
+
+def _mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
+
+
+def _spread(values: Column) -> Column:
+    """Population variance."""
+    return _mean(F.transform(values, lambda x: (x - _mean(values)) * (x - _mean(values))))
+
+
+def agreement(c: Column) -> Column:
+    """Agreement of a page's candidates in titles, lengths and scores.
 
     Titles without words longer than two characters are alike to nothing (similarity 0).
     """
-    words = F.array_distinct(F.filter(F.split(F.lower("title"), r"\s+"), lambda w: F.length(w) > 2))
-    sets = scored.select("page_id", "method_no", words.alias("w"))
-    pairs = sets.alias("a").join(sets.alias("b"), "page_id").filter(F.col("a.method_no") < F.col("b.method_no"))
-    both, all_ = F.size(F.array_intersect("a.w", "b.w")), F.size(F.array_union("a.w", "b.w"))
-    alike = pairs.groupBy("page_id").agg(F.avg(F.when(all_ > 0, both / all_).otherwise(0.0)).alias("_alike"))
-    spread = scored.groupBy("page_id").agg(
-        F.var_pop(F.length("content")).alias("_length"), F.var_pop("composite_score").alias("_score")
-    )
-    value = F.col("_alike") * 0.4 + 0.3 / (1 + F.col("_length") / 10000) + 0.3 / (1 + F.col("_score"))
-    return spread.join(alike, "page_id").select("page_id", F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)).alias("consensus"))
 
+    def words(x: Column) -> Column:
+        return F.array_distinct(F.filter(F.split(F.lower(x["title"]), r"\s+"), lambda w: F.length(w) > 2))
 
-def confidence(best: DataFrame, agreed: DataFrame) -> DataFrame:
-    """The breakdown of a page's confidence and its log-odds combination."""
+    def alike(x: Column, y: Column) -> Column:
+        both, all_ = F.size(F.array_intersect(words(x), words(y))), F.size(F.array_union(words(x), words(y)))
+        return F.when(all_ > 0, both / all_).otherwise(0.0)
+
+    pairs = F.flatten(F.transform(c, lambda x: F.transform(F.filter(c, lambda y: y["method_no"] > x["method_no"]), lambda y: alike(x, y))))
+    lengths = F.transform(c, lambda x: F.length(x["content"]).cast("double"))
+    scores = F.transform(c, lambda x: x["composite_score"])
+    value = _mean(pairs) * 0.4 + 0.3 / (1 + _spread(lengths) / 10000) + 0.3 / (1 + _spread(scores))
+    return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
+
+
+def consensus(scored: DataFrame) -> DataFrame:
+    """(page_id, consensus) of pages with several candidates."""
+    return gathered(scored).filter(F.size("c") > 1).select("page_id", agreement(F.col("c")).alias("consensus"))
+
+
+def confidence(scored: DataFrame) -> DataFrame:
+    """The breakdown of a page's confidence and its log-odds combination, of pages with several candidates.
+
+    Candidates are scored and gathered once; the best one and their agreement are read from the same array.
+    """
+    best = F.array_max(F.transform("c", lambda x: F.struct(x["composite_score"].alias("s"), (-x["method_no"]).alias("n"), x.alias("x"))))["x"]
+    rows = gathered(scored).filter(F.size("c") > 1).select("page_id", best.alias("b"), agreement(F.col("c")).alias("consensus"))
     none = F.lit(None).cast("string")
-    rows = best.join(agreed, "page_id").select(
+    rows = rows.select(
         "page_id",
-        F.col("extractor_score").alias("extraction"),
-        scoring.content_quality(F.col("content"), F.col("paragraph_count")).alias("quality"),
-        scoring.metadata_quality(F.col("title"), none, none, F.substring("content", 1, 200)).alias("metadata"),
-        scoring.source_credibility(F.col("url")).alias("credibility"),
+        F.col("b.extractor_score").alias("extraction"),
+        scoring.content_quality(F.col("b.content"), F.col("b.paragraph_count")).alias("quality"),
+        scoring.metadata_quality(F.col("b.title"), none, none, F.substring("b.content", 1, 200)).alias("metadata"),
+        scoring.source_credibility(F.col("b.url")).alias("credibility"),
         "consensus",
     )
     names = ["extraction", "quality", "metadata", "credibility", "consensus"]

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from siftline.functions.running import totals
 from siftline.operators.admission import circuit_breaker, token_bucket  # noqa: F401
 
 #: Upper bounds of the latency histogram.
@@ -11,15 +12,15 @@ BUCKETS = (25, 50, 100, 150, 200, 300, 500)
 def monthly_quota(events: DataFrame, tenant: str, ts: str, order: str, limit: int) -> DataFrame:
     """Each call's number within its tenant's UTC month, what remains after it, when the month resets, and `allowed`."""
     month = F.date_trunc("month", F.col(ts))
-    used = F.row_number().over(W.partitionBy(tenant, month).orderBy(ts, order))
-    out = events.withColumn("used", used)
+    out = totals(events.select(tenant, ts, order, month.alias("_month")), [tenant, "_month"], [ts, order], used=F.lit(1))
+    out = out.withColumn("used", (F.col("used") + 1).cast("int"))
     return out.withColumns(
         {
             "allowed": F.col("used") <= limit,
             "remaining": F.greatest(F.lit(limit) - F.col("used"), F.lit(0)),
-            "resets_at": F.add_months(month, 1).cast("date"),
+            "resets_at": F.add_months("_month", 1).cast("date"),
         }
-    )
+    ).drop("_month")
 
 
 def calls_in_window(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
@@ -31,8 +32,8 @@ def calls_in_window(events: DataFrame, key: str, ts: str, seconds: int) -> DataF
 
 def queue_order(jobs: DataFrame, priority: str, created: str, key: str, lanes: str) -> DataFrame:
     """`place`: order of execution within a lane, highest priority first, then oldest."""
-    order = W.partitionBy(lanes).orderBy(F.desc(priority), created, key)
-    return jobs.withColumn("place", F.row_number().over(order))
+    rows = totals(jobs.withColumn("_first", -F.col(priority)), [lanes], ["_first", created, key], place=F.lit(1))
+    return rows.withColumn("place", (F.col("place") + 1).cast("int")).drop("_first")
 
 
 def evict_terminal(jobs: DataFrame, lanes: str, completed: str, key: str, keep: int) -> DataFrame:
@@ -72,8 +73,7 @@ def histogram(events: DataFrame, value: str, by: str) -> DataFrame:
 
 def failure_runs(events: DataFrame, key: str, ts: str, order: str, failed: Column) -> DataFrame:
     """(key, first, last, length) of each run of consecutive failures (gaps and islands)."""
-    by = W.partitionBy(key).orderBy(ts, order)
-    rows = events.select(key, ts, order, failed.alias("_f"))
-    island = F.row_number().over(by) - F.sum(F.col("_f").cast("int")).over(by)
-    runs = rows.withColumn("_run", island).filter("_f").groupBy(key, "_run")
+    rows = events.select(key, ts, order, F.coalesce(failed, F.lit(False)).alias("_f"))
+    # As many calls that didn't fail lie before each failure of a run, and more before the next run.
+    runs = totals(rows, [key], [ts, order], _run=(~F.col("_f")).cast("int")).filter("_f").groupBy(key, "_run")
     return runs.agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count("*").alias("length")).drop("_run")

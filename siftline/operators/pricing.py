@@ -2,39 +2,53 @@
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from siftline.functions.running import totals
+
 PERCENTILES = (25, 50, 75, 90, 95)
 
 
 def statistics(rows: DataFrame, price: str, *by: str) -> DataFrame:
-    """Counts, means, mode and nearest-rank percentiles of each group.
+    """Counts, means, mode, median and nearest-rank percentiles of each group.
 
-    mode: the smallest of the most frequent prices, null where no price repeats. Prices are counted first, so a group
-    of any size is reduced where it is read; its distinct prices are what is ranked.
+    mode: the smallest of the most frequent prices, null where no price repeats. Prices are counted first; ranks come
+    from running totals of these counts by ranges of prices, so no group is held or sorted in one task.
     """
-    x = F.col(price)
-    keys = [F.col(k) for k in by]
+    keys = list(by) or ["_all"]
+    rows = rows if by else rows.withColumn("_all", F.lit(0))
+    counted = rows.filter(F.col(price).isNotNull()).groupBy(*keys, F.col(price).cast("double").alias("_x")).agg(F.count("*").alias("_n"))
+    placed = totals(counted, keys, ["_x"], _before=F.col("_n"))
     stats = rows.groupBy(*keys).agg(
-        F.count(x).alias("n"),
-        F.avg(x).alias("mean"),
-        F.percentile(x, 0.5).alias("median"),
-        F.min(x).alias("min"),
-        F.max(x).alias("max"),
-        F.stddev_pop(x).alias("std_dev"),
-        F.var_pop(x).alias("variance"),
-        (F.max(x) - F.min(x)).alias("range"),
-        *[F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {price})").alias(f"p{p}") for p in PERCENTILES],
+        F.count(price).alias("n"),
+        F.avg(price).alias("mean"),
+        F.min(price).alias("min"),
+        F.max(price).alias("max"),
+        F.stddev_pop(price).alias("std_dev"),
+        F.var_pop(price).alias("variance"),
+        (F.max(price) - F.min(price)).alias("range"),
+    )
+    size = stats.select(*[F.col(k).alias(f"_g_{k}") for k in keys], F.col("n").alias("_total"))
+    placed = placed.join(size, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys])
+
+    def at(place: Column) -> Column:
+        """The value at a place counted from 0."""
+        return F.min(F.when(F.col("_before") + F.col("_n") > place, F.col("_x")))
+
+    total = F.col("_total")
+    ranks = {f"p{p}": at(F.ceil(F.lit(p) * total / 100) - 1) for p in PERCENTILES}
+    top = F.max(F.struct("_n", (-F.col("_x")).alias("_x")))
+    ranked = placed.groupBy(*[F.col(k).alias(f"_r_{k}") for k in keys]).agg(
+        ((at(F.floor((total - 1) / 2)) + at(F.floor(total / 2))) / 2).alias("median"),
+        *[c.alias(n) for n, c in ranks.items()],
+        F.when(top["_n"] > 1, -top["_x"]).alias("mode"),
     )
-    counted = rows.groupBy(*keys, x.alias("_x")).agg(F.count("*").alias("_n"))
-    top = counted.groupBy(*by).agg(F.max(F.struct("_n", -F.col("_x"))).alias("_top"))
-    mode = F.when(F.col("_top")["_n"] > 1, -F.col("_top")["col2"])
-    top = top.select(*by, mode.alias("mode"))
-    return stats.join(top, list(by)) if by else stats.crossJoin(top)
+    out = stats.join(ranked, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], "left")
+    return out.select(*by, "n", "mean", "median", "min", "max", "std_dev", "variance", "range", *ranks, "mode")
 
 
 def deals(rows: DataFrame, price: str, key: str, condition: str, top: int = 10) -> DataFrame:
     """The `top` rows furthest below 85 % of the mean, with the reasons. The one-row statistics are joined to the scan."""
     x = F.col(price)
-    stats = rows.agg(F.avg(x).alias("_mean"), F.expr(f"percentile_disc(0.25) WITHIN GROUP (ORDER BY {price})").alias("_p25"))
+    stats = statistics(rows, price).select(F.col("mean").alias("_mean"), F.col("p25").alias("_p25"))
     found = rows.crossJoin(F.broadcast(stats)).filter(x < F.col("_mean") * 0.85)
     saved = (F.col("_mean") - x) / F.col("_mean") * 100
     tenths = F.floor(saved * 10 + 0.5).cast("long")

@@ -8,6 +8,8 @@ from siftline.functions.safety import MAX_LENGTH, OVERFLOW, THREATS
 
 #: Rows and queries that one task of a block search holds, about, and queries that it scores at once.
 ROW_BLOCK, QUERY_BLOCK, PAGE = 8_192, 4_096, 128
+#: Queries that may be sent to every task.
+MAX_ASKED = 1_000
 
 
 def hash_embedding(rows: DataFrame, key: str, text: str, dims: int) -> DataFrame:
@@ -21,6 +23,13 @@ def hash_embedding(rows: DataFrame, key: str, text: str, dims: int) -> DataFrame
     return tokens.select(key, bucket.alias("dim")).groupBy(key, "dim").agg(F.count("*").alias("n"))
 
 
+def hash_vectors(rows: DataFrame, key: str, text: str, dims: int) -> DataFrame:
+    """(key, vector): the counts of `hash_embedding` as vectors; texts without tokens have none."""
+    counts = hash_embedding(rows, key, text, dims).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "n"))).alias("_m"))
+    every = F.sequence(F.lit(0), F.lit(dims - 1))
+    return counts.select(key, F.transform(every, lambda d: F.coalesce(F.element_at("_m", d), F.lit(0)).cast("double")).alias("vector"))
+
+
 def dot(a: Column, b: Column) -> Column:
     """Over the first dimensions that both have."""
     n = F.least(F.size(a), F.size(b))
@@ -37,9 +46,11 @@ def cosine(a: Column, b: Column) -> Column:
 def similarity_search(rows: DataFrame, queries: DataFrame, k: int, min_score: float | None = None) -> DataFrame:
     """(query_id, rank, id, score): the k rows most like each query vector; ties go to the smaller id.
 
-    `queries` is a handful of request rows that the caller holds, so they travel to the scan; each task keeps its own
-    k best of each query before anything is shuffled.
+    For up to `MAX_ASKED` request rows, which travel to the scan; each task keeps its own k best of each query before
+    anything is shuffled. More of them are searched by `block_search`.
     """
+    if queries.limit(MAX_ASKED + 1).count() > MAX_ASKED:
+        return block_search(rows, queries, k, min_score)
     asked = queries.select("query_id", F.col("vector").alias("_q"))
     scored = rows.crossJoin(F.broadcast(asked)).select("query_id", "id", cosine(F.col("vector"), F.col("_q")).alias("score"))
     if min_score is not None:

@@ -26,7 +26,7 @@ def select_best_extraction(spark, sf_dir):
 
 def confidence_breakdown(spark, sf_dir):
     scored = extraction.score_candidates(extraction.candidates(table(spark, sf_dir, "pages")))
-    rows = extraction.confidence(extraction.select_best(scored), extraction.consensus(scored))
+    rows = extraction.confidence(scored)
     return rows.select("page_id", *[F.round(c, 6).alias(c) for c in rows.columns[1:]])
 
 

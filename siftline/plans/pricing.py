@@ -53,10 +53,8 @@ def listing_prices(spark, sf_dir):
 
 
 def latency_statistics(spark, sf_dir):
-    disc = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)").alias(n) for n, p in (("p50", 0.5), ("p95", 0.95))]
-    rows = table(spark, sf_dir, "events").groupBy("event_type")
-    out = rows.agg(F.count("*").alias("n"), F.min("value").alias("min"), F.avg("value").alias("mean"), *disc, F.max("value").alias("max"))
-    return _rounded(out, "mean")
+    out = pricing.statistics(table(spark, sf_dir, "events"), "value", "event_type")
+    return _rounded(out.select("event_type", "n", "min", "mean", "p50", "p95", "max"), "mean")
 
 
 def corpus_statistics(spark, sf_dir):

@@ -23,10 +23,11 @@ def hash_embedding_norms(spark, sf_dir):
 
 
 def _hits(spark, sf_dir, k, min_score=None, label=None):
+    """Hits of each row whose id is divisible by 20, against all rows."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    asked = vectors.filter("id < 5").select(F.col("id").alias("query_id"), "vector")
+    asked = vectors.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
     rows = vectors if label is None else vectors.filter(F.col("label") == label)
-    return retrieval.similarity_search(rows, asked, k, min_score)
+    return retrieval.block_search(rows, asked, k, min_score)
 
 
 def similarity_search(spark, sf_dir):
@@ -38,30 +39,22 @@ def similarity_search_filtered(spark, sf_dir):
 
 
 def retrieval_answers(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 500).alias("text"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return retrieval.answers(_hits(spark, sf_dir, 3), docs)
 
 
-def _every_hit(spark, sf_dir, k, min_score=None, label=None):
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    asked = vectors.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
-    rows = vectors if label is None else vectors.filter(F.col("label") == label)
-    return retrieval.block_search(rows, asked, k, min_score)
-
-
-def similarity_search_every(spark, sf_dir):
-    """As similarity_search, for each row whose id is divisible by 20."""
-    return _every_hit(spark, sf_dir, 5).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+#: The names these three had while the plain ones asked five rows only.
+similarity_search_every, similarity_search_filtered_every, retrieval_answers_every = similarity_search, similarity_search_filtered, retrieval_answers
 
 
-def similarity_search_filtered_every(spark, sf_dir):
-    return _every_hit(spark, sf_dir, 5, min_score=0.1, label=3).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
-
-
-def retrieval_answers_every(spark, sf_dir):
-    """As retrieval_answers, for each row whose id is divisible by 20 and over whole texts."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return retrieval.answers(_every_hit(spark, sf_dir, 3), docs)
+def semantic_search(spark, sf_dir):
+    """For the first sentence of each document whose id is divisible by 20: the three documents most like it, both
+    embedded by the hashes of their words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    asked = docs.filter("doc_id % 20 = 0").select("doc_id", retrieval.summarise(F.col("text"))["headline"].alias("text"))
+    rows = retrieval.hash_vectors(docs, "doc_id", "text", DIMS).withColumnRenamed("doc_id", "id")
+    queries = retrieval.hash_vectors(asked, "doc_id", "text", DIMS).withColumnRenamed("doc_id", "query_id")
+    return retrieval.block_search(rows, queries, 3).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
 def prompt_safety_turns(spark, sf_dir):
@@ -117,17 +110,17 @@ QUERIES = {
     f.__name__: f
     for f in (
         summaries, hash_embeddings, hash_embedding_norms, similarity_search, similarity_search_filtered, retrieval_answers, prompt_safety_turns,
-        prompt_safety_pages, session_memory, information_kept, text_similarity, similarity_search_every, similarity_search_filtered_every,
-        retrieval_answers_every, sanitised_turns, safety_summaries,
+        prompt_safety_pages, session_memory, information_kept, text_similarity, sanitised_turns, safety_summaries, semantic_search,
     )
 }
+QUERIES |= {f"{n}_every": QUERIES[n] for n in ("similarity_search", "similarity_search_filtered", "retrieval_answers")}
 
 
-def _hits_sql(k: int, where: str = "TRUE", least: str = "TRUE", asked: str = "q.vec_id < 5") -> str:
+def _hits_sql(k: int, where: str = "TRUE", least: str = "TRUE") -> str:
     return f"""h AS (
   SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank
   FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
-    FROM embeddings e, embeddings q WHERE {asked} AND {where}) WHERE {least}
+    FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND {where}) WHERE {least}
 ), hits AS (SELECT query_id, rank::INTEGER AS rank, id, score FROM h WHERE rank <= {k})"""
 
 
@@ -166,7 +159,6 @@ def _sanitise_sql() -> str:
 
 from siftline.plans.extraction import STRIP_SQL  # noqa: E402
 
-_EVERY = "q.vec_id % 20 = 0"
 _EMBED = f"""t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
 u AS (SELECT w, list_reduce(list_prepend(0, list_transform(string_split(w, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % {DIMS}) AS dim FROM (SELECT DISTINCT w FROM t)),
 e AS (SELECT doc_id, dim::INTEGER AS dim, count(*) AS n FROM t JOIN u USING (w) GROUP BY 1, 2)"""
@@ -178,16 +170,21 @@ SELECT doc_id, left(s[1], 120) AS headline, array_to_string(s[1:3], ' ') AS para
     "hash_embeddings": f"""WITH {_EMBED} SELECT doc_id, dim, n FROM e""",
     "similarity_search": f"WITH {_hits_sql(5)} SELECT query_id, rank, id, round(score, 6) AS score FROM hits",
     "similarity_search_filtered": f"WITH {_hits_sql(5, 'e.label = 3', 'score >= 0.1')} SELECT query_id, rank, id, round(score, 6) AS score FROM hits",
-    "retrieval_answers": f"""WITH {_hits_sql(3)}, r AS (SELECT h.*, left(text, 500) AS text FROM hits h JOIN documents d ON d.doc_id = h.id)
-SELECT query_id, count(*) AS n_sources, string_agg('Source ' || rank || ': ' || text, chr(10) || chr(10) ORDER BY rank) AS context,
-  string_agg(id || '|' || left(text, 200), chr(10) ORDER BY rank) AS citations FROM r GROUP BY 1""",
-    "similarity_search_every": f"WITH {_hits_sql(5, asked=_EVERY)} SELECT query_id, rank, id, round(score, 6) AS score FROM hits",
-    "similarity_search_filtered_every": f"WITH {_hits_sql(5, 'e.label = 3', 'score >= 0.1', _EVERY)} SELECT query_id, rank, id, round(score, 6) AS score FROM hits",
-    "retrieval_answers_every": f"""WITH {_hits_sql(3, asked=_EVERY)}, r AS (SELECT h.*, text FROM hits h JOIN documents d ON d.doc_id = h.id)
+    "retrieval_answers": f"""WITH {_hits_sql(3)}, r AS (SELECT h.*, text FROM hits h JOIN documents d ON d.doc_id = h.id)
 SELECT query_id, count(*) AS n_sources, string_agg('Source ' || rank || ': ' || text, chr(10) || chr(10) ORDER BY rank) AS context,
   string_agg(id || '|' || left(text, 200), chr(10) ORDER BY rank) AS citations FROM r GROUP BY 1""",
     "prompt_safety_turns": _threat_sql("conversations", "text", "conv_id, turn"),
     "prompt_safety_pages": _threat_sql("pages", "html", "page_id"),
+    "semantic_search": f"""WITH {_EMBED}, q0 AS (
+  SELECT doc_id, left(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[1], 120) AS text FROM documents WHERE doc_id % 20 = 0
+), qt AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM q0),
+qu AS (SELECT w, list_reduce(list_prepend(0, list_transform(string_split(w, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % {DIMS}) AS dim FROM (SELECT DISTINCT w FROM qt)),
+q AS (SELECT doc_id, dim::INTEGER AS dim, count(*) AS n FROM qt JOIN qu USING (w) GROUP BY 1, 2),
+ne AS (SELECT doc_id, sqrt(sum(n * n)) AS l FROM e GROUP BY 1), nq AS (SELECT doc_id, sqrt(sum(n * n)) AS l FROM q GROUP BY 1),
+d AS (SELECT q.doc_id AS query_id, e.doc_id AS id, sum(q.n * e.n) AS d FROM q JOIN e USING (dim) GROUP BY 1, 2),
+s AS (SELECT nq.doc_id AS query_id, ne.doc_id AS id, coalesce(d.d, 0) / (nq.l * ne.l) AS score FROM nq CROSS JOIN ne LEFT JOIN d ON d.query_id = nq.doc_id AND d.id = ne.doc_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id)::INTEGER AS rank, id, round(score, 6) AS score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 3""",
     "sanitised_turns": _sanitise_sql(),
     "safety_summaries": f"""WITH t AS ({_threat_sql("conversations", "text", "conv_id, turn")})
 SELECT conv_id, turn, round(1 - max_severity, 6) AS confidence, CASE WHEN safe THEN 'Content appears safe (' || floor((1 - max_severity) * 100 + 0.5)::BIGINT || '% confidence)'
@@ -202,3 +199,4 @@ SELECT page_id, len(a)::INTEGER AS n_words, round(len(list_intersect(a, b)) / gr
 SELECT a.doc_id, round(len(list_intersect(a.w, b.w)) / greatest(len(list_distinct(list_concat(a.w, b.w))), 1), 6) AS jaccard
 FROM w a JOIN w b ON b.doc_id = a.doc_id + 1""",
 }
+ORACLE_SQL |= {f"{n}_every": ORACLE_SQL[n] for n in ("similarity_search", "similarity_search_filtered", "retrieval_answers")}
