@@ -6,19 +6,24 @@ from pyspark.sql import functions as F
 from siftline.operators import listings, marketplace as market, pricing
 from siftline.plans.extraction import table
 
-_K = F.col("p_partkey")
-_PRICE = F.format_number("p_retailprice", 2)
+
+def _k():
+    return F.col("p_partkey")
+
+
+def _price():
+    return F.format_number("p_retailprice", 2)
 
 
 def _part(spark, sf_dir):
-    condition = F.element_at(F.array(*map(F.lit, ("Brand New", "Used - Very Good", "Certified Refurbished", "For parts"))), (_K % 4 + 1).cast("int"))
+    condition = F.element_at(F.array(*map(F.lit, ("Brand New", "Used - Very Good", "Certified Refurbished", "For parts"))), (_k() % 4 + 1).cast("int"))
     return table(spark, sf_dir, "part").withColumns({"condition": condition, "seller": F.concat(F.lit("Seller "), "p_brand")})
 
 
 def _listing_pages(spark, sf_dir):
-    title, item = F.concat("p_name", F.lit(" "), "p_brand"), F.concat(F.lit("90000000"), _K.cast("string"))
-    missing = F.when(_K % 6 == 1, "").otherwise(_PRICE)
-    sold = F.when(_K % 5 == 0, " Sold Mar 7, 2024 ").otherwise("")
+    title, item = F.concat("p_name", F.lit(" "), "p_brand"), F.concat(F.lit("90000000"), _k().cast("string"))
+    missing = F.when(_k() % 6 == 1, "").otherwise(_price())
+    sold = F.when(_k() % 5 == 0, " Sold Mar 7, 2024 ").otherwise("")
     ebay = F.concat(
         F.lit('<html><h1 class="x-item-title__mainTitle big">\n  '), title, F.lit(' </h1><div class="x-price-primary">US $'), missing,
         F.lit('</div><span class="x-item-condition-text">'), "condition", F.lit('</span><i data-testid="ux-item-number">'), item,
@@ -32,7 +37,7 @@ def _listing_pages(spark, sf_dir):
         F.lit('<html><meta name="product.itemId" content="'), item, F.lit('"><h1 class="prod-ProductTitle">'), title, F.lit('</h1><span itemprop="price">€'), missing,
         F.lit('</span><p data-testid="condition">'), "condition", F.lit("</p></html>"),
     )
-    k = _K % 4
+    k = _k() % 4
     url = F.concat(F.when(k == 0, "https://www.ebay.com/itm/").when(k == 1, "https://amazon.co.uk/dp/").when(k == 2, "https://www.walmart.com/ip/").otherwise("https://other.example/"), item)
     return _part(spark, sf_dir).select("p_partkey", url.alias("url"), F.when(k == 0, ebay).when(k == 1, amazon).otherwise(walmart).alias("html"))
 
@@ -48,16 +53,16 @@ def search_results(spark, sf_dir):
     item = F.when(
         new,
         F.concat(
-            F.lit('<li class="s-card s-card--x"><div class="s-card__title"><span>'), "p_name", F.lit('</span></div><span class="s-card__price">$'), F.when(_K % 9 > 0, _PRICE).otherwise(""),
-            F.lit('</span><em class="s-card__shipping">'), F.when(_K % 2 == 0, "Free shipping").otherwise("+$4.50 delivery"), F.lit('</em><a href="https://x.example/itm/'), _K, F.lit('?h=1">go</a></li>'),
+            F.lit('<li class="s-card s-card--x"><div class="s-card__title"><span>'), "p_name", F.lit('</span></div><span class="s-card__price">$'), F.when(_k() % 9 > 0, _price()).otherwise(""),
+            F.lit('</span><em class="s-card__shipping">'), F.when(_k() % 2 == 0, "Free shipping").otherwise("+$4.50 delivery"), F.lit('</em><a href="https://x.example/itm/'), _k(), F.lit('?h=1">go</a></li>'),
         ),
     ).otherwise(
         F.concat(
-            F.lit('<li class="s-item"><a class="s-item__link" href="https://x.example/itm/'), _K, F.lit('">x</a><h3 class="s-item__title">'), F.when(_K % 8 > 0, F.col("p_name")).otherwise("Shop on eBay"),
-            F.lit('</h3><b class="s-item__price">$'), _PRICE, F.lit("</b><i>Sold  Jan 15, 2024</i></li>"),
+            F.lit('<li class="s-item"><a class="s-item__link" href="https://x.example/itm/'), _k(), F.lit('">x</a><h3 class="s-item__title">'), F.when(_k() % 8 > 0, F.col("p_name")).otherwise("Shop on eBay"),
+            F.lit('</h3><b class="s-item__price">$'), _price(), F.lit("</b><i>Sold  Jan 15, 2024</i></li>"),
         )
     )
-    entries = F.array_sort(F.collect_list(F.struct(_K.alias("k"), item.alias("x"))))
+    entries = F.array_sort(F.collect_list(F.struct(_k().alias("k"), item.alias("x"))))
     pages = table(spark, sf_dir, "part").groupBy("p_brand").agg(entries.alias("e"))
     html = F.concat(F.lit('<ul class="srp-results">'), F.array_join(F.transform("e", lambda e: e["x"]), "\n"), F.lit("</ul>"))
     out = market.parse_search_results(pages.select("p_brand", html.alias("html")), "p_brand")
@@ -82,13 +87,13 @@ def text_items(spark, sf_dir):
     """Items of a text for each brand: a title line, then price, date, condition and shipping in lines of their own."""
     lines = F.array(
         F.concat(F.lit("Listing of the product "), "p_name"),
-        F.concat(F.lit("$"), F.when(_K % 7 > 0, _PRICE).otherwise("0")),
-        F.when(_K % 2 == 0, "Sold Feb 3, 2024"),
-        F.when(_K % 3 == 0, "used, good").when(_K % 3 == 1, "NEW in box"),
-        F.when(_K % 4 == 0, "+ $5.25 shipping"),
+        F.concat(F.lit("$"), F.when(_k() % 7 > 0, _price()).otherwise("0")),
+        F.when(_k() % 2 == 0, "Sold Feb 3, 2024"),
+        F.when(_k() % 3 == 0, "used, good").when(_k() % 3 == 1, "NEW in box"),
+        F.when(_k() % 4 == 0, "+ $5.25 shipping"),
         F.lit("  "),
     )
-    rows = table(spark, sf_dir, "part").select("p_brand", (_K * 10).alias("_base"), F.posexplode(lines).alias("_i", "line")).filter("line IS NOT NULL")
+    rows = table(spark, sf_dir, "part").select("p_brand", (_k() * 10).alias("_base"), F.posexplode(lines).alias("_i", "line")).filter("line IS NOT NULL")
     out = market.items_from_lines(rows.select("p_brand", (F.col("_base") + F.col("_i")).alias("line_no"), "line"), "p_brand")
     return out.select("p_brand", F.col("item").cast("long").alias("item"), "title", "amount", "condition", "shipping", F.col("sold_on").cast("string").alias("sold_on"))
 
@@ -98,8 +103,8 @@ def checked_listings(spark, sf_dir):
     json = F.to_json(
         F.struct(
             F.lit("Product").alias("@type"),
-            F.when(_K % 4 == 0, F.concat(F.lit("Not "), "p_brand")).otherwise(F.concat(F.upper("p_name"), F.lit("!"))).alias("name"),
-            F.struct((F.col("p_retailprice") * F.when(_K % 3 == 0, 1.2).otherwise(1.005)).alias("price")).alias("offers"),
+            F.when(_k() % 4 == 0, F.concat(F.lit("Not "), "p_brand")).otherwise(F.concat(F.upper("p_name"), F.lit("!"))).alias("name"),
+            F.struct((F.col("p_retailprice") * F.when(_k() % 3 == 0, 1.2).otherwise(1.005)).alias("price")).alias("offers"),
             F.struct(F.concat(F.lit("seller  "), "p_brand").alias("name")).alias("seller"),
         )
     )
@@ -117,9 +122,9 @@ def checked_listings(spark, sf_dir):
 
 def price_advice(spark, sf_dir):
     """Advice for each brand: used parts cost what new ones cost, divided by their size."""
-    rows = _part(spark, sf_dir).withColumn("price", F.round(F.col("p_retailprice") / F.when(_K % 4 == 1, F.col("p_size")).otherwise(1), 2))
+    rows = _part(spark, sf_dir).withColumn("price", F.round(F.col("p_retailprice") / F.when(_k() % 4 == 1, F.col("p_size")).otherwise(1), 2))
     stats = pricing.statistics(rows, "price", "p_brand").select("p_brand", "p25", "p75", "median", "mean")
-    kind = rows.groupBy("p_brand").agg(F.avg(F.when(_K % 4 == 0, F.col("price"))).alias("new"), F.avg(F.when(_K % 4 == 1, F.col("price"))).alias("used"))
+    kind = rows.groupBy("p_brand").agg(F.avg(F.when(_k() % 4 == 0, F.col("price"))).alias("new"), F.avg(F.when(_k() % 4 == 1, F.col("price"))).alias("used"))
     low = rows.join(stats.select("p_brand", F.col("mean").alias("_m")), "p_brand").groupBy("p_brand").agg(F.count_if(F.col("price") < F.col("_m") * 0.85).alias("deals"))
     both = stats.join(kind, "p_brand").join(low, "p_brand")
     change = F.round(F.col("p75") % 20 - 10, 6)
@@ -130,15 +135,15 @@ def price_advice(spark, sf_dir):
 
 def listing_fields(spark, sf_dir):
     """Shipping, condition (by words and by number) and sold date, as listings spell them."""
-    ship = F.when(_K % 3 == 0, "FREE delivery").when(_K % 3 == 1, F.concat(F.lit("+$"), _PRICE, F.lit(" shipping"))).otherwise("ask seller")
-    code = F.element_at(F.array(*map(F.lit, ("1000", "1500", "2000", "3000", "4000", "7000"))), (_K % 6 + 1).cast("int"))
+    ship = F.when(_k() % 3 == 0, "FREE delivery").when(_k() % 3 == 1, F.concat(F.lit("+$"), _price(), F.lit(" shipping"))).otherwise("ask seller")
+    code = F.element_at(F.array(*map(F.lit, ("1000", "1500", "2000", "3000", "4000", "7000"))), (_k() % 6 + 1).cast("int"))
     named = F
     for i, name in market.CONDITION_IDS.items():
         named = named.when(code == i, name)
     day = F.concat(F.lit("Sold "), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size").cast("int")), "MMM d, yyyy"), F.lit(" to you"))
     return _part(spark, sf_dir).select(
         "p_partkey", listings.shipping(ship).alias("shipping"), listings.condition(F.col("condition")).alias("condition"),
-        named.otherwise("unknown").alias("condition_by_id"), market.sold_date(F.when(_K % 2 == 0, day)).cast("string").alias("sold_on"),
+        named.otherwise("unknown").alias("condition_by_id"), market.sold_date(F.when(_k() % 2 == 0, day)).cast("string").alias("sold_on"),
     )
 
 

@@ -70,7 +70,7 @@ def listing_sample(spark, sf_dir):
     rows = table(spark, sf_dir, "part").groupBy("p_brand")
     return _rounded(
         rows.agg(
-            F.count("*").alias("n"), F.avg("p_retailprice").alias("average"), F.min("p_retailprice").alias("min"),
+            F.count("*").alias("n"), (F.sum(F.col("p_retailprice").cast("decimal(18,6)")).cast("double") / F.count("p_retailprice")).alias("average"), F.min("p_retailprice").alias("min"),
             F.max("p_retailprice").alias("max"), F.stddev_pop("p_retailprice").alias("std_dev"),
             F.countDistinct("p_retailprice").alias("n_prices"),
         ),

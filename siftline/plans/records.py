@@ -129,7 +129,7 @@ def backfill_progress(spark, sf_dir):
     out = rows.groupBy("l_suppkey", F.floor(F.col("no") / 50).cast("long").alias("batch")).agg(
         F.count("*").alias("n"), F.max("no").alias("_no"), F.max(F.col("sofar") + F.col("cents")).alias("_sum")
     )
-    return out.select("l_suppkey", "batch", "n", F.round(F.col("_sum") / (F.col("_no") + 1) / 100, 4).alias("mean_so_far"))
+    return out.select("l_suppkey", "batch", "n", (F.col("_sum") / (F.col("_no") + 1) / 100).alias("mean_so_far"))
 
 
 def delivered_events(spark, sf_dir):
@@ -253,7 +253,7 @@ SELECT event_type, CASE {" ".join(f"WHEN b{k} >= {_LAST} * 0.95 THEN '{b}'" for
   CASE {" ".join(f"WHEN {' + '.join(f'b{i}' for i in range(k + 1))} >= {_LAST} * 0.95 THEN '{b}'" for k, b in enumerate(_BOUNDS))} END AS served_bound FROM h""",
     "backfill_progress": """WITH x AS (SELECT l_suppkey, floor(l_extendedprice * 100 + 0.5)::BIGINT AS cents, row_number() OVER o - 1 AS no, sum(floor(l_extendedprice * 100 + 0.5)::BIGINT) OVER o AS upto FROM lineitem
   WINDOW o AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, floor(l_extendedprice * 100 + 0.5)::BIGINT ROWS UNBOUNDED PRECEDING))
-SELECT l_suppkey, no // 50 AS batch, count(*) AS n, round(max(upto) / (max(no) + 1) / 100, 4) AS mean_so_far FROM x GROUP BY 1, 2""",
+SELECT l_suppkey, no // 50 AS batch, count(*) AS n, max(upto) / (max(no) + 1) / 100 AS mean_so_far FROM x GROUP BY 1, 2""",
     "delivered_events": """WITH x AS (SELECT event_type, user_id % 10 AS bucket, CASE WHEN event_id % 3 > 0 THEN value END AS v FROM events WHERE event_type IN ('error', 'view'))
 SELECT event_type, bucket, count(*) AS n, count(v) AS n_valued, round(avg(v), 4) AS mean FROM x WHERE coalesce(v >= 50, true) GROUP BY 1, 2""",
     "described_pages": """SELECT p_partkey AS page_id, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN p_name WHEN 2 THEN p_name || '|(graph)' ELSE '' END AS items, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS og_title,

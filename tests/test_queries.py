@@ -45,3 +45,13 @@ def test_entry_point(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_imports_without_a_session():
+    """The driver imports the entry before it starts Spark."""
+    import subprocess
+    import sys
+
+    root = Path(__file__).resolve().parent.parent
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 0"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
