@@ -1,7 +1,9 @@
 import math
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +116,52 @@ def test_scores_of_odd_documents(clashing, labels, no_labels, no_docs):
     assert len(rows) == clashing.count() and all(0 <= r["score"] <= 1 for r in rows)
     assert {r["score"] for r in quality.score(clashing, no_labels).collect()} == {0.5}
     assert quality.score(no_docs, labels).collect() == []
+
+
+def test_fit_minimises_the_pairs_logistic_loss():
+    """Against plain gradient descent on every term of the loss, written out pair by pair."""
+    rng = np.random.default_rng(4)
+    good, bad = rng.normal(0.4, 1, (30, 5)), rng.normal(-0.4, 1, (25, 5))
+    w = quality.fit(good, bad, pairs=400, steps=3000, ridge=1e-2)
+    draw = np.random.default_rng(quality.SEED)
+    i, j = draw.integers(30, size=400), draw.integers(25, size=400)
+    x = good[i] - bad[j]
+
+    def loss(v):
+        return np.mean(np.log1p(np.exp(-x @ v))) + 0.5e-2 * v @ v
+
+    v = np.zeros(5)
+    for _ in range(20_000):
+        v -= 0.3 * (1e-2 * v - x.T @ (1 / (1 + np.exp(x @ v))) / 400)
+    assert loss(w) <= loss(v) + 1e-4 and np.allclose(w, v, atol=0.05)
+
+
+def test_scores_by_brute_force(spark, corpus):
+    """Scores, fold and verdict of every document from features, weights, cut and spread computed one by one."""
+    docs, labels = corpus
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    known = {}
+    for r in labels.collect():
+        if r["quality"] is not None and r["doc_id"] is not None:
+            known[r["doc_id"]] = min(r["quality"], known.get(r["doc_id"], 1))
+    learn = {d: q for d, q in known.items() if zlib.crc32(str(d).encode()) % 5 and d in texts}
+    x = {d: quality.features(t).astype(np.float32).astype(float) for d, t in texts.items()}
+    # The order of the rows a model is fitted on decides which pairs are drawn, so weights agree but not to the last digit.
+    w = quality.fit(np.array([x[d] for d in learn if learn[d] == 1]), np.array([x[d] for d in learn if learn[d] == 0]))
+    raw = {d: float(quality.features(t) @ w) for d, t in texts.items()}
+    ranked = sorted(raw[d] for d in learn)
+    bad, good = (sorted(raw[d] for d in learn if learn[d] == q) for q in (0, 1))
+    cut = (ranked[len(bad) - 1] + ranked[len(bad)]) / 2
+    spread = (np.median(good) - np.median(bad)) / 2
+    want = {d: 1 / (1 + np.exp(-np.clip(4 * (r - cut) / spread + np.log(0.3 / 0.7), -40, 40))) for d, r in raw.items()}
+    rows = quality.score(docs, labels).collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    got = {r["doc_id"]: r["score"] for r in rows}
+    assert np.corrcoef([got[d] for d in got], [want[d] for d in got])[0, 1] > 0.98
+    assert sum((got[d] >= 0.3) == (want[d] >= 0.3) for d in got) >= 0.98 * len(got)
+
+
+def test_one_id_with_many_texts_is_learnt_once(spark, corpus):
+    docs, labels = corpus
+    many = docs.union(docs.filter("doc_id = 1").crossJoin(spark.range(500)).drop("id"))
+    assert len(quality.score(many, labels).collect()) == docs.count() + 500
