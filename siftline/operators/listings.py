@@ -26,6 +26,48 @@ def price(text: Column) -> Column:
     )
 
 
+# Signs and codes that each shop's prices are read by, in order.
+PRICE_RULES = {
+    "ebay": [("$", "USD"), ("£", "GBP"), ("€", "EUR"), ("US", "USD")],
+    "amazon": [("$", "USD"), ("£", "GBP"), ("€", "EUR"), ("CAD", "CAD")],
+    "walmart": [("$", "USD"), ("USD", "USD")],
+}
+# Words for a condition by source, in order, and what none of them means.
+CONDITION_RULES = {
+    "amazon": (
+        [
+            ("new", "new"), ("refurbished", "refurbished"), ("used - like new", "used_like_new"), ("used - very good", "used_very_good"),
+            ("used - good", "used_good"), ("used - acceptable", "used_acceptable"), ("used", "used_good"),
+        ],
+        "new",
+    ),
+    "walmart": ([("new", "new"), ("refurbished", "refurbished"), ("pre-owned", "used_good"), ("used", "used_good")], "new"),
+    "analysis": ([("new", "new"), ("used", "used"), ("refurbished", "refurbished"), ("parts", "parts"), ("not working", "parts")], "unknown"),
+}
+
+
+def price_of(text: Column, shop: str) -> Column:
+    """(amount, currency) as a shop's adapter reads it: USD where no sign of its own is found."""
+    currency = F
+    for sign, code in PRICE_RULES[shop]:
+        currency = currency.when(text.contains(sign), code)
+    return F.struct(price(text)["amount"].alias("amount"), currency.otherwise("USD").alias("currency"))
+
+
+def condition_of(text: Column, source: str) -> Column:
+    words, otherwise = CONDITION_RULES[source]
+    x, out = F.lower(F.coalesce(text, F.lit(""))), F
+    for word, value in words:
+        out = out.when(x.contains(word), value)
+    return out.otherwise(otherwise)
+
+
+def money(amount: Column, currency: Column) -> Column:
+    """Two decimals after the currency's sign; a dollar sign for all but pounds and euros."""
+    sign = F.when(currency == "GBP", "£").when(currency == "EUR", "€").otherwise("$")
+    return F.concat(sign, F.format_string("%.2f", amount))
+
+
 def shipping(text: Column) -> Column:
     return F.when(F.lower(text).contains("free"), 0.0).otherwise(
         F.replace(F.regexp_extract(text, r"\$([\d,]+\.?\d*)", 1), F.lit(","), F.lit("")).try_cast("double")

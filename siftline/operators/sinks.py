@@ -1,7 +1,13 @@
 """Shapes that sinks write: listing rows, event lines, metric text and upserts."""
 
+import functools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siftline.functions.urls import url_key
+
+SNAPSHOT = "url string, url_key string, content_hash string, content string, ts timestamp, part string"
+
 
 def csv_value(x: Column) -> Column:
     """Quoted if it holds a comma, a quote or a line break; quotes doubled; null is empty."""
@@ -10,6 +16,47 @@ def csv_value(x: Column) -> Column:
     return F.when(text.rlike('[",\n\r]'), quoted).otherwise(text)
 
 
+# Columns of a listing file.
+LISTING_COLUMNS = (
+    "id", "marketplace", "url", "title", "description", "price_amount", "price_currency", "original_price_amount",
+    "original_price_currency", "shipping_cost_amount", "shipping_cost_currency", "condition", "availability", "sold_date",
+    "quantity_available", "seller_id", "seller_name", "seller_rating", "seller_review_count", "seller_verified", "images",
+    "item_number", "category", "extracted_at", "extraction_method", "confidence", "raw_data_hash", "extractor_version",
+)
+
+
+def listing_rows(rows: DataFrame, **fields: Column) -> DataFrame:
+    """All columns of a listing file, in order: those given, and empty ones for the rest."""
+    return rows.select(*[fields.get(c, F.lit(None).cast("string")).alias(c) for c in LISTING_COLUMNS])
+
+
+def append_json(rows: DataFrame, path: str, *by: str) -> None:
+    """Append rows as lines of JSON, a folder for each value of `by`; null fields are left out."""
+    rows.write.mode("append").partitionBy(*by).json(path)
+
+
+def save_snapshots(pages: DataFrame, path: str, url: str, content: str, ts: str) -> None:
+    """Append versions of pages (url, content, ts), 256 folders by the start of the URL's key; the key, the content's hash
+    and the time are kept with each."""
+    key = url_key(F.col(url))
+    pages.select(
+        F.col(url).alias("url"), key.alias("url_key"), F.sha2(content, 256).alias("content_hash"), F.col(content).alias("content"), F.col(ts).alias("ts"),
+        F.substring(key, 1, 2).alias("part"),
+    ).write.mode("append").partitionBy("part").parquet(path)
+
+
+def latest_snapshots(spark, path: str, schema: str = SNAPSHOT) -> DataFrame:
+    """The newest version of each page, its folder left out."""
+    rows = spark.read.schema(schema).parquet(path)
+    return rows.groupBy("url_key").agg(F.max_by(F.struct("url", "content_hash", "content", "ts"), "ts").alias("v"), F.count("*").alias("versions")).select("url_key", "v.*", "versions")
+
+
+def report(parts: dict[str, DataFrame]) -> DataFrame:
+    """(section, line): a report's sections, each row a line of JSON, as one table to write as text or JSON."""
+    out = [df.select(F.lit(name).alias("section"), F.to_json(F.struct("*")).alias("line")) for name, df in parts.items()]
+    return functools.reduce(DataFrame.union, out)
+
+
 def csv_lines(rows: DataFrame, *columns: str) -> DataFrame:
     """(line): arrays are joined by |."""
     kinds = dict(rows.dtypes)

@@ -13,6 +13,18 @@ ORDER_FIELDS = {
     "seller": ["Seller", "Buyer Username"],
     "condition": ["Condition"],
 }
+LISTING_FIELDS = {
+    "item_id": ["Item Number", "Item ID"],
+    "title": ["Title", "Item Title"],
+    "price": ["Current Price", "Start Price", "Sold For", "Buy It Now Price"],
+    "quantity": ["Available Quantity", "Quantity", "Quantity Sold"],
+    "listed_on": ["Start Date"],
+    "ended_on": ["End Date"],
+    "condition": ["Condition"],
+    "category": ["Category", "Store Category"],
+    "image": ["Picture URL"],
+    "url": ["View Item URL"],
+}
 LISTING_MARKS = ("Start Price", "Current Price", "Format")
 ORDER_MARKS = ("Sales Record Number", "Order Number", "Order ID")
 DATE_FORMATS = ("yyyy-MM-dd", "M/d/yyyy", "d-MMM-yy", "d-MMM-yyyy")
@@ -62,6 +74,24 @@ def orders(raw: DataFrame) -> DataFrame:
     return rows.withColumn("errors", errors)
 
 
+def listed(raw: DataFrame) -> DataFrame:
+    """One row for each line of a listing export; a listing without an address gets that of its number."""
+    f = {name: first_of(raw, names) for name, names in LISTING_FIELDS.items()}
+    rows = raw.select(
+        f["item_id"].alias("item_id"), f["title"].alias("title"), amount(f["price"]).alias("price"), currency(f["price"]).alias("currency"),
+        F.coalesce(f["quantity"].try_cast("int"), F.lit(1)).alias("quantity"), date(f["listed_on"]).alias("listed_on"), date(f["ended_on"]).alias("ended_on"),
+        f["condition"].alias("condition"), f["category"].alias("category"), f["image"].alias("image"),
+        F.coalesce(f["url"], F.concat(F.lit("https://www.ebay.com/itm/"), f["item_id"])).alias("url"),
+    )
+    return rows.withColumn("errors", F.array_compact(F.array(*[F.when(F.col(c).isNull(), f"missing {c}") for c in ("item_id", "title", "price")])))
+
+
+def read_export(raw: DataFrame) -> tuple[str, DataFrame]:
+    """(kind, rows) of an export by its headers; an unknown one is read as orders, as most columns are theirs."""
+    kind = export_kind(raw.columns)
+    return kind, listed(raw) if kind == "listings" else orders(raw)
+
+
 def emails(spark: SparkSession, path: str) -> DataFrame:
     """(path, sender, recipient, subject, sent, body) of raw messages, one file each."""
     rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", "\r\n", "\n").alias("m"))
