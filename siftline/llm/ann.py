@@ -11,8 +11,10 @@ The sample of `SAMPLE` rows bounds what the driver learns from; everything else
 force is measured in the tests (0.9 at least).
 
 Defined results: vectors that are null, empty, zero, of another length than most, or hold null or non-finite
-components take no part; ties go to the smaller vec_id; repeated rows are candidates each, and ask once; an id with several vectors asks with each, and has ranks from 1 for each; rows without vec_id take no
-part; with fewer candidates than asked for, all that were found are returned; an empty table gives no rows.
+components take no part; ties go to the smaller vec_id; repeated rows are candidates each, and ask once; an id with
+several vectors asks with each, and has ranks from 1 for each; rows without vec_id take no part; with fewer candidates
+than asked for, all that were found are returned; texts and other columns, whatever their names, are not read; an empty
+table gives no rows.
 """
 
 from collections.abc import Iterator
@@ -26,9 +28,10 @@ from siftline.llm.common import materialise
 
 #: Rows that the partitioning and the classifier are fitted on, at most.
 SAMPLE = 8_192
-PARTS = 32
+#: Parts at most; a part has this many rows of the sample at least. Finer parts leave a query fewer rows to rank.
+PARTS, PER_PART = 128, 64
 #: Share of the true neighbours that routing has to reach on the sample.
-RECALL = 0.96
+RECALL = 0.95
 #: Sample queries that this is measured on, at most.
 PROBED = 1_024
 TOP = 20
@@ -122,23 +125,33 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
 
 
 def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Inner products of pairs of rows, summed component by component, so equal vectors always score equal."""
+    """Inner products of one vector, or of each row, with rows, summed component by component, so equal vectors always
+    score equal."""
     out = np.zeros(len(c))
     for k in range(c.shape[1]):
-        out += q[k] * c[:, k]
+        out += q[..., k] * c[:, k]
     return out
 
 
-def best(q_id: int, q: np.ndarray, near: np.ndarray, ids: np.ndarray, c: np.ndarray, top: int):
-    """(ids, scores) of the nearest candidates of one query; `near` preselects, exact sums decide."""
-    other = np.flatnonzero(ids != q_id)
-    if len(other) > top:
-        edge = np.partition(near[other], len(other) - top)[len(other) - top]
-        slack = 1e-9 * (1 + abs(edge) + np.abs(near[other]).max())
-        other = other[near[other] >= edge - slack]
-    score = exact(q, c[other])
-    order = np.lexsort((ids[other], -score))[:top]
-    return ids[other][order], score[order]
+def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's row, candidate's row, score) of the nearest candidates of some queries; fast products preselect, exact sums
+    decide."""
+    near = q @ c.T
+    near[q_ids[:, None] == ids] = -np.inf
+    if len(ids) > top:
+        edge = np.partition(near, len(ids) - top, axis=1)[:, len(ids) - top]
+        widest = np.abs(np.where(np.isfinite(near), near, 0.0)).max(axis=1)
+        slack = 1e-9 * (1 + widest)
+        keep = near >= np.where(np.isfinite(edge), edge - slack, -np.inf)[:, None]
+    else:
+        keep = np.ones(near.shape, bool)
+    row, col = np.nonzero(keep & np.isfinite(near))
+    score = exact(q[row], c[col])
+    order = np.lexsort((ids[col], -score, row))
+    row, col, score = row[order], col[order], score[order]
+    first = np.searchsorted(row, np.arange(len(q)))
+    held = np.arange(len(row)) - first[row] < top
+    return row[held], col[held], score[held]
 
 
 def nearest(
@@ -161,7 +174,7 @@ def nearest(
     rows = rows.filter(F.size("v") == dim)
     learn = rows.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(sample).toArrow()
     x = _matrix(learn.column("v").combine_chunks(), dim)
-    n_parts = max(1, min(parts, len(x) // 64))
+    n_parts = max(1, min(parts, len(x) // PER_PART))
     if n_parts > 1:
         graph = neighbour_graph(x, min(10, len(x) - 1))
         w, b = fit_router(x, balanced_parts(x, graph, n_parts, SEED), n_parts)
@@ -198,11 +211,8 @@ def nearest(
             ids, c = held.column("vec_id").to_numpy(), _matrix(held.column("v").combine_chunks(), dim)
             q_ids, keys, q = asking.column("vec_id").to_numpy(), asking.column("ask").to_numpy(), _matrix(asking.column("v").combine_chunks(), dim)
             for lo in range(0, len(q), _PAGE):
-                near = q[lo : lo + _PAGE] @ c.T
-                for k, line in enumerate(near):
-                    found, score = best(q_ids[lo + k], q[lo + k], line, ids, c, top)
-                    out[0].append(np.full(len(found), q_ids[lo + k])), out[1].append(found), out[2].append(score)
-                    out[3].append(np.full(len(found), keys[lo + k]))
+                row, col, score = best(q_ids[lo : lo + _PAGE], q[lo : lo + _PAGE], ids, c, top)
+                out[0].append(q_ids[lo + row]), out[1].append(ids[col]), out[2].append(score), out[3].append(keys[lo + row])
         flat = [np.concatenate([np.zeros(0, t), *o]) for o, t in zip(out, (np.int64, np.int64, np.float64, np.int64))]
         return pa.table({"query_id": flat[0], "vec_id": flat[1], "score": flat[2], "ask": flat[3]})
 

@@ -33,6 +33,17 @@ def test_odd_vectors_ties_and_copies(spark):
     assert found(rows[:5] + [(20, rows[7][1], 0)], spark) == brute(rows[:5] + [(20, rows[7][1], 0)])
 
 
+def test_other_columns_are_not_read(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.normal(size=8).astype(np.float32).tolist(), 0) for k in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    names = ["v", "d", "part", "salt", "asks", "ask", "to", "query_id", "rank", "score", "text"]
+    got, want = (sorted(map(tuple, ann.nearest(x).collect())) for x in (df.withColumns({n: F.lit("x" * 9999) for n in names}), df))
+    assert got == want and len(want) == 15 * 20
+
+
 def test_repeated_queries_keep_their_neighbours(spark):
     rng = np.random.default_rng(3)
     rows = [(k, rng.normal(size=8).astype(np.float32).tolist(), 0) for k in range(1, 60)]
