@@ -63,8 +63,10 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of `materialise` that no later plan reads."""
+    """Delete tables of `materialise` that no later plan reads; other DataFrames are left alone."""
     for t in tables:
+        if t not in _paths:
+            continue
         path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(_paths.pop(t))
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
@@ -88,7 +90,7 @@ def lookup(rows: DataFrame, right: DataFrame, keys: list[str], count: str, n_row
 
 def salts_for(rows: int) -> int:
     """Salts grow with the rows, so one key with any share of them still falls apart into tasks of bounded size."""
-    return max(16, -(-rows // ROWS_PER_SALT))
+    return max(64, -(-rows // ROWS_PER_SALT))
 
 
 def running_offsets(

@@ -21,7 +21,8 @@ Two texts of similarity 0.75 share no band with probability (1 - 0.75^4)^32 = 5e
 Defined results: null and empty texts, and those of white space, have no shingles and are linked with nothing; a row
 without doc_id has no component and is kept; rows that repeat an id and a text are in the same class, each with its
 row; an id that repeats with other texts has a class for each of them, and is `kept` where it is the smallest id of that
-text's component; an empty table gives no rows. `keep_one` goes by texts, not ids: of each component one row stays, a
+text's component; very long texts give long sets, held one at a time by a task; ties in size or similarity change
+nothing, as every link counts; other columns pass through whatever their names; an empty table gives no rows. `keep_one` goes by texts, not ids: of each component one row stays, a
 row of the first text (by text hash) in the component's first class.
 """
 
@@ -35,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from siftline.llm.common import materialise
+from siftline.llm.common import discard, lookup, materialise
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -198,17 +199,17 @@ def _written(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that links reach from each node that has links, itself left out.
+    """(node, component), written: the smallest node that links reach from each node that has links, itself left out.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): each hangs neighbours on the smallest one they
     know; rounds grow with the logarithm of the path length. Every step is an aggregation and a join on narrow rows.
     """
 
-    def hang(e: DataFrame, both_ways: bool) -> DataFrame:
+    def hang(e: DataFrame, both_ways: bool, n: int) -> DataFrame:
         if both_ways:
             e = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = e.groupBy(F.col("a").alias("_a")).agg(F.least(F.col("_a"), F.min("b")).alias("low"))
-        to = e.join(low, F.col("a") == F.col("_a"))
+        low = e.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("k"))
+        to = lookup(e, low.withColumn("low", F.least("a", "low")), ["a"], "k", n)  # the middle of a star has very many
         if both_ways:
             return to.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))
         hung = to.select(F.explode(F.array("a", "b")).alias("a"), F.col("low").alias("b"))
@@ -217,11 +218,16 @@ def components(links: DataFrame) -> DataFrame:
     mark = F.bit_xor(F.xxhash64("a", "b"))
     e, seen = _written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), x=mark)
     while seen.get("n"):
-        e, now = _written(hang(hang(e, True), False), x=mark)
+        before = e
+        n = 2 * seen["n"]
+        e, now = _written(hang(hang(e, True, n), False, n), x=mark)
+        discard(before)
         if now == seen:
             break
         seen = now
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    out = materialise(e.select(F.col("a").alias("node"), F.col("b").alias("component")))
+    discard(e)
+    return out
 
 
 def _close(a: str, b: str, percent: int) -> Column:
@@ -252,7 +258,9 @@ def _merged(found: DataFrame, new: DataFrame) -> DataFrame:
     moved = components(ends)
     to = moved.select(F.col("node").alias("component"), F.col("component").alias("_to"))
     kept = found.join(to, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
-    return materialise(kept.union(moved))  # what moved was a component's smallest node or had no links so far
+    out = materialise(kept.union(moved))  # what moved was a component's smallest node or had no links so far
+    discard(found, new, moved)
+    return out
 
 
 def _rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -302,6 +310,7 @@ def _closure(members: DataFrame, sketches: DataFrame, sets: DataFrame, percent:
     tested = spark.createDataFrame([], "a long, b long")
     a, b = (sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
     n_nodes, turn, before, last = sketches.count(), 0, 0.0, False
+    held, written = [], []
     now = members.select("band", "node", F.col("node").alias("of"))
     while True:
         # One member of each component of a bucket; the largest component's is the centre. Rounds after the first take
@@ -322,6 +331,8 @@ def _closure(members: DataFrame, sketches: DataFrame, sets: DataFrame, percent:
         before = left
         # Buckets whose nodes are all in one component have no say any more.
         open_ = materialise(now.join(centres, "band").select("band", "node", "of", "centre", "of_c"))
+        discard(centres, *held)
+        held = [open_]
         if last:
             pairs = _rare_pairs(open_.select("node", "of").distinct(), sets, percent)
         else:
@@ -333,15 +344,18 @@ def _closure(members: DataFrame, sketches: DataFrame, sets: DataFrame, percent:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = pairs.join(b, "b").join(a, "a").filter(_close("sketch_a", "sketch_b", percent)).select("a", "b")
         pairs, tries = _written(pairs)
+        written.append(pairs)
         new, got = _written(_links(pairs, _of_pairs(sets, pairs, tries.get("n", 0)), percent))
         if got.get("n"):
             found = _merged(found, new)
+        discard(new)
         if last:
             break
         last = turn > 0 and not got.get("n")
         tested = tested.union(pairs)
         now = open_.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("of"))
         turn += 1
+    discard(*held, *written)
     return found
 
 
@@ -350,37 +364,32 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     one that stands for its component, and is null for rows that have none."""
     rows = materialise(_texts(docs).mapInArrow(_signatures, _SCHEMA))
     named = rows.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    low = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("low")).select("set_key", "low.*")
+    low = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("low"), F.count("*").alias("copies"))
+    low = low.select("set_key", "low.*", "copies")
     # Numbers that follow the order of the ids, so the smallest node of a component has its smallest id.
     first = materialise(low.orderBy("doc_id", "set_key").withColumn("node", F.monotonically_increasing_id()))
-    classes = materialise(named.join(first, ["set_key", "doc_id", "text_hash"]).select("node", "bands"))
+    classes = materialise(named.join(first.drop("copies"), ["set_key", "doc_id", "text_hash"]).select("node", "bands"))
 
     members = classes.select(F.explode("bands").alias("band"), "node").distinct()
     shared = members.groupBy("band").agg(F.count("*").alias("_n")).filter("_n > 1").select("band")
     members = materialise(members.join(shared, "band"))
     paired = members.select("node").distinct()
-    sets = materialise(_full_sets(docs, first.join(paired, "node")).dropDuplicates(["node"]))
+    sets = materialise(_full_sets(docs, first.drop("copies").join(paired, "node")).dropDuplicates(["node"]))
     sketches = sets.select("node", F.struct("n_shingles", "n_samples", *_SKETCH).alias("sketch"))
-    sets = sets.select("node", "set")
-    found = _closure(members, sketches, sets, percent)
+    found = _closure(members, sketches, sets.select("node", "set"), percent)
+    discard(classes, members, sets)
 
     ids = first.select(F.col("node").alias("component"), F.col("doc_id").alias("component_id"))
     moved = found.join(ids, "component").select("node", "component_id")
     ends = first.join(moved, "node", "left").select(
-        F.col("set_key").alias("_key"),
-        F.col("text_hash").alias("_hash"),
-        F.col("doc_id").alias("_low"),
-        "component_id",
+        "set_key", F.col("text_hash").alias("_hash"), F.col("doc_id").alias("_low"), "component_id", "copies"
     )
-    out = rows.join(ends, (F.col("set_key") == F.col("_key")) & F.col("doc_id").isNotNull(), "left")
+    # A text with very many copies is dealt over many tasks.
+    classed = lookup(named.drop("bands"), ends, ["set_key"], "copies", rows.count())
     stands = F.col("component_id").isNull() & (F.col("doc_id") == F.col("_low")) & (F.col("text_hash") == F.col("_hash"))
-    return out.select(
-        "doc_id",
-        "text_hash",
-        "n_shingles",
-        F.coalesce("component_id", "_low", "doc_id").alias("component_id"),
-        F.when(F.col("_key").isNotNull(), stands).alias("first"),
-    )
+    classed = classed.select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "_low").alias("component_id"), stands.alias("first"))
+    rest = rows.filter(F.col("set_key").isNull() | F.col("doc_id").isNull())
+    return classed.union(rest.select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("boolean")))
 
 
 def near_duplicates(docs: DataFrame, percent: int = SIMILAR_PERCENT) -> DataFrame:
@@ -396,13 +405,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     odd = texts.groupBy(F.col("doc_id").alias("_odd_id"), F.col("text_hash").alias("_odd_hash"))
     odd = odd.agg(F.bool_or("first").alias("_odd_first"), F.count("*").alias("_odd_n"))
     odd = materialise(odd.filter("NOT _odd_first OR _odd_n > 1").drop("_odd_n"))
-    same = (F.col("doc_id").cast("long") == F.col("_odd_id")) & (F.xxhash64("text") == F.col("_odd_hash"))
-    out = docs.join(odd, same, "left_anti")
+    # Whole rows in one column, so no column of `docs` can be taken for one of ours.
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), F.xxhash64(*docs.columns).alias("_whole")
+    )
+    same = (F.col("_id") == F.col("_odd_id")) & (F.col("_hash") == F.col("_odd_hash"))
+    out = rows.join(odd, same, "left_anti").select("_row")
     repeated = odd.filter("_odd_first")
     if not repeated.isEmpty():
-        rows = docs.join(repeated, same).groupBy("_odd_id", "_odd_hash")
-        out = out.unionByName(rows.agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_odd_row")).select("_odd_row.*"))
-    return out
+        again = rows.join(repeated, same).groupBy("_odd_id", "_odd_hash")
+        out = out.union(again.agg(F.min_by("_row", "_whole").alias("_row")).select("_row"))
+    return out.select("_row.*")
 
 
 def oracle() -> str:
