@@ -1,17 +1,22 @@
-"""Exact removal of repeated passages by relative Lempel-Ziv factors.
+"""Exact removal of repeated passages by relative Lempel-Ziv parsing.
 
-Every window of 20 words that also starts earlier in the corpus is a repeat, and the words it covers go. Looking up
-every window would shuffle the corpus several times over, so the text is parsed into factors first:
+Every window of 20 words that also starts earlier in the corpus is a repeat, and the words it covers go. A document is
+parsed into phrases, each a run of words copied from a reference; what no phrase covers is new. References are not
+shipped to the documents: they are indexed, and the index is joined.
 
 1. Each window is owned by its smallest 5-word gram (the leftmost of equals), so equal windows always have equal
    owners, wherever they stand. The windows of one owner are one factor: about eight windows, one row with the
    owner's hash and a hash of all words the factor spans.
-2. Factors whose owner occurs once in the corpus have no repeats. Of the others, the first of equal factors (smallest
-   doc_id, then position) is the reference: every later equal factor repeats it whole, with all its windows.
+2. The index holds the first of equal factors (smallest doc_id, then position) of the whole corpus: every later equal
+   factor matches it, with all its windows. Factors whose owner occurs once in the corpus match nothing.
 3. Where one owner has several different references, a passage begins or ends inside them: only at these factor
-   boundaries windows are looked up one by one, again keeping the first.
+   boundaries windows are looked up one by one, again against the first.
+4. A document's matches against the same place of the same reference are joined into runs, and the parse goes greedily
+   from left to right: where it stands, the run that reaches furthest becomes the phrase.
 
-Copies and passages are thus settled by whole factors, and window rows exist only around the ends of passages.
+Copies and passages are thus settled by whole factors, and window rows exist only around the ends of passages. Every
+phrase follows the first occurrence of its words; a longer match that a later occurrence would give is not looked for,
+as it covers no other words.
 
 Defined results: null, empty and short texts (under 20 words) lose nothing; within equal ids, rows are one document if
 their texts are equal (each row reports it) and are ordered by the CRC of the text if not; a null id comes first; an
@@ -129,12 +134,44 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def strip(words: list[bytes], spans: list[dict]) -> list[bytes]:
-    """The words outside all spans [lo, hi)."""
+def phrases(spans: pa.Array | None) -> list[tuple[int, int, int, int]]:
+    """[(lo, hi, reference's d, its first word)]: the greedy parse by a document's matches, in order, without overlaps."""
+    if spans is None or not len(spans):
+        return []
+    lo, hi, d, t, at = (spans.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("lo", "hi", "d", "t", "at"))
+    order = np.lexsort((lo, at - lo, t, d))
+    lo, hi, d, t, at = (x[order] for x in (lo, hi, d, t, at))
+    other = np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | ((at - lo)[1:] != (at - lo)[:-1])])
+    # The furthest end so far along one reference; a match that begins beyond it begins another run.
+    key = np.cumsum(other) << 40
+    reach = np.maximum.accumulate(key + hi) - key
+    other[1:] |= lo[1:] > reach[:-1]
+    first = np.flatnonzero(other)
+    last = np.append(first[1:], len(lo)) - 1
+    runs = sorted(zip(lo[first].tolist(), reach[last].tolist(), d[first].tolist(), at[first].tolist()))
+    out, pos, k = [], 0, 0
+    while k < len(runs) or out:
+        furthest = None
+        while k < len(runs) and runs[k][0] <= pos:
+            furthest = max(furthest or runs[k], runs[k], key=lambda r: r[1])
+            k += 1
+        if furthest and furthest[1] > pos:
+            start, end, ref, first_word = furthest
+            out.append((pos, end, ref, first_word + pos - start))
+            pos = end
+        elif k < len(runs):
+            pos = runs[k][0]
+        else:
+            break
+    return out
+
+
+def strip(words: list[bytes], parse: list[tuple[int, int, int, int]]) -> list[bytes]:
+    """The words outside all phrases."""
     kept, at = [], 0
-    for lo, hi in sorted((s["lo"], s["hi"]) for s in spans):
+    for lo, hi, *_ in parse:
         kept += words[at:lo]
-        at = max(at, hi)
+        at = hi
     return kept + words[at:]
 
 
@@ -143,7 +180,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, gone, sha = [], [], []
         for x, spans in zip(b.column("text"), b.column("spans")):
             words = _bytes(x).split()
-            kept = strip(words, spans.as_py() or [])
+            kept = strip(words, phrases(spans.values))
             n.append(len(words)), gone.append(len(words) - len(kept))
             sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
         yield pa.RecordBatch.from_arrays(
@@ -161,7 +198,8 @@ def _key(docs: DataFrame, *keep: str | Column) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(d, t, spans): the word ranges [lo, hi) that repeats cover, one row for each document that has any.
+    """(d, t, spans): the matches of each document that has any, word ranges [lo, hi) and where their first occurrence
+    stands (d, t, at).
 
     Every join on hashes is a `lookup`, so an owner, factor or window that very many texts share is dealt over many tasks.
     """
@@ -177,7 +215,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     references = materialise(references)
     whole = lookup(shared, references.filter("k > 1"), ["owner", "whole"], "k", n_shared).filter(here != F.col("ref"))
     at, n = F.floor(F.col("place") / _SPAN), F.col("place") % _SPAN
-    span = F.struct(at.alias("lo"), (at + n + (WINDOW - 1)).alias("hi"))
+    there = F.floor(F.col("ref.place") / _SPAN).alias("at")
+    span = F.struct(at.alias("lo"), (at + n + (WINDOW - 1)).alias("hi"), F.col("ref.d").alias("d"), F.col("ref.t").alias("t"), there)
     factors = whole.select("d", "t", span.alias("span"))
 
     several = references.groupBy("owner").agg(F.count("*").alias("k")).filter("k > 1")
@@ -189,7 +228,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     firsts = windows.groupBy("window").agg(F.min(here).alias("first"), F.max(here).alias("last"), F.count("*").alias("k"))
     firsts = firsts.filter(F.col("first") != F.col("last")).select("window", "first", "k")
     late = lookup(windows, firsts, ["window"], "k", windows.count()).filter(here != F.col("first"))
-    edges = late.select("d", "t", F.struct(F.col("at").alias("lo"), (F.col("at") + WINDOW).alias("hi")).alias("span"))
+    span = F.struct(F.col("at").alias("lo"), (F.col("at") + WINDOW).alias("hi"), "first.d", "first.t", "first.at")
+    edges = late.select("d", "t", span.alias("span"))
     spans = materialise(factors.union(edges).groupBy("d", "t").agg(F.collect_list("span").alias("spans")))
     discard(shared, references, windows)
     return spans
@@ -199,6 +239,23 @@ def _with_spans(docs: DataFrame, *keep: str | Column) -> DataFrame:
     return _key(docs, *keep).join(repeats(docs), ["d", "t"], "left")
 
 
+def parsed(docs: DataFrame) -> DataFrame:
+    """(doc_id, lo, hi, ref_doc_id, ref_lo): the phrases of each row of `docs` in words, in order: words [lo, hi) are those
+    of the reference from ref_lo on."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            found = [phrases(spans.values) for spans in b.column("spans")]
+            row = pa.array(np.repeat(np.arange(len(found)), list(map(len, found))))
+            flat = np.array([x for f in found for x in f], np.int64).reshape(-1, 4)
+            cols = [pa.array(c) for c in np.ascontiguousarray(flat.T)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(row), cols[0], cols[1], cols[2], cols[3]], ["doc_id", "lo", "hi", "ref_doc_id", "ref_lo"])
+
+    rows = _with_spans(docs, F.col("doc_id").cast("long").alias("doc_id")).filter("spans IS NOT NULL").select("doc_id", "spans")
+    out = rows.mapInArrow(cut, "doc_id long, lo long, hi long, ref_doc_id long, ref_lo long")
+    return out.withColumn("ref_doc_id", F.nullif("ref_doc_id", F.lit(-(1 << 63))))
+
+
 def removed(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of each row of `docs`."""
     rows = _with_spans(docs, F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", "text", "spans")
@@ -212,10 +269,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         for b in slices(batches):
             out = []
             for x, spans in zip(b.column("_text"), b.column("_spans")):
-                ranges = spans.as_py()
-                out.append(
-                    b" ".join(strip(_bytes(x).split(), ranges)).decode("utf-8", "surrogatepass") if ranges else x.as_py()
-                )
+                parse = phrases(spans.values)
+                out.append(b" ".join(strip(_bytes(x).split(), parse)).decode("utf-8", "surrogatepass") if parse else x.as_py())
             yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(out, pa.string())], ["_row", "_text"])
 
     rest = [c for c in docs.columns if c != "text"]

@@ -154,6 +154,29 @@ def test_repeated_passages_go(spark, seed):
     assert Counter(tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()) == want
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_phrases_are_copies_of_their_references(spark, seed):
+    rows = passages(seed)
+    words = {d: WORD.findall(t) for d, t in rows}
+    want = {d: gone for (d, _, gone, *_) in brute_removed(rows)}
+    got = {}
+    for r in substring.parsed(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        n = r["hi"] - r["lo"]
+        assert words[r["doc_id"]][r["lo"] : r["hi"]] == words[r["ref_doc_id"]][r["ref_lo"] : r["ref_lo"] + n]
+        assert (r["ref_doc_id"], r["ref_lo"]) < (r["doc_id"], r["lo"])
+        got.setdefault(r["doc_id"], []).append((r["lo"], r["hi"]))
+    for d, spans in got.items():
+        assert all(a[1] <= b[0] for a, b in zip(sorted(spans), sorted(spans)[1:]))
+    assert {d: sum(hi - lo for lo, hi in s) for d, s in got.items()} == {d: n for d, n in want.items() if n}
+
+
+def test_a_whole_copy_is_one_phrase(spark):
+    text, other = prose(77, 3_000), prose(78, 200)
+    rows = [(1, text), (2, "x y z " + text + " end"), (3, other), (4, " ".join(text.split()[500:900]) + " " + other)]
+    got = substring.parsed(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id", "lo").collect()
+    assert [tuple(r) for r in got] == [(2, 3, 3_003, 1, 0), (4, 0, 400, 1, 500), (4, 400, 600, 3, 0)]
+
+
 def test_repeats_of_odd_documents(clashing, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in clashing.collect()]
     want = brute_removed(rows)
