@@ -7,6 +7,23 @@ from siftline.functions import html, scoring
 #: Order in which extractors are asked, which decides ties, with the confidence each has in itself.
 METHODS = {"reader": 0.9, "paragraphs": 0.6, "stripped": 0.3}
 
+# Page types with the weights of their signals; scores add up, the first largest type counts.
+PAGE_SIGNALS = [
+    ("login", 0.3, "title", r"log\s*in|sign\s*in"),
+    ("login", 0.2, "url", "login|signin|auth"),
+    ("search-results", 0.3, "head", "search|results"),
+    ("search-results", 0.3, "url", "[?&]q=|[?&]query=|[?&]search="),
+    ("article", 0.3, "html", '<article|class="article|role="article"'),
+    ("article", 0.2, "html", "byline|author|published"),
+    ("product", 0.3, "html", r"price|add.to.cart|buy.now|\$\d+"),
+    ("product", 0.2, "url", "product|item|sku"),
+    ("checkout", 0.4, "html", "checkout|payment|billing|shipping address"),
+    ("dashboard", 0.3, "named", "dashboard|admin|panel|overview"),
+    ("listing", 0.3, "url", "listing|catalog|browse|category"),
+    ("error", 0.4, "title", "404|not found|error|forbidden|500"),
+]
+PAGE_TYPES = list(dict.fromkeys(t for t, *_ in PAGE_SIGNALS))
+
 
 def candidates(pages: DataFrame) -> DataFrame:
     """(page_id, url, method, method_no, title, content, paragraph_count, confidence): a row for each extractor."""
@@ -152,3 +169,26 @@ def nodes(pages: DataFrame) -> DataFrame:
     sure = scoring.node_confidence(F.lit(0.62), F.length("text"), F.col("is_heading"))
     label = F.concat_ws(":", "url", F.col("node_no").cast("string"), F.substring("text", 1, 64))
     return rows.select("page_id", "node_no", "text", "is_heading", sure.alias("confidence"), F.sha2(label, 256).alias("node_hash"))
+
+
+def page_types(pages: DataFrame) -> DataFrame:
+    """(page_id, page_type, confidence) by the signals in a page's title, URL and first 10,000 characters."""
+    rows = pages.select(
+        "page_id",
+        F.lower(F.substring("html", 1, 10000)).alias("html"),
+        F.lower(html.title(F.col("html"))).alias("title"),
+        F.lower("url").alias("url"),
+    )
+    rows = rows.withColumn("named", F.concat_ws(" ", "title", "url"))
+    rows = rows.withColumn("head", F.concat_ws(" ", "title", "html"))
+    scores = {
+        t: sum((F.when(F.col(where).rlike(p), w).otherwise(0.0) for k, w, where, p in PAGE_SIGNALS if k == t), F.lit(0.0))
+        for t in PAGE_TYPES
+    }
+    rows = rows.select("page_id", *[s.alias(f"s_{k}") for k, s in enumerate(scores.values())])
+    best = F.greatest(*[F.col(f"s_{k}") for k in range(len(PAGE_TYPES))])
+    kind = F
+    for k, t in enumerate(PAGE_TYPES):
+        kind = kind.when((F.col(f"s_{k}") == best) & (best > 0), t)
+    sure = F.least(F.greatest(best, F.lit(0.1)), F.lit(0.95))
+    return rows.select("page_id", kind.otherwise("unknown").alias("page_type"), F.round(sure, 9).alias("confidence"))
