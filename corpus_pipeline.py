@@ -4,14 +4,15 @@ Each stage works on all that its predecessor kept. All but the last return the c
 the pieces of `siftline.llm.packing` (doc_id, piece, start, length, ids_crc32, sequence_id, offset). A document that
 the mix takes twice has two rows from there on, and its pieces are packed twice.
 
-Defined results for nulls, empty texts, repeated rows and empty tables are those of the operators.
+Defined results for nulls, empty and very long texts, ties, repeated rows, empty tables and other columns are those of
+the operators; the columns of `documents` come through the first four stages whatever their names.
 """
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from siftline.llm import mixing, neardup, packing, rules, substring
-from siftline.llm.common import materialise
+from siftline.llm.common import discard, materialise
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the whole of `documents`, each written and read again, so none replays those before it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir))
+        discard(before)
     return docs
