@@ -7,7 +7,9 @@ solution is a list of patterns (lengths and how many sequences hold them); each
 its running number among the pieces of its length.
 
 Defined results: a null or empty text is one piece, the end token alone; a row of the input is a document, so repeated
-ids or rows are packed as often as they occur; null ids pass through; an empty table gives no rows.
+ids or rows are packed as often as they occur; null ids pass through; very long texts are cut into pieces, one text at a
+time; pieces of equal length are interchangeable, so which of them goes where is settled by their running number; other
+columns are not read; an empty table gives no rows.
 """
 
 import base64
@@ -123,14 +125,15 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tup
 
 def _sums_stay_within(sizes: list[int], k: int, room: int) -> bool:
     """Whether no two or more of these lengths (each as often as one likes) have a sum above k that fits the room."""
-    if 2 * sizes[0] > room:
-        return True
-    if 3 * sizes[0] <= room:  # three fit: claim nothing
-        return False
-    for a in sizes:
-        at = bisect_left(sizes, room - a + 1) - 1
-        if at >= 0 and a + sizes[at] > k:
+    fits = (1 << room + 1) - 1
+    sums = sum(1 << s for s in sizes)  # bit s: a sum of s
+    for _ in range(room // sizes[0] - 1):
+        longer = 0
+        for s in sizes:
+            longer |= sums << s & fits
+        if longer >> k + 1:
             return False
+        sums = longer
     return True
 
 
