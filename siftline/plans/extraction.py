@@ -8,7 +8,11 @@ from siftline.operators.extraction import PAGE_SIGNALS, PAGE_TYPES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table's rows. Texts in fewer splits than there are cores, so a small table in one file, are dealt over all of them,
+    as matching patterns costs far more than moving a few megabytes; larger tables stay as they are."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    few = name in ("pages", "documents") and rows.rdd.getNumPartitions() < cores
+    return rows.repartition(cores) if few else rows
 
 
 def extraction_scores(spark, sf_dir):
