@@ -1,9 +1,11 @@
-"""The queries op1 to op10, each applying one operator with production parameters to its whole table, and their SQL."""
+"""The queries op1 to op13, each applying one operator with production parameters to its whole table, and their SQL."""
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import ann, chat, mixing, neardup, packing, quality, rules, sharding, substring, token_counts
+from siftline.llm import (
+    ann, chat, clustering, mixing, neardup, packing, periods, quality, quantised, rules, sharding, substring, token_counts
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +55,18 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.takes(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantised.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -66,13 +80,18 @@ QUERIES = {
         op8_chat_collapse,
         op9_learned_partitions,
         op10_source_mixing,
+        op11_centroid_clustering,
+        op12_periodic_runs,
+        op13_embedding_neardup,
     )
 }
-#: None for tokenisers, trained models, random draws and approximate search; tests hold those against brute force.
+#: None for tokenisers, trained models, random draws, approximate search and runs; tests hold those against brute force.
 ORACLE_SQL = {
     "op4_quality_rules": rules.oracle(),
     "op5_minhash_neardup": neardup.oracle(),
     "op6_extendible_sharding": sharding.oracle(),
     "op7_substring_dedup": substring.oracle(),
     "op8_chat_collapse": chat.oracle(),
+    "op11_centroid_clustering": clustering.oracle(),
+    "op13_embedding_neardup": quantised.oracle(),
 }
