@@ -3,9 +3,14 @@
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from siftline.functions import html, scoring
+from siftline.operators import elements
 
 #: Order in which extractors are asked, which decides ties, with the confidence each has in itself.
 METHODS = {"reader": 0.9, "paragraphs": 0.6, "stripped": 0.3}
+#: Characters that a paragraph of an article has at least.
+MIN_TEXT = 20
+#: Elements that are nodes of a page.
+NODES = ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6")
 
 # Page types with the weights of their signals; scores add up, the first largest type counts.
 PAGE_SIGNALS = [
@@ -25,15 +30,27 @@ PAGE_SIGNALS = [
 PAGE_TYPES = list(dict.fromkeys(t for t, *_ in PAGE_SIGNALS))
 
 
-def candidates(pages: DataFrame) -> DataFrame:
-    """(page_id, url, method, method_no, title, content, paragraph_count, confidence): a row for each extractor."""
-    article = F.regexp_extract("html", r"(?i)<article[^>]*>([\s\S]*?)</article>", 1)
-    base = pages.select("page_id", "url", html.title(F.col("html")).alias("_title"), html.heading(F.col("html")).alias("_h1"), article.alias("_article"), "html")
+def paragraphs(pages: DataFrame) -> DataFrame:
+    """`pages` with `texts`, the whole text of each `<p>` that has any, `inner`, those of 20 characters and more that stand
+    in the first `<article>`, and `heading`, the text of the first `<h1>`."""
+    rows = elements.with_elements(pages, ["article", "h1", "p"], texts=["h1", "p"])
+    article = F.get(elements.find("article"), F.lit(0))
+
+    def texts(found: Column, least: int) -> Column:
+        return F.filter(F.transform(found, lambda e: html.collapse(e["text"])), lambda x: F.length(x) >= least)
+
+    return rows.withColumns(
+        {
+            "texts": texts(elements.find("p"), 1),
+            "inner": F.coalesce(texts(elements.inside(article, elements.find("p")), MIN_TEXT), F.array().cast("array<string>")),
+            "heading": F.coalesce(html.collapse(F.get(elements.find("h1"), F.lit(0))["text"]), F.lit("")),
+        }
+    ).drop("flow", "elements")
 
-    def texts(source: str) -> Column:
-        return F.filter(F.transform(html.blocks(F.col(source), "p|b|br|i|em"), html.collapse), lambda x: F.length(x) >= 20)
 
-    base = base.withColumn("_in", texts("_article")).withColumn("_all", texts("html"))
+def candidates(pages: DataFrame) -> DataFrame:
+    """(page_id, url, method, method_no, title, content, paragraph_count, confidence): a row for each extractor."""
+    base = paragraphs(pages.select("page_id", "url", "html")).withColumns({"_title": html.title(F.col("html")), "_in": F.col("inner"), "_all": F.col("texts"), "_h1": F.col("heading")})
     made = {
         "reader": (F.when(F.col("_h1") != "", F.col("_h1")).otherwise(F.col("_title")), F.array_join("_in", "\n\n"), F.size("_in")),
         "paragraphs": (F.col("_title"), F.array_join("_all", "\n\n"), F.size("_all")),
@@ -158,14 +175,15 @@ def confidence(scored: DataFrame) -> DataFrame:
 
 
 def nodes(pages: DataFrame) -> DataFrame:
-    """(page_id, node_no, text, is_heading, confidence, node_hash): the text blocks of a page in document order.
+    """(page_id, node_no, text, is_heading, confidence, node_hash): paragraphs, list items and headings of a page in document
+    order, each with its whole text, links written as `label (link: href)`.
 
-    Blocks without text are left out but keep their number.
+    Nodes without text are left out but keep their number.
     """
-    marked = F.regexp_extract_all("html", F.lit(r"(?i)<((?:p|li|h[1-6])(?:\s[^>]*)?>[^<]*)"), F.lit(1))
-    rows = pages.select("page_id", "url", F.posexplode(marked).alias("node_no", "_raw"))
-    rows = rows.withColumn("text", html.collapse(F.regexp_replace("_raw", "^[^>]*>", ""))).filter(F.length("text") > 0)
-    rows = rows.withColumn("is_heading", F.col("_raw").rlike("^[hH][1-6]"))
+    rows = elements.with_elements(pages.select("page_id", "url", "html"), NODES, texts=NODES)
+    rows = rows.select("page_id", "url", F.posexplode("elements").alias("node_no", "_e"))
+    rows = rows.withColumn("text", html.collapse(F.col("_e.linked"))).filter(F.length("text") > 0)
+    rows = rows.withColumn("is_heading", F.col("_e.tag").startswith("h"))
     sure = scoring.node_confidence(F.lit(0.62), F.length("text"), F.col("is_heading"))
     label = F.concat_ws(":", "url", F.col("node_no").cast("string"), F.substring("text", 1, 64))
     return rows.select("page_id", "node_no", "text", "is_heading", sure.alias("confidence"), F.sha2(label, 256).alias("node_hash"))

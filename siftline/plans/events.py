@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import html
 from siftline.operators import assembly, extraction
-from siftline.plans.extraction import SCORED_SQL, _reason_sql, table
+from siftline.plans.extraction import NODE_SQL, SCORED_SQL, _reason_sql, table
 
 MAX_NODES = 5
 
@@ -12,8 +12,7 @@ MAX_NODES = 5
 def _chosen(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     scored = extraction.score_candidates(extraction.candidates(pages))
-    texts = F.filter(F.transform(html.blocks(F.col("html"), "p|b|br|i|em"), html.collapse), lambda x: F.length(x) >= 20)
-    return assembly.complete(scored, pages.select("page_id", texts.alias("texts")))
+    return assembly.complete(scored, extraction.paragraphs(pages.select("page_id", "html")).select("page_id", "texts"))
 
 
 def completeness_guard(spark, sf_dir):
@@ -55,12 +54,7 @@ _GUARD = f"""WITH {SCORED_SQL}, low AS (
     CASE WHEN o.page_id IS NOT NULL THEN 'other' WHEN len(f) > 0 THEN 'filled' ELSE 'kept' END AS action
   FROM low l JOIN fill USING (page_id) LEFT JOIN other o USING (page_id)
 )"""
-_NODES = r"""raw AS (
-  SELECT page_id, url, unnest(l) AS r, unnest(range(len(l)))::INTEGER AS node_no
-  FROM (SELECT page_id, url, regexp_extract_all(html, '<((?:p|li|h[1-6])(?:\s[^>]*)?>[^<]*)', 1, 'i') AS l FROM pages)
-), node AS (
-  SELECT page_id, url, node_no, trim(regexp_replace(regexp_replace(r, '^[^>]*>', ''), '\s+', ' ', 'g')) AS text, regexp_matches(r, '^[hH][1-6]') AS heading FROM raw
-), kept AS (
+_NODES = rf"""{NODE_SQL}, kept AS (
   SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY node_no) AS k, count(*) OVER (PARTITION BY page_id) AS n_all FROM node WHERE length(text) > 0
 )"""
 _EVENTS = f"""{_GUARD}, {_NODES}, walled AS (

@@ -72,16 +72,41 @@ _STRIP = f"regexp_replace({_STRIP}, '<[^>]+>', ' ', 'g')"
 for _e, _c in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''")):
     _STRIP = f"replace({_STRIP}, '{_e}', '{_c}')"
 STRIP_SQL = rf"trim(regexp_replace({_STRIP}, '\s+', ' ', 'g'))"
-_TEXTS = r"list_filter(list_transform(regexp_extract_all({0}, '<(?:p|b|br|i|em)(?:\s[^>]*)?>([^<]*)', 1, 'i'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) >= 20)"
+# Elements by another route: the page is cut before every tag of a block, so a piece that begins with the start tag of one
+# holds its text, as long as no block stands within another's text, as is so in these pages.
+_CUTS = "p|li|h[1-6]|div|article|nav|footer|ul|body|html|head|title|style|script"
+PIECES_SQL = rf"string_split(regexp_replace(regexp_replace(html, '<!--[\s\S]*?-->', '', 'g'), '<(/?(?:{_CUTS})[\s>])', chr(1) || '<\1', 'gi'), chr(1))"
+
+
+def decoded_sql(x: str) -> str:
+    """Text of a piece: no tags, characters for references, white space collapsed."""
+    x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+    for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("#39", "''"), ("nbsp", " ")):
+        x = f"replace({x}, '&{name};', '{char}')"
+    return rf"trim(regexp_replace(regexp_replace({x}, '&amp;?', '&', 'g'), '\s+', ' ', 'g'))"
+
+
+def _texts_sql(tag: str, least: int) -> str:
+    return rf"list_filter(list_transform(list_filter({{0}}, lambda x: regexp_matches(x, '^<{tag}[\s>]', 'i')), lambda x: {decoded_sql('x')}), lambda x: length(x) >= {least})"
+
+
+_LINKS = r"""regexp_replace(x, '<a\s[^>]*href="([^"]*)"[^>]*>\s*([^<]*?)\s*</a>', '\2 (link: \1)', 'gi')"""
+NODE_SQL = rf"""node0 AS (
+  SELECT page_id, url, unnest(l) AS x, unnest(range(len(l)))::INTEGER AS node_no
+  FROM (SELECT page_id, url, list_filter({PIECES_SQL}, lambda x: regexp_matches(x, '^<(p|li|h[1-6])[\s>]', 'i')) AS l FROM pages)
+), node AS (
+  SELECT page_id, url, node_no, {decoded_sql(_LINKS)} AS text, regexp_matches(x, '^<h[1-6]', 'i') AS heading FROM node0
+)"""
 _TITLE = r"trim(regexp_replace(regexp_extract(html, '<title[^>]*>([^<]*)', 1, 'i'), '\s+', ' ', 'g'))"
 
 SCORED_SQL = rf"""
 base AS (
   SELECT page_id, url, html, {_TITLE} AS t,
-    trim(regexp_replace(regexp_extract(html, '<h1[^>]*>([^<]*)', 1, 'i'), '\s+', ' ', 'g')) AS h1,
-    {_TEXTS.format(r"regexp_extract(html, '<article[^>]*>([\s\S]*?)</article>', 1, 'i')")} AS inside,
-    {_TEXTS.format("html")} AS every
-  FROM pages
+    coalesce({_texts_sql("h1", 0).format("pieces")}[1], '') AS h1, {_texts_sql("p", 1).format("pieces")} AS every,
+    {_texts_sql("p", extraction.MIN_TEXT).format("within")} AS inside
+  FROM (SELECT *, list_slice(pieces, list_position(list_transform(pieces, lambda x: regexp_matches(x, '^<article[\s>]', 'i')), true),
+    list_position(list_transform(pieces, lambda x: regexp_matches(x, '^</article', 'i')), true)) AS within
+    FROM (SELECT page_id, url, html, {PIECES_SQL} AS pieces FROM pages))
 ), cand AS (
   SELECT page_id, url, 'reader' AS method, 0 AS no, CASE WHEN h1 <> '' THEN h1 ELSE t END AS title,
     array_to_string(inside, chr(10) || chr(10)) AS content, len(inside) AS paragraph_count, 0.9 AS confidence FROM base
@@ -157,16 +182,11 @@ SELECT page_id, round(extraction, 6) AS extraction, round(quality, 6) AS quality
     + CASE WHEN n > 1200 THEN 0.1 WHEN n < 400 THEN -0.08 ELSE 0.0 END + CASE WHEN paragraph_count > 5 THEN 0.05 ELSE 0.0 END, 0.2), 0.95) AS v,
     CASE {_WALL} ELSE 0 END AS walled FROM best)
 SELECT page_id, method, round(CASE WHEN walled = 1 THEN least(v, 0.15) ELSE v END::DOUBLE, 9) AS confidence FROM c""",
-    "page_nodes": r"""WITH raw AS (
-  SELECT page_id, url, unnest(l) AS r, unnest(range(len(l)))::INTEGER AS node_no
-  FROM (SELECT page_id, url, regexp_extract_all(html, '<((?:p|li|h[1-6])(?:\s[^>]*)?>[^<]*)', 1, 'i') AS l FROM pages)
-), t AS (
-  SELECT page_id, url, node_no, trim(regexp_replace(regexp_replace(r, '^[^>]*>', ''), '\s+', ' ', 'g')) AS text, regexp_matches(r, '^[hH][1-6]') AS is_heading FROM raw
-)
-SELECT page_id, node_no, text, is_heading,
-  round(least(greatest(0.62 + CASE WHEN is_heading THEN 0.02 WHEN length(text) > 200 THEN 0.04 WHEN length(text) < 40 THEN -0.08 ELSE 0.0 END, 0.1), 0.98)::DOUBLE, 9) AS confidence,
+    "page_nodes": rf"""WITH {NODE_SQL}
+SELECT page_id, node_no, text, heading AS is_heading,
+  round(least(greatest(0.62 + CASE WHEN heading THEN 0.02 WHEN length(text) > 200 THEN 0.04 WHEN length(text) < 40 THEN -0.08 ELSE 0.0 END, 0.1), 0.98)::DOUBLE, 9) AS confidence,
   sha256(url || ':' || node_no::VARCHAR || ':' || left(text, 64)) AS node_hash
-FROM t WHERE length(text) > 0""",
+FROM node WHERE length(text) > 0""",
     "gated_pages": f"""WITH b AS (SELECT 'page' AS kind, page_id AS id, html AS body FROM pages UNION ALL SELECT 'document', doc_id, text FROM documents),
 r AS (SELECT kind, id, {_reason_sql(html.CHALLENGES)} AS challenge, {_reason_sql(html.WALLS)} AS wall FROM b)
 SELECT *, challenge IS NOT NULL OR wall IS NOT NULL AS is_gated FROM r""",
