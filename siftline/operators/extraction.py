@@ -189,6 +189,20 @@ def nodes(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "node_no", "text", "is_heading", sure.alias("confidence"), F.sha2(label, 256).alias("node_hash"))
 
 
+def observations(pages: DataFrame) -> DataFrame:
+    """(page_id, links, headings, n_links, n_inputs, n_images): what an agent is told of a page: the first twenty links of its
+    first navigation, its first ten headings that have text, and counts."""
+    rows = elements.with_elements(pages.select("page_id", "html"), ["nav", *NODES[2:], "a", "input", "select", "textarea", "img"], texts=[*NODES[2:], "a"])
+    nav = F.get(elements.find("nav"), F.lit(0))
+    said = lambda e: html.collapse(e["text"])
+    links = F.coalesce(F.transform(elements.inside(nav, elements.find("a")), said), F.array().cast("array<string>"))
+    headings = F.filter(F.transform(elements.find(" ".join(NODES[2:])), said), lambda x: x != "")
+    return rows.select(
+        "page_id", F.array_join(F.slice(links, 1, 20), "|").alias("links"), F.array_join(F.slice(headings, 1, 10), "|").alias("headings"),
+        F.size(elements.find("a")).alias("n_links"), F.size(elements.find("input select textarea")).alias("n_inputs"), F.size(elements.find("img")).alias("n_images"),
+    )
+
+
 def page_types(pages: DataFrame) -> DataFrame:
     """(page_id, page_type, confidence) by the signals in a page's title, URL and first 10,000 characters."""
     rows = pages.select(

@@ -3,43 +3,56 @@
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from siftline.functions import html
+from siftline.operators import elements
 
 # Containers that are looked at, and names that speak against or for one.
 CONTAINERS = ("article", "main", "section", "nav", "aside", "footer", "div")
+SEMANTIC = ("article", "main", "section")
+DIVIDED = ("div", "article", "section")
 BAD_NAMES = ("nav", "menu", "sidebar", "footer", "header", "ad", "comment", "social", "share")
 GOOD_NAMES = ("article", "content", "post", "story", "main")
-MAX_TABLES, MAX_ROWS = 50, 500
-ATTRIBUTE = r"""(?i)\b{0}\s*=\s*["']?([^"'>\s]*)"""
+MAX_TABLES, MAX_ROWS, MAX_LINKED = 50, 500, 0.4
 
 
 def containers(pages: DataFrame) -> DataFrame:
-    """(page_id, tag, no, names, inner): innermost containers of each kind, in order of appearance."""
-    parts = []
-    for tag in CONTAINERS:
-        found = F.regexp_extract_all("html", F.lit(rf"(?i)<{tag}(?:\s[^>]*)?>[\s\S]*?</{tag}>"), F.lit(0))
-        parts.append(F.struct(F.lit(tag).alias("tag"), found.alias("found")))
-    rows = pages.select("page_id", F.inline(F.array(*parts))).select("page_id", "tag", F.posexplode("found").alias("no", "_x"))
-    head = F.regexp_extract("_x", "^<[^>]*>", 0)
-    names = F.lower(F.concat_ws(" ", F.regexp_extract(head, ATTRIBUTE.format("class"), 1), F.regexp_extract(head, ATTRIBUTE.format("id"), 1)))
-    return rows.select("page_id", "tag", "no", names.alias("names"), F.regexp_replace("_x", "^<[^>]*>", "").alias("inner"))
+    """(page_id, tag, no, element, last, names, candidate, length, paragraphs, linked): the containers of a page at any depth.
+
+    `no` counts those of a tag, `element` and `last` are the interval of elements inside. What is inside is counted by
+    running sums over a page's elements: the sum at a container's last element less that at its first. Candidates are
+    the articles, main parts, sections and what is named content; on pages without any the divisions.
+    """
+    rows = elements.with_elements(pages.select("page_id", "html")).select("page_id", F.inline("elements"))
+    order = W.partitionBy("page_id").orderBy("no")
+    names = F.lower(F.concat_ws(" ", F.col("attrs")["class"], F.col("attrs")["id"]))
+    content = F.array_contains(F.split(F.coalesce(F.col("attrs")["class"], F.lit("")), r"\s+"), "content")
+    named = content | (F.coalesce(F.col("attrs")["id"], F.lit("")) == "content") | (F.coalesce(F.col("attrs")["role"], F.lit("")) == "main")
+    size = F.col("end") - F.col("start")
+    rows = rows.select(
+        "page_id", "tag", "no", "last", names.alias("names"), (named | F.col("tag").isin(*SEMANTIC)).alias("semantic"), size.alias("length"),
+        F.sum((F.col("tag") == "p").cast("int")).over(order).alias("p"), F.sum(F.when(F.col("tag") == "a", size).otherwise(0)).over(order).alias("a"),
+    )
+    held = rows.filter(F.col("tag").isin(*CONTAINERS) | F.col("semantic"))
+    of_page = W.partitionBy("page_id")
+    divided = ~F.max("semantic").over(of_page) & F.col("tag").isin(*DIVIDED)
+    held = held.withColumn("candidate", F.col("semantic") | divided)
+    held = held.withColumn("at", F.row_number().over(W.partitionBy("page_id", "tag").orderBy("no")) - 1)
+    ends = rows.select("page_id", F.col("no").alias("last"), F.col("p").alias("p_end"), F.col("a").alias("a_end"))
+    inside = [(F.col("p_end") - F.col("p")).cast("int").alias("paragraphs"), (F.col("a_end") - F.col("a")).cast("int").alias("linked")]
+    return held.join(ends, ["page_id", "last"]).select("page_id", "tag", F.col("at").alias("no"), F.col("no").alias("element"), "last", "names", "candidate", "length", *inside)
 
 
 def score_containers(rows: DataFrame) -> DataFrame:
     """Text length (5 at most), two points for each paragraph, minus ten times the share of link text, and names."""
-    text = html.strip_html(F.col("inner"))
-    linked = F.aggregate(html.blocks(F.col("inner"), "a"), F.lit(0), lambda n, x: n + F.length(F.trim(x)))
-    paragraphs = F.size(F.regexp_extract_all("inner", F.lit(r"(?i)<p(?:\s[^>]*)?>"), F.lit(0)))
-    out = rows.select("page_id", "tag", "no", "names", F.length(text).alias("length"), paragraphs.alias("paragraphs"), linked.alias("linked"))
     named = sum((F.when(F.col("names").contains(n), -5).otherwise(0) for n in BAD_NAMES), F.lit(0))
     named = named + sum((F.when(F.col("names").contains(n), 3).otherwise(0) for n in GOOD_NAMES), F.lit(0))
     density = F.when(F.col("length") > 0, F.col("linked") / F.col("length")).otherwise(0.0)
-    return out.withColumn("score", F.least(F.col("length") / 1000, F.lit(5.0)) + F.col("paragraphs") * 2 - density * 10 + named)
+    return rows.withColumn("score", F.least(F.col("length") / 1000, F.lit(5.0)) + F.col("paragraphs") * 2 - density * 10 + named)
 
 
 def chosen_containers(scored: DataFrame, share: float = 0.7) -> DataFrame:
-    """The best containers of each page, until their scores pass `share` of all positive ones."""
-    order = W.partitionBy("page_id").orderBy(F.desc("score"), "tag", "no")
-    good = scored.filter("score > 0")
+    """The best candidates of each page, until their scores reach `share` of all positive ones."""
+    order = W.partitionBy("page_id").orderBy(F.desc("score"), "element")
+    good = scored.filter("score > 0 AND candidate")
     before = F.coalesce(F.sum("score").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     total = F.sum("score").over(W.partitionBy("page_id"))
     ranked = good.withColumns({"_before": F.round(before, 9), "_total": F.round(total * share, 9), "place": F.row_number().over(order)})
@@ -74,25 +87,54 @@ def metadata(pages: DataFrame) -> DataFrame:
 
 
 def tables(pages: DataFrame) -> DataFrame:
-    """(page_id, table_no, row_no, values): the rows of each innermost table as maps from header to cell.
+    """(page_id, table_no, row_no, caption, values): the rows of each outermost table as maps from header to cell.
 
-    Headers are the cells of the first row. Tables with mostly link text and long ones of a single column are layout.
+    Headers are the cells of `<thead>`'s first row, or else those of the table's first row, if they are all `<th>` or
+    there are further rows. Rows are those of the body, or all that aren't in the head. Cells without a header, beyond
+    the last one or under an empty one, are `column_N`; of equal headers all but the first get their number; rows
+    without text go. Tables of mostly link text and long ones of a single column are layout.
     """
-    found = F.slice(F.regexp_extract_all("html", F.lit(r"(?i)<table(?:\s[^>]*)?>((?:(?!<table)[\s\S])*?)</table>"), F.lit(1)), 1, MAX_TABLES)
-    rows = pages.select("page_id", F.posexplode(found).alias("table_no", "_t"))
-    cells = F.transform(
-        F.regexp_extract_all("_t", F.lit(r"(?i)<tr(?:\s[^>]*)?>([\s\S]*?)(?:</tr>|(?=<tr)|$)"), F.lit(1)),
-        lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?i)<t[hd](?:\s[^>]*)?>([\s\S]*?)(?:</t[hd]>|(?=<t[hd])|$)"), F.lit(1)), html.strip_html),
-    )
-    linked = F.aggregate(html.blocks(F.col("_t"), "a"), F.lit(0), lambda n, x: n + F.length(F.trim(x)))
-    rows = rows.select("page_id", "table_no", cells.alias("c"), (linked / F.greatest(F.length(html.strip_html(F.col("_t"))), F.lit(1))).alias("_l"))
-    wide = F.array_max(F.transform("c", F.size))
-    rows = rows.filter((F.col("_l") <= 0.4) & (F.size("c") > 1) & ~((wide <= 1) & (F.size("c") >= 10)))
-    head = F.transform(F.get("c", F.lit(0)), lambda h, k: F.when(h != "", h).otherwise(F.concat(F.lit("column_"), (k + 1).cast("string"))))
-    rows = rows.withColumn("h", head).select("page_id", "table_no", "h", F.posexplode(F.slice("c", 2, MAX_ROWS)).alias("row_no", "_r"))
-    n = F.least(F.size("h"), F.size("_r"))
-    keys = F.transform(F.slice("h", F.lit(1), n), lambda h, k: F.when(F.array_position("h", h) == k + 1, h).otherwise(F.concat(h, F.lit("_"), (k + 1).cast("string"))))
-    return rows.select("page_id", "table_no", "row_no", F.map_from_arrays(keys, F.slice("_r", F.lit(1), n)).alias("values"))
+    parts = ["table", "caption", "thead", "tbody", "tr", "td", "th", "a"]
+    rows = elements.with_elements(pages.select("page_id", "html"), parts, texts=["caption", "td", "th"])
+    every = elements.find("table")
+    rows = rows.select("page_id", "elements", F.posexplode(F.slice(every, 1, MAX_TABLES)).alias("table_no", "t"), every.alias("all"))
+    outermost = ~F.exists("all", lambda o: (o["no"] < F.col("t.no")) & (F.col("t.no") <= o["last"]))
+    rows = rows.filter(outermost).withColumn("e", elements.inside(F.col("t"))).drop("elements", "all")
+    size = F.col("t.end") - F.col("t.start")
+    linked = F.aggregate(elements.find("a", "e"), F.lit(0), lambda n, a: n + a["end"] - a["start"])
+
+    def first(tags: str) -> Column:
+        return F.get(elements.find(tags, "e"), F.lit(0))
+
+    def cells(row: Column, tags: str = "td th") -> Column:
+        return elements.inside(row, elements.find(tags, "e"))
+
+    rows = rows.withColumns({"trs": elements.find("tr", "e"), "head": first("thead"), "body": first("tbody"), "caption": F.trim(first("caption")["text"])})
+    top = F.get("trs", F.lit(0))
+    layout = (F.size("trs") >= 10) & (F.size(cells(top)) <= 1)
+    rows = rows.filter((size > 0) & (linked / size <= MAX_LINKED) & ~layout)
+    head_row = F.get(F.filter("trs", lambda r: (r["no"] > F.col("head.no")) & (r["no"] <= F.col("head.last"))), F.lit(0))
+    in_head, in_top = cells(head_row, "th"), cells(top)
+    counted = F.when(F.col("body").isNull(), F.size("trs")).otherwise(F.size(elements.inside(F.col("body"), "trs")))
+    headers = F.when(F.size(in_head) > 0, in_head).when(F.forall(in_top, lambda c: c["tag"] == "th") | (counted > 1), in_top)
+    data = F.when(F.col("head").isNull(), F.slice("trs", F.lit(2), F.greatest(F.size("trs") - 1, F.lit(0))))
+    data = data.when(F.col("body").isNotNull(), elements.inside(F.col("body"), "trs"))
+    data = data.otherwise(F.filter("trs", lambda r: ~((r["no"] > F.col("head.no")) & (r["no"] <= F.col("head.last")))))
+    rows = rows.select("page_id", "table_no", "caption", F.transform(headers, lambda h: F.trim(h["text"])).alias("h"), F.slice(data, 1, MAX_ROWS).alias("d"), "e")
+    rows = rows.filter(F.size("h") > 0).select("page_id", "table_no", "caption", "h", "e", F.posexplode("d").alias("row_no", "_r"))
+    found = F.transform(cells(F.col("_r")), lambda c: F.trim(c["text"]))
+    number = lambda k: (k + 1).cast("string")
+
+    def key(k: Column) -> Column:
+        h = F.nullif(F.get("h", k), F.lit(""))
+        again = F.when(F.array_position("h", h) == k + 1, h).otherwise(F.concat(h, F.lit("_"), number(k)))
+        return F.coalesce(again, F.concat(F.lit("column_"), number(k)))
+
+    keys = F.transform("_c", lambda c, k: key(k))
+    rows = rows.withColumn("_c", found).filter(F.exists("_c", lambda c: c != "")).withColumn("_k", keys)
+    names = F.array_distinct("_k")
+    last = F.transform(names, lambda n: F.element_at(F.filter(F.arrays_zip("_k", "_c"), lambda x: x["_k"] == n), -1)["_c"])
+    return rows.select("page_id", "table_no", "row_no", "caption", F.map_from_arrays(names, last).alias("values"))
 
 
 def policy(url: Column, policies: list[tuple[str, str]], default: str) -> Column:

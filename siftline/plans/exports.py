@@ -3,9 +3,10 @@ written from the tables as lines of text, read back by the readers' parsers, and
 
 from pyspark.sql import Window as W, functions as F
 
-from siftline.functions import html, urls
+from siftline.functions import urls
 from siftline.operators import structured
-from siftline.plans.extraction import table
+from siftline.operators.extraction import observations
+from siftline.plans.extraction import PIECES_SQL, _texts_sql, decoded_sql, table
 from siftline.sources import exports
 
 AGENT = "sift"
@@ -76,16 +77,7 @@ def table_cells(spark, sf_dir):
 
 def page_observations(spark, sf_dir):
     """What an agent is told of a page: its first twenty navigation links, first ten headings, and counts."""
-    nav = F.regexp_extract("html", r"(?i)<nav(?:\s[^>]*)?>([\s\S]*?)</nav>", 1)
-    heads = F.filter(F.transform(html.blocks(F.col("html"), "h[1-6]"), html.collapse), lambda x: x != "")
-    return table(spark, sf_dir, "pages").select(
-        "page_id",
-        F.array_join(F.slice(F.transform(html.blocks(nav, "a"), html.collapse), 1, 20), "|").alias("links"),
-        F.array_join(F.slice(heads, 1, 10), "|").alias("headings"),
-        F.regexp_count("html", F.lit(r"(?i)<a\s")).alias("n_links"),
-        F.regexp_count("html", F.lit(r"(?i)<(?:input|select|textarea)\b")).alias("n_inputs"),
-        F.regexp_count("html", F.lit(r"(?i)<img\b")).alias("n_images"),
-    )
+    return observations(table(spark, sf_dir, "pages"))
 
 
 QUERIES = {
@@ -103,8 +95,11 @@ SELECT page_id, CASE WHEN c THEN 304 ELSE 200 END::INTEGER AS status, c AS from_
 FROM (SELECT *, page_id % 5 > 0 AND page_id % 3 = 0 AS c FROM pages) p LEFT JOIN o USING (url)""",
     "table_cells": "SELECT p_partkey::VARCHAR AS key, p_name AS name, format('{:,.2f}', p_retailprice) AS price FROM part",
     "page_observations": r"""WITH x AS (SELECT page_id, html, regexp_extract(html, '<nav(?:\s[^>]*)?>([\s\S]*?)</nav>', 1, 'i') AS nav FROM pages)
-SELECT page_id, array_to_string(list_transform(regexp_extract_all(nav, '<(?:a)(?:\s[^>]*)?>([^<]*)', 1, 'i'), lambda t: trim(regexp_replace(t, '\s+', ' ', 'g')))[1:20], '|') AS links,
-  array_to_string(list_filter(list_transform(regexp_extract_all(html, '<(?:h[1-6])(?:\s[^>]*)?>([^<]*)', 1, 'i'), lambda t: trim(regexp_replace(t, '\s+', ' ', 'g'))), lambda t: t <> '')[1:10], '|') AS headings,
+SELECT page_id, array_to_string(list_transform(regexp_extract_all(nav, '<(?:a)(?:\s[^>]*)?>([^<]*)', 1, 'i'), lambda x: """
+    + decoded_sql("x")
+    + r""")[1:20], '|') AS links, array_to_string("""
+    + _texts_sql("h[1-6]", 1).format(PIECES_SQL)
+    + r"""[1:10], '|') AS headings,
   len(regexp_extract_all(html, '<a\s', 0, 'i'))::INTEGER AS n_links, len(regexp_extract_all(html, '<(?:input|select|textarea)\b', 0, 'i'))::INTEGER AS n_inputs,
   len(regexp_extract_all(html, '<img\b', 0, 'i'))::INTEGER AS n_images FROM x""",
 }

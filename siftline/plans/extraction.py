@@ -78,12 +78,13 @@ _CUTS = "p|li|h[1-6]|div|article|nav|footer|ul|body|html|head|title|style|script
 PIECES_SQL = rf"string_split(regexp_replace(regexp_replace(html, '<!--[\s\S]*?-->', '', 'g'), '<(/?(?:{_CUTS})[\s>])', chr(1) || '<\1', 'gi'), chr(1))"
 
 
-def decoded_sql(x: str) -> str:
+def decoded_sql(x: str, collapsed: bool = True) -> str:
     """Text of a piece: no tags, characters for references, white space collapsed."""
     x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
     for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("#39", "''"), ("nbsp", " ")):
         x = f"replace({x}, '&{name};', '{char}')"
-    return rf"trim(regexp_replace(regexp_replace({x}, '&amp;?', '&', 'g'), '\s+', ' ', 'g'))"
+    x = f"regexp_replace({x}, '&amp;?', '&', 'g')"
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))" if collapsed else x
 
 
 def _texts_sql(tag: str, least: int) -> str:

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from siftline.functions import html, registry, urls
 from siftline.functions.running import totals
-from siftline.operators import assembly, operations, provenance, records, structured
-from siftline.plans.extraction import table
+from siftline.operators import assembly, elements, operations, provenance, records, structured
+from siftline.plans.extraction import PIECES_SQL, _texts_sql, table
 from siftline.plans.provenance import _CANON
 from siftline.plans.structured import _SCORED
 
@@ -166,15 +166,16 @@ def described_pages(spark, sf_dir):
 def heuristic_extractions(spark, sf_dir):
     """Title, paragraphs and confidence of each page by its best containers."""
     pages = table(spark, sf_dir, "pages")
-    found = structured.containers(pages)
-    chosen = structured.chosen_containers(structured.score_containers(found)).select("page_id", "tag", "no", "place")
-    texts = F.filter(F.transform(html.blocks(F.col("inner"), "p"), html.collapse), lambda x: F.length(x) >= 20)
-    of_page = found.join(chosen, ["page_id", "tag", "no"]).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("place", texts.alias("t")))).alias("x"))
-    several = found.groupBy("page_id").agg(F.count("*").alias("elements"))
-    rows = pages.join(of_page, "page_id", "left").join(several, "page_id", "left")
-    every = F.coalesce(F.flatten(F.transform("x", lambda x: x["t"])), F.array().cast("array<string>"))
+    found = structured.score_containers(structured.containers(pages))
+    best = structured.chosen_containers(found).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("place", F.col("element").alias("no"), "last"))).alias("best"))
+    several = found.filter("candidate").groupBy("page_id").agg(F.count("*").alias("elements"))
+    rows = elements.with_elements(pages.select("page_id", "url", "html"), ["p", "h1"], texts=["p", "h1"])
+    rows = rows.withColumn("_p", elements.find("p")).withColumn("heading", F.coalesce(html.collapse(F.get(elements.find("h1"), F.lit(0))["text"]), F.lit("")))
+    rows = rows.drop("elements", "flow").join(best, "page_id", "left").join(several, "page_id", "left")
+    texts = F.flatten(F.transform("best", lambda b: F.transform(elements.inside(b, "_p"), lambda e: html.collapse(e["text"]))))
+    every = F.coalesce(F.filter(texts, lambda x: F.length(x) >= 20), F.array().cast("array<string>"))
     path = F.regexp_replace("url", "^(?i)https?://[^/?#]+", "")
-    heading, title = html.heading(F.col("html")), html.title(F.col("html"))
+    heading, title = F.col("heading"), html.title(F.col("html"))
     name = F.when(heading != "", heading).when(title != "", title).otherwise(path)
     rows = rows.select("page_id", name.alias("title"), F.array_distinct(every).alias("p"), F.coalesce("elements", F.lit(0)).alias("e"))
     length = F.aggregate("p", F.lit(0), lambda n, x: n + F.length(x))
@@ -261,14 +262,17 @@ SELECT event_type, bucket, count(*) AS n, count(v) AS n_valued, round(avg(v), 4)
   (CASE WHEN p_partkey % 5 < 3 THEN 0.4 ELSE 0.0 END::DOUBLE + CASE WHEN p_partkey % 2 = 0 THEN 0.3 ELSE 0.0 END::DOUBLE + CASE WHEN p_partkey % 4 = 0 THEN 0.3 ELSE 0.0 END::DOUBLE) AS confidence FROM part""",
     "heuristic_extractions": _SCORED
     + r""", g AS (SELECT page_id, tag, no, score::DOUBLE AS score, row_number() OVER o AS place, round(coalesce(sum(score::DOUBLE) OVER (PARTITION BY page_id ORDER BY score DESC, tag, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 9) AS b,
-  round(sum(score::DOUBLE) OVER (PARTITION BY page_id) * 0.7, 9) AS t FROM s WHERE score > 0 WINDOW o AS (PARTITION BY page_id ORDER BY score DESC, tag, no)),
+  round(sum(score::DOUBLE) OVER (PARTITION BY page_id) * 0.7, 9) AS t FROM s WHERE score > 0 AND candidate WINDOW o AS (PARTITION BY page_id ORDER BY score DESC, tag, no)),
 w AS (SELECT page_id, tag, no, place FROM g WHERE b < t),
-x AS (SELECT page_id, place, unnest(l) AS p, unnest(range(len(l))) AS k FROM (SELECT i.page_id, w.place, list_filter(list_transform(regexp_extract_all(i.inner_html, '<(?:p)(?:\s[^>]*)?>([^<]*)', 1, 'i'),
-  lambda y: trim(regexp_replace(y, '\s+', ' ', 'g'))), lambda y: length(y) >= 20) AS l FROM i JOIN w USING (page_id, tag, no))),
+x AS (SELECT page_id, place, unnest(l) AS p, unnest(range(len(l))) AS k FROM (SELECT i.page_id, w.place, """
+    + _texts_sql("p", 20).format(PIECES_SQL.replace("(html,", "(i.inner_html,"))
+    + r""" AS l FROM i JOIN w USING (page_id, tag, no))),
 y AS (SELECT page_id, p, min((place, k)) AS o FROM x GROUP BY 1, 2),
 z AS (SELECT page_id, string_agg(p, chr(10) || chr(10) ORDER BY o) AS content, count(*) AS n, sum(length(p)) AS len FROM y GROUP BY 1),
-e AS (SELECT page_id, count(*) AS e FROM i GROUP BY 1),
-q AS (SELECT page_id, url, trim(regexp_replace(regexp_extract(html, '<h1[^>]*>([^<]*)', 1, 'i'), '\s+', ' ', 'g')) AS h, trim(regexp_replace(regexp_extract(html, '<title[^>]*>([^<]*)', 1, 'i'), '\s+', ' ', 'g')) AS t FROM pages)
+e AS (SELECT page_id, count(*) AS e FROM i WHERE candidate GROUP BY 1),
+q AS (SELECT page_id, url, coalesce("""
+    + _texts_sql("h1", 0).format(PIECES_SQL)
+    + r"""[1], '') AS h, trim(regexp_replace(regexp_extract(html, '<title[^>]*>([^<]*)', 1, 'i'), '\s+', ' ', 'g')) AS t FROM pages)
 SELECT page_id, CASE WHEN h <> '' THEN h WHEN t <> '' THEN t ELSE regexp_replace(url, '^https?://[^/?#]+', '', 'i') END AS title, coalesce(n, 0)::INTEGER AS n_paragraphs, coalesce(content, '') AS content,
   round(least(least(coalesce(n, 0) / 3, 1.0) * 0.4 + least(coalesce(len, 0) / 1000, 1.0) * 0.3 + (1 - least(coalesce(e, 0) / 10, 1.0)) * 0.3, 1.0)::DOUBLE, 6) AS confidence
 FROM q LEFT JOIN z USING (page_id) LEFT JOIN e USING (page_id)""",

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import html
 from siftline.operators import operations, sinks, structured
-from siftline.plans.extraction import STRIP_SQL, table
+from siftline.plans.extraction import decoded_sql, table
 
 # Policies in load order with the host patterns they are for.
 POLICIES = [("news", "www.*|news.*|*.news"), ("blogs", "blog.*"), ("mobile", "m.*")]
@@ -12,7 +12,7 @@ POLICIES = [("news", "www.*|news.*|*.news"), ("blogs", "blog.*"), ("mobile", "m.
 
 def container_scores(spark, sf_dir):
     rows = structured.score_containers(structured.containers(table(spark, sf_dir, "pages")))
-    return rows.withColumn("score", F.round("score", 6))
+    return rows.drop("element", "last").withColumn("score", F.round("score", 6))
 
 
 def chosen_containers(spark, sf_dir):
@@ -65,7 +65,6 @@ QUERIES = {
     )
 }
 
-_INNER = STRIP_SQL.replace("regexp_replace(html", "regexp_replace(inner_html", 1) if "regexp_replace(html" in STRIP_SQL else STRIP_SQL
 _FOUND = " UNION ALL ".join(
     rf"SELECT page_id, '{t}' AS tag, unnest(l) AS x, unnest(range(len(l)))::INTEGER AS no FROM (SELECT page_id, regexp_extract_all(html, '<{t}(?:\s[^>]*)?>[\s\S]*?</{t}>', 0, 'i') AS l FROM pages)"
     for t in structured.CONTAINERS
@@ -78,17 +77,18 @@ def _attribute(name: str) -> str:
 
 _NAMED = " + ".join([f"CASE WHEN contains(names, '{n}') THEN -5 ELSE 0 END" for n in structured.BAD_NAMES] + [f"CASE WHEN contains(names, '{n}') THEN 3 ELSE 0 END" for n in structured.GOOD_NAMES])
 _SCORED = rf"""WITH f AS ({_FOUND}),
-i AS (SELECT page_id, tag, no, lower({_attribute('class')} || ' ' || {_attribute('id')}) AS names, regexp_replace(x, '^<[^>]*>', '') AS inner_html FROM f),
-m AS (SELECT page_id, tag, no, names, length({_INNER})::INTEGER AS length, len(regexp_extract_all(inner_html, '<p(?:\s[^>]*)?>', 0, 'i'))::INTEGER AS paragraphs,
-  coalesce(list_sum(list_transform(regexp_extract_all(inner_html, '<(?:a)(?:\s[^>]*)?>([^<]*)', 1, 'i'), lambda x: length(trim(x)))), 0)::INTEGER AS linked FROM i),
+i AS (SELECT page_id, tag, no, tag IN ('article', 'main', 'section') AS candidate, lower(concat_ws(' ', nullif({_attribute('class')}, ''), nullif({_attribute('id')}, ''))) AS names,
+  regexp_replace(regexp_replace(x, '^<[^>]*>', ''), '<!--[\s\S]*?-->', '', 'g') AS inner_html FROM f),
+m AS (SELECT page_id, tag, no, candidate, names, length({decoded_sql("inner_html", False)})::INTEGER AS length, len(regexp_extract_all(inner_html, '<p(?:\s[^>]*)?>', 0, 'i'))::INTEGER AS paragraphs,
+  coalesce(list_sum(list_transform(regexp_extract_all(inner_html, '<(?:a)(?:\s[^>]*)?>([^<]*)', 1, 'i'), lambda x: length({decoded_sql("x", False)}))), 0)::INTEGER AS linked FROM i),
 s AS (SELECT *, least(length / 1000, 5.0) + paragraphs * 2 - CASE WHEN length > 0 THEN linked / length ELSE 0.0 END * 10 + {_NAMED} AS score FROM m)"""
 _RUN = """WITH r AS (SELECT user_id, ts, event_type = 'error' AS f, row_number() OVER o - sum((event_type = 'error')::INTEGER) OVER o AS run FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
 l AS (SELECT count(*) AS length FROM r WHERE f GROUP BY user_id, run)"""
 _CASES = " ".join("WHEN regexp_matches(h, '^{}$') THEN '{}'".format(g.replace(".", r"\.").replace("*", ".*"), n) for n, g in POLICIES)
 ORACLE_SQL = {
-    "container_scores": f"{_SCORED} SELECT page_id, tag, no, names, length, paragraphs, linked, round(score::DOUBLE, 6) AS score FROM s",
+    "container_scores": f"{_SCORED} SELECT page_id, tag, no, candidate, names, length, paragraphs, linked, round(score::DOUBLE, 6) AS score FROM s",
     "chosen_containers": f"""{_SCORED}, g AS (SELECT *, row_number() OVER o AS place, round(coalesce(sum(score::DOUBLE) OVER (PARTITION BY page_id ORDER BY score DESC, tag, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 9) AS b,
-  round(sum(score::DOUBLE) OVER (PARTITION BY page_id) * 0.7, 9) AS t FROM s WHERE score > 0 WINDOW o AS (PARTITION BY page_id ORDER BY score DESC, tag, no))
+  round(sum(score::DOUBLE) OVER (PARTITION BY page_id) * 0.7, 9) AS t FROM s WHERE score > 0 AND candidate WINDOW o AS (PARTITION BY page_id ORDER BY score DESC, tag, no))
 SELECT page_id, tag, no, place::INTEGER AS place, round(score::DOUBLE, 6) AS score FROM g WHERE b < t""",
     "page_metadata": r"""WITH m AS (SELECT page_id, len(regexp_extract_all(html, '<script[^>]*application/ld\+json[^>]*>([\s\S]*?)</script>', 1, 'i')) AS j,
   len(list_distinct(regexp_extract_all(html, '<meta\s[^>]*(og:[a-z:_]+)', 1, 'i'))) AS o FROM pages)

@@ -19,7 +19,27 @@ def test_metadata(spark):
 
 def test_tables(spark):
     got = structured.tables(spark.createDataFrame([(1, PAGE)], ["page_id", "html"])).orderBy("row_no").collect()
-    assert [(r["table_no"], r["values"]) for r in got] == [(0, {"Name": "p q", "Name_2": "2", "column_3": "3"}), (0, {"Name": "r"})]
+    assert [(r["table_no"], r["values"]) for r in got] == [(0, {"Name": "p q", "Name_2": "2", "column_3": "3", "column_4": "4"}), (0, {"Name": "r"})]
+
+
+def test_table_heads_bodies_and_nesting(spark):
+    page = """<table><caption> Prices </caption><thead><tr><th>Item<th>Cost <i>net</i></thead><tbody><tr><td><p>a <b>b</b></p><td>1</tr>
+<tr><td>  <td> </tr><tr><td>c<table><tr><td>in</td></tr><tr><td>ner</td></tr></table></td><td>2</td></tr></tbody><tfoot><tr><td>all<td>3</tfoot></table>
+<table><tr><td>x</td><td>y</td></tr><tr><td>1</td><td>2</td></tr></table><table><tr><td>lone</td><td>row</td></tr></table>"""
+    got = structured.tables(spark.createDataFrame([(1, page)], ["page_id", "html"])).orderBy("table_no", "row_no").collect()
+    first = [r["values"] for r in got if r["table_no"] == 0]
+    assert first[0] == {"Item": "a b", "Cost net": "1"} and first[1]["Item"].startswith("cin") and {r["caption"] for r in got if r["table_no"] == 0} == {"Prices"}
+    assert [(r["table_no"], r["values"]) for r in got if r["table_no"] > 0] == [(2, {"x": "1", "y": "2"})]
+
+
+def test_containers_nest(spark):
+    page = '<div class="wrap"><div id="content"><p>one <a href="/">two</a></p><div><p>three</p></div></div><div class="share"><a href="/">x</a></div></div>'
+    rows = structured.containers(spark.createDataFrame([(1, page)], ["page_id", "html"])).orderBy("element").collect()
+    assert [(r["no"], r["names"], r["candidate"], r["length"], r["paragraphs"], r["linked"]) for r in rows] == [
+        (0, "wrap", False, 13, 2, 4), (1, "content", True, 12, 2, 3), (2, "", False, 5, 1, 0), (3, "share", False, 1, 0, 1)
+    ]
+    plain = structured.containers(spark.createDataFrame([(1, "<div><p>a</p></div>")], ["page_id", "html"]))
+    assert [r["candidate"] for r in plain.collect()] == [True]
 
 
 def test_containers_prefer_articles(spark):
