@@ -252,3 +252,16 @@ def select(selector: str, elements: Column | str = "elements") -> Column:
 
 def _within(outer: Column, test: Callable[[Column], Column], elements: Column | str) -> Column:
     return F.filter(elements, lambda e: test(e) & F.exists(outer, lambda o: (e["no"] > o["no"]) & (e["no"] <= o["last"])))
+
+
+def first_of(cascade: list[str], elements: Column | str = "elements", flow: Column | str = "flow") -> Column:
+    """What the first selector finds that finds something: the whole text of its first element, white space collapsed, or
+    with `selector@name` an attribute."""
+
+    def said(selector: str) -> Column:
+        selector, _, name = selector.partition("@")
+        e = F.get(select(selector, elements), F.lit(0))
+        text = F.trim(e["attrs"][name]) if name else F.trim(F.regexp_replace(text_of(e, flow), r"\s+", " "))
+        return F.nullif(text, F.lit(""))
+
+    return F.coalesce(*map(said, cascade))

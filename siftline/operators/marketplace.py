@@ -2,8 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from siftline.functions import selectors
-from siftline.operators import listings
+from siftline.operators import elements, listings
 
 # Where each shop's pages hold a listing's fields, in order of preference.
 CASCADES = {
@@ -111,12 +110,12 @@ def sold_date(text: Column) -> Column:
 def parse_listings(pages: DataFrame, *keep: str) -> DataFrame:
     """(keep..., marketplace, title, amount, currency, condition, item_id, seller, sold_on, confidence) of each page of a
     known shop: all fields by that shop's cascade, in one projection."""
-    rows = pages.withColumn("_shop", shop(F.col("url"))).filter("_shop IS NOT NULL")
+    rows = elements.with_elements(pages.withColumn("_shop", shop(F.col("url"))).filter("_shop IS NOT NULL"))
 
     def field(name: str) -> Column:
         out = F
         for s, fields in CASCADES.items():
-            out = out.when(F.col("_shop") == s, selectors.first_of(F.col("html"), fields[name]))
+            out = out.when(F.col("_shop") == s, elements.first_of(fields[name]))
         return out
 
     names = ["title", "price", "condition", "item_id", "seller"]
@@ -147,14 +146,20 @@ def parse_listings(pages: DataFrame, *keep: str) -> DataFrame:
 def parse_search_results(pages: DataFrame, *keep: str) -> DataFrame:
     """(keep..., place, title, amount, currency, sold_on, shipping, url, item_id, confidence): the entries of a page of
     search results, cards of the newer kind or else of the older one; those without title, price or link are left out."""
-    cards = selectors.elements(F.col("html"), "li.s-card", "li")
-    older = selectors.elements(F.col("html"), "li.s-item", "li")
-    rows = pages.select(*keep, F.posexplode(F.when(F.size(cards) > 0, cards).otherwise(older)).alias("place", "_x"))
-    x = F.col("_x")
-    title = selectors.first_of(x, [".s-card__title span", ".s-card__title", ".s-item__title", '[role="heading"]'])
-    p = listings.price(selectors.first_of(x, [".s-card__price", ".s-item__price"]))
-    url = F.coalesce(selectors.attribute_of(x, "a.s-item__link", "href"), F.nullif(F.regexp_extract(x, r"""(?i)<a\s[^>]*href\s*=\s*["']([^"']*/itm/[^"']*)""", 1), F.lit("")))
-    rows = rows.select(*keep, "place", title.alias("title"), p.alias("_p"), sold_date(x).alias("sold_on"), listings.shipping(selectors.first_of(x, [".s-card__shipping", ".s-item__shipping"])).alias("shipping"), url.alias("url"))
+    cards, older = elements.select("li.s-card"), elements.select("li.s-item")
+
+    def entry(card: Column) -> Column:
+        parts = elements.inside(card)
+        link = F.get(F.filter(parts, lambda e: (e["tag"] == "a") & e["attrs"]["href"].contains("/itm/")), F.lit(0))["attrs"]["href"]
+        return F.struct(
+            elements.first_of([".s-card__title span", ".s-card__title", ".s-item__title", '[role="heading"]'], parts).alias("title"),
+            elements.first_of([".s-card__price", ".s-item__price"], parts).alias("price"), elements.text_of(card).alias("text"),
+            elements.first_of([".s-card__shipping", ".s-item__shipping"], parts).alias("shipping"),
+            F.coalesce(elements.first_of(["a.s-item__link@href"], parts), link).alias("url"),
+        )
+
+    rows = elements.with_elements(pages).select(*keep, F.posexplode(F.transform(F.when(F.size(cards) > 0, cards).otherwise(older), entry)).alias("place", "_x"))
+    rows = rows.select(*keep, "place", F.col("_x.title").alias("title"), listings.price(F.col("_x.price")).alias("_p"), sold_date(F.col("_x.text")).alias("sold_on"), listings.shipping(F.col("_x.shipping")).alias("shipping"), F.col("_x.url").alias("url"))
     rows = rows.filter(F.col("title").isNotNull() & ~F.lower("title").contains("shop on ebay") & F.col("_p.amount").isNotNull() & F.col("url").isNotNull())
     item = F.nullif(F.regexp_extract("url", r"/itm/(\d+)", 1), F.lit(""))
     always = F.lit(True)

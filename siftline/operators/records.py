@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from siftline.functions import html
-from siftline.operators import listings
+from siftline.operators import elements, listings
 from siftline.operators.structured import metadata
 
 ORDER = """struct<orderId:string,orderDate:string,status:string,total:double,seller:struct<name:string>,
@@ -106,9 +106,10 @@ def described(pages: DataFrame) -> DataFrame:
     """(page_id, items, open_graph, twitter, microdata, confidence): what pages say of themselves.
 
     items: JSON-LD objects with a context or type as JSON, those of arrays and of @graph (one level of each) before the
-    object that holds them. microdata: properties of elements with itemprop, the first value of each.
+    object that holds them. microdata: properties of elements with itemprop, the first value of each: what the element
+    says in an attribute, or its whole text; a property of an item within another is named by both, as `offers.price`.
     """
-    rows = metadata(pages).join(pages.select("page_id", "html"), "page_id")
+    rows = metadata(pages).join(elements.with_elements(pages.select("page_id", "html")), "page_id")
 
     def parts(x: Column, path: str) -> Column:
         return F.coalesce(F.from_json(F.get_json_object(x, path), "array<string>"), F.array().cast("array<string>"))
@@ -116,14 +117,16 @@ def described(pages: DataFrame) -> DataFrame:
     listed = F.flatten(F.transform("json_ld", lambda x: F.when(F.trim(x).startswith("["), F.coalesce(F.from_json(x, "array<string>"), F.array().cast("array<string>"))).otherwise(F.array(x))))
     every = F.flatten(F.transform(listed, lambda x: F.concat(parts(x, "$.@graph"), F.array(x))))
     items = F.filter(every, lambda x: F.get_json_object(x, "$.@type").isNotNull() | F.get_json_object(x, "$.@context").isNotNull())
-    props = F.regexp_extract_all("html", F.lit(r"""(?i)(<[a-z0-9]+\s[^>]*itemprop\s*=\s*["'][^"']+["'][^>]*>[^<]*)"""), F.lit(1))
+    props = F.filter("elements", lambda e: F.map_contains_key(e["attrs"], "itemprop"))
+    scopes = F.filter(props, lambda e: F.map_contains_key(e["attrs"], "itemscope"))
 
-    def prop(x: Column) -> Column:
-        content = F.nullif(F.regexp_extract(x, r"""(?i)\scontent\s*=\s*["']([^"']*)["']""", 1), F.lit(""))
-        key = F.regexp_extract(x, r"""(?i)itemprop\s*=\s*["']([^"']+)["']""", 1)
-        return F.struct(key.alias("k"), F.coalesce(content, html.collapse(F.regexp_replace(x, "^<[^>]*>", ""))).alias("v"))
+    def prop(e: Column) -> Column:
+        outer = F.filter(scopes, lambda o: (o["no"] < e["no"]) & (e["no"] <= o["last"]))
+        path = F.array_join(F.transform(F.concat(outer, F.array(e)), lambda x: x["attrs"]["itemprop"]), ".")
+        given = F.coalesce(*[F.nullif(e["attrs"][a], F.lit("")) for a in ("content", "href", "src")])
+        return F.struct(path.alias("k"), F.coalesce(given, html.collapse(elements.text_of(e))).alias("v"))
 
-    pairs = F.transform(props, prop)
+    pairs = F.transform(F.filter(props, lambda e: ~F.map_contains_key(e["attrs"], "itemscope")), prop)
     keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
     micro = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), 1)["v"]))
     rows = rows.select("page_id", items.alias("items"), "open_graph", "twitter", micro.alias("microdata"))
