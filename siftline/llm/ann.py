@@ -4,8 +4,8 @@ On a bounded sample: the graph of each vector's nearest neighbours is cut into b
 graph from spread seeds, then vectors move to the part most of their neighbours are in, as long as sizes stay within
 a slack), and a small softmax classifier learns from the vector which part it is in. The index then puts every row in
 its most probable part; a query is routed to the several most probable ones, whose rows are reranked exactly. Parts
-larger than a block are dealt over several tasks, and queries go to each of them; a task holds one block of rows and
-the queries for it, in pages.
+larger than a block are dealt over several tasks, and so are the queries routed to a part: a task holds one block of rows
+and one of queries, whose numbers are both bounded, and ranks them in pages. There are more parts the more rows there are.
 
 The sample of `SAMPLE` rows bounds what the driver learns from; everything else covers all rows. Recall against brute
 force is measured in the tests (0.9 at least).
@@ -22,20 +22,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from siftline.llm.common import materialise
 
 #: Rows that the partitioning and the classifier are fitted on, at most.
 SAMPLE = 8_192
-#: Parts at most; a part has this many rows of the sample at least. Finer parts leave a query fewer rows to rank.
+#: Parts, and rows of the sample that each has at least; finer parts leave a query fewer rows to rank. Where parts would
+#: have more than ROWS_PER_PART rows there are more of them, down to FEWEST rows of the sample for each.
 PARTS, PER_PART = 128, 64
+ROWS_PER_PART, FEWEST = 65_536, 16
 #: Share of the true neighbours that routing has to reach on the sample.
 RECALL = 0.95
 #: Sample queries that this is measured on, at most.
 PROBED = 1_024
 TOP = 20
-#: Rows of a part that one task ranks.
+#: Rows of a part that one task ranks, and queries that it ranks them for.
 BLOCK = 16_384
 SEED = 11
 _PAGE = 256
@@ -174,7 +176,7 @@ def nearest(
     rows = rows.filter(F.size("v") == dim)
     learn = rows.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(sample).toArrow()
     x = _matrix(learn.column("v").combine_chunks(), dim)
-    n_parts = max(1, min(parts, len(x) // PER_PART))
+    n_parts = max(1, min(parts, len(x) // PER_PART), min(-(-sizes[0]["count"] // ROWS_PER_PART), len(x) // FEWEST))
     if n_parts > 1:
         graph = neighbour_graph(x, min(10, len(x) - 1))
         w, b = fit_router(x, balanced_parts(x, graph, n_parts, SEED), n_parts)
@@ -194,13 +196,22 @@ def nearest(
     routed = materialise(rows.mapInArrow(route, "vec_id long, v array<double>, to array<int>"))
     part = F.get("to", F.lit(0)).alias("part")
     counts = {r["part"]: r["n"] for r in routed.groupBy(part).agg(F.count("*").alias("n")).collect()}
-    blocks = F.create_map(*[F.lit(y) for p, n in counts.items() for y in (p, -(-n // block))])
-    cand = routed.select(part, "vec_id", "v", F.lit(False).alias("asks"))
-    cand = cand.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.element_at(blocks, F.col("part"))).cast("int"))
     asks = routed.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
     asks = asks.select(F.explode("to").alias("part"), "vec_id", "v", F.lit(True).alias("asks"))
-    asks = asks.filter(F.map_contains_key(blocks, F.col("part")))
-    asks = asks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("part")).cast("int") - 1)))
+    asked = {r["part"]: r["n"] for r in asks.groupBy("part").agg(F.count("*").alias("n")).collect()}
+
+    def dealt(rows: DataFrame, own: str, own_counts: dict, other: str, other_counts: dict, *by: str) -> DataFrame:
+        """Each row in one block of its own kind, beside every block of the other kind; both have lines in all parts kept."""
+        def blocks(counts: dict) -> Column:
+            sizes = [F.lit(y) for p, n in counts.items() if p in own_counts and p in other_counts for y in (p, -(-n // block))]
+            return F.element_at(F.create_map(*sizes), F.col("part")).cast("int") if sizes else F.lit(None).cast("int")
+
+        rows = rows.withColumn(own, F.pmod(F.xxhash64(*by), blocks(own_counts)).cast("int")).filter(F.col(own).isNotNull())
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), blocks(other_counts) - 1)))
+
+    cand = routed.select(part, "vec_id", "v", F.lit(False).alias("asks"))
+    cand = dealt(cand, "i", counts, "j", asked, "vec_id", "v")
+    asks = dealt(asks, "j", asked, "i", counts, "vec_id", "v")
     both = cand.unionByName(asks).withColumn("ask", F.when(F.col("asks"), F.xxhash64("v")).otherwise(0))
 
     def rank(block: pa.Table) -> pa.Table:
@@ -216,7 +227,7 @@ def nearest(
         flat = [np.concatenate([np.zeros(0, t), *o]) for o, t in zip(out, (np.int64, np.int64, np.float64, np.int64))]
         return pa.table({"query_id": flat[0], "vec_id": flat[1], "score": flat[2], "ask": flat[3]})
 
-    found = both.groupBy("part", "salt").applyInArrow(rank, "query_id long, vec_id long, score double, ask long")
+    found = both.groupBy("part", "i", "j").applyInArrow(rank, "query_id long, vec_id long, score double, ask long")
     order = W.partitionBy("query_id", "ask").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     return ranked.select("query_id", "rank", "vec_id", "score")

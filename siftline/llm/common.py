@@ -28,6 +28,11 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def named(columns: list[str]) -> list[Column]:
+    """Columns by name, whatever dots and backticks the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in small slices, so what a Python worker makes of one at a time stays small whatever the texts are."""
     for b in batches:
@@ -71,8 +76,8 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def lookup(rows: DataFrame, right: DataFrame, keys: list[str], count: str, n_rows: int) -> DataFrame:
-    """Inner join of `rows` with `right`, which has each key once and how many of `rows` hold it (`count`).
+def lookup(rows: DataFrame, right: DataFrame, keys: list[str], count: str, n_rows: int, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of `rows` with `right`, which has each key once and how many of `rows` hold it (`count`).
 
     A key with more than one part in HOT_KEYS of the rows is dealt over as many tasks as it has such parts, its line of
     `right` to each. No more than HOT_KEYS keys can be that frequent, so their list is small enough for every task.
@@ -85,7 +90,7 @@ def lookup(rows: DataFrame, right: DataFrame, keys: list[str], count: str, n_row
     salt = F.pmod(F.monotonically_increasing_id(), F.coalesce("_salts", F.lit(1))).cast("int")
     left = left.withColumn("_salt", salt).drop(*[f"_hot_{k}" for k in keys], "_salts")
     every = F.explode(F.sequence(F.lit(0), F.when(F.col(count) > part, salts - 1).otherwise(0)))
-    return left.join(right.withColumn("_salt", every), [*keys, "_salt"]).drop("_salt")
+    return left.join(right.withColumn("_salt", every), [*keys, "_salt"], how).drop("_salt")
 
 
 def salts_for(rows: int) -> int:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from siftline.llm.common import materialise, running_offsets, salts_for, slices, word_count
+from siftline.llm.common import materialise, named, running_offsets, salts_for, slices, word_count
 from siftline.llm.neardup import mix as spread
 
 WEIGHTS = (5, 2, 1)
@@ -194,7 +194,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     # Rows are numbered once and for all, so each meets what was taken of it whatever ids and texts repeat.
     rest = [c for c in docs.columns if c != "text"]
-    rows = docs.select(F.struct(*rest).alias("_row"), "doc_id", "source", "text", F.monotonically_increasing_id().alias("_mix_row"))
+    rows = docs.select(F.struct(*named(rest)).alias("_row"), "doc_id", "source", "text", F.monotonically_increasing_id().alias("_mix_row"))
     rows = materialise(rows)
     mixed = Mix(rows, row="_mix_row", **options)
     ranges = F.array_sort(F.collect_list(F.struct("lo", "hi")))

@@ -36,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from siftline.llm.common import discard, lookup, materialise
+from siftline.llm.common import discard, lookup, materialise, named
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -193,8 +193,8 @@ def _of_pairs(sets: DataFrame, pairs: DataFrame, n_pairs: int) -> DataFrame:
 def _written(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
     """The table written, with aggregates of it that the write takes along."""
     seen = Observation()
-    named = [m.alias(k) for k, m in measures.items()]
-    table = materialise(df.observe(seen, F.count(F.lit(1)).alias("n"), *named))
+    wanted = [m.alias(k) for k, m in measures.items()]
+    table = materialise(df.observe(seen, F.count(F.lit(1)).alias("n"), *wanted))
     return table, seen.get
 
 
@@ -256,8 +256,9 @@ def _merged(found: DataFrame, new: DataFrame) -> DataFrame:
     ends = new.join(at("a"), "a", "left").join(at("b"), "b", "left")
     ends = ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).filter("a <> b")
     moved = components(ends)
-    to = moved.select(F.col("node").alias("component"), F.col("component").alias("_to"))
-    kept = found.join(to, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    sizes = found.groupBy("component").agg(F.count("*").alias("k"))
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("_to")).join(sizes, "component")
+    kept = lookup(found, to, ["component"], "k", found.count(), "left").select("node", F.coalesce("_to", "component").alias("component"))
     out = materialise(kept.union(moved))  # what moved was a component's smallest node or had no links so far
     discard(found, new, moved)
     return out
@@ -271,6 +272,9 @@ def _rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     where either set has that many left. So a set is indexed by the few elements before that place only: fewest for the
     smaller of two sets, and for the larger one by class of the smaller one's size. Elements that all sets of a group
     share come last in their order and index none of them, unless the sets are that similar.
+
+    Near copies share their rarest elements with each other. So components meet first: what an index entry holds is taken
+    once for each component, entries of a single component go, and members follow only where two components have met.
     """
 
     def needed(n: Column, m: Column) -> Column:
@@ -293,16 +297,32 @@ def _rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         )
 
     low = F.ceil(F.col("n") * percent / 100.0 - 1e-9)
-    smaller = indexed(lists, F.col("n")).alias("x")
+    smaller = indexed(lists, F.col("n"))
     larger = lists.withColumn("class", F.explode(F.sequence(size_class(low), F.col("class"))))
-    larger = indexed(larger, F.greatest(low, F.floor(F.pow(F.lit(SIZE_STEP), "class")) - 1)).alias("y")
-    same = (F.col("x.h") == F.col("y.h")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.of") != F.col("y.of"))
+    larger = indexed(larger, F.greatest(low, F.floor(F.pow(F.lit(SIZE_STEP), "class")) - 1))
+    smaller, larger = materialise(smaller), materialise(larger)
+    met = _met(smaller, larger)
+    n = smaller.count()
+    left = lookup(smaller, met.groupBy("h", "class", "of").agg(F.collect_set("other").alias("others"), F.max("k").alias("k")), ["h", "class", "of"], "k", n)
+    x = left.select("node", "n", "class", "h", "rest", F.explode("others").alias("of")).alias("x")
+    y = larger.alias("y")
+    same = (F.col("x.h") == F.col("y.h")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.of") == F.col("y.of"))
     order = (F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node"))
     enough = F.least("x.rest", "y.rest") >= needed(F.col("x.n"), F.col("y.n"))
-    pairs = smaller.join(larger, same & order & enough)
+    pairs = x.join(y, same & order & enough)
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def _met(smaller: DataFrame, larger: DataFrame) -> DataFrame:
+    """(h, class, of, other, k): the different components that share an index entry, and how many of the smaller sets of
+    the first one hold it."""
+    x = smaller.groupBy("h", "class", "of").agg(F.count("*").alias("k"))
+    y = larger.select("h", "class", F.col("of").alias("other")).distinct()
+    ends = x.select("h", "class", "of").union(y).groupBy("h", "class").agg(F.min("of").alias("a"), F.max("of").alias("b"))
+    several = ends.filter("a <> b").select("h", "class")
+    return x.join(several, ["h", "class"]).join(y, ["h", "class"]).filter("of <> other")
+
+
 def _closure(members: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the nodes that have links, from the nodes of each bucket."""
     spark = members.sparkSession
@@ -319,18 +339,19 @@ def _closure(members: DataFrame, sketches: DataFrame, sets: DataFrame, percent:
         parts = now.groupBy("band", "of").agg(F.count("*").alias("n"), F.min_by("node", order).alias("node"))
         weight = F.struct("n", F.xxhash64("of", F.lit(turn)))
         centres = parts.groupBy("band").agg(
+            F.sum("n").alias("k"),
             ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("left"),
             F.max_by(F.struct("node", "of"), weight).alias("c"),
         )
-        centres = centres.filter("left > 0").select("band", "left", F.col("c.node").alias("centre"), F.col("c.of").alias("of_c"))
-        centres, seen = _written(centres, left=F.sum("left"))
+        centres = centres.filter("left > 0").select("band", "k", "left", F.col("c.node").alias("centre"), F.col("c.of").alias("of_c"))
+        centres, seen = _written(centres, left=F.sum("left"), rows=F.sum("k"))
         if not seen.get("n"):
             break
         left = seen["left"]
         last = last or (turn > 0 and left <= PAIRS_PER_NODE * n_nodes) or (turn > 1 and left > WORTH * before)
         before = left
         # Buckets whose nodes are all in one component have no say any more.
-        open_ = materialise(now.join(centres, "band").select("band", "node", "of", "centre", "of_c"))
+        open_ = materialise(lookup(now, centres, ["band"], "k", seen["rows"]).select("band", "node", "of", "centre", "of_c"))
         discard(centres, *held)
         held = [open_]
         if last:
@@ -363,12 +384,12 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id, first) of each row of `docs`; `first` tells whether its text is the
     one that stands for its component, and is null for rows that have none."""
     rows = materialise(_texts(docs).mapInArrow(_signatures, _SCHEMA))
-    named = rows.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    low = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("low"), F.count("*").alias("copies"))
+    known = rows.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
+    low = known.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("low"), F.count("*").alias("copies"))
     low = low.select("set_key", "low.*", "copies")
     # Numbers that follow the order of the ids, so the smallest node of a component has its smallest id.
     first = materialise(low.orderBy("doc_id", "set_key").withColumn("node", F.monotonically_increasing_id()))
-    classes = materialise(named.join(first.drop("copies"), ["set_key", "doc_id", "text_hash"]).select("node", "bands"))
+    classes = materialise(known.join(first.drop("copies"), ["set_key", "doc_id", "text_hash"]).select("node", "bands"))
 
     members = classes.select(F.explode("bands").alias("band"), "node").distinct()
     shared = members.groupBy("band").agg(F.count("*").alias("_n")).filter("_n > 1").select("band")
@@ -379,13 +400,14 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     found = _closure(members, sketches, sets.select("node", "set"), percent)
     discard(classes, members, sets)
 
-    ids = first.select(F.col("node").alias("component"), F.col("doc_id").alias("component_id"))
-    moved = found.join(ids, "component").select("node", "component_id")
+    sizes = found.groupBy("component").agg(F.count("*").alias("k"))
+    ids = sizes.join(first.select(F.col("node").alias("component"), F.col("doc_id").alias("component_id")), "component")
+    moved = lookup(found, ids, ["component"], "k", found.count()).select("node", "component_id")
     ends = first.join(moved, "node", "left").select(
         "set_key", F.col("text_hash").alias("_hash"), F.col("doc_id").alias("_low"), "component_id", "copies"
     )
     # A text with very many copies is dealt over many tasks.
-    classed = lookup(named.drop("bands"), ends, ["set_key"], "copies", rows.count())
+    classed = lookup(known.drop("bands"), ends, ["set_key"], "copies", rows.count())
     stands = F.col("component_id").isNull() & (F.col("doc_id") == F.col("_low")) & (F.col("text_hash") == F.col("_hash"))
     classed = classed.select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "_low").alias("component_id"), stands.alias("first"))
     rest = rows.filter(F.col("set_key").isNull() | F.col("doc_id").isNull())
@@ -406,8 +428,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     odd = odd.agg(F.bool_or("first").alias("_odd_first"), F.count("*").alias("_odd_n"))
     odd = materialise(odd.filter("NOT _odd_first OR _odd_n > 1").drop("_odd_n"))
     # Whole rows in one column, so no column of `docs` can be taken for one of ours.
+    every = named(docs.columns)
     rows = docs.select(
-        F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), F.xxhash64(*docs.columns).alias("_whole")
+        F.struct(*every).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"), F.xxhash64(*every).alias("_whole")
     )
     same = (F.col("_id") == F.col("_odd_id")) & (F.col("_hash") == F.col("_odd_hash"))
     out = rows.join(odd, same, "left_anti").select("_row")

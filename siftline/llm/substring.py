@@ -35,7 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siftline.llm.common import discard, lookup, materialise, slices
+from siftline.llm.common import discard, lookup, materialise, named, slices
 from siftline.llm.neardup import mix
 
 WINDOW = 20
@@ -197,13 +197,21 @@ def _key(docs: DataFrame, *keep: str | Column) -> DataFrame:
     return docs.select(*keep, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), tie.alias("t"))
 
 
+def _once(texts: DataFrame) -> DataFrame:
+    """Each document once, however many rows repeat it; texts move only where some do."""
+    again = materialise(texts.groupBy("d", "t").agg(F.count("*").alias("k")).filter("k > 1").select("d", "t"))
+    if again.isEmpty():
+        return texts
+    return texts.join(again, ["d", "t"], "left_anti").unionByName(texts.join(again, ["d", "t"]).dropDuplicates(["d", "t"]))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(d, t, spans): the matches of each document that has any, word ranges [lo, hi) and where their first occurrence
     stands (d, t, at).
 
     Every join on hashes is a `lookup`, so an owner, factor or window that very many texts share is dealt over many tasks.
     """
-    texts = _key(docs, "text")
+    texts = _once(_key(docs, "text"))
     rows = materialise(texts.mapInArrow(_factors, "d long, t long, owner long, whole long, place long"))
     owners = materialise(rows.groupBy("owner").agg(F.count("*").alias("k")).filter("k > 1"))
     shared = materialise(lookup(rows, owners, ["owner"], "k", rows.count()).drop("k"))
@@ -236,7 +244,10 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def _with_spans(docs: DataFrame, *keep: str | Column) -> DataFrame:
-    return _key(docs, *keep).join(repeats(docs), ["d", "t"], "left")
+    rows = _key(docs, *keep)
+    copies = rows.groupBy("d", "t").agg(F.count("*").alias("_copies"))
+    spans = repeats(docs).join(copies, ["d", "t"])
+    return lookup(rows, spans, ["d", "t"], "_copies", rows.count(), "left").drop("_copies")
 
 
 def parsed(docs: DataFrame) -> DataFrame:
@@ -274,7 +285,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(out, pa.string())], ["_row", "_text"])
 
     rest = [c for c in docs.columns if c != "text"]
-    whole = F.struct(*rest).alias("_row")
+    whole = F.struct(*named(rest)).alias("_row")
     rows = _with_spans(docs, whole, "text").select("_row", F.col("text").alias("_text"), F.col("spans").alias("_spans"))
     schema = rows.select("_row", "_text").schema
     done = rows.mapInArrow(cut, schema)
