@@ -1,10 +1,9 @@
-"""Streams: telemetry windows, watches over changing content and admission by token bucket."""
+"""Streams: telemetry windows, watches over changing content, their life cycle and admission by token bucket."""
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from siftline.operators import watches
+from siftline.streaming.ordered import in_order
 
 
 def telemetry_windows(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
@@ -21,50 +20,35 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return rows.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def watch_changes(captures: DataFrame) -> DataFrame:
-    """(url, ts, kind, checks, changes): each capture of a watched URL against the one before, with running counters.
+def watch_changes(captures: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """(url, ts, kind, checks, changes): each capture of a watched URL against the one before, with running counters, once
+    the watermark has passed it. What is kept of a URL is one hash and two counters, and the captures that wait."""
+    rows = captures.select("url", "ts", F.sha2(F.coalesce("content", F.lit("")), 256).alias("hash"))
+
+    def step(state: list | None, at: int, values: tuple) -> tuple[list, list[tuple]]:
+        last, checks, changes = state or (None, 0, 0)
+        kind = "first" if last is None else "same" if values[0] == last else "changed"
+        state = [values[0], checks + 1, changes + (kind == "changed")]
+        return state, [(at, kind, *state[1:])]
 
-    State is one hash and two counters for each URL, whatever its history.
-    """
-    rows = captures.select("url", F.col("ts").cast("timestamp").alias("ts"), F.sha2(F.coalesce("content", F.lit("")), 256).alias("hash"))
+    out = in_order(rows, "url", "ts", ["hash"], step, "url string, at long, kind string, checks long, changes long", late)
+    return out.select("url", F.timestamp_micros("at").alias("ts"), "kind", "checks", "changes")
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, checks, changes = state.get if state.exists else ("", 0, 0)
-        for part in parts:
-            out = []
-            for r in part.sort_values(["ts", "hash"]).itertuples():
-                kind = "first" if not last else "same" if r.hash == last else "changed"
-                last, checks, changes = r.hash, checks + 1, changes + (kind == "changed")
-                out.append((key[0], r.ts, kind, checks, changes))
-            yield pd.DataFrame(out, columns=["url", "ts", "kind", "checks", "changes"])
-        state.update((last, checks, changes))
 
-    return rows.groupBy("url").applyInPandasWithState(
-        step,
-        "url string, ts timestamp, kind string, checks long, changes long",
-        "hash string, checks long, changes long",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+def watch_life(rows: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """The life of watches (operators.watches) from a stream of rows (watch_id, ts, kind, detail). A timer tells of each
+    check that is due, with or without another row of its watch."""
+    named = rows.withColumn("watch_id", F.col("watch_id").cast("string"))
+    return in_order(named, "watch_id", "ts", ["kind", "detail"], watches.step, watches.SCHEMA, late, watches.idle)
 
 
-def admission(events: DataFrame, capacity: float, per_second: float) -> DataFrame:
+def admission(events: DataFrame, capacity: float, per_second: float, late: str = "0 seconds") -> DataFrame:
     """(user_id, event_id, allowed): a token bucket for each user that lives on between micro-batches."""
-    rows = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tokens, last = state.get if state.exists else (capacity, -1.0)
-        for part in parts:
-            out = []
-            for r in part.sort_values(["ts", "event_id"]).itertuples():
-                at = r.ts.timestamp()
-                tokens = min(capacity, tokens + max(0.0, at - last) * per_second) if last >= 0 else capacity
-                last, ok = at, tokens >= 1
-                tokens -= ok
-                out.append((key[0], r.event_id, ok))
-            yield pd.DataFrame(out, columns=["user_id", "event_id", "allowed"])
-        state.update((tokens, last))
-
-    return rows.groupBy("user_id").applyInPandasWithState(
-        step, "user_id long, event_id long, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout
-    )
+
+    def step(state: list | None, at: int, values: tuple) -> tuple[list, list[tuple]]:
+        tokens = capacity if state is None else min(capacity, state[0] + (at - state[1]) / 1e6 * per_second)
+        ok = tokens >= 1
+        return [tokens - ok, at], [(values[0], ok)]
+
+    rows = events.select("user_id", "event_id", "ts")
+    return in_order(rows, "user_id", "ts", ["event_id"], step, "user_id long, event_id long, allowed boolean", late)
