@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from siftline.functions import html, urls
-from siftline.operators import changes
+from siftline.operators import changes, crawls
 from siftline.plans.extraction import STRIP_SQL, table
 
-DEPTH = 4
+DEPTH, PAGES = 4, 60
 
 
 def change_history(spark, sf_dir):
@@ -43,6 +43,15 @@ def crawl_depths(spark, sf_dir):
     return changes.crawl(_edges(spark, sf_dir), [0], DEPTH)
 
 
+def crawl_order(spark, sf_dir):
+    """The first pages of a crawl from two starts, in breadth and in depth."""
+    k, n = F.col("page_id"), table(spark, sf_dir, "pages").agg(F.max("page_id")).first()[0] + 1
+    to = F.array((k * 3 + 1) % n, (k * 7 + 2) % n, (k * 3 + 1) % n, (k * 5 + 4) % n)
+    edges = table(spark, sf_dir, "pages").select(k.alias("src"), F.posexplode(to).alias("pos", "dst"))
+    both = [crawls.crawl_order(edges, [5, 0], DEPTH, PAGES, s).withColumn("strategy", F.lit(s)) for s in ("bfs", "dfs")]
+    return both[0].union(both[1])
+
+
 def crawl_statistics(spark, sf_dir):
     gated = html.first_reason(F.col("html"), html.CHALLENGES).isNotNull()
     rows = table(spark, sf_dir, "pages").select(
@@ -61,7 +70,7 @@ def link_targets(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (change_history, change_counts, pruned_versions, latest_versions, version_diffs, crawl_depths, crawl_statistics, link_targets)
+    for f in (change_history, change_counts, pruned_versions, latest_versions, version_diffs, crawl_depths, crawl_order, crawl_statistics, link_targets)
 }
 _HIST = """WITH h AS (SELECT source, doc_id, sha256(coalesce(text, '')) AS content_hash FROM documents),
 p AS (SELECT *, lag(content_hash) OVER (PARTITION BY source ORDER BY doc_id) AS previous_hash FROM h),
@@ -77,6 +86,17 @@ ORACLE_SQL = {
     "crawl_depths": f"""WITH RECURSIVE e AS (SELECT page_id AS src, unnest([(page_id * 3 + 1) % n, (page_id * 7 + 2) % n]) AS dst FROM pages, (SELECT max(page_id) + 1 AS n FROM pages)),
 r AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < {DEPTH})
 SELECT node, min(depth)::INTEGER AS depth FROM r GROUP BY 1""",
+    "crawl_order": f"""WITH RECURSIVE e AS (SELECT page_id AS src, [(page_id * 3 + 1) % n, (page_id * 7 + 2) % n, (page_id * 5 + 4) % n] AS l FROM pages, (SELECT max(page_id) + 1 AS n FROM pages)),
+w AS (
+  SELECT s.strategy, CASE WHEN s.strategy = 'bfs' THEN [struct_pack(node := 5::BIGINT, depth := 0, parent := NULL::BIGINT), struct_pack(node := 0::BIGINT, depth := 0, parent := NULL::BIGINT)]
+    ELSE [struct_pack(node := 0::BIGINT, depth := 0, parent := NULL::BIGINT), struct_pack(node := 5::BIGINT, depth := 0, parent := NULL::BIGINT)] END AS q,
+    [5::BIGINT, 0::BIGINT] AS seen, -1::BIGINT AS place, NULL::STRUCT(node BIGINT, depth INTEGER, parent BIGINT) AS here FROM (VALUES ('bfs'), ('dfs')) s(strategy)
+  UNION ALL
+  SELECT strategy, list_concat(rest, list_transform(new, lambda x: struct_pack(node := x, depth := x0.depth + 1, parent := x0.node))), list_concat(seen, new), place + 1, x0
+  FROM (SELECT w.strategy, w.seen, w.place, x0, rest, CASE WHEN x0.depth < {DEPTH} THEN list_filter([e.l[1], e.l[2], e.l[3]], lambda x, i: NOT list_contains(w.seen, x) AND list_position(e.l, x) = i) ELSE [] END AS new
+    FROM (SELECT *, CASE WHEN strategy = 'bfs' THEN q[1] ELSE q[-1] END AS x0, CASE WHEN strategy = 'bfs' THEN q[2:] ELSE q[:-2] END AS rest FROM w WHERE len(q) > 0 AND place + 1 < {PAGES}) w
+    JOIN e ON e.src = x0.node)
+) SELECT strategy, here.node AS node, place, here.depth AS depth, here.parent AS parent FROM w WHERE here IS NOT NULL""",
     "crawl_statistics": f"""WITH p AS (SELECT {_WALLS} AS b, ceil(length(html) / 4)::BIGINT AS raw, ceil(length({STRIP_SQL}) / 4)::BIGINT AS t, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1, 'i')) AS h FROM pages)
 SELECT count(*) AS n_pages, count(*) FILTER (NOT b) AS n_ok, count(*) FILTER (b) AS n_blocked, sum(raw)::BIGINT AS tokens_in, sum(t)::BIGINT AS tokens_out,
   floor((1 - sum(t) / sum(raw)) * 100 + 0.5)::BIGINT AS savings_percent, count(DISTINCT h) AS n_hosts FROM p""",
