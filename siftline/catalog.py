@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siftline.plans import (
     admission, changes, events, exports, extraction, listings, marketplace, operations, policies, pricing, provenance, records, relational,
-    requests, retrieval, stores, streams, structured,
+    requests, retrieval, stores, streams, structured, tables,
 )
 
 _PLANS = (
     extraction, events, provenance, retrieval, pricing, operations, admission, changes, listings, marketplace, structured, policies, requests,
-    relational, exports, records, streams, stores,
+    relational, exports, records, streams, stores, tables,
 )
 
 FLAGSHIP = "select_best_extraction"

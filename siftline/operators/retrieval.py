@@ -212,6 +212,30 @@ def session_memory(turns: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.size("e").cast("long").alias("n_entries"), F.array_join(lines, "\n").alias("transcript"))
 
 
+def screened_answers(hits: DataFrame, texts: DataFrame, questions: DataFrame) -> DataFrame:
+    """(query_id, n_sources, n_unsafe, safe, context, citations, headline, paragraph, n_sentences): what a question's hits say,
+    made harmless, and summaries of it.
+
+    hits (query_id, rank, id), texts (id, text), questions (query_id, text). Each text that is hit is screened once. A
+    question is safe if neither it nor any of its sources holds a threat that counts; questions without hits have none.
+    """
+    docs = texts.join(hits.select("id").distinct(), "id")
+    docs = threats(docs.withColumn("clean", sanitise(F.col("text"))), "text", "id", "clean").select("id", "clean", "safe")
+    asked = threats(questions, "text", "query_id").select("query_id", F.col("safe").alias("asked_safe"))
+    sources = F.array_sort(F.collect_list(F.struct("rank", "id", "clean")))
+    got = hits.join(docs, "id").groupBy("query_id").agg(sources.alias("s"), F.count_if(~F.col("safe")).alias("n_unsafe"))
+    line = F.transform("s", lambda x: F.concat(F.lit("Source "), x["rank"].cast("string"), F.lit(": "), F.coalesce(x["clean"], F.lit(""))))
+    cite = F.transform("s", lambda x: F.concat(x["id"].cast("string"), F.lit("|"), F.substring(F.coalesce(x["clean"], F.lit("")), 1, 200)))
+    rows = asked.join(got, "query_id", "left").select(
+        "query_id", F.coalesce(F.size("s"), F.lit(0)).cast("long").alias("n_sources"), F.coalesce("n_unsafe", F.lit(0)).cast("long").alias("n_unsafe"), "asked_safe",
+        F.coalesce(F.array_join(line, "\n"), F.lit("")).alias("context"), F.coalesce(F.array_join(cite, "\n"), F.lit("")).alias("citations"),
+    )
+    said = summarise(F.col("context"))
+    rows = rows.withColumns({"headline": said["headline"], "paragraph": said["paragraph"], "safe": F.col("asked_safe") & (F.col("n_unsafe") == 0)}).drop("asked_safe")
+    some = F.filter(sentences(F.col("paragraph")), lambda x: F.trim(x) != "")
+    return rows.withColumn("n_sentences", F.size(some).cast("long"))
+
+
 def answers(hits: DataFrame, texts: DataFrame) -> DataFrame:
     """(query_id, n_sources, context, citations): retrieved texts, numbered by rank, and their excerpts."""
     rows = hits.join(texts, "id")

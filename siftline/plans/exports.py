@@ -56,10 +56,11 @@ def sitemap_pages(spark, sf_dir):
 def merged_fetches(spark, sf_dir):
     """Pages fetched again: unchanged ones (304) keep the body they had, others bring a new one."""
     k = F.col("page_id")
-    old = table(spark, sf_dir, "pages").filter(k % 5 > 0).select("url", F.col("html").alias("body"), F.concat(F.lit('"'), k, F.lit('"')).alias("etag"))
+    old = table(spark, sf_dir, "pages").filter(k % 5 > 0).select("url", F.col("html").alias("body"), F.concat(F.lit('"'), k, F.lit('"')).alias("etag"), k.alias("etag_no"))
+    first = old.groupBy("url").agg(F.min_by(F.struct("body", "etag"), "etag_no").alias("x")).select("url", "x.*")
     status = F.when((k % 5 > 0) & (k % 3 == 0), 304).otherwise(200)
     new = table(spark, sf_dir, "pages").select("page_id", "url", status.alias("status"), F.when(status == 200, F.lower("html")).alias("body"))
-    out = exports.merge_fetches(new, old.dropDuplicates(["url"]))
+    out = exports.merge_fetches(new, first)
     return out.groupBy("page_id", "status", "from_cache").agg(F.max(F.sha2("body", 256)).alias("body_hash"))
 
 

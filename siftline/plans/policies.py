@@ -21,8 +21,12 @@ def applied_policies(spark, sf_dir):
 
 
 def policy_list(spark, sf_dir):
+    """The policies, and how many pages each is for."""
     rows = [(p["name"], p["domain"], len(p.get("keep", [])) + len(p["drop"]), len(ops.errors(p)), ops.fingerprint([p])) for p in POLICIES]
-    return spark.createDataFrame(rows, "name string, domain string, n_rules int, n_errors int, fingerprint string")
+    listed = spark.createDataFrame(rows, "name string, domain string, n_rules int, n_errors int, fingerprint string")
+    chosen = ops.select_policy(F.col("url"), [(p["name"], p["domain"]) for p in POLICIES[:-1]], POLICIES[-1]["name"])
+    used = table(spark, sf_dir, "pages").groupBy(chosen.alias("name")).agg(F.count("*").alias("n_pages"))
+    return listed.join(used, "name", "left").withColumn("n_pages", F.coalesce("n_pages", F.lit(0)))
 
 
 def host_delays(spark, sf_dir):
@@ -57,9 +61,10 @@ ORACLE_SQL = {
 p AS (SELECT *, CASE WHEN regexp_matches(h, '^www\\..*|news\\..*$') THEN 'news' WHEN regexp_matches(h, '^blog\\..*$') THEN 'blogs' ELSE 'default' END AS policy FROM h)
 """
     + " UNION ALL ".join(_steps(p, k) for k, p in enumerate(POLICIES)),
-    "policy_list": "SELECT * FROM (VALUES "
+    "policy_list": rf"""WITH u AS (SELECT CASE WHEN regexp_matches(h, '^www\..*|news\..*$') THEN 'news' WHEN regexp_matches(h, '^blog\..*$') THEN 'blogs' ELSE 'default' END AS name, count(*) AS n_pages FROM (SELECT {_HOST} AS h FROM pages) GROUP BY 1)
+SELECT t.*, coalesce(n_pages, 0) AS n_pages FROM (VALUES """
     + ", ".join(f"('{p['name']}', '{p['domain']}', {len(p.get('keep', [])) + len(p['drop'])}::INTEGER, 0::INTEGER, '{ops.fingerprint([p])}')" for p in POLICIES)
-    + ") t(name, domain, n_rules, n_errors, fingerprint)",
+    + ") t(name, domain, n_rules, n_errors, fingerprint) LEFT JOIN u USING (name)",
     "host_delays": rf"""SELECT page_id, CASE WHEN regexp_matches(h, '^.*\.example$') THEN 3 WHEN regexp_matches(h, '^www\..*$') THEN 2 WHEN regexp_matches(h, '^blog\..*$') THEN 7 ELSE 1 END::INTEGER AS delay
 FROM (SELECT page_id, {_HOST} AS h FROM pages)""",
 }

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from siftline.functions import html, urls
-from siftline.plans.extraction import STRIP_SQL, table
+from siftline.operators import extraction
+from siftline.plans.extraction import NODE_SQL, STRIP_SQL, table
 
 
 def content_hashes(spark, sf_dir):
@@ -54,13 +55,13 @@ def token_report(spark, sf_dir):
 
 
 def source_spans(spark, sf_dir):
-    first = F.get(F.filter(html.blocks(F.col("html"), "p"), lambda x: F.length(F.trim(x)) > 0), F.lit(0))
-    rows = table(spark, sf_dir, "pages").select("page_id", "html", F.trim(first).alias("text")).filter("text IS NOT NULL")
+    """Where the text of each node stands in its page as it came; nodes with markup inside stand nowhere as one piece."""
+    pages = table(spark, sf_dir, "pages")
+    rows = extraction.nodes(pages).select("page_id", "node_no", "text").join(pages.select("page_id", "html"), "page_id")
     pos = F.instr("html", F.col("text")) - 1
     rows = rows.withColumn("start", F.when(pos < 0, 0).otherwise(pos)).withColumn("found", pos >= 0)
     rows = rows.withColumn("end", F.when(F.col("found"), F.col("start") + F.length("text")).otherwise(0))
-    part = F.substring(F.col("html"), F.col("start") + 1, F.col("end") - F.col("start"))
-    return rows.select("page_id", "start", "end", "found", (F.sha2(part, 256) == F.sha2("text", 256)).alias("verified"))
+    return rows.select("page_id", "node_no", "start", "end", "found")
 
 
 def flag_rollout(spark, sf_dir):
@@ -128,11 +129,8 @@ FROM n WHERE link <> ''""",
     "token_reduction": f"SELECT *, round(100 * (1 - text_tokens / raw_tokens), 4) AS reduction_percent FROM ({_RED})",
     "token_report": f"""SELECT count(*) AS n_pages, sum(raw_tokens)::BIGINT AS raw_tokens, sum(text_tokens)::BIGINT AS text_tokens,
   round(avg(round(100 * (1 - text_tokens / raw_tokens), 4)), 4) AS mean_percent, round(100 * (1 - sum(text_tokens) / sum(raw_tokens)), 4) AS overall_percent FROM ({_RED})""",
-    "source_spans": r"""WITH f AS (
-  SELECT page_id, html, trim(list_filter(regexp_extract_all(html, '<(?:p)(?:\s[^>]*)?>([^<]*)', 1, 'i'), lambda x: length(trim(x)) > 0)[1]) AS text FROM pages
-), s AS (SELECT *, instr(html, text) - 1 AS pos FROM f WHERE text IS NOT NULL)
-SELECT page_id, greatest(pos, 0)::INTEGER AS "start", (CASE WHEN pos >= 0 THEN pos + length(text) ELSE 0 END)::INTEGER AS "end", pos >= 0 AS found,
-  CASE WHEN pos >= 0 THEN substr(html, pos + 1, length(text)) ELSE '' END = text AS verified FROM s""",
+    "source_spans": f"""WITH {NODE_SQL}, s AS (SELECT page_id, node_no, text, instr(html, text) - 1 AS pos FROM node JOIN pages USING (page_id) WHERE length(text) > 0)
+SELECT page_id, node_no, greatest(pos, 0)::INTEGER AS "start", (CASE WHEN pos >= 0 THEN pos + length(text) ELSE 0 END)::INTEGER AS "end", pos >= 0 AS found FROM s""",
     "flag_rollout": """WITH u AS (SELECT DISTINCT user_id FROM events),
 h AS (SELECT user_id, list_reduce(list_prepend(0::BIGINT, list_transform(string_split('new-ranking:' || user_id, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) AS w FROM u),
 s AS (SELECT user_id, CASE WHEN w >= 2147483648 THEN w - 4294967296 ELSE w END AS hash FROM h)

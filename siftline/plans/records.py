@@ -30,7 +30,7 @@ def captured_orders(spark, sf_dir):
 
 def answer_parts(spark, sf_dir):
     head = F.col("source")
-    said = F.regexp_replace(F.substring("text", 1, 60), r"\s+", " ")
+    said = F.regexp_replace("text", r"\s+", " ")
     text = F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit("TITLE: "), head, F.lit("\nCONTENT: x"), said, F.lit("\nSUMMARY: short of "), head, F.lit("\n  "))).otherwise(F.concat(F.lit(" no parts "), F.col("doc_id"), F.lit(" ")))
     return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in records.answer_parts(text).items()])
 
@@ -66,7 +66,7 @@ def content_addresses(spark, sf_dir):
 def _spans(spark, sf_dir):
     k = F.col("page_id")
     pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("é日 "), "html").alias("html"))
-    texts = F.slice(F.filter(F.transform(html.blocks(F.col("html"), "p"), F.trim), lambda x: F.length(x) > 10), 1, 3)
+    texts = F.filter(F.transform(html.blocks(F.col("html"), "p"), F.trim), lambda x: F.length(x) > 10)
     rows = pages.select("page_id", "html", F.posexplode(texts).alias("span_no", "text"))
     rows = rows.withColumn("s", provenance.span(F.col("text"), F.col("html")))
     spans = rows.select(
@@ -88,8 +88,8 @@ def verified_spans(spark, sf_dir):
 
 
 def text_hashes(spark, sf_dir):
-    """The 32-bit rolling hash of each document's first hundred characters, with some beyond the basic plane."""
-    text = F.concat(F.lit("😀"), F.substring("text", 1, 100))
+    """The 32-bit rolling hash of each document, with a character beyond the basic plane."""
+    text = F.concat(F.lit("😀"), "text")
     return table(spark, sf_dir, "documents").select("doc_id", urls.rolling_hash(text).alias("hash"))
 
 
@@ -208,7 +208,7 @@ QUERIES = {
 
 _ADDRESS = f"'sha256:' || sha256({{0}} || chr(10) || '---METADATA---' || chr(10) || '{{{{\"url\":\"' || url || '\",\"contentType\":\"text/html\"}}}}')"
 _SPANS = r"""p AS (SELECT page_id, 'é日 ' || html AS html FROM pages),
-t AS (SELECT page_id, html, list_filter(list_transform(regexp_extract_all(html, '<(?:p)(?:\s[^>]*)?>([^<]*)', 1, 'i'), lambda x: trim(x)), lambda x: length(x) > 10)[1:3] AS l FROM p),
+t AS (SELECT page_id, html, list_filter(list_transform(regexp_extract_all(html, '<(?:p)(?:\s[^>]*)?>([^<]*)', 1, 'i'), lambda x: trim(x)), lambda x: length(x) > 10) AS l FROM p),
 u AS (SELECT page_id, html, unnest(l) AS text, unnest(range(len(l)))::INTEGER AS span_no FROM t),
 s AS (SELECT page_id, html, span_no, instr(html, text) - 1 AS a, length(text) AS n, text FROM u),
 sp AS (SELECT page_id, span_no, html, CASE WHEN page_id % 6 = 1 THEN -1 ELSE a END::INTEGER AS "start", CASE WHEN page_id % 6 = 2 THEN 10000000 ELSE a + n END::INTEGER AS "end",
@@ -223,7 +223,7 @@ SELECT l_orderkey, l_orderkey::VARCHAR AS order_id, item_no, CASE WHEN l_linenum
   CASE WHEN l_linenumber % 3 > 0 THEN l_extendedprice ELSE 9.5 END::DOUBLE AS price, CASE WHEN l_linenumber % 4 > 0 THEN l_quantity ELSE 1 END::INTEGER AS quantity,
   CASE WHEN l_orderkey % 3 = 0 THEN 'sold' ELSE 'unknown' END AS availability FROM i WHERE l_orderkey % 7 > 0 AND l_linenumber % 5 > 0
 UNION ALL SELECT l_orderkey, l_orderkey::VARCHAR, 0, l_orderkey::VARCHAR, 'Whole order', 9.5, 1, CASE WHEN l_orderkey % 3 = 0 THEN 'sold' ELSE 'unknown' END FROM o""",
-    "answer_parts": r"""SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN source ELSE 'Untitled' END AS title, CASE WHEN doc_id % 4 > 0 THEN trim('x' || regexp_replace(left(text, 60), '\s+', ' ', 'g')) ELSE 'no parts ' || doc_id END AS content,
+    "answer_parts": r"""SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN source ELSE 'Untitled' END AS title, CASE WHEN doc_id % 4 > 0 THEN trim('x' || regexp_replace(text, '\s+', ' ', 'g')) ELSE 'no parts ' || doc_id END AS content,
   CASE WHEN doc_id % 4 > 0 THEN 'short of ' || source || chr(10) ELSE '' END AS summary FROM documents""",
     "answered_listings": """WITH x AS (SELECT *, p_partkey AS k, p_partkey % 6 = 2 AS odd, CASE WHEN p_partkey % 9 = 0 THEN 0.9 ELSE 1.0 END AS short FROM part WHERE p_partkey % 6 <> 1)
 SELECT k AS p_partkey, CASE WHEN NOT odd THEN p_name END AS title, CASE WHEN NOT odd AND k % 3 > 0 THEN p_retailprice END AS price, CASE WHEN odd THEN 'USD' ELSE 'EUR' END AS currency,
@@ -239,7 +239,7 @@ SELECT page_id, page_id % 7 > 0 AND h = h2 AS verified, CASE WHEN page_id % 7 >
     "span_offsets": f'WITH {_SPANS} SELECT page_id, span_no, "start", "end", byte_start, byte_end FROM sp',
     "verified_spans": f"""WITH {_SPANS}, v AS (SELECT page_id, page_id % 4 <> 0 AS m, "start" >= 0 AND "end" <= length(html) + (page_id % 4 = 0)::INTEGER AND "start" < "end" AS ok FROM sp)
 SELECT page_id, bool_and(m) AS hash_matches, count(*) FILTER (ok) AS n_valid, count(*) FILTER (NOT ok) AS n_invalid, bool_and(m) AND bool_and(ok) AS valid FROM v GROUP BY 1""",
-    "text_hashes": """WITH c AS (SELECT doc_id, list_concat([55357::BIGINT, 56832::BIGINT], flatten(list_transform(string_split(left(text, 100), ''), lambda x: CASE WHEN unicode(x) >= 65536
+    "text_hashes": """WITH c AS (SELECT doc_id, list_concat([55357::BIGINT, 56832::BIGINT], flatten(list_transform(string_split(text, ''), lambda x: CASE WHEN unicode(x) >= 65536
   THEN [(55296 + (unicode(x) - 65536) // 1024)::BIGINT, (56320 + (unicode(x) - 65536) % 1024)::BIGINT] ELSE [unicode(x)::BIGINT] END))) AS u FROM documents),
 h AS (SELECT doc_id, list_reduce(list_prepend(0::BIGINT, u), lambda h, x: (h * 31 + x) % 4294967296) AS w FROM c)
 SELECT doc_id, CASE WHEN w >= 2147483648 THEN w - 4294967296 ELSE w END AS hash FROM h""",

@@ -3,7 +3,9 @@ job tracking, snapshots and lookups."""
 
 from pyspark.sql import Window as W, functions as F
 
-from siftline.plans.extraction import table
+from siftline.functions import html
+from siftline.operators import extraction
+from siftline.plans.extraction import SCORED_SQL, STRIP_SQL, table
 
 
 def usage_rollup(spark, sf_dir):
@@ -116,20 +118,23 @@ def text_quality(spark, sf_dir):
 
 
 def keyword_accuracy(spark, sf_dir):
-    """Precision, recall and F1 of the first 500 characters of each document for its own six longest words, its
-    beginning and its length. Nothing counts as wrongly found, so precision is 1 wherever anything is found."""
+    """Precision, recall and F1 of each page's best extraction for the six longest words of all its text, and its length.
+    Nothing counts as wrongly found, so precision is 1 wherever anything is found."""
+    pages = table(spark, sf_dir, "pages")
+    best = extraction.select_best(extraction.score_candidates(extraction.candidates(pages))).select("page_id", "content")
+    texts = pages.select("page_id", html.strip_html(F.col("html")).alias("text")).join(best, "page_id")
     lower = F.lower("text")
     words = F.array_distinct(F.regexp_extract_all(lower, F.lit("[a-z]{5,}"), F.lit(0)))
     best = F.slice(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, 6)
-    got = F.lower(F.substring("text", 1, 500))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.transform(best, lambda b: F.contains(got, b["w"])).alias("hit"), F.length("text").alias("n"))
+    got = F.lower("content")
+    rows = texts.select("page_id", F.transform(best, lambda b: F.contains(got, b["w"])).alias("hit"), F.length("content").alias("n"))
     found = F.size(F.filter("hit", lambda h: h)) + (F.col("n") >= 200).cast("int")
     missed = F.size("hit") + 1 - found
-    rows = rows.select("doc_id", found.alias("tp"), missed.alias("fn"))
+    rows = rows.select("page_id", found.alias("tp"), missed.alias("fn"))
     precision = F.when(F.col("tp") > 0, 1.0).otherwise(0.0)
     recall = F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1))
     f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
-    return rows.select("doc_id", "tp", "fn", precision.alias("precision"), F.round(recall, 6).alias("recall"), F.round(f1, 6).alias("f1"))
+    return rows.select("page_id", "tp", "fn", precision.alias("precision"), F.round(recall, 6).alias("recall"), F.round(f1, 6).alias("f1"))
 
 
 def matched_metadata(spark, sf_dir):
@@ -170,10 +175,10 @@ SELECT doc_id, (10 * (CASE WHEN n > 100 AND n < 10000 THEN 2 WHEN n >= 50 THEN 1
   + (len(string_split(text, chr(10) || chr(10))) > 2)::INTEGER + (regexp_matches(text, 'https?://') OR regexp_matches(text, '(?i)<a '))::INTEGER
   + (regexp_matches(text, '(?m)^[-*•]\s') OR regexp_matches(text, '(?i)<[uo]l>'))::INTEGER + CASE WHEN words > 50 AND words < 5000 THEN 2 WHEN words > 20 THEN 1 ELSE 0 END
   + CASE WHEN regexp_matches(left(text, 200), '(?i)error|failed|exception') THEN 0 ELSE 2 END))::BIGINT AS quality FROM x""",
-    "keyword_accuracy": """WITH w AS (SELECT doc_id, lower(left(text, 500)) AS got, length(text) AS n, list_sort(list_transform(list_distinct(regexp_extract_all(lower(text), '[a-z]{5,}')),
-  lambda x: {'n': -length(x), 'w': x}))[1:6] AS best FROM documents),
-t AS (SELECT doc_id, (len(list_filter(best, lambda b: contains(got, b.w))) + (n >= 200)::INTEGER)::INTEGER AS tp, len(best) AS k FROM w),
-r AS (SELECT doc_id, tp, (k + 1 - tp)::INTEGER AS fn, CASE WHEN tp > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS precision, tp / greatest(k + 1, 1) AS rec FROM t)
-SELECT doc_id, tp, fn, precision, round(rec, 6) AS recall, round(CASE WHEN precision + rec > 0 THEN 2 * precision * rec / (precision + rec) ELSE 0.0 END::DOUBLE, 6) AS f1 FROM r""",
+    "keyword_accuracy": f"""WITH {SCORED_SQL}, w AS (SELECT page_id, lower(content) AS got, length(content) AS n, list_sort(list_transform(list_distinct(regexp_extract_all(lower({STRIP_SQL}), '[a-z]{{5,}}')),
+  lambda x: {{'n': -length(x), 'w': x}}))[1:6] AS best FROM best JOIN (SELECT page_id, html FROM pages) USING (page_id)),
+t AS (SELECT page_id, (len(list_filter(best, lambda b: contains(got, b.w))) + (n >= 200)::INTEGER)::INTEGER AS tp, len(best) AS k FROM w),
+r AS (SELECT page_id, tp, (k + 1 - tp)::INTEGER AS fn, CASE WHEN tp > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS precision, tp / greatest(k + 1, 1) AS rec FROM t)
+SELECT page_id, tp, fn, precision, round(rec, 6) AS recall, round(CASE WHEN precision + rec > 0 THEN 2 * precision * rec / (precision + rec) ELSE 0.0 END::DOUBLE, 6) AS f1 FROM r""",
     "matched_metadata": "SELECT vec_id, 'l' || label || '|third|even' AS tags FROM embeddings WHERE vec_id % 6 = 0 AND label > 2",
 }

@@ -191,7 +191,7 @@ def test_every_twentieth_row_is_asked_for_whole_texts(spark, tmp_path):
     rows = [(k, [math.cos(k), math.sin(k)], 3) for k in range(60)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     spark.createDataFrame([(k, "word " * 150 + f"end{k}") for k in range(60)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    for query in (plans.similarity_search_every, plans.similarity_search_filtered_every):
+    for query in (plans.similarity_search, plans.similarity_search_filtered):
         assert {r["query_id"] for r in query(spark, str(tmp_path)).collect()} == {0, 20, 40}
-    answers = {r["query_id"]: r["context"] for r in plans.retrieval_answers_every(spark, str(tmp_path)).collect()}
+    answers = {r["query_id"]: r["context"] for r in plans.retrieval_answers(spark, str(tmp_path)).collect()}
     assert set(answers) == {0, 20, 40} and all(f"end{q}" in text for q, text in answers.items())
