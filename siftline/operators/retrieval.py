@@ -90,6 +90,31 @@ def _padded(col: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
+def ranked_block(block: pa.Table, asks: np.ndarray, k: int, min_score: float | None, keep: str | None = None) -> pa.Table:
+    """(query_id, id, score, _near): the k best rows of a block for each of its queries, which `asks` marks; `keep` is a
+    column of the queries that their lines carry along."""
+    out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]]
+    if asks.any() and not asks.all():
+        ids, v = block.column("id").to_numpy(), _padded(block.column("v"))
+        norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+        q_ids, q, ids, c = ids[asks], v[asks], ids[~asks], v[~asks].T
+        for lo in range(0, len(q), PAGE):
+            for n, score in enumerate(q[lo : lo + PAGE] @ c, lo):
+                near, at = np.round(score, 9), np.arange(len(score))
+                if min_score is not None:
+                    at = at[score >= min_score]
+                if len(at) > k:
+                    at = at[near[at] >= np.partition(near[at], len(at) - k)[len(at) - k]]
+                at = at[np.lexsort((ids[at], -near[at]))[:k]]
+                out[0].append(np.full(len(at), q_ids[n])), out[1].append(ids[at]), out[2].append(score[at]), out[3].append(np.full(len(at), n))
+    query_id, found, score, n = map(np.concatenate, out)
+    made = {"query_id": query_id, "id": found, "score": score, "_near": np.round(score, 9)}
+    if keep:
+        made[keep] = block.column(keep).filter(pa.array(asks)).take(pa.array(n))
+    return pa.table(made)
+
+
 def block_search(rows: DataFrame, queries: DataFrame, k: int, min_score: float | None = None) -> DataFrame:
     """(query_id, rank, id, score) as `similarity_search`, for queries that grow with the rows.
 
@@ -111,24 +136,7 @@ def block_search(rows: DataFrame, queries: DataFrame, k: int, min_score: float |
         return df.select("id", "v", F.lit(asks).alias("asks"), at.alias(own), every.alias(other))
 
     def best(block: pa.Table) -> pa.Table:
-        asks = block.column("asks").to_numpy()
-        out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
-        if asks.any() and not asks.all():
-            ids, v = block.column("id").to_numpy(), _padded(block.column("v"))
-            norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
-            v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
-            q_ids, q, ids, c = ids[asks], v[asks], ids[~asks], v[~asks].T
-            for lo in range(0, len(q), PAGE):
-                for q_id, score in zip(q_ids[lo : lo + PAGE], q[lo : lo + PAGE] @ c):
-                    near, at = np.round(score, 9), np.arange(len(score))
-                    if min_score is not None:
-                        at = at[score >= min_score]
-                    if len(at) > k:
-                        at = at[near[at] >= np.partition(near[at], len(at) - k)[len(at) - k]]
-                    at = at[np.lexsort((ids[at], -near[at]))[:k]]
-                    out[0].append(np.full(len(at), q_id)), out[1].append(ids[at]), out[2].append(score[at])
-        query_id, found, score = map(np.concatenate, out)
-        return pa.table({"query_id": query_id, "id": found, "score": score, "_near": np.round(score, 9)})
+        return ranked_block(block, block.column("asks").to_numpy(), k, min_score)
 
     both = dealt(held, "_r", n_rows, "_q", n_asked, False).unionByName(dealt(asked, "_q", n_asked, "_r", n_rows, True))
     found = both.groupBy("_r", "_q").applyInArrow(best, "query_id long, id long, score double, _near double")

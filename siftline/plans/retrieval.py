@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from siftline.functions.safety import MAX_LENGTH, OVERFLOW, THREATS
-from siftline.operators import retrieval
+from siftline.operators import pruning, retrieval
 from siftline.plans.extraction import table
 
 DIMS = 64
@@ -30,6 +30,13 @@ def _hits(spark, sf_dir, k, min_score=None, label=None):
     return retrieval.block_search(rows, asked, k, min_score)
 
 
+def pruned_similarity(spark, sf_dir):
+    """`similarity_search` by parts that bounds leave out."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = vectors.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    return pruning.pruned_search(vectors, asked, 5).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
 def similarity_search(spark, sf_dir):
     return _hits(spark, sf_dir, 5).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
@@ -115,7 +122,7 @@ def text_similarity(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        screened_answers,
+        screened_answers, pruned_similarity,
         summaries, hash_embeddings, hash_embedding_norms, similarity_search, similarity_search_filtered, retrieval_answers, prompt_safety_turns,
         prompt_safety_pages, session_memory, information_kept, text_similarity, sanitised_turns, safety_summaries, semantic_search,
     )
@@ -174,6 +181,7 @@ SELECT doc_id, left(s[1], 120) AS headline, array_to_string(s[1:3], ' ') AS para
   CASE WHEN length(text) > 800 THEN left(text, 800) || '…' ELSE text END AS detailed FROM s""",
     "hash_embedding_norms": f"""WITH {_EMBED} SELECT doc_id, count(*) AS n_dims, round(sqrt(sum(n * n)), 6) AS norm FROM e GROUP BY 1""",
     "hash_embeddings": f"""WITH {_EMBED} SELECT doc_id, dim, n FROM e""",
+    "pruned_similarity": f"WITH {_hits_sql(5)} SELECT query_id, rank, id, round(score, 6) AS score FROM hits",
     "similarity_search": f"WITH {_hits_sql(5)} SELECT query_id, rank, id, round(score, 6) AS score FROM hits",
     "similarity_search_filtered": f"WITH {_hits_sql(5, 'e.label = 3', 'score >= 0.1')} SELECT query_id, rank, id, round(score, 6) AS score FROM hits",
     "retrieval_answers": f"""WITH {_hits_sql(3)}, r AS (SELECT h.*, text FROM hits h JOIN documents d ON d.doc_id = h.id)
