@@ -1,8 +1,11 @@
 """Records that other programs hand over: captured orders, answers of language models, watches, metadata in pages."""
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from siftline.functions import html
+from siftline.functions.running import checkpointing
 from siftline.operators import elements, listings
 from siftline.operators.structured import metadata
 
@@ -102,21 +105,40 @@ def source_health(calls: DataFrame, by: str, ts: str, order: str, ok: Column, as
     return out.select(by, "total", rate.alias("failure_rate"), F.greatest(F.lit(0.0), highest - rate * 0.5).alias("reliability"), says.alias("message"))
 
 
+def json_items(pages: DataFrame) -> DataFrame:
+    """(page_id, items): the JSON-LD objects of each page that have a context or a type, from arrays and `@graph`s at any
+    depth, in the order of the page; what a graph holds comes before the object that holds it.
+
+    The trees are walked level by level as narrow rows, each with its path; a level is one job, and there are as many as
+    the deepest tree has. Pages without any such object have no row.
+    """
+    checkpointing(pages.sparkSession)
+    level = metadata(pages).select("page_id", F.posexplode("json_ld").alias("at", "json")).select("page_id", F.array("at").alias("path"), "json")
+    found = []
+    while True:
+        level = level.withColumn("json", F.trim("json")).checkpoint()
+        if level.isEmpty():
+            break
+        whole = F.get_json_object("json", "$.@type").isNotNull() | F.get_json_object("json", "$.@context").isNotNull()
+        own = F.concat("path", F.array(F.lit((1 << 31) - 1)))
+        found.append(level.filter(whole & F.col("json").startswith("{")).select("page_id", own.alias("path"), "json"))
+        inner = F.when(F.col("json").startswith("["), F.col("json")).otherwise(F.get_json_object("json", "$.@graph"))
+        inner = F.from_json(F.when(F.trim(inner).startswith("["), inner), "array<string>")
+        level = level.select("page_id", "path", F.posexplode(inner).alias("at", "json")).filter("json IS NOT NULL")
+        level = level.select("page_id", F.concat("path", F.array("at")).alias("path"), "json")
+    every = functools.reduce(DataFrame.union, found) if found else level
+    listed = F.array_sort(F.collect_list(F.struct("path", "json")))
+    return every.groupBy("page_id").agg(F.transform(listed, lambda x: x["json"]).alias("items"))
+
+
 def described(pages: DataFrame) -> DataFrame:
     """(page_id, items, open_graph, twitter, microdata, confidence): what pages say of themselves.
 
-    items: JSON-LD objects with a context or type as JSON, those of arrays and of @graph (one level of each) before the
-    object that holds them. microdata: properties of elements with itemprop, the first value of each: what the element
+    items: JSON-LD objects with a context or type as JSON (`json_items`). microdata: properties of elements with itemprop, the first value of each: what the element
     says in an attribute, or its whole text; a property of an item within another is named by both, as `offers.price`.
     """
-    rows = metadata(pages).join(elements.with_elements(pages.select("page_id", "html")), "page_id")
-
-    def parts(x: Column, path: str) -> Column:
-        return F.coalesce(F.from_json(F.get_json_object(x, path), "array<string>"), F.array().cast("array<string>"))
-
-    listed = F.flatten(F.transform("json_ld", lambda x: F.when(F.trim(x).startswith("["), F.coalesce(F.from_json(x, "array<string>"), F.array().cast("array<string>"))).otherwise(F.array(x))))
-    every = F.flatten(F.transform(listed, lambda x: F.concat(parts(x, "$.@graph"), F.array(x))))
-    items = F.filter(every, lambda x: F.get_json_object(x, "$.@type").isNotNull() | F.get_json_object(x, "$.@context").isNotNull())
+    rows = metadata(pages).join(elements.with_elements(pages.select("page_id", "html")), "page_id").join(json_items(pages), "page_id", "left")
+    items = F.coalesce("items", F.array().cast("array<string>"))
     props = F.filter("elements", lambda e: F.map_contains_key(e["attrs"], "itemprop"))
     scopes = F.filter(props, lambda e: F.map_contains_key(e["attrs"], "itemscope"))
 

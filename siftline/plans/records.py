@@ -163,6 +163,20 @@ def described_pages(spark, sf_dir):
     )
 
 
+def nested_metadata(spark, sf_dir):
+    """Items of JSON-LD with arrays in graphs in graphs, as deep as the part's number says, and microdata with an item inside."""
+    k = F.col("p_partkey")
+    thing = F.concat(F.lit('{"@type":"T","name":"'), "p_name", F.lit('"}'))
+    deep = F.aggregate(F.sequence(F.lit(1), (k % 4 + 1).cast("int")), thing, lambda x, n: F.concat(F.lit('{"@context":"c","n":'), n, F.lit(',"@graph":[[7,'), x, F.lit("]]}")))
+    page = F.concat(
+        F.lit('<script type="application/ld+json">['), deep, F.lit(',{"no":1}]</script><div itemscope><p itemprop="name"><b>'), "p_name", F.lit('</b> <i>'), "p_brand",
+        F.lit('</i></p><div itemprop="offers" itemscope><span itemprop="price">'), "p_size", F.lit('</span><a itemprop="url" href="/x">y</a></div></div>'),
+    )
+    out = records.described(table(spark, sf_dir, "part").select(k.alias("page_id"), page.alias("html")))
+    numbers = F.transform("items", lambda x: F.coalesce(F.get_json_object(x, "$.name"), F.get_json_object(x, "$.n")))
+    return out.select("page_id", F.array_join(numbers, "|").alias("items"), *[F.col("microdata")[n].alias(n.replace(".", "_")) for n in ("name", "offers.price", "offers.url")])
+
+
 def heuristic_extractions(spark, sf_dir):
     """Title, paragraphs and confidence of each page by its best containers."""
     pages = table(spark, sf_dir, "pages")
@@ -202,7 +216,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         captured_orders, answer_parts, answered_listings, content_addresses, span_offsets, verified_spans, text_hashes, due_watches, source_health,
-        bucket_percentiles, backfill_progress, delivered_events, described_pages, heuristic_extractions, sql_functions, sql_links,
+        bucket_percentiles, backfill_progress, delivered_events, described_pages, nested_metadata, heuristic_extractions, sql_functions, sql_links,
     )
 }
 
@@ -257,6 +271,7 @@ SELECT event_type, CASE {" ".join(f"WHEN b{k} >= {_LAST} * 0.95 THEN '{b}'" for
 SELECT l_suppkey, no // 50 AS batch, count(*) AS n, max(upto) / (max(no) + 1) / 100 AS mean_so_far FROM x GROUP BY 1, 2""",
     "delivered_events": """WITH x AS (SELECT event_type, user_id % 10 AS bucket, CASE WHEN event_id % 3 > 0 THEN value END AS v FROM events WHERE event_type IN ('error', 'view'))
 SELECT event_type, bucket, count(*) AS n, count(v) AS n_valued, round(avg(v), 4) AS mean FROM x WHERE coalesce(v >= 50, true) GROUP BY 1, 2""",
+    "nested_metadata": """SELECT p_partkey AS page_id, p_name || '|' || array_to_string(range(1, p_partkey % 4 + 2), '|') AS items, p_name || ' ' || p_brand AS name, p_size::VARCHAR AS offers_price, '/x' AS offers_url FROM part""",
     "described_pages": """SELECT p_partkey AS page_id, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN p_name WHEN 2 THEN p_name || '|(graph)' ELSE '' END AS items, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS og_title,
   CASE WHEN p_partkey % 3 = 0 THEN p_type END AS twitter_card, CASE WHEN p_partkey % 4 = 0 THEN p_name END AS name, CASE WHEN p_partkey % 4 = 0 THEN p_size::VARCHAR END AS size,
   (CASE WHEN p_partkey % 5 < 3 THEN 0.4 ELSE 0.0 END::DOUBLE + CASE WHEN p_partkey % 2 = 0 THEN 0.3 ELSE 0.0 END::DOUBLE + CASE WHEN p_partkey % 4 = 0 THEN 0.3 ELSE 0.0 END::DOUBLE) AS confidence FROM part""",
