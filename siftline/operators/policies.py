@@ -87,3 +87,41 @@ def setting(host: Column, by_host: dict[str, dict], name: str, default) -> Colum
         hit = host.rlike("^" + h.replace(".", r"\.").replace("*", ".*") + "$") if "*" in h else host == h
         out = out.when(hit, F.lit(s.get(name, default)))
     return out.otherwise(F.lit(default))
+
+
+# Many patterns, as a table. Each alternative of a pattern is known by whole labels that a host must begin or end with, so
+# hosts meet patterns by equal keys: the branches of a prefix tree over labels, read from either end.
+
+
+def _keyed(patterns: DataFrame) -> DataFrame:
+    """(name, place, regex, key) of each alternative: `^www.` for hosts that begin with that label, `.news$` for those that
+    end so, and `` for alternatives without a whole label at an end, which all hosts have to be tried on."""
+    pattern = F.lower("pattern")
+    regex = F.concat(F.lit("^"), F.replace(F.replace(pattern, F.lit("."), F.lit(r"\.")), F.lit("*"), F.lit(".*")), F.lit("$"))
+    rows = patterns.select("name", "place", regex.alias("regex"), F.posexplode(F.split(pattern, r"\|")).alias("at", "part"), F.size(F.split(pattern, r"\|")).alias("n"))
+    # Of `a|b` only the start of a and the end of b are anchored; a label at the cut of an open end may go on.
+    head = F.when(F.col("at") == 0, F.regexp_extract(F.split_part("part", F.lit("*"), F.lit(1)), r"^(.*)\.", 1)).otherwise("")
+    tail = F.when(F.col("at") == F.col("n") - 1, F.regexp_extract(F.split_part("part", F.lit("*"), F.lit(-1)), r"^[^.]*\.(.*)$", 1)).otherwise("")
+    longer = F.length(head) >= F.length(tail)
+    key = F.when((head == "") & (tail == ""), "").when(longer, F.concat(F.lit("^"), head, F.lit("."))).otherwise(F.concat(F.lit("."), tail, F.lit("$")))
+    return rows.select("name", "place", "regex", key.alias("key")).distinct()
+
+
+def match(rows: DataFrame, url: str, patterns: DataFrame, default: str) -> DataFrame:
+    """`rows` with `policy`: the name of the first pattern by `place` that a URL's host matches, or `default`.
+
+    patterns (name, place, pattern), any number of them; a pattern means what it does for `structured.policy`. Each host
+    is matched once: its keys, two for each of its labels, are joined with those of the patterns, and only patterns that
+    share one are tried. Of equal places the smaller name counts. URLs without a host match as an empty one does.
+    """
+    host = F.coalesce(F.lower(F.try_parse_url(F.col(url), F.lit("HOST"))), F.lit(""))
+    hosts = rows.select(host.alias("_host")).distinct()
+    labels = F.split("_host", r"\.")
+    n = F.size(labels)
+    heads = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.lit("^"), F.array_join(F.slice(labels, F.lit(1), k), "."), F.lit(".")))
+    tails = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.lit("."), F.array_join(F.slice(labels, -k, k), "."), F.lit("$")))
+    asked = hosts.select("_host", F.explode(F.concat(heads, tails, F.array(F.lit("")))).alias("key"))
+    tried = asked.join(_keyed(patterns), "key").filter(F.rlike(F.col("_host"), F.col("regex")))
+    first = tried.groupBy("_host").agg(F.min(F.struct("place", "name")).alias("_first"))
+    named = rows.withColumn("_host", host).join(first, "_host", "left")
+    return named.withColumn("policy", F.coalesce("_first.name", F.lit(default))).drop("_host", "_first")

@@ -34,7 +34,20 @@ def host_delays(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", ops.setting(host, HOSTS, "delay", 1).alias("delay"))
 
 
-QUERIES = {f.__name__: f for f in (applied_policies, policy_list, host_delays)}
+def table_policies(spark, sf_dir):
+    """Pages of customers' shops, by patterns that are a table: some for each customer, some for all."""
+    k = F.col("c_custkey")
+    customers = table(spark, sf_dir, "customer")
+    glob = F.when(k % 5 == 0, F.concat(F.lit("*.c"), k, F.lit(".example"))).when(k % 5 == 1, F.concat(F.lit("www.c"), k, F.lit(".*"))).when(k % 5 == 2, F.concat(F.lit("c"), k, F.lit(".example")))
+    glob = glob.when(k % 5 == 3, F.concat(F.lit("m.c"), k, F.lit(".*|*.c"), k, F.lit(".test"))).otherwise(F.concat(F.lit("*c"), k, F.lit("0*")))
+    patterns = customers.select(F.concat(F.lit("p"), k).alias("name"), (-k).alias("place"), glob.alias("pattern"))
+    every = spark.createDataFrame([("news", 1, "www.*|*.news"), ("mobile", 2, "m.*")], "name string, place long, pattern string")
+    host = F.concat(F.element_at(F.array(*map(F.lit, ("www.", "m.", "", "a.b."))), (k % 4 + 1).cast("int")), F.lit("c"), k * 7 % 1000, F.element_at(F.array(*map(F.lit, (".example", ".test", ".news"))), (k % 3 + 1).cast("int")))
+    pages = customers.select("c_custkey", F.concat(F.lit("https://"), host, F.lit("/x?y=z")).alias("url"))
+    return ops.match(pages, "url", patterns.union(every), "default")
+
+
+QUERIES = {f.__name__: f for f in (applied_policies, policy_list, host_delays, table_policies)}
 
 
 def _tag(selector: str) -> str:
@@ -65,6 +78,13 @@ p AS (SELECT *, CASE WHEN regexp_matches(h, '^www\\..*|news\\..*$') THEN 'news'
 SELECT t.*, coalesce(n_pages, 0) AS n_pages FROM (VALUES """
     + ", ".join(f"('{p['name']}', '{p['domain']}', {len(p.get('keep', [])) + len(p['drop'])}::INTEGER, 0::INTEGER, '{ops.fingerprint([p])}')" for p in POLICIES)
     + ") t(name, domain, n_rules, n_errors, fingerprint) LEFT JOIN u USING (name)",
+    "table_policies": r"""WITH c AS (SELECT c_custkey AS k FROM customer), p AS (
+  SELECT 'p' || k AS name, -k AS place, CASE k % 5 WHEN 0 THEN '*.c' || k || '.example' WHEN 1 THEN 'www.c' || k || '.*' WHEN 2 THEN 'c' || k || '.example' WHEN 3 THEN 'm.c' || k || '.*|*.c' || k || '.test' ELSE '*c' || k || '0*' END AS g FROM c
+  UNION ALL VALUES ('news', 1, 'www.*|*.news'), ('mobile', 2, 'm.*')
+), r AS (SELECT name, place, '^' || replace(replace(g, '.', '\.'), '*', '.*') || '$' AS r FROM p),
+h AS (SELECT k, ['www.', 'm.', '', 'a.b.'][k % 4 + 1] || 'c' || (k * 7 % 1000) || ['.example', '.test', '.news'][k % 3 + 1] AS host FROM c),
+f AS (SELECT host, arg_min(name, (place, name)) AS name FROM (SELECT DISTINCT host FROM h) JOIN r ON regexp_matches(host, r) GROUP BY 1)
+SELECT k AS c_custkey, 'https://' || host || '/x?y=z' AS url, coalesce(name, 'default') AS policy FROM h LEFT JOIN f USING (host)""",
     "host_delays": rf"""SELECT page_id, CASE WHEN regexp_matches(h, '^.*\.example$') THEN 3 WHEN regexp_matches(h, '^www\..*$') THEN 2 WHEN regexp_matches(h, '^blog\..*$') THEN 7 ELSE 1 END::INTEGER AS delay
 FROM (SELECT page_id, {_HOST} AS h FROM pages)""",
 }

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from siftline.operators import sinks, structured
+from siftline.operators import policies, sinks, structured
 
 PAGE = """<html><head><meta property="og:title" content="A"><meta content='B' property='og:title'><meta name="twitter:card" content="c">
 <script type="application/ld+json">{"@type": "Thing"}</script><script type="application/ld+json">{broken</script></head><body>
@@ -55,6 +55,30 @@ def test_policy_patterns_anchor_first_and_last_only(spark):
     assert [r[0] for r in got] == ["p", "p", "none", "none"]
 
 
+def test_ten_thousand_patterns_in_a_table(spark):
+    """First by place; as the patterns unrolled into one expression would have it."""
+    import random
+
+    r = random.Random(4)
+    label = lambda: r.choice(["a", "b", "cc", "www", "m", "news", "x1"])
+
+    def glob():
+        parts = [r.choice(["*", label(), label(), label() + "*"]) for _ in range(r.randrange(1, 4))] + [label()]
+        one = ".".join(parts)
+        return one + "|" + ".".join(["*", label()]) if r.random() < 0.2 else one
+
+    some = [(f"p{k:03}", k, glob()) for k in range(150)]
+    hosts = sorted({".".join(label() for _ in range(r.randrange(1, 5))) for _ in range(150)})
+    urls = spark.createDataFrame([(f"http://{h}/p", k) for k, h in enumerate(hosts)] + [(None, -1), ("no url", -2)], "u string, k long")
+    schema = "name string, place long, pattern string"
+    got = {x["k"]: x["policy"] for x in policies.match(urls, "u", spark.createDataFrame(some, schema), "none").collect()}
+    want = {x["k"]: x["p"] for x in urls.select("k", structured.policy(F.col("u"), [(n, g) for n, _, g in some], "none").alias("p")).collect()}
+    assert got == want and len(set(want.values())) > 10
+    many = spark.range(10_000).selectExpr("concat('s', id) AS name", "id AS place", "concat('*.h', id, '.example') AS pattern")
+    asked = spark.range(500).selectExpr("id * 20 AS k", "concat('https://www.h', id * 20, '.example/') AS u")
+    assert {(x["k"], x["policy"]) for x in policies.match(asked, "u", many, "none").collect()} == {(k * 20, f"s{k * 20}") for k in range(500)}
+
+
 def test_field_checks(spark):
     rows = spark.createDataFrame([("ab", ""), (None, "X1"), ("abcdef", "x")], ["t", "h"])
     out = structured.check_fields(rows, {"t": {"required": True, "min": 3, "max": 5}, "h": {"pattern": "^X"}}).collect()
