@@ -24,10 +24,18 @@ def monthly_quota(events: DataFrame, tenant: str, ts: str, order: str, limit: in
 
 
 def calls_in_window(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """`recent`: calls of the same key in the `seconds` up to each call, itself included."""
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    frame = W.partitionBy(key).orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("_at", at).withColumn("recent", F.count("*").over(frame)).drop("_at")
+    """`recent`: calls of the same key in the `seconds` up to each call, itself included.
+
+    Calls are dealt by key and stretch of time, each stretch with the one before it beside it, so no key is one window.
+    Calls without a time have those without one beside them.
+    """
+    width = seconds * 1_000_000
+    rows = events.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_own", F.floor(F.col("_at") / width))
+    beside = F.when(F.col("_own").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array("_own", F.col("_own") + 1))
+    rows = rows.withColumn("_in", F.explode(beside))
+    frame = W.partitionBy(key, "_in").orderBy("_at").rangeBetween(-width, 0)
+    counted = rows.withColumn("recent", F.count("*").over(frame)).filter(F.col("_in").eqNullSafe(F.col("_own")))
+    return counted.drop("_at", "_own", "_in")
 
 
 def queue_order(jobs: DataFrame, priority: str, created: str, key: str, lanes: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """Price statistics, deals, trends and how sure an analysis is."""
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from siftline.functions.running import totals
@@ -93,18 +96,20 @@ def confidence(rows: DataFrame, price: str, dated: Column, known: Column, *by: s
 def upper_median(rows: DataFrame, price: str, *by: str) -> DataFrame:
     """Low, upper median, high and mean: the upper median is the value at place floor(n / 2) counted from 0.
 
-    Values are counted and summed up in order, so no group is gathered in one array. The mean's sum is decimal (six
+    Values are counted, and numbered over ranges of group and value, so no group is gathered in one task. The mean's sum is decimal (six
     places): it doesn't depend on the order of rows.
     """
     counted = rows.groupBy(*by, F.col(price).alias("_x")).agg(F.count("*").alias("_n"))
-    order = W.partitionBy(*by).orderBy("_x")
-    upto = F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, 0))
-    total = F.sum("_n").over(W.partitionBy(*by))
-    placed = counted.withColumns({"_upto": upto, "_total": total})
-    return placed.groupBy(*by).agg(
-        F.max("_total").alias("n"),
+    placed = totals(counted, [*by], ["_x"], _before=F.col("_n"))
+    whole = placed.groupBy(*by).agg(
+        F.sum("_n").alias("n"),
         F.min("_x").alias("low"),
-        F.min(F.when(F.col("_upto") > F.floor(F.col("_total") / 2), F.col("_x"))).alias("median"),
         F.max("_x").alias("high"),
         (F.sum(F.col("_x").cast("decimal(18,6)") * F.col("_n")).cast("double") / F.sum("_n")).alias("average"),
     )
+    ends = whole.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("n").alias("_total"))
+    at = placed.join(ends, functools.reduce(operator.and_, (F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by), F.lit(True)))
+    upper = F.when(F.col("_before") + F.col("_n") > F.floor(F.col("_total") / 2), F.col("_x"))
+    middle = at.groupBy(*[F.col(c).alias(f"_k_{c}") for c in by]).agg(F.min(upper).alias("median"))
+    both = whole.join(middle, functools.reduce(operator.and_, (F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by), F.lit(True)))
+    return both.select(*by, "n", "low", "median", "high", "average")
