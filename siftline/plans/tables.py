@@ -1,4 +1,4 @@
-"""Queries on table functions in SQL text, stored sketches and a table kept by a stream."""
+"""Queries on table functions in SQL text, stored sketches, a table kept by a stream, and files written and read back."""
 
 from pyspark.sql import functions as F
 
@@ -7,6 +7,7 @@ from siftline.operators import sketches
 from siftline.plans.changes import _HIST
 from siftline.plans.extraction import NODE_SQL, table
 from siftline.plans.streams import _folder, _read
+from siftline.sources import exports
 from siftline.streaming import upserts
 
 #: Relative error of distinct counts and error of a quantile's rank that the stored sketches stay within.
@@ -70,8 +71,41 @@ def streamed_upserts(spark, sf_dir):
     return rows.select("o_custkey", F.col("at.o_orderkey").alias("o_orderkey"), F.round("o_totalprice", 2).alias("o_totalprice"))
 
 
-QUERIES = {f.__name__: f for f in (lateral_nodes, lateral_cells, partitioned_history, stored_sketches, streamed_upserts)}
+def mailed_suppliers(spark, sf_dir):
+    """A mail for each supplier, written as a file of its own and read back."""
+    folder, line = _folder(spark), "\r\n"
+    mail = F.concat_ws(
+        line, F.concat(F.lit("from: "), "s_name", F.lit(" <s@x.example>")), F.lit("To: me@x.example"), F.when(F.col("s_suppkey") % 3 > 0, F.concat(F.lit("Subject:  Account of "), "s_suppkey", F.lit("  "))),
+        F.lit("Date: Mon, 1 Jan 2024 00:00:00 +0000"), F.lit(""), F.concat(F.lit("Dear "), "s_name", F.lit(",")), F.lit(""), F.lit("Subject: not this one"),
+    )
+    table(spark, sf_dir, "supplier").select(mail.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    rows = exports.emails(spark, folder)
+    return rows.select(F.regexp_extract("sender", r"^(.*) <", 1).alias("s_name"), "recipient", "subject", "sent", F.rtrim("body", F.lit("\n")).alias("body"))
+
+
+def listed_urls(spark, sf_dir):
+    """Addresses of pages as a list with remarks and blank lines, read back."""
+    folder, k = _folder(spark), F.col("page_id")
+    lines = F.array(F.when(k % 3 == 0, F.concat(F.lit("# page "), k)).otherwise(""), F.concat(F.lit("  "), "url", F.when(k % 2 == 0, "  ").otherwise("")))
+    table(spark, sf_dir, "pages").select(F.explode(lines).alias("value")).write.text(folder)
+    return exports.url_list(spark, folder)
+
+
+def telemetry_files(spark, sf_dir):
+    """Events appended as lines of JSON below a folder for each day, and read back by day and type."""
+    folder = _folder(spark)
+    events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts").cast("string"))
+    events.select("day", F.to_json(F.struct("event_id", "event_type", F.col("value").cast("double").alias("value"))).alias("value")).write.partitionBy("day").text(folder)
+    rows = spark.read.schema("event_id long, event_type string, value double, day string").json(folder)
+    return rows.groupBy("day", "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+
+
+QUERIES = {f.__name__: f for f in (lateral_nodes, lateral_cells, partitioned_history, stored_sketches, streamed_upserts, mailed_suppliers, listed_urls, telemetry_files)}
 ORACLE_SQL = {
+    "mailed_suppliers": """SELECT s_name, 'me@x.example' AS recipient, CASE WHEN s_suppkey % 3 > 0 THEN 'Account of ' || s_suppkey END AS subject, 'Mon, 1 Jan 2024 00:00:00 +0000' AS sent,
+  'Dear ' || s_name || ',' || chr(10) || chr(10) || 'Subject: not this one' AS body FROM supplier""",
+    "listed_urls": "SELECT url FROM pages",
+    "telemetry_files": "SELECT ts::DATE::VARCHAR AS day, event_type, count(*) AS n, round(avg(value::DOUBLE), 4) AS mean FROM events GROUP BY 1, 2",
     "lateral_nodes": rf"WITH {NODE_SQL}, g AS (SELECT page_id, node_no, lower(regexp_extract(x, '^<([a-z0-9]+)', 1, 'i')) AS tag FROM node0) SELECT page_id, node_no, tag, text FROM node JOIN g USING (page_id, node_no) WHERE length(text) > 0",
     "lateral_cells": "SELECT p_partkey, p_name AS name FROM part",
     "partitioned_history": f"{_HIST} SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id))::INTEGER AS version, kind FROM k",

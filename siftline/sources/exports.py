@@ -93,11 +93,12 @@ def read_export(raw: DataFrame) -> tuple[str, DataFrame]:
 
 
 def emails(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sender, recipient, subject, sent, body) of raw messages, one file each."""
+    """(path, sender, recipient, subject, sent, body) of raw messages, one file each. Headers end at the first blank line."""
     rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", "\r\n", "\n").alias("m"))
+    rows = rows.withColumn("head", F.split("m", "\n\n", 2)[0])
 
     def header(name: str) -> Column:
-        return F.nullif(F.trim(F.regexp_extract("m", rf"(?mi)^{name}:\s*(.+?)$", 1)), F.lit(""))
+        return F.nullif(F.trim(F.regexp_extract("head", rf"(?mi)^{name}:\s*(.+?)$", 1)), F.lit(""))
 
     body = F.regexp_extract("m", r"(?s)^.*?\n\n(.*)$", 1)
     return rows.select("path", header("From").alias("sender"), header("To").alias("recipient"), header("Subject").alias("subject"), header("Date").alias("sent"), body.alias("body"))
