@@ -2,7 +2,6 @@
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from siftline.functions import html
 from siftline.operators import elements
 
 # Containers that are looked at, and names that speak against or for one.
