@@ -29,7 +29,7 @@ row of the first text (by text hash) in the component's first class.
 import functools
 import math
 import operator
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -256,9 +256,8 @@ def _merged(found: DataFrame, new: DataFrame) -> DataFrame:
     ends = new.join(at("a"), "a", "left").join(at("b"), "b", "left")
     ends = ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).filter("a <> b")
     moved = components(ends)
-    sizes = found.groupBy("component").agg(F.count("*").alias("k"))
-    to = moved.select(F.col("node").alias("component"), F.col("component").alias("_to")).join(sizes, "component")
-    kept = lookup(found, to, ["component"], "k", found.count(), "left").select("node", F.coalesce("_to", "component").alias("component"))
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    kept = found.join(to, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
     out = materialise(kept.union(moved))  # what moved was a component's smallest node or had no links so far
     discard(found, new, moved)
     return out
@@ -301,10 +300,11 @@ def _rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     larger = lists.withColumn("class", F.explode(F.sequence(size_class(low), F.col("class"))))
     larger = indexed(larger, F.greatest(low, F.floor(F.pow(F.lit(SIZE_STEP), "class")) - 1))
     smaller, larger = materialise(smaller), materialise(larger)
-    met = _met(smaller, larger)
-    n = smaller.count()
-    left = lookup(smaller, met.groupBy("h", "class", "of").agg(F.collect_set("other").alias("others"), F.max("k").alias("k")), ["h", "class", "of"], "k", n)
-    x = left.select("node", "n", "class", "h", "rest", F.explode("others").alias("of")).alias("x")
+    met = _met(smaller, larger, needed)
+    # Members that no set of the other component can be like, by its sizes, stay out.
+    likely = (F.least("s.rest", "t.left") >= needed(F.col("s.n"), F.col("t.m"))) & (F.col("s.n") <= F.col("t.most"))
+    held = functools.reduce(operator.and_, (F.col(f"s.{c}") == F.col(f"t.{c}") for c in ("h", "class", "of")))
+    x = smaller.alias("s").join(met.alias("t"), held & likely).select("s.node", "s.n", "s.class", "s.h", "s.rest", F.col("t.other").alias("of")).alias("x")
     y = larger.alias("y")
     same = (F.col("x.h") == F.col("y.h")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.of") == F.col("y.of"))
     order = (F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node"))
@@ -313,14 +313,17 @@ def _rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def _met(smaller: DataFrame, larger: DataFrame) -> DataFrame:
-    """(h, class, of, other, k): the different components that share an index entry, and how many of the smaller sets of
-    the first one hold it."""
-    x = smaller.groupBy("h", "class", "of").agg(F.count("*").alias("k"))
-    y = larger.select("h", "class", F.col("of").alias("other")).distinct()
-    ends = x.select("h", "class", "of").union(y).groupBy("h", "class").agg(F.min("of").alias("a"), F.max("of").alias("b"))
+def _met(smaller: DataFrame, larger: DataFrame, needed: Callable[[Column, Column], Column]) -> DataFrame:
+    """(h, class, of, other, m, most, left): the different components that share an index entry, only where the sizes of their
+    sets, and what is left of these, allow a pair; m and most are the other one's smallest and largest size."""
+    x = smaller.groupBy("h", "class", "of").agg(F.min("n").alias("n"), F.max("rest").alias("rest"))
+    y = larger.groupBy("h", "class", "of").agg(F.min("n").alias("m"), F.max("n").alias("most"), F.max("rest").alias("left"))
+    ends = x.select("h", "class", "of").union(y.select("h", "class", "of")).groupBy("h", "class").agg(F.min("of").alias("a"), F.max("of").alias("b"))
     several = ends.filter("a <> b").select("h", "class")
-    return x.join(several, ["h", "class"]).join(y, ["h", "class"]).filter("of <> other")
+    x, y = x.join(several, ["h", "class"]).alias("x"), y.withColumnRenamed("of", "other").alias("y")
+    enough = (F.least("rest", "left") >= needed(F.col("n"), F.col("m"))) & (F.col("n") <= F.col("most")) & (F.col("of") != F.col("other"))
+    same = (F.col("x.h") == F.col("y.h")) & (F.col("x.class") == F.col("y.class"))
+    return x.join(y, same & enough).select("x.h", "x.class", "of", "other", "m", "most", "left")
 
 
 def _closure(members: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -339,19 +342,18 @@ def _closure(members: DataFrame, sketches: DataFrame, sets: DataFrame, percent:
         parts = now.groupBy("band", "of").agg(F.count("*").alias("n"), F.min_by("node", order).alias("node"))
         weight = F.struct("n", F.xxhash64("of", F.lit(turn)))
         centres = parts.groupBy("band").agg(
-            F.sum("n").alias("k"),
             ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("left"),
             F.max_by(F.struct("node", "of"), weight).alias("c"),
         )
-        centres = centres.filter("left > 0").select("band", "k", "left", F.col("c.node").alias("centre"), F.col("c.of").alias("of_c"))
-        centres, seen = _written(centres, left=F.sum("left"), rows=F.sum("k"))
+        centres = centres.filter("left > 0").select("band", "left", F.col("c.node").alias("centre"), F.col("c.of").alias("of_c"))
+        centres, seen = _written(centres, left=F.sum("left"))
         if not seen.get("n"):
             break
         left = seen["left"]
         last = last or (turn > 0 and left <= PAIRS_PER_NODE * n_nodes) or (turn > 1 and left > WORTH * before)
         before = left
         # Buckets whose nodes are all in one component have no say any more.
-        open_ = materialise(lookup(now, centres, ["band"], "k", seen["rows"]).select("band", "node", "of", "centre", "of_c"))
+        open_ = materialise(now.join(centres, "band").select("band", "node", "of", "centre", "of_c"))
         discard(centres, *held)
         held = [open_]
         if last:
@@ -400,9 +402,8 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     found = _closure(members, sketches, sets.select("node", "set"), percent)
     discard(classes, members, sets)
 
-    sizes = found.groupBy("component").agg(F.count("*").alias("k"))
-    ids = sizes.join(first.select(F.col("node").alias("component"), F.col("doc_id").alias("component_id")), "component")
-    moved = lookup(found, ids, ["component"], "k", found.count()).select("node", "component_id")
+    ids = first.select(F.col("node").alias("component"), F.col("doc_id").alias("component_id"))
+    moved = found.join(ids, "component").select("node", "component_id")
     ends = first.join(moved, "node", "left").select(
         "set_key", F.col("text_hash").alias("_hash"), F.col("doc_id").alias("_low"), "component_id", "copies"
     )
