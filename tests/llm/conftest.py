@@ -39,8 +39,8 @@ def clashing(odd_docs):
     """Extra columns named like the operators' own."""
     from pyspark.sql import functions as F
 
-    names = ["n_words", "node", "d", "t", "size", "score", "kept", "h", "piece", "length", "stratum", "_row", "s", "off", "_text", "_m", "spans", "set_key", "_gone", "_id", "_at", "shard_id", "chain", "p", "bytes", "band", "component", "_odd_id", "owner", "_salt"]
-    return odd_docs.withColumns({n: F.lit("x") for n in names})
+    names = ["n_words", "node", "d", "t", "size", "score", "kept", "h", "piece", "length", "stratum", "_row", "s", "off", "_text", "_m", "spans", "set_key", "_gone", "_id", "_at", "shard_id", "chain", "p", "bytes", "band", "component", "_odd_id", "owner", "_salt", "a.b", "c`d", "k", "_copies"]
+    return odd_docs.select("*", *[F.lit("x").alias(n) for n in names])
 
 
 @pytest.fixture(scope="session")

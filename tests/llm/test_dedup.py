@@ -116,6 +116,37 @@ def test_links_of_texts_under_one_id(spark):
     assert Counter(tuple(r) for r in neardup.keep_one(df).collect()) == Counter(rows[:20])
 
 
+def test_near_copies_beside_unlinked_documents_are_not_joined_with_themselves(spark):
+    """What the index by rare shingles joins doesn't grow with the square of a component's members, nor with it alone."""
+    r = np.random.default_rng(1)
+    core = r.integers(0, 1 << 62, 195).tolist()
+    joined = []
+    for m in (400, 800):
+        rows = [(k, 0, sorted(core + r.integers(0, 1 << 62, 5).tolist())) for k in range(m)]
+        rows.append((m, m, sorted(core[:100] + r.integers(0, 1 << 62, 100).tolist())))
+        df = spark.createDataFrame(rows, "node long, of long, set array<long>").repartition(4)
+        pairs = neardup._rare_pairs(df.select("node", "of"), df.select("node", "set"), 75)
+        plan = pairs.count()
+        assert plan <= m  # each member with the one node that isn't in its component, at most
+        joined.append(plan)
+    sizes = [(k, 0) for k in range(5)] + [(9, 9)]
+    entries = [(n, of, 1, h, 10, 9) for n, of in sizes for h in (1, 2)] + [(0, 0, 1, 3, 10, 9), (1, 0, 1, 3, 10, 9), (20, 20, 1, 4, 10, 2), (21, 21, 1, 4, 10, 2)]
+    entries = spark.createDataFrame(entries, "node long, of long, class long, h long, n long, rest long")
+    met = sorted(tuple(x)[:4] for x in neardup._met(entries, entries, lambda n, m: (n + m) * 3 / 7).collect())
+    assert met == [(h, 1, a, b) for h in (1, 2) for a, b in ((0, 9), (9, 0))]
+
+
+def test_spans_do_not_grow_with_repeated_rows(spark):
+    text = prose(40, 120)
+    schema = "doc_id long, text string"
+    few, many = (spark.createDataFrame([(1, text + " " + prose(41, 60))] + [(2, text)] * n + [(None, prose(42, 50))] * n + [(3, prose(42, 50))], schema) for n in (1, 1000))
+    sizes = [sorted((r.d, len(r.spans)) for r in substring.repeats(x).collect()) for x in (few, many)]
+    assert sizes[0] == sizes[1]
+    got = Counter(map(tuple, substring.removed(many.repartition(3)).collect()))
+    once = Counter(map(tuple, substring.removed(few).collect()))
+    assert {k: (n if k[0] in (1, 3) else n * 1000) for k, n in once.items()} == dict(got)
+
+
 def brute_removed(rows):
     """(doc_id, words, removed, hash) window by window; equal rows are one document."""
     docs = sorted({(d is not None, d or 0, t or "") for d, t in rows}, key=lambda x: (x[0], x[1], __import__("zlib").crc32(x[2].encode())))

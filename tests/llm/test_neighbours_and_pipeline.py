@@ -69,6 +69,13 @@ def test_recall_and_blocks(spark):
         assert all(s == dict(want[q]).get(i, s) for q in got for i, s in got[q])
 
 
+def test_blocks_of_rows_and_queries_change_nothing(spark):
+    rng = np.random.default_rng(7)
+    rows = [(k, rng.normal(size=8).astype(np.float32).tolist(), 0) for k in range(1200)]
+    whole, cut = found(rows, spark, every=2), found(rows, spark, every=2, block=40)
+    assert whole == cut and len(whole) == 600
+
+
 def test_recall_on_the_test_table(spark):
     import pyarrow.parquet as pq
 
@@ -141,7 +148,7 @@ def test_query_equals_sql(spark, name):
     from tests.test_queries import rows_of
 
     con = duckdb.connect()
-    for t in ("documents", "labels", "conversations"):
+    for t in ("documents", "embeddings", "labels", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), con.sql(queries.ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and rows_of(got) == rows_of(want)

@@ -95,15 +95,15 @@ TURNS = "conv_id long, turn long, role string, text string"
 
 def brute_chats(rows):
     logs = defaultdict(set)
-    for c, *turn in rows:
-        logs[c].add(tuple(turn))
+    for k, (c, *turn) in enumerate(rows):
+        logs[c if c is not None else (k,)].add(tuple(turn))
     null_first = lambda t: tuple((x is not None, x if x is not None else 0) for x in t)
     lists = {c: tuple((r, x) for _, r, x in sorted(v, key=null_first)) for c, v in logs.items()}
     out = {}
     for c, a in lists.items():
         if not any(len(b) > len(a) and b[: len(a)] == a for b in lists.values()):
             same = [k for k, b in lists.items() if b == a]
-            first = min((k for k in same if k is not None), default=None)
+            first = min((k for k in same if not isinstance(k, tuple)), default=None)
             text = "".join(f"<|im_start|>{r or ''}\n{x or ''}<|im_end|>\n" for r, x in a)
             out[(first, len(a), len(same), text)] = 1
     return Counter(out)
@@ -114,7 +114,7 @@ def test_prefixes_collapse(spark):
     for c in range(120):
         base, n = r.randrange(6), r.randint(1, 7)
         rows += [(c, 3 * k, "user" if k % 2 == 0 else "assistant", f"{base if k < 4 else r.randrange(2)} {k}") for k in range(n)]
-    rows += [(200, 0, None, None), (201, 0, None, ""), (202, None, "user", "0 0"), (None, 0, "user", "solo"), (203, 0, "user", "a"), (203, 0, "user", "a"), (203, 0, "user", "b")]
+    rows += [(200, 0, None, None), (201, 0, None, ""), (202, None, "user", "0 0"), (None, 0, "user", "solo"), (None, 5, "user", "solo"), (None, 0, "user", "0 0"), (None, 0, None, None), (None, 1, "user", "t"), (203, 0, "user", "a"), (203, 0, "user", "a"), (203, 0, "user", "b")]
     df = spark.createDataFrame(rows, TURNS).withColumns({n: F.lit(1) for n in ("pos", "h1", "n_turns")})
     got = Counter(tuple(r) for r in chat.maximal_conversations(df).select("conv_id", "n_turns", "n_copies", "text").collect())
     assert got == brute_chats(rows)
