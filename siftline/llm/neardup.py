@@ -12,9 +12,10 @@
    one component leave. Rounds go on while the pairs of a bucket in different components are many for each class, and
    while they find links.
 4. The nodes of buckets that are still open are indexed by their rarest shingles, as few as prove that a pair of
-   different components that shares none of them isn't similar enough. Pairs that do share one are compared by sketch
-   and decided on the full sets. So a large group costs a few pairs for each member, a passage that many texts share
-   pairs none of them, and no candidate of any bucket that could join two components goes untested.
+   different components that shares none of them isn't similar enough. Components that do share one meet first, then
+   those members whose sizes allow it; they are compared by sketch and decided on the full sets. So a large group is
+   never joined with itself and costs a few pairs for each member and unlinked text that it may be like, a passage that
+   many texts share pairs none of them, and no candidate of any bucket that could join two components goes untested.
 
 Two texts of similarity 0.75 share no band with probability (1 - 0.75^4)^32 = 5e-6, and less above.
 
