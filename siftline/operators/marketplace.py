@@ -146,19 +146,17 @@ def parse_listings(pages: DataFrame, *keep: str) -> DataFrame:
 def parse_search_results(pages: DataFrame, *keep: str) -> DataFrame:
     """(keep..., place, title, amount, currency, sold_on, shipping, url, item_id, confidence): the entries of a page of
     search results, cards of the newer kind or else of the older one; those without title, price or link are left out."""
-    cards, older = elements.select("li.s-card"), elements.select("li.s-item")
-
-    def entry(card: Column) -> Column:
-        parts = elements.inside(card)
-        link = F.get(F.filter(parts, lambda e: (e["tag"] == "a") & e["attrs"]["href"].contains("/itm/")), F.lit(0))["attrs"]["href"]
-        return F.struct(
-            elements.first_of([".s-card__title span", ".s-card__title", ".s-item__title", '[role="heading"]'], parts).alias("title"),
-            elements.first_of([".s-card__price", ".s-item__price"], parts).alias("price"), elements.text_of(card).alias("text"),
-            elements.first_of([".s-card__shipping", ".s-item__shipping"], parts).alias("shipping"),
-            F.coalesce(elements.first_of(["a.s-item__link@href"], parts), link).alias("url"),
-        )
-
-    rows = elements.with_elements(pages).select(*keep, F.posexplode(F.transform(F.when(F.size(cards) > 0, cards).otherwise(older), entry)).alias("place", "_x"))
+    rows = elements.with_elements(pages, texts=["li"]).withColumns({"_cards": elements.select("li.s-card"), "_older": elements.select("li.s-item")})
+    found = elements.apart(F.when(F.size("_cards") > 0, F.col("_cards")).otherwise(F.col("_older")))
+    rows = rows.select(*keep, F.explode(found).alias("_e")).select(*keep, "_e.*")
+    link = F.get(F.filter("elements", lambda e: (e["tag"] == "a") & e["attrs"]["href"].contains("/itm/")), F.lit(0))["attrs"]["href"]
+    entry = F.struct(
+        elements.first_of([".s-card__title span", ".s-card__title", ".s-item__title", '[role="heading"]']).alias("title"),
+        elements.first_of([".s-card__price", ".s-item__price"]).alias("price"), F.col("flow").alias("text"),
+        elements.first_of([".s-card__shipping", ".s-item__shipping"]).alias("shipping"),
+        F.coalesce(elements.first_of(["a.s-item__link@href"]), link).alias("url"),
+    )
+    rows = rows.select(*keep, "place", entry.alias("_x"))
     rows = rows.select(*keep, "place", F.col("_x.title").alias("title"), listings.price(F.col("_x.price")).alias("_p"), sold_date(F.col("_x.text")).alias("sold_on"), listings.shipping(F.col("_x.shipping")).alias("shipping"), F.col("_x.url").alias("url"))
     rows = rows.filter(F.col("title").isNotNull() & ~F.lower("title").contains("shop on ebay") & F.col("_p.amount").isNotNull() & F.col("url").isNotNull())
     item = F.nullif(F.regexp_extract("url", r"/itm/(\d+)", 1), F.lit(""))

@@ -3,9 +3,13 @@
 
 from pyspark.sql import functions as F
 
+from siftline.functions import running
 from siftline.operators import listings, marketplace as market, pricing
 from siftline.plans.extraction import table
 
+#: Entries on a page of results.
+PAGE = 500
+
 
 def _k():
     return F.col("p_partkey")
@@ -48,7 +52,8 @@ def parsed_listings(spark, sf_dir):
 
 
 def search_results(spark, sf_dir):
-    """A page of results for each brand: cards for brands with an even number, older items for the rest."""
+    """Results for each brand on pages of 500: cards for brands with an even number, older items for the rest. Places count
+    on from page to page."""
     new = F.substring("p_brand", -1, 1).cast("int") % 2 == 0
     item = F.when(
         new,
@@ -63,10 +68,11 @@ def search_results(spark, sf_dir):
         )
     )
     entries = F.array_sort(F.collect_list(F.struct(_k().alias("k"), item.alias("x"))))
-    pages = table(spark, sf_dir, "part").groupBy("p_brand").agg(entries.alias("e"))
+    parts = running.totals(table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name", "p_retailprice"), ["p_brand"], ["p_partkey"], no=F.lit(1))
+    pages = parts.groupBy("p_brand", F.floor(F.col("no") / PAGE).cast("int").alias("page")).agg(entries.alias("e"))
     html = F.concat(F.lit('<ul class="srp-results">'), F.array_join(F.transform("e", lambda e: e["x"]), "\n"), F.lit("</ul>"))
-    out = market.parse_search_results(pages.select("p_brand", html.alias("html")), "p_brand")
-    return out.withColumn("sold_on", F.col("sold_on").cast("string"))
+    out = market.parse_search_results(pages.select("p_brand", "page", html.alias("html")), "p_brand", "page")
+    return out.withColumns({"sold_on": F.col("sold_on").cast("string"), "place": F.col("page") * PAGE + F.col("place")}).drop("page")
 
 
 def order_mails(spark, sf_dir):
