@@ -94,11 +94,12 @@ def tables(pages: DataFrame) -> DataFrame:
     without text go. Tables of mostly link text and long ones of a single column are layout.
     """
     parts = ["table", "caption", "thead", "tbody", "tr", "td", "th", "a"]
-    rows = elements.with_elements(pages.select("page_id", "html"), parts, texts=["caption", "td", "th"])
-    every = elements.find("table")
-    rows = rows.select("page_id", "elements", F.posexplode(F.slice(every, 1, MAX_TABLES)).alias("table_no", "t"), every.alias("all"))
-    outermost = ~F.exists("all", lambda o: (o["no"] < F.col("t.no")) & (F.col("t.no") <= o["last"]))
-    rows = rows.filter(outermost).withColumn("e", elements.inside(F.col("t"))).drop("elements", "all")
+    rows = elements.with_elements(pages.select("page_id", "html"), texts=["caption", "td", "th"])
+    rows = rows.select("page_id", "elements", elements.find("table").alias("every"))
+    held = F.transform(F.slice("every", 1, MAX_TABLES), lambda t, k: F.struct(k.alias("table_no"), t.alias("t")))
+    outermost = F.filter(held, lambda x: ~F.exists("every", lambda o: (o["no"] < x["t"]["no"]) & (x["t"]["no"] <= o["last"])))
+    whole = F.transform(outermost, lambda x: F.struct(x["table_no"], x["t"], elements.contents(x["t"]).alias("every")))
+    rows = rows.select("page_id", F.inline(whole)).withColumn("e", F.filter("every", lambda e: e["tag"].isin(*parts)))
     size = F.col("t.end") - F.col("t.start")
     linked = F.aggregate(elements.find("a", "e"), F.lit(0), lambda n, a: n + a["end"] - a["start"])
 
@@ -106,12 +107,15 @@ def tables(pages: DataFrame) -> DataFrame:
         return F.get(elements.find(tags, "e"), F.lit(0))
 
     def cells(row: Column, tags: str = "td th") -> Column:
-        return elements.inside(row, elements.find(tags, "e"))
+        # `every` begins with the element after the table's own.
+        own = F.slice("every", row["no"] - F.col("t.no") + 1, row["last"] - row["no"])
+        return elements.find(tags, own)
 
-    rows = rows.withColumns({"trs": elements.find("tr", "e"), "head": first("thead"), "body": first("tbody"), "caption": F.trim(first("caption")["text"])})
+    found = {"trs": elements.find("tr", "e"), "head": first("thead"), "body": first("tbody"), "caption": F.trim(first("caption")["text"])}
+    rows = elements.settled(rows, ["page_id", "table_no", "t", "every"], **found, linked=linked)
     top = F.get("trs", F.lit(0))
     layout = (F.size("trs") >= 10) & (F.size(cells(top)) <= 1)
-    rows = rows.filter((size > 0) & (linked / size <= MAX_LINKED) & ~layout)
+    rows = rows.filter((size > 0) & (F.col("linked") / size <= MAX_LINKED) & ~layout)
     head_row = F.get(F.filter("trs", lambda r: (r["no"] > F.col("head.no")) & (r["no"] <= F.col("head.last"))), F.lit(0))
     in_head, in_top = cells(head_row, "th"), cells(top)
     counted = F.when(F.col("body").isNull(), F.size("trs")).otherwise(F.size(elements.inside(F.col("body"), "trs")))
@@ -119,9 +123,10 @@ def tables(pages: DataFrame) -> DataFrame:
     data = F.when(F.col("head").isNull(), F.slice("trs", F.lit(2), F.greatest(F.size("trs") - 1, F.lit(0))))
     data = data.when(F.col("body").isNotNull(), elements.inside(F.col("body"), "trs"))
     data = data.otherwise(F.filter("trs", lambda r: ~((r["no"] > F.col("head.no")) & (r["no"] <= F.col("head.last")))))
-    rows = rows.select("page_id", "table_no", "caption", F.transform(headers, lambda h: F.trim(h["text"])).alias("h"), F.slice(data, 1, MAX_ROWS).alias("d"), "e")
-    rows = rows.filter(F.size("h") > 0).select("page_id", "table_no", "caption", "h", "e", F.posexplode("d").alias("row_no", "_r"))
-    found = F.transform(cells(F.col("_r")), lambda c: F.trim(c["text"]))
+    head_texts = F.transform(headers, lambda h: F.trim(h["text"]))
+    rows = elements.settled(rows, ["page_id", "table_no", "caption", "every", "t"], h=head_texts, d=F.slice(data, 1, MAX_ROWS))
+    texts = F.transform("d", lambda r: F.transform(cells(r), lambda c: F.trim(c["text"])))
+    rows = rows.filter(F.size("h") > 0).select("page_id", "table_no", "caption", "h", F.posexplode(texts).alias("row_no", "_c"))
     number = lambda k: (k + 1).cast("string")
 
     def key(k: Column) -> Column:
@@ -130,7 +135,7 @@ def tables(pages: DataFrame) -> DataFrame:
         return F.coalesce(again, F.concat(F.lit("column_"), number(k)))
 
     keys = F.transform("_c", lambda c, k: key(k))
-    rows = rows.withColumn("_c", found).filter(F.exists("_c", lambda c: c != "")).withColumn("_k", keys)
+    rows = rows.filter(F.exists("_c", lambda c: c != "")).withColumn("_k", keys)
     names = F.array_distinct("_k")
     last = F.transform(names, lambda n: F.element_at(F.filter(F.arrays_zip("_k", "_c"), lambda x: x["_k"] == n), -1)["_c"])
     return rows.select("page_id", "table_no", "row_no", "caption", F.map_from_arrays(names, last).alias("values"))

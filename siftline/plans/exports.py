@@ -1,12 +1,12 @@
 """Queries on what is read: order exports, robots files, sitemaps, tables in pages and merged fetches. Their inputs are
 written from the tables as lines of text, read back by the readers' parsers, and held against the tables."""
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
-from siftline.functions import urls
+from siftline.functions import running, urls
 from siftline.operators import structured
 from siftline.operators.extraction import observations
-from siftline.plans.extraction import PIECES_SQL, _texts_sql, decoded_sql, table
+from siftline.plans.extraction import PIECES_SQL, _texts_sql, dealt, decoded_sql, table
 from siftline.sources import exports
 
 AGENT = "sift"
@@ -68,9 +68,9 @@ def table_cells(spark, sf_dir):
     """Cells of tables in pages, one table for each brand with its parts in rows."""
     row = F.concat(F.lit("<tr><td>"), "p_partkey", F.lit("</td><td> "), "p_name", F.lit("</td><td>"), F.format_number("p_retailprice", 2), F.lit("</td></tr>"))
     rows = F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("x"))))
-    first = F.dense_rank().over(W.partitionBy("p_brand").orderBy("p_partkey"))
-    parts = table(spark, sf_dir, "part").withColumn("_block", F.floor((first - 1) / 400))
-    pages = parts.groupBy("p_brand", "_block").agg(rows.alias("r"))
+    parts = running.totals(table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name", "p_retailprice"), ["p_brand"], ["p_partkey"], no=F.lit(1))
+    parts = parts.withColumn("_block", F.floor(F.col("no") / 400))
+    pages = dealt(parts, "p_brand", "_block").groupBy("p_brand", "_block").agg(rows.alias("r"))
     page = F.concat(F.lit("<html><table class=x><tr><th>Key</th><th>Name</th><th>Price</th></tr>"), F.array_join(F.transform("r", lambda r: r["x"]), "\n"), F.lit("</table></html>"))
     out = structured.tables(pages.select(F.concat_ws("/", "p_brand", "_block").alias("page_id"), page.alias("html")))
     return out.select(F.col("values")["Key"].alias("key"), F.col("values")["Name"].alias("name"), F.col("values")["Price"].alias("price"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import running
 from siftline.operators import listings, marketplace as market, pricing
-from siftline.plans.extraction import table
+from siftline.plans.extraction import dealt, table
 
 #: Entries on a page of results.
 PAGE = 500
@@ -69,7 +69,8 @@ def search_results(spark, sf_dir):
     )
     entries = F.array_sort(F.collect_list(F.struct(_k().alias("k"), item.alias("x"))))
     parts = running.totals(table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name", "p_retailprice"), ["p_brand"], ["p_partkey"], no=F.lit(1))
-    pages = parts.groupBy("p_brand", F.floor(F.col("no") / PAGE).cast("int").alias("page")).agg(entries.alias("e"))
+    parts = dealt(parts.withColumn("page", F.floor(F.col("no") / PAGE).cast("int")), "p_brand", "page")
+    pages = parts.groupBy("p_brand", "page").agg(entries.alias("e"))
     html = F.concat(F.lit('<ul class="srp-results">'), F.array_join(F.transform("e", lambda e: e["x"]), "\n"), F.lit("</ul>"))
     out = market.parse_search_results(pages.select("p_brand", "page", html.alias("html")), "p_brand", "page")
     return out.withColumns({"sold_on": F.col("sold_on").cast("string"), "place": F.col("page") * PAGE + F.col("place")}).drop("page")

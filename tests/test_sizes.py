@@ -2,7 +2,7 @@
 
 import time
 
-from siftline.operators import marketplace
+from siftline.operators import marketplace, structured
 
 
 def test_entries_of_a_long_page_of_results(spark):
@@ -12,3 +12,11 @@ def test_entries_of_a_long_page_of_results(spark):
     rows = marketplace.parse_search_results(spark.createDataFrame([(1, page)], "id int, html string"), "id").orderBy("place").collect()
     assert [(r.place, r.title, r.amount, r.item_id) for r in rows] == [(k, f"Item {k} é", float(f"1{k}.5"), str(k)) for k in range(3000)]
     assert time.time() - began < 60
+
+
+def test_many_long_tables_on_a_page(spark):
+    table = "<table><tr><th>Key</th><th>Name</th></tr>" + "".join(f"<tr><td>{k}</td><td> <b>n</b>{k}</td></tr>" for k in range(450)) + "</table>"
+    began = time.time()
+    rows = structured.tables(spark.createDataFrame([(1, table * 40)], "page_id int, html string")).orderBy("table_no", "row_no").collect()
+    assert [(r.table_no, r.row_no, r["values"]) for r in rows] == [(t, k, {"Key": str(k), "Name": f"n{k}"}) for t in range(40) for k in range(450)]
+    assert time.time() - began < 40
