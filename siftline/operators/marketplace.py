@@ -150,14 +150,13 @@ def parse_search_results(pages: DataFrame, *keep: str) -> DataFrame:
     found = elements.apart(F.when(F.size("_cards") > 0, F.col("_cards")).otherwise(F.col("_older")))
     rows = rows.select(*keep, F.explode(found).alias("_e")).select(*keep, "_e.*")
     link = F.get(F.filter("elements", lambda e: (e["tag"] == "a") & e["attrs"]["href"].contains("/itm/")), F.lit(0))["attrs"]["href"]
-    entry = F.struct(
-        elements.first_of([".s-card__title span", ".s-card__title", ".s-item__title", '[role="heading"]']).alias("title"),
-        elements.first_of([".s-card__price", ".s-item__price"]).alias("price"), F.col("flow").alias("text"),
-        elements.first_of([".s-card__shipping", ".s-item__shipping"]).alias("shipping"),
-        F.coalesce(elements.first_of(["a.s-item__link@href"]), link).alias("url"),
+    rows = elements.settled(
+        rows, [*keep, "place", F.col("flow").alias("text")],
+        title=elements.first_of([".s-card__title span", ".s-card__title", ".s-item__title", '[role="heading"]']),
+        price=elements.first_of([".s-card__price", ".s-item__price"]), shipping=elements.first_of([".s-card__shipping", ".s-item__shipping"]),
+        url=F.coalesce(elements.first_of(["a.s-item__link@href"]), link),
     )
-    rows = rows.select(*keep, "place", entry.alias("_x"))
-    rows = rows.select(*keep, "place", F.col("_x.title").alias("title"), listings.price(F.col("_x.price")).alias("_p"), sold_date(F.col("_x.text")).alias("sold_on"), listings.shipping(F.col("_x.shipping")).alias("shipping"), F.col("_x.url").alias("url"))
+    rows = elements.settled(rows, [*keep, "place", "title", "url"], _p=listings.price(F.col("price")), sold_on=sold_date(F.col("text")), shipping=listings.shipping(F.col("shipping")))
     rows = rows.filter(F.col("title").isNotNull() & ~F.lower("title").contains("shop on ebay") & F.col("_p.amount").isNotNull() & F.col("url").isNotNull())
     item = F.nullif(F.regexp_extract("url", r"/itm/(\d+)", 1), F.lit(""))
     always = F.lit(True)

@@ -2,7 +2,10 @@
 
 import time
 
+import pandas as pd
+
 from siftline.operators import marketplace, structured
+from siftline.streaming.ordered import InOrder
 
 
 def test_entries_of_a_long_page_of_results(spark):
@@ -20,3 +23,43 @@ def test_many_long_tables_on_a_page(spark):
     rows = structured.tables(spark.createDataFrame([(1, table * 40)], "page_id int, html string")).orderBy("table_no", "row_no").collect()
     assert [(r.table_no, r.row_no, r["values"]) for r in rows] == [(t, k, {"Key": str(k), "Name": f"n{k}"}) for t in range(40) for k in range(450)]
     assert time.time() - began < 40
+
+
+class Handle:
+    """Counts what a processor asks of its state."""
+
+    def __init__(self):
+        self.calls, self.held, self.timers = 0, {}, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.held[key] = value
+
+    def exists(self):
+        self.calls += 1
+        return False
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.held
+
+    def update(self, value):
+        self.calls += 1
+
+
+def test_rows_of_a_key_wait_together(spark):
+    """A key's rows over a month, minutes and hours apart, take a few calls to the state, not some for each."""
+    handle, day = Handle(), 86_400_000_000
+    processor = InOrder(lambda state, at, values: (state, []), None, ["v"], ["k", "v"], 60_000)
+    processor.init(handle)
+    list(processor.handleInputRows(("a",), iter([pd.DataFrame({"row_at": [k * day // 3 for k in range(90)], "v": ["x"] * 90})]), None))
+    assert handle.calls <= 4 and len(handle.timers) == 1
