@@ -1,6 +1,11 @@
 """URLs: links of a page, normal form, hashes and crawl filters."""
 
+import functools
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import LongType
 
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 #: Schemes that are no pages.
@@ -55,18 +60,34 @@ def passes(url: Column, host: Column, prefix: str, include: list[str], exclude:
     return same & path.startswith(prefix) & wanted & ~unwanted
 
 
+#: UTF-16 units hashed at once, and the powers of 31 for them, highest first.
+BLOCK = 1 << 16
+
+
+@functools.cache
+def _powers() -> np.ndarray:
+    out = np.full(BLOCK, 31, np.uint32)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint32)[::-1].copy()
+
+
+def _hash(text: str) -> int:
+    units, powers, h = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2").astype(np.uint32), _powers(), 0
+    for lo in range(0, len(units), BLOCK):
+        some = units[lo : lo + BLOCK]
+        h = (h * pow(31, len(some), 1 << 32) + int((some * powers[-len(some) :]).sum(dtype=np.uint32))) % (1 << 32)
+    return h - (1 << 32) if h >= 1 << 31 else h
+
+
+def _hashes(texts: pd.Series) -> pd.Series:
+    return pd.Series([_hash(x) for x in texts], dtype="int64")
+
+
 def rolling_hash(text: Column) -> Column:
     """The 32-bit hash h = h * 31 + unit over UTF-16 units, as a signed integer: a character beyond the basic plane counts
     as its two surrogates."""
 
-    def units(c: Column) -> Column:
-        wide = F.ascii(c).cast("long") - 0x10000
-        pair = F.array(F.lit(0xD800) + F.floor(wide / 1024), F.lit(0xDC00) + wide % 1024)
-        return F.when(wide >= 0, pair).otherwise(F.array(F.ascii(c).cast("long")))
-
-    chars = F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != "")
-    h = F.aggregate(F.flatten(F.transform(chars, units)), F.lit(0).cast("long"), lambda h, u: F.pmod(h * 31 + u, F.lit(1 << 32)))
-    return F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h)
+    return F.pandas_udf(_hashes, LongType())(F.coalesce(text, F.lit("")))
 
 
 def rollout(text: Column, percent: Column) -> Column:
