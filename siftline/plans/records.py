@@ -66,7 +66,7 @@ def content_addresses(spark, sf_dir):
 def _spans(spark, sf_dir):
     k = F.col("page_id")
     pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("é日 "), "html").alias("html"))
-    texts = F.filter(F.transform(html.blocks(F.col("html"), "p"), F.trim), lambda x: F.length(x) > 10)
+    texts = F.filter(F.transform(html.blocks(F.col("html"), "p"), lambda x: F.trim(x)), lambda x: F.length(x) > 10)
     rows = pages.select("page_id", "html", F.posexplode(texts).alias("span_no", "text"))
     rows = rows.withColumn("s", provenance.span(F.col("text"), F.col("html")))
     spans = rows.select(

@@ -31,7 +31,7 @@ class Handle:
     def __init__(self):
         self.calls, self.held, self.timers = 0, {}, set()
 
-    def getValueState(self, name, schema):
+    def getValueState(self, name, *schema):
         return self
 
     getMapState = getValueState
@@ -63,3 +63,24 @@ def test_rows_of_a_key_wait_together(spark):
     processor.init(handle)
     list(processor.handleInputRows(("a",), iter([pd.DataFrame({"row_at": [k * day // 3 for k in range(90)], "v": ["x"] * 90})]), None))
     assert handle.calls <= 4 and len(handle.timers) == 1
+
+
+def test_trimming_takes_spaces_alone(spark, tmp_path):
+    """Texts of a page that begin or end with the digit of their own place."""
+    from siftline.plans import records
+
+    spark.createDataFrame([(6, "<p>first text of a page 0</p><p> 1 second text of it 1 </p>")], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    rows = records.span_offsets(spark, str(tmp_path)).orderBy("span_no").collect()
+    assert [r.end - r.start for r in rows] == [22, 21]
+
+
+def test_described_pages_are_not_broadcast(spark, capsys):
+    from pyspark.sql import functions as F
+
+    from siftline.operators import records
+
+    pages = spark.range(10).select(F.col("id").alias("page_id"), F.lit('<script type="application/ld+json"> {"@type":"A"} </script><p itemprop="x">y').alias("html"))
+    out = records.described(pages)
+    out.explain()
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
+    assert [(r["items"], r.microdata) for r in out.collect()] == [(['{"@type":"A"}'], {"x": "y"})] * 10
