@@ -137,21 +137,27 @@ def described(pages: DataFrame) -> DataFrame:
     items: JSON-LD objects with a context or type as JSON (`json_items`). microdata: properties of elements with itemprop, the first value of each: what the element
     says in an attribute, or its whole text; a property of an item within another is named by both, as `offers.price`.
     """
-    rows = metadata(pages).join(elements.with_elements(pages.select("page_id", "html")), "page_id").join(json_items(pages), "page_id", "left")
+    # Sizes of pages made by a query are estimates, and often far too small: both sides are shuffled, none is broadcast.
+    told = metadata(elements.with_elements(pages.select("page_id", "html")), "flow", "elements")
+    rows = told.join(json_items(pages).hint("merge"), "page_id", "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     props = F.filter("elements", lambda e: F.map_contains_key(e["attrs"], "itemprop"))
-    scopes = F.filter(props, lambda e: F.map_contains_key(e["attrs"], "itemscope"))
+    scopes = F.filter("props", lambda e: F.map_contains_key(e["attrs"], "itemscope"))
 
     def prop(e: Column) -> Column:
-        outer = F.filter(scopes, lambda o: (o["no"] < e["no"]) & (e["no"] <= o["last"]))
+        outer = F.filter("scopes", lambda o: (o["no"] < e["no"]) & (e["no"] <= o["last"]))
         path = F.array_join(F.transform(F.concat(outer, F.array(e)), lambda x: x["attrs"]["itemprop"]), ".")
         given = F.coalesce(*[F.nullif(e["attrs"][a], F.lit("")) for a in ("content", "href", "src")])
         return F.struct(path.alias("k"), F.coalesce(given, html.collapse(elements.text_of(e))).alias("v"))
 
-    pairs = F.transform(F.filter(props, lambda e: ~F.map_contains_key(e["attrs"], "itemscope")), prop)
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    micro = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), 1)["v"]))
-    rows = rows.select("page_id", items.alias("items"), "open_graph", "twitter", micro.alias("microdata"))
+    keep = ["page_id", items.alias("items"), "open_graph", "twitter", "flow"]
+    rows = elements.settled(rows, keep, props=props)
+    rows = elements.settled(rows, [*keep[:1], "items", *keep[2:], "props"], scopes=scopes)
+    pairs = F.transform(F.filter("props", lambda e: ~F.map_contains_key(e["attrs"], "itemscope")), prop)
+    rows = elements.settled(rows, ["page_id", "items", "open_graph", "twitter"], pairs=pairs)
+    keys = F.array_distinct(F.transform("pairs", lambda p: p["k"]))
+    micro = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter("pairs", lambda p: p["k"] == k), 1)["v"]))
+    rows = elements.settled(rows, ["page_id", "items", "open_graph", "twitter"], microdata=micro)
     sure = F.when(F.size("items") > 0, 0.4).otherwise(0.0) + F.when(F.size("open_graph") > 0, 0.3).otherwise(0.0) + F.when(F.size("microdata") > 0, 0.3).otherwise(0.0)
     return rows.withColumn("confidence", sure)
 

@@ -58,13 +58,13 @@ def chosen_containers(scored: DataFrame, share: float = 0.7) -> DataFrame:
     return ranked.filter("_before < _total").drop("_before", "_total")
 
 
-def metadata(pages: DataFrame) -> DataFrame:
-    """(page_id, json_ld, open_graph, twitter, confidence): JSON-LD scripts that parse, and meta tags as maps.
+def metadata(pages: DataFrame, *keep: str) -> DataFrame:
+    """(page_id, keep..., json_ld, open_graph, twitter, confidence): JSON-LD scripts that parse, and meta tags as maps.
 
     Of a repeated property the last value counts. Attributes may stand in either order.
     """
     scripts = F.regexp_extract_all("html", F.lit(r"""(?i)<script[^>]*application/ld\+json[^>]*>([\s\S]*?)</script>"""), F.lit(1))
-    json = F.filter(F.transform(scripts, F.trim), lambda x: F.try_parse_json(x).isNotNull())
+    json = F.filter(F.transform(scripts, lambda x: F.trim(x)), lambda x: F.try_parse_json(x).isNotNull())
     tags = F.regexp_extract_all("html", F.lit(r"(?i)<meta\s[^>]*>"), F.lit(0))
 
     def attribute(tag: Column, names: str) -> Column:
@@ -80,7 +80,7 @@ def metadata(pages: DataFrame) -> DataFrame:
         keys = F.array_distinct(F.transform(mine, lambda p: p["k"]))
         return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(mine, lambda p: p["k"] == k), -1)["v"]))
 
-    rows = pages.select("page_id", json.alias("json_ld"), group("og:").alias("open_graph"), group("twitter:").alias("twitter"))
+    rows = pages.select("page_id", *keep, json.alias("json_ld"), group("og:").alias("open_graph"), group("twitter:").alias("twitter"))
     sure = F.when(F.size("json_ld") > 0, 0.4).otherwise(0.0) + F.when(F.size("open_graph") > 0, 0.3).when(F.size("twitter") > 0, 0.1).otherwise(0.0)
     return rows.withColumn("confidence", sure)
 
