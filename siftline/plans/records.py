@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from siftline.functions import html, registry, urls
 from siftline.functions.running import totals
 from siftline.operators import assembly, elements, operations, provenance, records, structured
-from siftline.plans.extraction import PIECES_SQL, _texts_sql, table
+from siftline.plans.extraction import PIECES_SQL, _texts_sql, dealt, table
 from siftline.plans.provenance import _CANON
 from siftline.plans.structured import _SCORED
 
@@ -156,7 +156,7 @@ def described_pages(spark, sf_dir):
         F.when(k % 3 == 0, F.concat(F.lit("<meta name='twitter:card' content='"), "p_type", F.lit("'>"))).otherwise(""), F.lit("</head>"),
         F.when(k % 4 == 0, F.concat(F.lit('<div itemscope><b itemprop="name"> '), "p_name", F.lit(' </b><meta itemprop="size" content="'), "p_size", F.lit('"></div>'))).otherwise(""),
     )
-    out = records.described(table(spark, sf_dir, "part").select(k.alias("page_id"), page.alias("html")))
+    out = records.described(dealt(table(spark, sf_dir, "part"), "p_partkey").select(k.alias("page_id"), page.alias("html")))
     return out.select(
         "page_id", F.array_join(F.transform("items", lambda x: F.coalesce(F.get_json_object(x, "$.name"), F.lit("(graph)"))), "|").alias("items"), F.col("open_graph")["og:title"].alias("og_title"),
         F.col("twitter")["twitter:card"].alias("twitter_card"), F.col("microdata")["name"].alias("name"), F.col("microdata")["size"].alias("size"), "confidence",
@@ -172,7 +172,7 @@ def nested_metadata(spark, sf_dir):
         F.lit('<script type="application/ld+json">['), deep, F.lit(',{"no":1}]</script><div itemscope><p itemprop="name"><b>'), "p_name", F.lit('</b> <i>'), "p_brand",
         F.lit('</i></p><div itemprop="offers" itemscope><span itemprop="price">'), "p_size", F.lit('</span><a itemprop="url" href="/x">y</a></div></div>'),
     )
-    out = records.described(table(spark, sf_dir, "part").select(k.alias("page_id"), page.alias("html")))
+    out = records.described(dealt(table(spark, sf_dir, "part"), "p_partkey").select(k.alias("page_id"), page.alias("html")))
     numbers = F.transform("items", lambda x: F.coalesce(F.get_json_object(x, "$.name"), F.get_json_object(x, "$.n")))
     return out.select("page_id", F.array_join(numbers, "|").alias("items"), *[F.col("microdata")[n].alias(n.replace(".", "_")) for n in ("name", "offers.price", "offers.url")])
 
