@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from siftline.functions import table_functions
 from siftline.operators import sketches
 from siftline.plans.changes import _HIST
-from siftline.plans.extraction import NODE_SQL, table
+from siftline.plans.extraction import NODE_SQL, dealt, table
 from siftline.plans.streams import _folder, _read
 from siftline.sources import exports
 from siftline.streaming import upserts
@@ -78,7 +78,7 @@ def mailed_suppliers(spark, sf_dir):
         line, F.concat(F.lit("from: "), "s_name", F.lit(" <s@x.example>")), F.lit("To: me@x.example"), F.when(F.col("s_suppkey") % 3 > 0, F.concat(F.lit("Subject:  Account of "), "s_suppkey", F.lit("  "))),
         F.lit("Date: Mon, 1 Jan 2024 00:00:00 +0000"), F.lit(""), F.concat(F.lit("Dear "), "s_name", F.lit(",")), F.lit(""), F.lit("Subject: not this one"),
     )
-    table(spark, sf_dir, "supplier").select(mail.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    exports.write_emails(dealt(table(spark, sf_dir, "supplier"), "s_suppkey").select(mail.alias("value")), folder)
     rows = exports.emails(spark, folder)
     return rows.select(F.regexp_extract("sender", r"^(.*) <", 1).alias("s_name"), "recipient", "subject", "sent", F.rtrim("body", F.lit("\n")).alias("body"))
 

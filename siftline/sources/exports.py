@@ -92,6 +92,16 @@ def read_export(raw: DataFrame) -> tuple[str, DataFrame]:
     return kind, listed(raw) if kind == "listings" else orders(raw)
 
 
+def write_emails(messages: DataFrame, path: str) -> None:
+    """Each row of `messages`, a raw message, as a file of its own in a new folder.
+
+    A file costs far more than its bytes, so rows should be dealt over all cores; tasks move their own files into place.
+    Local files are written without checksum files, which would be four files' work and a `chmod` process for each.
+    """
+    plain = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": True}
+    messages.write.options(**plain, **{"mapreduce.fileoutputcommitter.algorithm.version": 2}, maxRecordsPerFile=1).text(path)
+
+
 def emails(spark: SparkSession, path: str) -> DataFrame:
     """(path, sender, recipient, subject, sent, body) of raw messages, one file each. Headers end at the first blank line."""
     rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", "\r\n", "\n").alias("m"))

@@ -84,3 +84,19 @@ def test_described_pages_are_not_broadcast(spark, capsys):
     out.explain()
     assert "BroadcastHashJoin" not in capsys.readouterr().out
     assert [(r["items"], r.microdata) for r in out.collect()] == [(['{"@type":"A"}'], {"x": "y"})] * 10
+
+
+def test_mails_are_written_by_many_tasks(spark, tmp_path):
+    """A file for each mail, none of them by way of one task or with a checksum file beside it."""
+    from pathlib import Path
+
+    from siftline.plans import tables
+
+    spark.range(40).selectExpr("id AS s_suppkey", "concat('S', id) AS s_name").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    held = set(shared.glob("stream-*"))
+    rows = tables.mailed_suppliers(spark, str(tmp_path)).collect()
+    (folder,) = set(shared.glob("stream-*")) - held
+    files = [f.name for f in folder.iterdir() if "part-" in f.name]
+    assert sorted(r.s_name for r in rows) == sorted(f"S{k}" for k in range(40))
+    assert len(files) == 40 and len({f.split("-")[1] for f in files}) > 1
