@@ -1,55 +1,95 @@
 """Embeddings, vector search, summaries, session memory, prompt safety and retrieval answers."""
 
-import functools
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from siftline.functions.running import checkpointing
 from siftline.functions.safety import MAX_LENGTH, OVERFLOW, THREATS
 
 #: Rows and queries that one task of a block search holds, about, and queries that it scores at once.
-ROW_BLOCK, QUERY_BLOCK, PAGE = 8_192, 4_096, 128
+ROW_BLOCK, QUERY_BLOCK, PAGE = 32_768, 16_384, 128
+#: Rows for which a further task is worth its start.
+FEW_ROWS = 1_024
+#: Bytes of texts whose tokens a task hashes at once.
+TEXT_BYTES = 1_000_000
 #: Queries that may be sent to every task.
 MAX_ASKED = 1_000
-_TOKEN = re.compile("[a-z0-9]+")
+#: Which bytes tokens consist of.
+_IN_TOKEN = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8))
+
+
+def _counted(data: np.ndarray, ends: np.ndarray, dims: int, power: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(counts: a line of `dims` for each text, powers of 31 modulo `dims`) of texts in one run of bytes; text k stands
+    between ends k and k + 1. All tokens are hashed at once: characters times powers, summed by token."""
+    n, at = len(ends) - 1, np.flatnonzero(_IN_TOKEN[data])
+    if not len(at):
+        return np.zeros((n, dims), np.int64), power
+    new = np.ones(len(at), bool)
+    new[1:] = np.diff(at) != 1
+    first = np.searchsorted(at, ends[:-1])
+    new[first[first < len(at)]] = True
+    begin = np.flatnonzero(new)
+    length = np.diff(np.append(begin, len(at)))
+    while len(power) < length.max():
+        power = np.concatenate([power, power * pow(31, len(power), dims) % dims])
+    after = np.repeat(begin + length, length) - 1 - np.arange(len(at))
+    bucket = np.add.reduceat(data[at] * power[after] % dims, begin) % dims
+    text = np.searchsorted(ends, at[begin], "right") - 1
+    return np.bincount(text * dims + bucket, minlength=n * dims).reshape(n, dims), power
+
+
+def _token_counts(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(keys, counts: a line of `dims` for each) of (key, text) in lower case."""
+    power = np.ones(1, np.int64) % dims
+    for b in batches:
+        texts = pc.fill_null(b.column(1), "").cast(pa.large_string())
+        ends = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
+        data, lo = np.frombuffer(texts.buffers()[2] or b"", np.uint8), 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + TEXT_BYTES, "right")) - 1)
+            counts, power = _counted(data[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo], dims, power)
+            yield b.column(0).slice(lo, hi - lo), counts
+            lo = hi
 
 
 def hash_embedding(rows: DataFrame, key: str, text: str, dims: int) -> DataFrame:
     """(key, dim, n): token counts in `dims` buckets; a token's bucket is its polynomial hash (base 31) modulo `dims`.
 
-    Tokens are hashed and counted where they are read, each distinct one of a batch once, so at most `dims` rows of a
-    text are shuffled. An interpreted expression over each character takes about twenty times as long as this map.
+    Tokens are hashed and counted where they are read, so at most `dims` rows of a text are shuffled. An interpreted
+    expression over each character takes about twenty times as long as this map.
     """
     kind = rows.schema[key].dataType.simpleString()
 
-    def bucket(token: str) -> int:
-        return functools.reduce(lambda h, c: (h * 31 + ord(c)) % dims, token, 0)
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            known: dict[str, int] = {}
-            row, dim, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for k, t in enumerate(b.column(1)):
-                tokens = _TOKEN.findall(t.as_py() or "")
-                for x in set(tokens).difference(known):
-                    known[x] = bucket(x)
-                counts = np.bincount([known[x] for x in tokens], minlength=dims) if tokens else np.zeros(dims, np.int64)
-                at = np.flatnonzero(counts)
-                row.append(np.full(len(at), k)), dim.append(at), n.append(counts[at])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(row))), pa.array(np.concatenate(dim), pa.int32()), pa.array(np.concatenate(n), pa.int64())], [key, "dim", "n"])
+        for keys, counts in _token_counts(batches, dims):
+            row, dim = np.nonzero(counts)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(row)), pa.array(dim, pa.int32()), pa.array(counts[row, dim])], [key, "dim", "n"])
 
     counted = rows.select(key, F.lower(text).alias("_text")).mapInArrow(count, f"{key} {kind}, dim int, n long")
     return counted.groupBy(key, "dim").agg(F.sum("n").alias("n"))
 
 
 def hash_vectors(rows: DataFrame, key: str, text: str, dims: int) -> DataFrame:
-    """(key, vector): the counts of `hash_embedding` as vectors; texts without tokens have none."""
-    counts = hash_embedding(rows, key, text, dims).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "n"))).alias("_m"))
-    every = F.sequence(F.lit(0), F.lit(dims - 1))
-    return counts.select(key, F.transform(every, lambda d: F.coalesce(F.element_at("_m", d), F.lit(0)).cast("double")).alias("vector"))
+    """(key, vector): the counts of `hash_embedding` as vectors; texts without tokens have none.
+
+    A text is one row from the map on; rows that share a key are added up.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, counts in _token_counts(batches, dims):
+            some = counts.any(axis=1)
+            ends = pa.array(np.arange(some.sum() + 1) * dims, pa.int32())
+            yield pa.RecordBatch.from_arrays([keys.filter(pa.array(some)), pa.ListArray.from_arrays(ends, pa.array(counts[some].ravel().astype(float)))], [key, "vector"])
+
+    counted = rows.select(key, F.lower(text).alias("_text")).mapInArrow(count, f"{key} {kind}, vector array<double>")
+    of_key = counted.groupBy(key).agg(F.collect_list("vector").alias("_v"))
+    added = F.aggregate(F.slice("_v", 2, F.size("_v")), F.col("_v")[0], lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    return of_key.select(key, added.alias("vector"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -90,24 +130,58 @@ def _padded(col: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
+def _first_copies(ids: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
+    """Rows without those that have k copies with smaller ids, as these come first with every query."""
+    _, copy = np.unique(v, axis=0, return_inverse=True)
+    order = np.lexsort((ids, copy.ravel()))
+    copy = copy.ravel()[order]
+    return order[np.arange(len(ids)) - np.searchsorted(copy, copy) < k]
+
+
+def _floors(rough: np.ndarray, k: int) -> np.ndarray:
+    """For each line of scores what its k-th best is at least: the k-th best of the best of each of some columns."""
+    n = rough.shape[1]
+    if n <= k:
+        return np.full(len(rough), -np.inf, np.float32)
+    m = min(n, max(k, 512))
+    best = rough[:, : n // m * m].reshape(len(rough), n // m, m).max(axis=1)
+    return np.partition(best, m - k, axis=1)[:, m - k]
+
+
 def ranked_block(block: pa.Table, asks: np.ndarray, k: int, min_score: float | None, keep: str | None = None) -> pa.Table:
     """(query_id, id, score, _near): the k best rows of a block for each of its queries, which `asks` marks; `keep` is a
-    column of the queries that their lines carry along."""
+    column of the queries that their lines carry along.
+
+    All pairs are scored in single precision; those within its error of the k best are scored again in double precision,
+    which alone decides.
+    """
     out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]]
     if asks.any() and not asks.all():
         ids, v = block.column("id").to_numpy(), _padded(block.column("v"))
         norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
         v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
-        q_ids, q, ids, c = ids[asks], v[asks], ids[~asks], v[~asks].T
+        q_ids, q, ids, c = ids[asks], v[asks], ids[~asks], v[~asks]
+        first = _first_copies(ids, c, k)
+        ids, c = ids[first], c[first]
+        rough_q, rough_c = q.astype(np.float32), c.T.astype(np.float32)
+        # What rounding may add to two scores, and to scores that nine digits make equal.
+        slack = np.float32((v.shape[1] + 4) * 2.0**-23 + 2e-9)
+        smallest = np.argsort(ids)[:k]
         for lo in range(0, len(q), PAGE):
-            for n, score in enumerate(q[lo : lo + PAGE] @ c, lo):
-                near, at = np.round(score, 9), np.arange(len(score))
+            rough = rough_q[lo : lo + PAGE] @ rough_c
+            floor = _floors(rough, k) - slack
+            if min_score is not None:
+                floor = np.maximum(floor, np.float32(min_score) - slack)
+            for n, (line, least) in enumerate(zip(rough, floor), lo):
+                # A zero vector is as near to all.
+                at = np.flatnonzero(line >= least) if rough_q[n].any() else smallest
+                score = c[at] @ q[n]
                 if min_score is not None:
-                    at = at[score >= min_score]
-                if len(at) > k:
-                    at = at[near[at] >= np.partition(near[at], len(at) - k)[len(at) - k]]
-                at = at[np.lexsort((ids[at], -near[at]))[:k]]
-                out[0].append(np.full(len(at), q_ids[n])), out[1].append(ids[at]), out[2].append(score[at]), out[3].append(np.full(len(at), n))
+                    at, score = at[score >= min_score], score[score >= min_score]
+                near = np.round(score, 9)
+                order = np.lexsort((ids[at], -near))[:k]
+                at, score = at[order], score[order]
+                out[0].append(np.full(len(at), q_ids[n])), out[1].append(ids[at]), out[2].append(score), out[3].append(np.full(len(at), n))
     query_id, found, score, n = map(np.concatenate, out)
     made = {"query_id": query_id, "id": found, "score": score, "_near": np.round(score, 9)}
     if keep:
@@ -119,16 +193,20 @@ def block_search(rows: DataFrame, queries: DataFrame, k: int, min_score: float |
     """(query_id, rank, id, score) as `similarity_search`, for queries that grow with the rows.
 
     Blocks of queries meet blocks of rows in one task each, which keeps its own k best of each query; those are merged.
-    Vectors that are null or hold null or non-finite components take no part.
+    Vectors are made once, hits too. Vectors that are null or hold null or non-finite components take no part.
     """
+    checkpointing(rows.sparkSession)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
 
     def usable(df: DataFrame, key: str) -> DataFrame:
         v = F.transform("vector", lambda x: x.cast("double"))
         df = df.select(F.col(key).cast("long").alias("id"), v.alias("v"))
         return df.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
 
-    held, asked = usable(rows, "id"), usable(queries, "query_id")
-    n_rows, n_asked = (max(1, -(-df.count() // size)) for df, size in ((held, ROW_BLOCK), (asked, QUERY_BLOCK)))
+    held, asked = usable(rows, "id").checkpoint(), usable(queries, "query_id").checkpoint()
+    n_held = held.count()
+    n_rows = max(1, -(-n_held // ROW_BLOCK), min(cores, n_held // FEW_ROWS))
+    n_asked = max(1, -(-asked.count() // QUERY_BLOCK))
 
     def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int, asks: bool) -> DataFrame:
         at = F.pmod(F.xxhash64("id", "v"), F.lit(n_own)).cast("int")
@@ -142,7 +220,7 @@ def block_search(rows: DataFrame, queries: DataFrame, k: int, min_score: float |
     found = both.groupBy("_r", "_q").applyInArrow(best, "query_id long, id long, score double, _near double")
     order = W.partitionBy("query_id").orderBy(F.desc("_near"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "id", "score")
+    return ranked.select("query_id", "rank", "id", "score").checkpoint()
 
 
 def sentences(text: Column) -> Column:

@@ -100,3 +100,65 @@ def test_mails_are_written_by_many_tasks(spark, tmp_path):
     files = [f.name for f in folder.iterdir() if "part-" in f.name]
     assert sorted(r.s_name for r in rows) == sorted(f"S{k}" for k in range(40))
     assert len(files) == 40 and len({f.split("-")[1] for f in files}) > 1
+
+
+def test_answers_are_searched_once(spark, tmp_path, capsys):
+    """Neither the vectors nor the search are worked out again for each step that uses the hits."""
+    from siftline.plans import retrieval
+
+    rows = [(k, f"Word{k % 3} number {k}. More of it.") for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = retrieval.screened_answers(spark, str(tmp_path))
+    capsys.readouterr()
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "FlatMapGroupsInArrow" not in plan and "MapInArrow" not in plan
+    assert {r.query_id: r.n_sources for r in out.collect()} == {0: 3, 20: 3}
+
+
+def test_tokens_are_hashed_in_pieces(monkeypatch):
+    import functools
+    import random
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+
+    from siftline.operators import retrieval
+
+    pick = random.Random(3)
+    texts = [None, "", "a", "b", "", "é a", "x" * 500, " ", "abc", "def"] + ["".join(pick.choice("ab9 é\n") for _ in range(pick.randrange(30))) for _ in range(200)]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["k", "t"])
+    for dims in (7, 64):
+        want = np.zeros((len(texts), dims), int)
+        for line, text in zip(want, texts):
+            for token in re.findall("[a-z0-9]+", text or ""):
+                line[functools.reduce(lambda h, c: (h * 31 + ord(c)) % dims, token, 0)] += 1
+        for size in (1, 40, 1_000_000):
+            monkeypatch.setattr(retrieval, "TEXT_BYTES", size)
+            keys, counts = zip(*retrieval._token_counts(iter([batch.slice(0, 3), batch.slice(3), batch.slice(0, 0)]), dims))
+            assert [k for part in keys for k in part.to_pylist()] == list(range(len(texts)))
+            assert (np.concatenate(counts) == want).all()
+
+
+def test_block_of_copies_and_zero_vectors():
+    import numpy as np
+    import pyarrow as pa
+
+    from siftline.operators.retrieval import ranked_block
+
+    pick = np.random.default_rng(5)
+    v = pick.integers(0, 4, (1250, 16)).astype(float)
+    v[:400], v[400:410], v[1200:1203] = v[0], 0, 0
+    v[1204] = v[0]
+    ids, asks = pick.permutation(1250), np.arange(1250) >= 1200
+    block = pa.table({"id": pa.array(ids), "v": pa.array(list(v))})
+    norm = np.sqrt((v * v).sum(axis=1))
+    score = v @ v.T / np.where(norm == 0, 1, norm) / np.where(norm == 0, 1, norm)[:, None]
+    for k, least in ((3, None), (20, 0.5), (3, 0.0)):
+        want = []
+        for n in np.flatnonzero(asks):
+            rows = [(-round(score[n, m], 9), ids[m]) for m in np.flatnonzero(~asks) if least is None or score[n, m] >= least]
+            want += [(ids[n], i) for _, i in sorted(rows)[:k]]
+        got = ranked_block(block, asks, k, least)
+        assert list(zip(got["query_id"].to_pylist(), got["id"].to_pylist())) == want
