@@ -1,5 +1,6 @@
 """Pages, texts and streams larger than the test tables': work that must not grow faster than its input."""
 
+import re
 import time
 
 import pandas as pd
@@ -119,7 +120,6 @@ def test_answers_are_searched_once(spark, tmp_path, capsys):
 def test_tokens_are_hashed_in_pieces(monkeypatch):
     import functools
     import random
-    import re
 
     import numpy as np
     import pyarrow as pa
@@ -162,3 +162,17 @@ def test_block_of_copies_and_zero_vectors():
             want += [(ids[n], i) for _, i in sorted(rows)[:k]]
         got = ranked_block(block, asks, k, least)
         assert list(zip(got["query_id"].to_pylist(), got["id"].to_pylist())) == want
+
+
+def test_a_page_travels_once(spark, capsys):
+    """What a task holds is a batch of pages, not a second copy of their sources beside it."""
+    from siftline.operators import elements
+
+    pages = spark.createDataFrame([(k, f"<p>text {k}</p>" if k % 5 else None) for k in range(200)], "page_id int, html string")
+    out = elements.with_elements(pages, ["p"], texts=["p"])
+    capsys.readouterr()
+    out.explain()
+    (line,) = [x for x in capsys.readouterr().out.splitlines() if "MapInArrow" in x]
+    assert re.search(r"read\((.*?)\)", line)[1].count("#") == 1
+    got = {r.page_id: (r.html, r.flow, [e.text for e in r.elements]) for r in out.collect()}
+    assert got == {k: (f"<p>text {k}</p>", f"text {k}", [f"text {k}"]) if k % 5 else (None, "", []) for k in range(200)}
