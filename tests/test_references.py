@@ -8,7 +8,7 @@ from siftline.operators import elements
 from tests.test_queries import rows_of
 
 #: Queries that read references in the elements of pages.
-QUERIES = ["page_nodes", "source_spans", "page_observations", "container_scores", "heuristic_extractions", "confidence_breakdown", "select_best_extraction", "stream_texts", "page_events"]
+QUERIES = ["page_nodes", "source_spans", "page_observations", "container_scores", "heuristic_extractions", "confidence_breakdown", "select_best_extraction", "stream_texts", "page_events", "event_lines"]
 TAILS = ["token = &quot", "is &lt", "it&#39", "by &copy", "fish &amp", "fish &am", "so &quotx; said", "five&nbsp;", "&ampquot; &#39;x&#39;", "&quot;whole&quot;"]
 
 
