@@ -97,7 +97,9 @@ def telemetry_files(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts").cast("string"))
     events.select("day", F.to_json(F.struct("event_id", "event_type", F.col("value").cast("double").alias("value"))).alias("value")).write.partitionBy("day").text(folder)
     rows = spark.read.schema("event_id long, event_type string, value double, day string").json(folder)
-    return rows.groupBy("day", "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    # Rounded as the SQL does it: the double's multiple, not the decimal number it is written as.
+    mean = F.round(F.avg("value") * 10_000) / 10_000
+    return rows.groupBy("day", "event_type").agg(F.count("*").alias("n"), mean.alias("mean"))
 
 
 QUERIES = {f.__name__: f for f in (lateral_nodes, lateral_cells, partitioned_history, stored_sketches, streamed_upserts, mailed_suppliers, listed_urls, telemetry_files)}
